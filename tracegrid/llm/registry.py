@@ -7,11 +7,14 @@ from importlib.util import find_spec
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, mpeg_audio, quality_rules, warc
+from . import byte_bpe, mixing, mpeg_audio, quality_rules, token_output, url_filters, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out = {
+        "op1_token_output": token_output.op1_token_output,
+        "op2_url_filters": url_filters.op2_url_filters,
+        "op5_mixing": mixing.op5_mixing,
         "op3_warc": warc.op3_warc,
         "op7_mpeg_audio": mpeg_audio.op7_mpeg_audio,
         "op8_byte_bpe": byte_bpe.op8_byte_bpe,
