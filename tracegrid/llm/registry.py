@@ -7,13 +7,16 @@ from importlib.util import find_spec
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, mixing, mpeg_audio, quality_rules, token_output, url_filters, warc
+from . import byte_bpe, kneser_ney, license_scan, mixing, mpeg_audio, near_dedup, quality_rules, token_output, url_filters, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out = {
         "op1_token_output": token_output.op1_token_output,
         "op2_url_filters": url_filters.op2_url_filters,
+        "op4_near_dedup": near_dedup.op4_near_dedup,
+        "op9_quality_classifier": kneser_ney.op9_quality_classifier,
+        "op6_license_scan": license_scan.op6_license_scan,
         "op5_mixing": mixing.op5_mixing,
         "op3_warc": warc.op3_warc,
         "op7_mpeg_audio": mpeg_audio.op7_mpeg_audio,
