@@ -2,8 +2,8 @@
 
 A multinomial naive Bayes model over hashed words, trained on labelled rows, gives each whole
 text a posterior over the domains of the labelled table: high, low and toxic. Projected
-gradient steps then fit a rate of at least 0 for every document so that the expected tokens of
-each domain meet its target; a step needs one distributed sum of as many numbers as domains.
+gradient steps then fit a rate from 0 to max_rate for every document so that the expected
+tokens of each domain meet its target; a step needs one distributed sum of as many numbers as domains.
 
 The gradient is taken in the metric of the inverse token matrix, in which the problem has
 condition 1, so that some ten steps do. The model is fitted on at most about max_labelled
@@ -26,6 +26,8 @@ from .workspace import materialize, table
 
 DOMAINS = ("high", "low", "toxic")
 TARGETS = {"high": 0.85, "low": 0.1, "toxic": 0.05}
+#: For documents that filters have been through.
+CLEAN_TARGETS = {"high": 0.98, "low": 0.02, "toxic": 0.0}
 SPACE = "[\\x20\\x09-\\x0D]+"
 
 
@@ -75,8 +77,10 @@ def posteriors(docs: DataFrame, labels: DataFrame, *, buckets: int = 4096, effec
     return raised.select("doc_id", "n_tokens", *((F.col(d) / whole).alias(d) for d in DOMAINS))
 
 
-def fit_rates(members: DataFrame, targets: dict[str, float] = TARGETS, *, steps: int = 60, tolerance: float = 1e-6, restart: int = 10) -> DataFrame:
-    """members with rate: the fitted number of times that each document is to be read."""
+def fit_rates(members: DataFrame, targets: dict[str, float] = TARGETS, *, max_rate: float = 4.0, steps: int = 60, tolerance: float = 1e-6, ridge: float = 1e-5, restart: int = 10) -> DataFrame:
+    """members with rate, from 0 to max_rate: the fitted number of times that each document is to be read.
+
+    ridge: share of the matrix's trace that keeps steps small towards domains that hardly any document has."""
     names = list(targets)
     members = materialize(members, "mix-members").withColumn("rate", F.lit(1.0))
     t = F.col("n_tokens").cast("double")
@@ -87,14 +91,14 @@ def fit_rates(members: DataFrame, targets: dict[str, float] = TARGETS, *, steps:
     matrix = np.zeros((len(names), len(names)))
     for i, j in pairs:
         matrix[i, j] = matrix[j, i] = first[f"m{i}_{j}"]
-    metric = np.linalg.pinv(matrix, rcond=1e-10)
+    metric = np.linalg.inv(matrix + ridge * np.trace(matrix) * np.eye(len(names)))
     goal = np.array([targets[d] for d in names]) / sum(targets.values()) * first["all"]
     past: list[np.ndarray] = []
 
     def with_rate(df: DataFrame) -> DataFrame:
         rate = F.col("rate")
         for e in past:
-            rate = F.greatest(F.lit(0.0), rate - t * sum((F.col(d) * F.lit(float(x)) for d, x in zip(names, e)), F.lit(0.0)))
+            rate = F.least(F.lit(max_rate), F.greatest(F.lit(0.0), rate - t * sum((F.col(d) * F.lit(float(x)) for d, x in zip(names, e)), F.lit(0.0))))
             df = df.withColumn("rate", rate)
             rate = F.col("rate")
         return df
@@ -117,7 +121,7 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS,
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs with each row as often as its rate says: the whole part, and once more with the probability of the rest (by a hash of the id)."""
-    rates = mix(docs, table(spark, sf_dir, "labels")).select("doc_id", "rate")
+    rates = mix(docs, table(spark, sf_dir, "labels"), CLEAN_TARGETS).select("doc_id", "rate")
     coin = F.pmod(F.xxhash64("doc_id", F.lit("mix")), F.lit(1 << 30)) / float(1 << 30)
     copies = rates.select("doc_id", F.floor(F.col("rate") + coin).cast("int").alias("_copies")).where("_copies > 0")
     return docs.join(copies, "doc_id").select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy")).drop("_copy")
