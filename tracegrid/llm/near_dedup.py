@@ -1,15 +1,15 @@
 """Near-duplicate documents by b-bit MinHash, confirmed on full shingle sets.
 
 1. Each whole text gives its shingle set, 256 minima, the 2 low bits of each packed into 8
-   longs, and 32 band keys of 4 minima. Equal sets are one class; only classes go on.
-2. Every member of a band bucket is paired with two stars of the bucket (the smallest id and a
-   hashed pick). The packed bits give a collision-corrected similarity; a class has its most
-   promising star confirmed on full sets first, then the other stars of other components.
+   longs, and 24 band keys of 4 minima. Equal sets are one class; only classes go on.
+2. Every member of a band bucket is paired with the bucket's smallest id. The packed bits give a
+   collision-corrected similarity, and each class has its most promising star confirmed on
+   full sets. Members still apart from a second, hashed pick of their bucket are held against it.
 3. Where a bucket still spans several components, the members outside its largest one are held
    against all the others; every pair that the bits leave possible is confirmed. After that no
    candidate pair of a bucket is open, so no link is lost to stars.
 
-A pair of similarity 0.8 shares no band with probability 5e-8, and its estimate falls below
+A pair of similarity 0.8 shares no band with probability 3e-6, and its estimate falls below
 min_estimate (4 standard deviations) with probability 3e-5; nothing is capped.
 
 Defined cases: null, empty and blank texts have no shingles, link to nothing and are kept; a
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .byte_bpe import _slices
 from .workspace import materialize, table
 
-MINIMA, BANDS, ROWS = 256, 32, 4
+MINIMA, BANDS, ROWS = 256, 24, 4
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -166,30 +166,33 @@ def classes(docs: DataFrame, *, n: int = 5, percent: int = 80, min_estimate: flo
     def sizes(x: str, y: str) -> Column:
         return (100 * F.least(x, y) >= percent * F.greatest(x, y))
 
-    star = members.select(F.explode(F.array("least", "pick")).alias("s"), "doc_id").where("s != doc_id").select(F.least("s", "doc_id").alias("a"), F.greatest("s", "doc_id").alias("b")).distinct()
-    star = materialize(star, "dup-star-pairs").join(of("a"), "a").join(of("b"), "b").where(sizes("n_a", "n_b")).select("a", "b", estimate(F.col("bits_a"), F.col("bits_b")).alias("e")).where(F.col("e") >= min_estimate)
-    star = materialize(star, "dup-star-estimates")
+    def likely(pairs: DataFrame) -> DataFrame:
+        both = materialize(pairs.distinct(), "dup-pairs").join(of("a"), "a").join(of("b"), "b").where(sizes("n_a", "n_b"))
+        return both.select("a", "b", estimate(F.col("bits_a"), F.col("bits_b")).alias("e")).where(F.col("e") >= min_estimate)
+
+    star = likely(members.where("least != doc_id").select(F.col("least").alias("a"), F.col("doc_id").alias("b")))
     first = star.groupBy("b").agg(F.coalesce(F.min(F.when(F.col("e") >= sure, F.col("a"))), F.max_by("a", F.struct("e", -F.col("a")))).alias("a")).select("a", "b")
-    links = confirm(first, docs, n, percent)
+    tried = materialize(first, "dup-first")
+    links = confirm(tried, docs, n, percent)
     comp = components(links)
 
-    def apart(pairs: DataFrame) -> DataFrame:
-        """Pairs whose ends lie in different components so far."""
-        c = lambda side: comp.select(F.col("doc_id").alias(side), F.col("component").alias(f"c_{side}"))
-        return pairs.join(c("a"), "a", "left").join(c("b"), "b", "left").where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b")
+    def placed() -> DataFrame:
+        return members.join(comp, "doc_id", "left").select("bucket", "doc_id", "pick", F.coalesce("component", "doc_id").alias("component"))
 
-    more = materialize(apart(star.join(first, ["a", "b"], "left_anti")), "dup-more")
+    beside = comp.select(F.col("doc_id").alias("pick"), F.col("component").alias("other"))
+    apart = placed().where("pick != doc_id and pick != component").join(beside, "pick", "left").where(F.col("component") != F.coalesce("other", "pick"))
+    more = materialize(likely(apart.select(F.least("doc_id", "pick").alias("a"), F.greatest("doc_id", "pick").alias("b"))).select("a", "b"), "dup-more")
     if not more.isEmpty():
         links = materialize(links.union(confirm(more, docs, n, percent)), "dup-links")
-        comp = components(links)
+        tried, comp = tried.union(more), components(links)
 
-    cells = materialize(members.select("bucket", "doc_id").join(comp, "doc_id", "left").select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("component")), "dup-cells")
+    cells = materialize(placed().drop("pick"), "dup-cells")
     spread = cells.groupBy("bucket", "component").count().groupBy("bucket").agg(F.max_by("component", F.struct("count", "component")).alias("major"), F.count("*").alias("k")).where("k > 1").drop("k")
     spread = materialize(spread, "dup-spread")
     cross = materialize(cells.join(spread, "bucket").join(bits, "doc_id"), "dup-cross")
     x, y = cross.where("component != major").alias("x"), cross.alias("y")
     open_pairs = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.component") != F.col("y.component")) & ((F.col("y.component") == F.col("y.major")) | (F.col("x.doc_id") < F.col("y.doc_id"))) & sizes("x.n_shingles", "y.n_shingles") & (estimate(F.col("x.bits"), F.col("y.bits")) >= min_estimate))
-    open_pairs = open_pairs.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct().join(star.select("a", "b"), ["a", "b"], "left_anti")
+    open_pairs = open_pairs.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
     open_pairs = materialize(open_pairs, "dup-open")
     if not open_pairs.isEmpty():
         comp = components(links.union(confirm(open_pairs, docs, n, percent)))
