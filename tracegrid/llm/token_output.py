@@ -19,6 +19,7 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ from pyspark.sql.window import Window
 from .byte_bpe import _CUT, _slices
 from .workspace import new_path, table
 
-CACHE = 300_000
+CACHE = 600_000
 _ODD = re.compile(r" \s|\s ")
 BLOCK_BYTES = 1 << 20
 BLOCKS = "part int, block int, part_start long, dict_sha256 string, width int, first_id long, last_id long, doc_ids array<long>, offsets array<int>, n_tokens array<int>, payload binary"
@@ -57,14 +58,17 @@ class Encoder:
         return text.replace(" ", "\0 ").split("\0")
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian 32-bit bytes. The first CACHE different segments are kept; the frequent ones come early."""
         parts = [self.segments(t) for t in texts]
-        if len(self.known) > CACHE:
-            self.known.clear()
-        new = [s for s in dict.fromkeys(s for p in parts for s in p) if s not in self.known]
-        for s, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            self.known[s] = np.array(e.ids, dtype="<u4").tobytes()
-        get = self.known.__getitem__
-        return [b"".join(map(get, p)) for p in parts]
+        found = [list(map(self.known.get, p)) for p in parts]
+        gaps = [(p, f) for p, f in zip(parts, found) if None in f]
+        new = list({s for p, f in gaps for s, v in zip(p, f) if v is None})
+        fresh = {s: array("I", e.ids).tobytes() for s, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False))}
+        for p, f in gaps:
+            f[:] = [fresh[s] if v is None else v for s, v in zip(p, f)]
+        if len(self.known) < CACHE:
+            self.known.update(fresh)
+        return list(map(b"".join, found))
 
 
 _encoders: dict[str, Encoder] = {}
@@ -100,7 +104,7 @@ def train(docs: DataFrame, tokenizer: str, end_id: int, width: int, dict_docs: i
         return b""
 
 
-def write(docs: DataFrame, path: str, tokenizer: str, *, end_id: int = 0, level: int = 3, vocabulary: int = 50_257, **training) -> None:
+def write(docs: DataFrame, path: str, tokenizer: str, *, end_id: int = 0, level: int = 1, vocabulary: int = 50_257, **training) -> None:
     """Writes path/blocks and path/dictionary."""
     spark, width = docs.sparkSession, 2 if vocabulary <= 1 << 16 else 4
     docs = docs.select(F.col("doc_id").cast("long"), "text")
