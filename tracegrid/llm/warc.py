@@ -7,9 +7,9 @@ candidates that the chain reaches, so a magic line inside a payload is never tak
 record: its piece is given back to the record around it.
 
 Defined cases: null html is an empty payload; of equal payloads the one with the largest page
-id is the response; rows without an id can't be named and are left out; rows that repeat an
-id and its html are one page, and of one id with several payloads the smallest digest counts;
-an empty table gives an empty result. Bytes that no record covers are left out.
+id is the response; rows without an id can't be named and are left out; each row is
+a record of its own, and rows that repeat an id and its html are alike; an empty table gives an
+empty result. Bytes that no record covers are left out.
 """
 
 from __future__ import annotations
@@ -34,35 +34,33 @@ def base32_sha1(payload) -> F.Column:
     return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.element_at(digits, F.conv(bits.substr(5 * i + 1, F.lit(5)), 2, 10).cast("int") + 1)), "")
 
 
-def assign(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """page_id, digest, size and keeper (the response's id, null where the row is itself one)."""
+def revisits(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
+    """page_id, sha1 and keeper (the response's id) of the rows that revisit another page."""
     body = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    keyed = pages.where("page_id is not null").select("page_id", F.sha1(body).alias("sha1"), F.octet_length(body).cast("long").alias("size"))
-    keyed = keyed.groupBy("page_id").agg(F.min(F.struct("sha1", "size")).alias("k")).select("page_id", "k.*")
+    keyed = pages.where("page_id is not null").select("page_id", F.sha1(body).alias("sha1"), F.octet_length(body).cast("long").alias("size")).where(F.col("size") >= min_bytes)
     keyed = materialize(keyed, "warc-keys")
-    best = materialize(keyed.where(F.col("size") >= min_bytes).groupBy("sha1", "size").agg(F.max("page_id").alias("best")), "warc-best")
+    best = materialize(keyed.groupBy("sha1").agg(F.max("page_id").alias("keeper"), F.min("page_id").alias("least")).where("least < keeper").drop("least"), "warc-best")
     # Both sides are plain scans here, so that the adaptive skew join may split a hot digest.
-    joined = keyed.join(best, ["sha1", "size"], "left")
-    return joined.select("page_id", "sha1", "size", F.when(F.col("best") != F.col("page_id"), F.col("best")).alias("keeper"))
+    joined = keyed.join(best, "sha1").where("page_id != keeper")
+    return materialize(joined.select("page_id", "sha1", "keeper").distinct(), "warc-revisits")
 
 
-def write(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
+def write(pages: DataFrame, path: str, min_bytes: int = 0, records_per_file: int = 10_000) -> None:
     """One record for each page: a response with its payload, or a revisit that refers to it."""
-    plan = assign(pages, min_bytes)
-    rows = pages.select("page_id", "url", "html").join(plan, "page_id")
+    rows = pages.where("page_id is not null").select("page_id", "url", "html", F.sha1(F.coalesce(F.col("html"), F.lit("")).cast("binary")).alias("sha1"))
+    rows = rows.join(revisits(pages, min_bytes), ["page_id", "sha1"], "left")
     body = F.coalesce(F.col("html"), F.lit(""))
-    rows = rows.where(F.sha1(body.cast("binary")) == F.col("sha1")).dropDuplicates(["page_id"])
     revisit = F.col("keeper").isNotNull()
     url = F.regexp_replace(F.coalesce("url", F.lit("")), r"[\r\n]", "")
     block = F.when(revisit, F.lit("")).otherwise(body)
     record = F.concat(
         F.lit(MAGIC), F.lit("WARC-Type: "), F.when(revisit, "revisit").otherwise("response"),
         F.lit("\r\nWARC-Record-ID: <urn:page:"), F.col("page_id").cast("string"), F.lit(">\r\nWARC-Target-URI: "), url,
-        F.lit("\r\nWARC-Payload-Digest: sha1:"), base32_sha1(body.cast("binary")), F.lit("\r\nX-Payload-Bytes: "), F.col("size").cast("string"),
+        F.lit("\r\nWARC-Payload-Digest: sha1:"), base32_sha1(body.cast("binary")), F.lit("\r\nX-Payload-Bytes: "), F.octet_length(body).cast("string"),
         F.when(revisit, F.concat(F.lit("\r\nWARC-Refers-To: <urn:page:"), F.col("keeper").cast("string"), F.lit(">"))).otherwise(""),
         F.lit("\r\nContent-Length: "), F.octet_length(block).cast("string"), F.lit(TAIL), block, F.lit(TAIL[:-1]),
     )
-    rows.select(record.alias("value")).write.option("lineSep", "\n").text(path)
+    rows.select(record.alias("value")).write.options(lineSep="\n", compression="gzip", maxRecordsPerFile=records_per_file).text(path)
 
 
 CANDIDATE = "file string, split long, nth long, at long, size long, next long, header string, block_at long, payload binary"
@@ -124,26 +122,34 @@ def reachable(nodes: DataFrame) -> DataFrame:
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """file, at, header and payload of every record in the archives below path."""
-    pieces = materialize(candidates(spark, path), "warc-pieces")
-    light = materialize(placed(pieces.drop("payload", "header")), "warc-candidates")
+    """file, at, header and payload of every record in the archives below path.
+
+    Archives are scanned twice: for the candidates, and for the payloads of those that stay. A
+    compressed file is one split; others must be split alike both times, as within a session."""
+    pieces = candidates(spark, path)
+    light = materialize(placed(materialize(pieces.drop("payload", "header"), "warc-pieces")), "warc-candidates")
     kept = reachable(light.select("file", "at", "next"))
     starts = light.join(kept.withColumn("record", F.col("at")), ["file", "at"], "left")
     # A piece that isn't a record of its own belongs to the last record before it.
-    owner = F.last("record", ignorenulls=True).over(Window.partitionBy("file").orderBy("at"))
-    owned = starts.select("file", "split", "nth", "at", "next", owner.alias("record")).where("record is not null")
-    full = pieces.select("file", "split", "nth", "header", "block_at", "payload").join(owned, ["file", "split", "nth"])
-    alone = full.where(F.col("at") == F.col("record")).select(
-        "file", F.col("record").alias("at"), "header", "payload",
-        (F.col("next") - F.col("record") - len(MAGIC) - len(TAIL) - F.col("block_at")).alias("length"), "block_at",
+    by_file = Window.partitionBy("file").orderBy("at")
+    owned = starts.withColumn("record", F.last("record", ignorenulls=True).over(by_file)).where("record is not null")
+    # "at" counts from the first magic line on; a record is whole if its successor is where its piece ends.
+    whole = (F.col("at") == F.col("record")) & (F.col("next") == F.col("at") + F.col("size"))
+    owned = materialize(owned.select("file", "split", "nth", "at", "next", "record", whole.alias("whole")), "warc-owned")
+    key = ["file", "split", "nth"]
+    part = F.expr("substring(payload, cast(block_at + 1 as int), cast(length as int))")
+    length = F.col("next") - F.col("record") - len(MAGIC) - len(TAIL) - F.col("block_at")
+    single = pieces.select(*key, "header", "block_at", "payload").join(owned.where("whole").drop("whole"), key)
+    single = single.select("file", F.col("record").alias("at"), "header", "block_at", length.alias("length"), "payload")
+    broken = pieces.select(*key, "header", "block_at", "payload").join(owned.where("not whole or whole is null").drop("whole"), key)
+    own = F.col("at") == F.col("record")
+    joined = broken.groupBy("file", "record").agg(
+        F.array_sort(F.collect_list(F.struct("at", "payload"))).alias("parts"), F.max(F.when(own, F.col("header"))).alias("header"),
+        F.max(F.when(own, F.col("block_at"))).alias("block_at"), F.max(F.when(own, F.col("next"))).alias("next"),
     )
-    more = full.where(F.col("at") != F.col("record")).groupBy("file", F.col("record").alias("at")).agg(F.array_sort(F.collect_list(F.struct("nth", F.col("split"), F.col("at").alias("o"), "payload"))).alias("rest"))
-    more = more.select("file", "at", F.array_sort(F.transform("rest", lambda x: F.struct(x["o"].alias("o"), x["payload"].alias("p")))).alias("rest"))
-    whole = alone.join(more, ["file", "at"], "left")
-    text = F.when(F.col("rest").isNull(), F.col("payload")).otherwise(
-        F.aggregate("rest", F.col("payload"), lambda acc, x: F.concat(acc, F.lit(MAGIC).cast("binary"), x["p"]))
-    )
-    return whole.withColumn("_all", text).select("file", "at", "header", F.expr("substring(_all, cast(block_at + 1 as int), cast(length as int))").alias("payload"))
+    rest = F.aggregate(F.slice("parts", F.lit(2), F.size("parts")), F.col("parts")[0]["payload"], lambda acc, x: F.concat(acc, F.lit(MAGIC).cast("binary"), x["payload"]))
+    joined = joined.where("next is not null").select("file", F.col("record").alias("at"), "header", "block_at", length.alias("length"), rest.alias("payload"))
+    return single.unionByName(joined).select("file", "at", "header", part.alias("payload"))
 
 
 def field(name: str) -> F.Column:
