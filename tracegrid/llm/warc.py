@@ -28,10 +28,10 @@ TAIL = "\r\n\r\n"
 
 
 def base32_sha1(payload) -> F.Column:
-    """Upper-case base 32 of the SHA-1: 160 bits are 32 digits of 5 bits."""
-    bits = F.concat(*(F.lpad(F.conv(F.substring(F.sha1(payload), i, 10), 16, 2), 40, "0") for i in (1, 11, 21, 31)))
-    digits = F.array(*(F.lit(c) for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"))
-    return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.element_at(digits, F.conv(bits.substr(5 * i + 1, F.lit(5)), 2, 10).cast("int") + 1)), "")
+    """Upper-case base 32 of the SHA-1: four times 40 bits are 8 digits each, in the alphabet of base 32."""
+    hexa = F.sha1(payload)
+    parts = (F.lpad(F.conv(F.substring(hexa, i, 10), 16, 32), 8, "0") for i in (1, 11, 21, 31))
+    return F.translate(F.concat(*parts), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 
 
 def revisits(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
@@ -63,12 +63,12 @@ def write(pages: DataFrame, path: str, min_bytes: int = 0, records_per_file: int
     rows.select(record.alias("value")).write.options(lineSep="\n", compression="gzip", maxRecordsPerFile=records_per_file).text(path)
 
 
-CANDIDATE = "file string, split long, nth long, at long, size long, next long, header string, block_at long, payload binary"
+CANDIDATE = "file long, split long, nth long, at long, size long, next long, block_at long, payload binary"
 _LENGTH = re.compile(rb"(?im)^Content-Length:\s*(\d+)\s*$")
 
 
 def candidates(spark: SparkSession, path: str) -> DataFrame:
-    """A row for each piece between magic lines. at, next: offsets within its split of the file;
+    """A row for each piece between magic lines. file: hash of the path; at, next: offsets within its split of the file;
     size: its bytes with the magic line; next is null where no header can be read."""
 
     def run(batches):
@@ -78,18 +78,18 @@ def candidates(spark: SparkSession, path: str) -> DataFrame:
             for body, file, split in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 if (file, split) != key:
                     key, at, nth = (file, split), 0, 0
-                size, nxt, header, block_at = len(body) + len(MAGIC), None, None, None
+                size, nxt, block_at = len(body) + len(MAGIC), None, None
                 stop = body.find(b"\r\n\r\n")
                 if stop >= 0 and (m := _LENGTH.search(body, 0, stop + 2)):
-                    header, block_at = body[:stop].decode("utf-8", "replace"), stop + 4
+                    block_at = stop + 4
                     nxt = at + len(MAGIC) + block_at + int(m[1]) + len(TAIL)
-                rows.append((file, split, nth, at, size, nxt, header, block_at, body))
+                rows.append((file, split, nth, at, size, nxt, block_at, body))
                 at, nth = at + size, nth + 1
-            cols = zip(*rows) if rows else [[]] * 9
-            kinds = (pa.string(), *[pa.int64()] * 5, pa.string(), pa.int64(), pa.binary())
+            cols = zip(*rows) if rows else [[]] * 8
+            kinds = (*[pa.int64()] * 7, pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], [x.split()[0] for x in CANDIDATE.split(", ")])
 
-    pieces = spark.read.option("lineSep", MAGIC).text(path).select(F.col("value").cast("binary").alias("body"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"))
+    pieces = spark.read.option("lineSep", MAGIC).text(path).select(F.col("value").cast("binary").alias("body"), F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"))
     return pieces.mapInArrow(run, CANDIDATE)
 
 
@@ -122,12 +122,12 @@ def reachable(nodes: DataFrame) -> DataFrame:
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """file, at, header and payload of every record in the archives below path.
+    """file (hash of its path), at, header and payload of every record in the archives below path.
 
     Archives are scanned twice: for the candidates, and for the payloads of those that stay. A
     compressed file is one split; others must be split alike both times, as within a session."""
     pieces = candidates(spark, path)
-    light = materialize(placed(materialize(pieces.drop("payload", "header"), "warc-pieces")), "warc-candidates")
+    light = materialize(placed(materialize(pieces.drop("payload"), "warc-pieces")), "warc-candidates")
     kept = reachable(light.select("file", "at", "next"))
     starts = light.join(kept.withColumn("record", F.col("at")), ["file", "at"], "left")
     # A piece that isn't a record of its own belongs to the last record before it.
@@ -139,17 +139,17 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     key = ["file", "split", "nth"]
     part = F.expr("substring(payload, cast(block_at + 1 as int), cast(length as int))")
     length = F.col("next") - F.col("record") - len(MAGIC) - len(TAIL) - F.col("block_at")
-    single = pieces.select(*key, "header", "block_at", "payload").join(owned.where("whole").drop("whole"), key)
-    single = single.select("file", F.col("record").alias("at"), "header", "block_at", length.alias("length"), "payload")
-    broken = pieces.select(*key, "header", "block_at", "payload").join(owned.where("not whole or whole is null").drop("whole"), key)
+    single = pieces.select(*key, "block_at", "payload").join(owned.where("whole").drop("whole"), key)
+    single = single.select("file", F.col("record").alias("at"), "block_at", length.alias("length"), "payload")
+    broken = pieces.select(*key, "block_at", "payload").join(owned.where("not whole or whole is null").drop("whole"), key)
     own = F.col("at") == F.col("record")
     joined = broken.groupBy("file", "record").agg(
-        F.array_sort(F.collect_list(F.struct("at", "payload"))).alias("parts"), F.max(F.when(own, F.col("header"))).alias("header"),
+        F.array_sort(F.collect_list(F.struct("at", "payload"))).alias("parts"), 
         F.max(F.when(own, F.col("block_at"))).alias("block_at"), F.max(F.when(own, F.col("next"))).alias("next"),
     )
     rest = F.aggregate(F.slice("parts", F.lit(2), F.size("parts")), F.col("parts")[0]["payload"], lambda acc, x: F.concat(acc, F.lit(MAGIC).cast("binary"), x["payload"]))
-    joined = joined.where("next is not null").select("file", F.col("record").alias("at"), "header", "block_at", length.alias("length"), rest.alias("payload"))
-    return single.unionByName(joined).select("file", "at", "header", part.alias("payload"))
+    joined = joined.where("next is not null").select("file", F.col("record").alias("at"), "block_at", length.alias("length"), rest.alias("payload"))
+    return single.unionByName(joined).select("file", "at", F.expr("cast(substring(payload, 1, cast(block_at - 4 as int)) as string)").alias("header"), part.alias("payload"))
 
 
 def field(name: str) -> F.Column:
