@@ -6,9 +6,9 @@ the largest weight. A file's licence is the template of its best line of at leas
 A licence file gives its licence to its directory; a file without one of its own inherits from
 the nearest directory above that has one, found by joining the ancestors of each directory.
 
-Before lines are taken apart, a bound drops those that can't reach min_cosine: with s tokens
-that templates know and o different others, the cosine is at most s / sqrt(s^2 + o), as no
-token weighs more than one that no template knows.
+Before lines are taken apart, a bound drops those that can't reach min_cosine: where the tokens
+that templates know have the squared weights S in all, and there are o others of the largest
+weight m, the squared cosine is at most S / (S + o m^2).
 
 Defined cases: null and empty texts have no lines and may inherit; null paths stand in no
 directory and inherit nothing; ties go to the template's name in order; rows that repeat a path
@@ -17,6 +17,8 @@ are one file with all their lines; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,15 +54,19 @@ def headers(files: DataFrame, templates: dict[str, str] = TEMPLATES, min_cosine:
     lines = files.where("path is not null").select("path", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("pos", "line"))
     lines = lines.select("path", "pos", tokens(F.col("line")).alias("ts")).where(F.size("ts") > 0)
     lines = lines.withColumn("shared", F.array_intersect("ts", known))
-    others = F.size(F.array_distinct("ts")) - F.size("shared")
-    s = F.size("ts") - others
-    ratio = min_cosine**2 / (1 - min_cosine**2)
     counted = lines.select(F.explode(F.when(F.size("shared") > 0, F.array_append("shared", F.lit(""))).otherwise(F.array(F.lit("")))).alias("t"))
     df = materialize(counted.groupBy("t").agg(F.count("*").alias("df")), "license-df")  # at most one row for each template word, and the number of lines
-    n = (df.where("t = ''").agg(F.max("df").alias("n")).first()["n"] or 0)
-    top = F.log(F.lit(float(n + 1))) + 1
-    idf = df.where("t != ''").select("t", (F.log(F.lit(float(n + 1)) / (F.col("df") + 1)) + 1).alias("idf"))
-    possible = lines.where((F.size("shared") > 0) & (s.cast("double") * s >= ratio * others)).select("path", "pos", F.explode("ts").alias("t"))
+    seen = {r.t: r.df for r in df.collect()}
+    n = seen.get("", 0)
+    top = F.lit(math.log(n + 1) + 1)
+    weights = {t: math.log((n + 1) / (seen.get(t, 0) + 1)) + 1 for t in vocabulary}
+    idf = spark.createDataFrame(sorted(weights.items()), "t string, idf double")
+    weight = F.create_map(*(F.lit(x) for item in sorted(weights.items()) for x in item))
+    tf = lambda t: F.size(F.filter("ts", lambda x: x == t))
+    known_mass = F.aggregate("shared", F.lit(0.0), lambda acc, t: acc + F.pow(tf(t) * F.element_at(weight, t), F.lit(2.0)))
+    others = F.size("ts") - F.aggregate("shared", F.lit(0), lambda acc, t: acc + tf(t))
+    reach = known_mass >= min_cosine**2 * (known_mass + others * top * top) - 1e-9
+    possible = lines.where(F.size("shared") > 0).where(reach).select("path", "pos", F.explode("ts").alias("t"))
     weighed = possible.groupBy("path", "pos", "t").agg(F.count("*").alias("tf")).join(F.broadcast(idf), "t", "left").select("path", "pos", "t", (F.col("tf") * F.coalesce("idf", top)).alias("w"))
     weighed = materialize(weighed, "license-weights")
     norms = weighed.groupBy("path", "pos").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
