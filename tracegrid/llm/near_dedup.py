@@ -1,10 +1,11 @@
 """Near-duplicate documents by b-bit MinHash, confirmed on full shingle sets.
 
-1. Each whole text gives its shingle set, 256 minima, the 2 low bits of each packed into 8
+1. Each whole text gives its shingle set, 768 minima, the 2 low bits of each packed into 24
    longs, and 24 band keys of 4 minima. Equal sets are one class; only classes go on.
 2. Every member of a band bucket is paired with the bucket's smallest id. The packed bits give a
    collision-corrected similarity, and each class has its most promising star confirmed on
-   full sets. Members still apart from a second, hashed pick of their bucket are held against it.
+   full sets. In a few turns, the members outside a bucket's largest component are held against
+   a hashed pick of it.
 3. Where a bucket still spans several components, the members outside its largest one are held
    against all the others; every pair that the bits leave possible is confirmed. After that no
    candidate pair of a bucket is open, so no link is lost to stars.
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from .byte_bpe import _slices
 from .workspace import materialize, table
 
-MINIMA, BANDS, ROWS = 256, 24, 4
+MINIMA, BANDS, ROWS = 768, 24, 4
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -149,8 +150,8 @@ def components(links: DataFrame) -> DataFrame:
             return label
 
 
-def classes(docs: DataFrame, *, n: int = 5, percent: int = 80, min_estimate: float = 0.68, sure: float = 0.86) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every row."""
+def classes(docs: DataFrame, *, n: int = 5, percent: int = 80, min_estimate: float = 0.73, sure: float = 0.86, picks: int = 3) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of every row. picks: turns of step 2; step 3 takes all that they leave."""
     sig = materialize(signatures(docs, n), "dup-signatures")
     groups = materialize(sig.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("doc_id")), "dup-groups")
     reps = materialize(sig.join(groups, ["doc_id", "set_key"], "left_semi").dropDuplicates(["doc_id", "set_key"]), "dup-reps")
@@ -179,15 +180,26 @@ def classes(docs: DataFrame, *, n: int = 5, percent: int = 80, min_estimate: flo
     def placed() -> DataFrame:
         return members.join(comp, "doc_id", "left").select("bucket", "doc_id", "pick", F.coalesce("component", "doc_id").alias("component"))
 
-    beside = comp.select(F.col("doc_id").alias("pick"), F.col("component").alias("other"))
-    apart = placed().where("pick != doc_id and pick != component").join(beside, "pick", "left").where(F.col("component") != F.coalesce("other", "pick"))
-    more = materialize(likely(apart.select(F.least("doc_id", "pick").alias("a"), F.greatest("doc_id", "pick").alias("b"))).select("a", "b"), "dup-more")
-    if not more.isEmpty():
+    def spread_of(cells: DataFrame) -> DataFrame:
+        """Buckets with several components, and the largest of each."""
+        return cells.groupBy("bucket", "component").count().groupBy("bucket").agg(F.max_by("component", F.struct("count", "component")).alias("major"), F.count("*").alias("k")).where("k > 1").drop("k")
+
+    for turn in range(picks):
+        cells = materialize(placed().drop("pick"), "dup-cells")
+        spread = materialize(spread_of(cells), "dup-spread")
+        inside = cells.join(spread, "bucket")
+        order = F.xxhash64("doc_id", "bucket", F.lit(turn))
+        pick = inside.where("component = major").groupBy("bucket").agg(F.min(F.struct(order.alias("h"), "doc_id"))["doc_id"].alias("s"))
+        apart = inside.where("component != major").select("bucket", "doc_id").join(materialize(pick, "dup-picks"), "bucket")
+        more = likely(apart.select(F.least("doc_id", "s").alias("a"), F.greatest("doc_id", "s").alias("b"))).select("a", "b")
+        more = materialize(more.join(tried, ["a", "b"], "left_anti"), "dup-more")
+        if more.isEmpty():
+            break
         links = materialize(links.union(confirm(more, docs, n, percent)), "dup-links")
-        tried, comp = tried.union(more), components(links)
+        tried, comp = materialize(tried.union(more), "dup-tried"), components(links)
 
     cells = materialize(placed().drop("pick"), "dup-cells")
-    spread = cells.groupBy("bucket", "component").count().groupBy("bucket").agg(F.max_by("component", F.struct("count", "component")).alias("major"), F.count("*").alias("k")).where("k > 1").drop("k")
+    spread = spread_of(cells)
     spread = materialize(spread, "dup-spread")
     cross = materialize(cells.join(spread, "bucket").join(bits, "doc_id"), "dup-cross")
     x, y = cross.where("component != major").alias("x"), cross.alias("y")
