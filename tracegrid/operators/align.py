@@ -102,3 +102,50 @@ def matched_pairs(conditions: DataFrame, vary: str, others: list[str]) -> DataFr
 
 def to_ms(sample: Column, fs: float) -> Column:
     return sample * (1000.0 / fs)
+
+
+def extract_trials(blocks: DataFrame, events: DataFrame, before: int, after: int, size: int) -> DataFrame:
+    """Samples in [at - before, at + after) of each event from blocks of size samples; a window must fit whole.
+    Events name the blocks that they need, and only those are taken apart."""
+    lo, hi = F.col("at") - before, F.col("at") + (after - 1)
+    need = events.select("session", "event_id", "at", F.explode(F.sequence(F.floor(lo / size), F.floor(hi / size))).alias("block"))
+    cut = need.join(blocks, ["session", "block"])
+    rel = F.col("start_sample") + F.col("i") - F.col("at")
+    d = cut.select("session", "event_id", "at", "channel", "start_sample", F.posexplode("values").alias("i", "value")).select("session", "event_id", "channel", rel.alias("rel"), "value").where((F.col("rel") >= -before) & (F.col("rel") < after))
+    whole = F.count("*").over(Window.partitionBy("session", "event_id", "channel"))
+    return d.withColumn("n", whole).where(F.col("n") == before + after).drop("n")
+
+
+def align_frames(tracks: DataFrame, frame_map: DataFrame, by: str) -> DataFrame:
+    """Tracks (frame, value) on corrected frames 0 to the last; missing frames are null, the last of a frame's duplicates counts."""
+    last = frame_map.groupBy(by, F.col("avi").alias("frame")).agg(F.max_by("corrected", "row").alias("corrected"))
+    got = tracks.join(last, [by, "frame"]).groupBy(by, "corrected").agg(F.max_by("value", "frame").alias("value"))
+    spine = got.groupBy(by).agg(F.max("corrected").alias("m")).select(by, F.explode(F.sequence(F.lit(0).cast("long"), F.col("m").cast("long"))).alias("corrected"))
+    return spine.join(got, [by, "corrected"], "left")
+
+
+def map_intervals(intervals: DataFrame, shifts: DataFrame, key: str = "session") -> DataFrame:
+    """start and end on the other clock (anchor_sample, fs_from, fs_to, n_samples), cut at its ends; what falls outside goes."""
+    go = lambda c: F.rint((F.col(c) - F.col("anchor_sample")) * F.col("fs_to") / F.col("fs_from")).cast("long")
+    d = intervals.join(shifts, key).withColumns({"start": go("start"), "end": F.least(go("end"), F.col("n_samples"))})
+    return d.where("start >= 0 and end > start").select(*intervals.columns)
+
+
+def resample_linear(df: DataFrame, grid: DataFrame, by: str, at: str = "t") -> DataFrame:
+    """Values at the grid's times, linear between known ones and flat beyond them; one sort of both sides."""
+    both = df.where("value is not null").select(by, at, F.struct(F.col(at).alias("t"), F.col("value").alias("v")).alias("k"), F.lit(False).alias("g"))
+    both = both.unionByName(grid.select(by, at, F.lit(True).alias("g")), allowMissingColumns=True)
+    w = Window.partitionBy(by).orderBy(at)
+    upto, onward = w.rangeBetween(Window.unboundedPreceding, Window.currentRow), w.rangeBetween(Window.currentRow, Window.unboundedFollowing)
+    d = both.withColumns({"b": F.max("k").over(upto), "a": F.min("k").over(onward)}).where("g")
+    step = F.col("b.v") + (F.col("a.v") - F.col("b.v")) * (F.col(at) - F.col("b.t")) / (F.col("a.t") - F.col("b.t"))
+    value = F.when(F.col("b").isNull(), F.col("a.v")).when(F.col("a").isNull() | (F.col("a.t") == F.col("b.t")), F.col("b.v")).otherwise(step)
+    return d.select(by, at, value.alias("value"))
+
+
+def align_to_peak(trials: DataFrame, by: list[str], at: str, lo: int, hi: int, before: int, after: int) -> DataFrame:
+    """Rows in [peak - before, peak + after] of each trial, the peak being the first largest absolute value in [lo, hi]."""
+    inside = F.when(F.col(at).between(lo, hi) & F.col("value").isNotNull(), F.struct((-F.abs("value")).alias("s"), F.col(at).alias("at")))
+    peak = trials.groupBy(*by).agg(F.min(inside)["at"].alias("peak"))
+    d = trials.join(peak.where("peak is not null"), by).withColumn("rel", F.col(at) - F.col("peak"))
+    return d.where(F.col("rel").between(-before, after)).select(*by, "rel", "value")

@@ -90,3 +90,27 @@ def adaptation_sets(trials: DataFrame, by: str, at: str, k: int = 10) -> DataFra
     w = Window.partitionBy(by)
     d = trials.withColumns({"i": F.row_number().over(w.orderBy(at)), "j": F.row_number().over(w.orderBy(F.col(at).desc()))})
     return d.withColumns({"first": F.col("i") <= k, "last": F.col("j") <= k}).where("first or last").drop("i", "j")
+
+
+def common_reference(samples: DataFrame, by: list[str]) -> DataFrame:
+    """Values less the median of all channels at the same sample (by: its keys)."""
+    return samples.join(samples.groupBy(*by).agg(F.median("value").alias("_m")), by).withColumn("value", F.col("value") - F.col("_m")).drop("_m")
+
+
+def zscore_tracks(df: DataFrame, by: list[str]) -> DataFrame:
+    """Population z scores of each track; null where a track is constant."""
+    s = df.groupBy(*by).agg(F.avg("value").alias("_a"), F.stddev_pop("value").alias("_s"))
+    return df.join(s, by).withColumn("value", F.when(F.col("_s") > 0, (F.col("value") - F.col("_a")) / F.col("_s"))).drop("_a", "_s")
+
+
+def decimate(df: DataFrame, by: list[str], max_points: int, at: str = "sample") -> DataFrame:
+    """Every k-th row of a series, k = ceil(n / max_points): a preview of at most max_points rows."""
+    n = df.groupBy(*by).agg(F.count("*").alias("_n"))
+    d = df.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(at)) - 1).join(n, by)
+    return d.where(F.col("_r") % F.ceil(F.col("_n") / max_points) == 0).drop("_r", "_n")
+
+
+def template_local(snippets: DataFrame, by: list[str], order: str, width: int) -> DataFrame:
+    """Snippets less the mean of up to width earlier ones at the same place (by); the first of a place has no template."""
+    w = Window.partitionBy(*by).orderBy(order).rowsBetween(-width, -1)
+    return snippets.withColumn("template", F.avg("value").over(w)).withColumn("value", F.col("value") - F.coalesce("template", F.lit(0.0)))

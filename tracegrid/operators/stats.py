@@ -127,3 +127,41 @@ def pca(rows: DataFrame, k: int, key: str = "trial") -> tuple[DataFrame, np.ndar
     load = rows.sparkSession.createDataFrame([(c, float(m[i]), *map(float, vectors[i])) for c, i in at.items()], "channel int, m double, " + ", ".join(f"v{j} double" for j in range(vectors.shape[1])))
     scores = rows.join(F.broadcast(load), "channel").groupBy(key).agg(*(F.sum((F.col("value") - F.col("m")) * F.col(f"v{j}")).alias(f"pc{j + 1}") for j in range(vectors.shape[1])))
     return scores, values
+
+
+def median_line(windows: DataFrame, trial: list[str], keys: list[str], at: str, lo: int, hi: int) -> DataFrame:
+    """Median across trials of values less their trial's median in [lo, hi); trials without values there don't count."""
+    base = windows.where((F.col(at) >= lo) & (F.col(at) < hi) & F.col("value").isNotNull()).groupBy(*trial).agg(F.median("value").alias("base"))
+    return windows.join(base, trial).groupBy(*keys).agg(F.median(F.col("value") - F.col("base")).alias("median"), F.count("value").alias("n"))
+
+
+def psth(windows: DataFrame, keys: list[str]) -> DataFrame:
+    return windows.groupBy(*keys).agg(F.avg("value").alias("rate"), F.count("value").alias("n"))
+
+
+def bin_mean(samples: DataFrame, width: int, n_bins: int, by: list[str], at: str = "sample") -> DataFrame:
+    """Mean of each bin 0 to n_bins - 1; samples outside are left out and empty bins are null."""
+    d = samples.withColumn("bin", F.floor(F.col(at) / width))
+    got = d.where((F.col("bin") >= 0) & (F.col("bin") < n_bins)).groupBy(*by, "bin").agg(F.avg("value").alias("mean"))
+    spine = samples.select(*by).distinct().select(*by, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_bins - 1).cast("long"))).alias("bin"))
+    return spine.join(got, [*by, "bin"], "left")
+
+
+def snr(df: DataFrame, trial: list[str], keys: list[str], raw: str, clean: str) -> DataFrame:
+    """Median across trials of 10 log10 of raw power over the power of what cleaning took away; trials that lost nothing have none."""
+    t = df.groupBy(*trial).agg(F.sum(F.col(raw) ** 2).alias("p"), F.sum((F.col(raw) - F.col(clean)) ** 2).alias("q"))
+    return t.withColumn("snr", F.when((F.col("q") > 0) & (F.col("p") > 0), 10 * F.log10(F.col("p") / F.col("q")))).groupBy(*keys).agg(F.median("snr").alias("snr"), F.count("snr").alias("n"))
+
+
+def delay_regression(df: DataFrame, lags: list[int], by: list[str], keys: list[str], at: str = "bin") -> DataFrame:
+    """The lag at which y(t) ~ k x1(t + lag) + r x2(t + lag) + b explains most, with k, r, b and the share explained.
+    All lags' normal equations are sums of one aggregation; ties go to the smaller lag."""
+    x = df.select(*by, F.col(at), "x1", "x2").withColumn("lag", F.explode(F.array(*map(F.lit, lags)))).withColumn(at, F.col(at) - F.col("lag"))
+    d = df.select(*dict.fromkeys([*by, *keys]), at, "y").join(x, [*by, at]).where("x1 is not null and x2 is not null and y is not null")
+    cov = lambda a, b: F.covar_pop(a, b)
+    s = d.groupBy(*keys, "lag").agg(cov("x1", "x1").alias("aa"), cov("x1", "x2").alias("ab"), cov("x2", "x2").alias("bb"), cov("x1", "y").alias("ay"), cov("x2", "y").alias("by"), cov("y", "y").alias("yy"), F.avg("x1").alias("mx1"), F.avg("x2").alias("mx2"), F.avg("y").alias("my"))
+    det = F.col("aa") * F.col("bb") - F.col("ab") ** 2
+    s = s.where((det > 0) & (F.col("yy") > 0)).withColumns({"k": (F.col("ay") * F.col("bb") - F.col("by") * F.col("ab")) / det, "r": (F.col("by") * F.col("aa") - F.col("ay") * F.col("ab")) / det})
+    s = s.withColumns({"b": F.col("my") - F.col("k") * F.col("mx1") - F.col("r") * F.col("mx2"), "vaf": (F.col("k") * F.col("ay") + F.col("r") * F.col("by")) / F.col("yy")})
+    best = F.max_by(F.struct("lag", "k", "r", "b", "vaf"), F.struct(F.round("vaf", 12), -F.col("lag")))
+    return s.groupBy(*keys).agg(best.alias("m")).select(*keys, "m.*")

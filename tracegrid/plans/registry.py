@@ -361,3 +361,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return dict(_ORACLE)
+
+
+from . import trial_queries  # noqa: E402, F401  (enters its queries)
