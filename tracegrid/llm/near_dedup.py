@@ -5,7 +5,7 @@
 2. Every member of a band bucket is paired with the bucket's smallest id. The packed bits give a
    collision-corrected similarity, and each class has its most promising star confirmed on
    full sets. In a few turns, the members outside a bucket's largest component are held against
-   a hashed pick of it.
+   a hashed pick of it; the turns end when fewer than a tenth of the pairs tried are links.
 3. Where a bucket still spans several components, the members outside its largest one are held
    against all the others; every pair that the bits leave possible is confirmed. After that no
    candidate pair of a bucket is open, so no link is lost to stars.
@@ -151,7 +151,7 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame, *, n: int = 5, percent: int = 80, min_estimate: float = 0.73, sure: float = 0.86, picks: int = 3) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every row. picks: turns of step 2; step 3 takes all that they leave."""
+    """doc_id, n_shingles, component_id and kept of every row. picks: most turns of step 2; step 3 takes all that they leave."""
     sig = materialize(signatures(docs, n), "dup-signatures")
     groups = materialize(sig.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("doc_id")), "dup-groups")
     reps = materialize(sig.join(groups, ["doc_id", "set_key"], "left_semi").dropDuplicates(["doc_id", "set_key"]), "dup-reps")
@@ -195,8 +195,11 @@ def classes(docs: DataFrame, *, n: int = 5, percent: int = 80, min_estimate: flo
         more = materialize(more.join(tried, ["a", "b"], "left_anti"), "dup-more")
         if more.isEmpty():
             break
-        links = materialize(links.union(confirm(more, docs, n, percent)), "dup-links")
-        tried, comp = materialize(tried.union(more), "dup-tried"), components(links)
+        fresh = confirm(more, docs, n, percent)
+        links, tried = materialize(links.union(fresh), "dup-links"), materialize(tried.union(more), "dup-tried")
+        comp = components(links)
+        if 10 * fresh.count() < more.count():  # picks rarely hit: the sweep takes the rest
+            break
 
     cells = materialize(placed().drop("pick"), "dup-cells")
     spread = spread_of(cells)
