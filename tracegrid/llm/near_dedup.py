@@ -159,7 +159,7 @@ def classes(docs: DataFrame, *, n: int = 5, percent: int = 80, min_estimate: flo
     stars = rows.groupBy("bucket").agg(F.min("doc_id").alias("least"), F.min(F.struct(F.xxhash64("doc_id", "bucket").alias("h"), "doc_id"))["doc_id"].alias("pick"), F.count("*").alias("n")).where("n > 1")
     stars = materialize(stars.drop("n"), "dup-stars")
     members = materialize(rows.join(stars, "bucket"), "dup-members")
-    bits = reps.select("doc_id", "bits", "n_shingles")
+    bits = reps.select("doc_id", "bits", "n_shingles", "bands")
 
     def of(side: str) -> DataFrame:
         return bits.select(F.col("doc_id").alias(side), F.col("bits").alias(f"bits_{side}"), F.col("n_shingles").alias(f"n_{side}"))
@@ -206,8 +206,10 @@ def classes(docs: DataFrame, *, n: int = 5, percent: int = 80, min_estimate: flo
     spread = materialize(spread, "dup-spread")
     cross = materialize(cells.join(spread, "bucket").join(bits, "doc_id"), "dup-cross")
     x, y = cross.where("component != major").alias("x"), cross.alias("y")
-    open_pairs = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.component") != F.col("y.component")) & ((F.col("y.component") == F.col("y.major")) | (F.col("x.doc_id") < F.col("y.doc_id"))) & sizes("x.n_shingles", "y.n_shingles") & (estimate(F.col("x.bits"), F.col("y.bits")) >= min_estimate))
-    open_pairs = open_pairs.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+    # Two documents that share several buckets are a pair in one of them alone.
+    once = F.array_min(F.array_intersect("x.bands", "y.bands")) == F.col("x.bucket")
+    open_pairs = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.component") != F.col("y.component")) & ((F.col("y.component") == F.col("y.major")) | (F.col("x.doc_id") < F.col("y.doc_id"))) & sizes("x.n_shingles", "y.n_shingles") & (estimate(F.col("x.bits"), F.col("y.bits")) >= min_estimate) & once)
+    open_pairs = open_pairs.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).join(tried, ["a", "b"], "left_anti")
     open_pairs = materialize(open_pairs, "dup-open")
     if not open_pairs.isEmpty():
         comp = components(links.union(confirm(open_pairs, docs, n, percent)))
