@@ -139,7 +139,8 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     key = ["file", "split", "nth"]
     part = F.expr("substring(payload, cast(block_at + 1 as int), cast(length as int))")
     length = F.col("next") - F.col("record") - len(MAGIC) - len(TAIL) - F.col("block_at")
-    single = pieces.select(*key, "block_at", "payload").join(owned.where("whole").drop("whole"), key)
+    # The offsets grow with the archives, so they are never broadcast; (file, split, nth) has no hot key.
+    single = pieces.select(*key, "block_at", "payload").join(owned.where("whole").drop("whole").hint("merge"), key)
     single = single.select("file", F.col("record").alias("at"), "block_at", length.alias("length"), "payload")
     broken = pieces.select(*key, "block_at", "payload").join(owned.where("not whole or whole is null").drop("whole"), key)
     own = F.col("at") == F.col("record")
