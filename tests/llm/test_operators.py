@@ -192,6 +192,33 @@ def test_mixing_meets_targets(spark):
     assert mixing.mix(*empty(spark)).count() == 0
 
 
+def test_mixing_keeps_clean_documents(spark):
+    sf = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{sf}/{n}.parquet") for n in ("documents", "labels"))
+    kinds = labels.groupBy("doc_id").agg((F.coalesce(F.min("quality") == 1, F.lit(False)) & (F.coalesce(F.max("toxic"), F.lit(0)) == 0)).alias("clean"), F.max("quality").alias("q"))
+    # As after the filters: no document labelled low is left.
+    filtered = docs.join(kinds.where("q = 0").select("doc_id"), "doc_id", "left_anti")
+    clean = filtered.join(kinds.where("clean").select("doc_id"), "doc_id", "left_semi").select("doc_id").distinct()
+    kept = mixing.stage(spark, filtered, sf).select("doc_id").distinct().join(clean, "doc_id", "left_semi").count()
+    assert kept >= 0.96 * clean.count()
+
+
+def test_mixing_closes_what_steps_leave_open(spark):
+    rng = np.random.default_rng(5)
+    p = rng.dirichlet([0.3, 0.1, 0.2], 400)
+    rows = [(i, int(n), *map(float, x)) for i, (n, x) in enumerate(zip(rng.pareto(1.0, 400) * 50 + 1, p))]
+    members = spark.createDataFrame(rows, "doc_id long, n_tokens long, high double, low double, toxic double")
+
+    def shares(df):
+        s = df.agg(F.sum("n_tokens"), *(F.sum(F.col("rate") * F.col("n_tokens") * F.col(d)) for d in mixing.DOMAINS)).first()
+        return np.array(s[1:]) / s[0]
+
+    got = mixing.fit_rates(members, {"high": 0.9, "low": 0.06, "toxic": 0.04}, steps=10)
+    assert np.abs(shares(got) - [0.9, 0.06, 0.04]).sum() <= 1e-6 and got.where("rate < 0 or rate > 4").count() == 0
+    with pytest.warns(UserWarning, match="stay open"):
+        mixing.fit_rates(members.withColumn("low", F.lit(0.0)), {"high": 0.5, "low": 0.5, "toxic": 0.0}, steps=12)
+
+
 def test_licences(spark):
     files = spark.createDataFrame([("LICENSE", "Released under the MIT License.", True), ("a/x.py", None, False), ("a/b/NOTICE", "intro\nLicensed under the Apache License, Version 2.0.", True), ("a/b/c/y", "some prose of the day", False), ("z", "this work is licensed under the gnu general public license, version 3", None), (None, "MIT License", False)], "path string, text string, is_license_file boolean")
     got = {r.path: (r.license, r.origin) for r in license_scan.scan(files).collect()}

@@ -6,7 +6,14 @@ gradient steps then fit a rate from 0 to max_rate for every document so that the
 tokens of each domain meet its target; a step needs one distributed sum of as many numbers as domains.
 
 The gradient is taken in the metric of the inverse token matrix, in which the problem has
-condition 1, so that some ten steps do. The model is fitted on at most about max_labelled
+condition 1 as long as few rates are at a bound. What is open after some steps is closed by one
+last step whose length in each domain is exact: the nearest rates within the bounds that meet the
+targets, by Newton's method on the dual, which has as many unknowns as domains. Targets that no
+rates meet get the steps until these move nothing, and a warning with what stays open.
+
+In a pipeline the filters before may have removed a domain, so the stage moves each domain's share
+towards its target by at most a quarter of the share: mixing weights documents, it isn't a filter.
+The model is fitted on at most about max_labelled
 labelled rows (a documented bound), picked by a hash over all of them.
 
 Defined cases: a null or empty text has no tokens, the prior as posterior and rate 1; rows
@@ -17,6 +24,7 @@ without labels all domains have the same posterior; an empty table gives an empt
 from __future__ import annotations
 
 import math
+import warnings
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -26,8 +34,8 @@ from .workspace import materialize, table
 
 DOMAINS = ("high", "low", "toxic")
 TARGETS = {"high": 0.85, "low": 0.1, "toxic": 0.05}
-#: For documents that filters have been through.
-CLEAN_TARGETS = {"high": 0.98, "low": 0.02, "toxic": 0.0}
+#: For documents that filters have been through: how far a domain's share may move, as a part of the share.
+STAGE_MOVE = 0.25
 SPACE = "[\\x20\\x09-\\x0D]+"
 
 
@@ -77,51 +85,125 @@ def posteriors(docs: DataFrame, labels: DataFrame, *, buckets: int = 4096, effec
     return raised.select("doc_id", "n_tokens", *((F.col(d) / whole).alias(d) for d in DOMAINS))
 
 
-def fit_rates(members: DataFrame, targets: dict[str, float] = TARGETS, *, max_rate: float = 4.0, steps: int = 60, tolerance: float = 1e-6, ridge: float = 1e-5, restart: int = 10) -> DataFrame:
+def reachable(targets: dict[str, float], shares: dict[str, float], move: float) -> dict[str, float]:
+    """Targets in proportion, but each within move times the domain's own share of that share. Both sum to 1 where anything is there."""
+    whole = sum(shares.values())
+    if not whole:
+        return targets
+    own = {d: shares[d] / whole for d in targets}
+    bound = lambda scale: {d: min((1 + move) * own[d], max((1 - move) * own[d], scale * targets[d])) for d in targets}
+    low, high = 0.0, 1.0
+    while sum(bound(high).values()) < 1 and high < 1e12:
+        high *= 2
+    for _ in range(200):
+        middle = (low + high) / 2
+        low, high = (middle, high) if sum(bound(middle).values()) < 1 else (low, middle)
+    found = bound(high)
+    return {d: x / sum(found.values()) for d, x in found.items()}
+
+
+def fit_rates(members: DataFrame, targets: dict[str, float] = TARGETS, *, max_rate: float = 4.0, steps: int = 60, tolerance: float = 1e-6, ridge: float = 1e-5, restart: int = 10, move: float | None = None) -> DataFrame:
     """members with rate, from 0 to max_rate: the fitted number of times that each document is to be read.
 
-    ridge: share of the matrix's trace that keeps steps small towards domains that hardly any document has."""
+    ridge: share of the matrix's trace that keeps steps small towards domains that hardly any document has.
+    move: bounds the targets by the domains' own shares, see reachable."""
     names = list(targets)
     members = materialize(members, "mix-members").withColumn("rate", F.lit(1.0))
     t = F.col("n_tokens").cast("double")
     pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
-    first = members.agg(F.sum(t).alias("all"), *(F.sum(t * t * F.col(names[i]) * F.col(names[j])).alias(f"m{i}_{j}") for i, j in pairs)).first()
-    if not first["all"]:
+
+    def square(first) -> np.ndarray:
+        matrix = np.zeros((len(names), len(names)))
+        for i, j in pairs:
+            matrix[i, j] = matrix[j, i] = first[f"m{i}_{j}"] or 0.0
+        return matrix
+
+    first = members.agg(F.sum(t).alias("all"), *(F.sum(t * F.col(d)).alias(d) for d in names), *(F.sum(t * t * F.col(names[i]) * F.col(names[j])).alias(f"m{i}_{j}") for i, j in pairs)).first()
+    whole = first["all"]
+    if not whole:
         return members
-    matrix = np.zeros((len(names), len(names)))
-    for i, j in pairs:
-        matrix[i, j] = matrix[j, i] = first[f"m{i}_{j}"]
+    if move is not None:
+        targets = reachable(targets, {d: first[d] for d in names}, move)
+    matrix = square(first)
     metric = np.linalg.inv(matrix + ridge * np.trace(matrix) * np.eye(len(names)))
-    goal = np.array([targets[d] for d in names]) / sum(targets.values()) * first["all"]
-    past: list[np.ndarray] = []
+    goal = np.array([targets[d] for d in names]) / sum(targets.values()) * whole
+
+    def shifted(e: np.ndarray) -> Column:
+        return F.col("rate") - t * sum((F.col(d) * F.lit(float(x)) for d, x in zip(names, e)), F.lit(0.0))
 
-    def with_rate(df: DataFrame) -> DataFrame:
-        rate = F.col("rate")
+    def clipped(rate: Column) -> Column:
+        return F.least(F.lit(max_rate), F.greatest(F.lit(0.0), rate))
+
+    def with_rate(df: DataFrame, past: list[np.ndarray]) -> DataFrame:
         for e in past:
-            rate = F.least(F.lit(max_rate), F.greatest(F.lit(0.0), rate - t * sum((F.col(d) * F.lit(float(x)) for d, x in zip(names, e)), F.lit(0.0))))
-            df = df.withColumn("rate", rate)
-            rate = F.col("rate")
+            df = df.withColumn("rate", clipped(shifted(e)))
         return df
 
+    def gap_of(df: DataFrame) -> np.ndarray:
+        got = df.agg(*(F.sum(F.col("rate") * t * F.col(d)).alias(d) for d in names)).first()
+        return np.array([got[d] for d in names]) - goal
+
+    def met(gap: np.ndarray) -> bool:
+        return np.abs(gap).sum() <= tolerance * whole
+
+    def moved(df: DataFrame, e: np.ndarray) -> float:
+        """Tokens that a step moves: the projected gradient, which is 0 at the nearest rates alone."""
+        return df.agg(F.sum(t * F.abs(clipped(shifted(e)) - F.col("rate")))).first()[0]
+
+    def exact(df: DataFrame, evaluations: int = 40) -> np.ndarray | None:
+        """The step from df's rates to the nearest ones that meet the goal; None where there seem to be none."""
+
+        def at(e: np.ndarray):
+            free = (F.col("_z") > 0) & (F.col("_z") < max_rate)
+            d = df.withColumn("_z", shifted(e)).withColumn("_r", clipped(F.col("_z")))
+            row = d.agg(F.sum((F.col("_r") - F.col("rate")) ** 2).alias("far"), *(F.sum(F.col("_r") * t * F.col(x)).alias(x) for x in names), *(F.sum(F.when(free, t * t * F.col(names[i]) * F.col(names[j]))).alias(f"m{i}_{j}") for i, j in pairs)).first()
+            gap = np.array([row[x] for x in names]) - goal
+            return row["far"] / 2 + e @ gap, gap, square(row)
+
+        e = np.zeros(len(names))
+        value, gap, curve = at(e)
+        left = evaluations
+        while not met(gap) and left:
+            step, part = np.linalg.solve(curve + 1e-12 * np.trace(matrix) * np.eye(len(names)), gap), 1.0
+            while left:
+                left -= 1
+                new = at(e + part * step)
+                if new[0] >= value + 1e-4 * part * (gap @ step) - 1e-12 * abs(value):
+                    e, (value, gap, curve) = e + part * step, new
+                    break
+                part /= 2
+        return e if met(gap) else None
+
+    past: list[np.ndarray] = []
+    tried = False
     for _ in range(steps):
-        now = with_rate(members)
-        got = now.agg(*(F.sum(F.col("rate") * t * F.col(d)).alias(d) for d in names)).first()
-        gap = np.array([got[d] for d in names]) - goal
-        if np.abs(gap).sum() <= tolerance * first["all"]:
+        now = with_rate(members, past)
+        gap = gap_of(now)
+        if met(gap):
+            break
+        if tried and moved(now, metric @ gap) <= tolerance * whole:
             break
         past.append(metric @ gap)
         if len(past) == restart:
-            members, past = materialize(with_rate(members), "mix-rates"), []
-    return with_rate(members)
+            members, past = materialize(with_rate(members, past), "mix-rates"), []
+            last = None if tried else exact(members)
+            tried = True
+            if last is not None:
+                return with_rate(members, [last])
+    fitted = with_rate(members, past)
+    gap = gap_of(fitted)
+    if not met(gap):
+        warnings.warn("mixing: shares that stay open: " + ", ".join(f"{d} {(x + g) / whole:.6f} for {x / whole:.6f}" for d, x, g in zip(names, goal, gap)), stacklevel=2)
+    return fitted
 
 
-def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, **params) -> DataFrame:
-    return fit_rates(posteriors(docs, labels, **params), targets)
+def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, *, move: float | None = None, **params) -> DataFrame:
+    return fit_rates(posteriors(docs, labels, **params), targets, move=move)
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs with each row as often as its rate says: the whole part, and once more with the probability of the rest (by a hash of the id)."""
-    rates = mix(docs, table(spark, sf_dir, "labels"), CLEAN_TARGETS).select("doc_id", "rate")
+    rates = mix(docs, table(spark, sf_dir, "labels"), move=STAGE_MOVE).select("doc_id", "rate")
     coin = F.pmod(F.xxhash64("doc_id", F.lit("mix")), F.lit(1 << 30)) / float(1 << 30)
     copies = rates.select("doc_id", F.floor(F.col("rate") + coin).cast("int").alias("_copies")).where("_copies > 0")
     return docs.join(copies, "doc_id").select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy")).drop("_copy")
