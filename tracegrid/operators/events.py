@@ -18,11 +18,14 @@ def _w(by=BY) -> Window:
     return Window.partitionBy(*by).orderBy("sample")
 
 
-def rising_edges_hysteresis(df: DataFrame, by=BY, points: int = 20_000) -> DataFrame:
+def rising_edges_hysteresis(df: DataFrame, by=BY, points: int | None = None) -> DataFrame:
     """Samples where the state turns on: on at hi and above, off at lo and below, kept between. lo is the middle
-    of the range of every (n // points)-th sample, hi the middle of lo and the top. A constant signal has none."""
-    n = df.groupBy(*by).agg(F.count("*").alias("n"))
-    sub = df.join(n, list(by)).where(F.col("sample") % F.greatest(F.lit(1), F.floor(F.col("n") / points)) == 0)
+    of the range of all samples, or of every (n // points)-th where points are given as in the reference; hi is
+    the middle of lo and the top. A constant signal has none."""
+    sub = df
+    if points is not None:
+        n = df.groupBy(*by).agg(F.count("*").alias("n"))
+        sub = df.join(n, list(by)).where(F.col("sample") % F.greatest(F.lit(1), F.floor(F.col("n") / points)) == 0)
     limits = sub.groupBy(*by).agg(F.min("value").alias("least"), F.max("value").alias("most")).select(*by, ((F.col("least") + F.col("most")) / 2).alias("lo"), "most")
     limits = limits.select(*by, "lo", ((F.col("lo") + F.col("most")) / 2).alias("hi")).where("hi > lo")
     state = F.last(F.when(F.col("value") >= F.col("hi"), 1).when(F.col("value") <= F.col("lo"), 0), ignorenulls=True).over(_w(by))
