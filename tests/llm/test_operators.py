@@ -226,6 +226,17 @@ def test_licences(spark):
     assert license_scan.scan(files.where("false")).count() == 0
 
 
+def test_wrapped_notices_and_licence_texts(spark):
+    mit = "MIT License\n\nCopyright (c) 2020 Someone\n\nPermission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software, and to permit persons to whom the Software is\nfurnished to do so, subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all\ncopies or substantial portions of the Software.\n\nTHE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND."
+    bsd = "# Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided that the following conditions are\n# met:\n# some other words"
+    gpl = "prose\n *  This program is free software: you can redistribute it and/or modify\n *  it under the terms of the GNU General Public License as published by\n *  the Free Software Foundation, either version 3 of the License, or\n *  (at your option) any later version.\n *\n *  This program is distributed in the hope that it will be useful,\n *  but WITHOUT ANY WARRANTY; without even the implied warranty of\n *  MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the\n *  GNU General Public License for more details.\nint main"
+    rows = [("LICENSE", mit, True), ("a.py", "# SPDX-License-Identifier: MPL-2.0\nx = 1", False), ("b.py", "import os", False), ("c/COPYING", "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/>\n Everyone is permitted to copy and distribute verbatim copies\n of this license document, but changing it is not allowed.\n\n Preamble", True), ("c/d.py", bsd, False), ("c/e.py", gpl, False), ("c/f.py", "some free prose of the software we use", False)]
+    rows += [(f"p/{i}", "\n".join(f"the words of line {i} and {k} in a text with no notice" for k in range(20)), False) for i in range(30)]
+    got = {r.path: (r.license, r.origin) for r in license_scan.scan(spark.createDataFrame(rows, "path string, text string, is_license_file boolean")).collect()}
+    want = {"LICENSE": ("MIT", "header"), "a.py": ("MPL-2.0", "header"), "b.py": ("MIT", ""), "c/COPYING": ("GPL-3.0", "header"), "c/d.py": ("BSD-3-Clause", "header"), "c/e.py": ("GPL-3.0", "header"), "c/f.py": ("GPL-3.0", "c")}
+    assert {k: got[k] for k in want} == want and all(got[f"p/{i}"] == ("MIT", "") for i in range(30))
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
