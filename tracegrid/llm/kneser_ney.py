@@ -1,36 +1,42 @@
 """Quality classifier: perplexity under an interpolated modified Kneser-Ney model.
 
 The model is over the UTF-8 bytes of trusted text (labelled of quality and not toxic), of order
-5. Tasks count the byte 5-grams of whole texts and pre-aggregate them; all else about the model
+5: bytes need no word list, so no language has unknown words. Tasks count the byte 5-grams of whole texts and pre-aggregate them; all else about the model
 is Spark joins and sums of count tables: continuation counts, discounts from counts of counts,
 history totals, and, order by order, the probability of every 5-gram that any document has.
-These are dealt into shards of at most shard_grams entries (a fixed bound, so a shard may be
-broadcast however large the table gets); each shard gives every document a partial sum, and the
-sums add up to its perplexity. A document is kept if that is at most the quantile of the
-held-out trusted documents of its language.
 
-Four fifths of the trusted documents (by a hash of the id) train the model, the others set the
-thresholds, so that these don't profit from having been seen.
+Documents are scored in one more pass, whatever the model's size. The head_grams (a fixed bound)
+5-grams that the corpus has most often go to all tasks, which sum what they can of each document
+and emit its other 5-grams, counted, as rows. These are joined with the table of probabilities and
+summed by document. As the head has the frequent ones, none of the joined 5-grams has more than about
+a head_grams-th of all rows, so the join has no hot key.
+
+A document is kept if its perplexity is at most the quantile of the held-out trusted documents of
+its language. Four fifths of the trusted documents (by a hash of the id) train the model, the
+others set the thresholds, so that these don't profit from having been seen.
 
 Defined cases: null and empty texts have one event, their end; null languages count as one
 language; a language without held-out documents takes the quantile of all; without trusted text
-every byte has the same probability and everything is kept; repeated rows are judged alike;
-rows without an id are judged but never trusted; an empty table gives an empty result.
+every byte has the same probability and everything is kept; repeated rows are judged alike, each for itself;
+rows without an id are judged but never trusted; an empty table gives an empty result; other columns aren't
+read, and the stage keeps them whatever their names.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .workspace import materialize, table
+from .workspace import finished, kept_by, materialize, table
 
 ORDER = 5
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
+#: Log probabilities are kept as multiples of 1 / UNIT.
+UNIT = 1 << 24
 
 
 def windows(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -66,20 +72,22 @@ def trusted(labels: DataFrame) -> DataFrame:
 
 
 def count_grams(docs: DataFrame, good: DataFrame) -> DataFrame:
-    """g and c (its count in training text, 0 if it occurs elsewhere only) of every 5-gram of the documents."""
+    """g, n (its count in all texts) and c (that in training text, 0 if it occurs elsewhere only) of every 5-gram of the documents."""
     train = good.where("not held_out").select("doc_id", F.lit(True).alias("_train"))
     marked = docs.select("doc_id", "text").join(train, "doc_id", "left").select("text", F.coalesce("_train", F.lit(False)).alias("t"))
 
     def run(batches):
+        kept_by("kneser_ney")
         for part, texts in _pieces(batches, 0):
             flags = part.column(1).to_pylist()
             for flag in (True, False):
                 chosen = [t for t, f in zip(texts, flags) if f == flag]
                 if chosen:
-                    g, c = np.unique(windows(chosen)[0], return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(c.astype(np.int64) if flag else np.zeros(len(g), np.int64))], ["g", "c"])
+                    g, n = np.unique(windows(chosen)[0], return_counts=True)
+                    n = n.astype(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(n), pa.array(n if flag else np.zeros(len(g), np.int64))], ["g", "n", "c"])
 
-    return marked.mapInArrow(run, "g long, c long").groupBy("g").agg(F.sum("c").alias("c"))
+    return marked.mapInArrow(run, "g long, n long, c long").groupBy("g").agg(F.sum("n").alias("n"), F.sum("c").alias("c"))
 
 
 def discounts(counts: DataFrame) -> list[float]:
@@ -118,64 +126,91 @@ def probabilities(grams: DataFrame) -> DataFrame:
     return below.select(F.col("s").alias("g"), F.log("q").alias("lp"))
 
 
-def score(docs: DataFrame, lps: DataFrame, *, shard_grams: int = 4_000_000) -> DataFrame:
+def head_of(grams: DataFrame, head_grams: int) -> DataFrame:
+    """g of the most frequent 5-grams, at most head_grams: those above a count taken from the histogram of the counts' logarithms."""
+    level = F.floor(F.log2("n") * 64)
+    rows = sorted(((r.level, r["count"]) for r in grams.groupBy(level.alias("level")).count().collect()), reverse=True)
+    least, have = float("inf"), 0
+    for at, count in rows:
+        if have + count > head_grams:
+            break
+        least, have = at, have + count
+    return grams.where(level >= F.lit(float(least))).select("g")
+
+
+def score(docs: DataFrame, grams: DataFrame, lps: DataFrame, *, head_grams: int = 1 << 19) -> DataFrame:
     """doc_id, lang, text_key (hash of the text), events and lp of every row."""
     spark = docs.sparkSession
-    lps = materialize(lps, "kn-log-probabilities")
-    shards = max(1, math.ceil(lps.count() / (0.9 * shard_grams)))
-
-    def partial(shard: int) -> DataFrame:
-        got = lps.where(F.pmod(F.xxhash64("g"), F.lit(shards)) == shard).toArrow().combine_chunks()
-        keys, values = got.column("g").to_numpy(), got.column("lp").to_numpy()
-        order = np.argsort(keys)
-        table = spark.sparkContext.broadcast((keys[order], values[order]))
-
-        def run(batches):
-            known, value = table.value
-            for part, texts in _pieces(batches, 3):
-                keys, starts = windows(texts)
-                if len(known):
-                    at = np.searchsorted(known, keys)
-                    at[at == len(known)] = 0
-                    each = np.where(known[at] == keys, value[at], 0.0)
-                else:
-                    each = np.zeros(len(keys))
-                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array([len(t) + 1 for t in texts], pa.int64()), pa.array(np.add.reduceat(each, starts))], ["doc_id", "lang", "text_key", "events", "lp"])
-
-        kind = docs.schema["doc_id"].dataType.simpleString()
-        return docs.select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), F.xxhash64("text").alias("text_key"), "text").mapInArrow(run, f"doc_id {kind}, lang string, text_key long, events long, lp double")
-
-    if shards == 1:
-        return partial(0)
-    parts = materialize(partial(0), "kn-partial")
-    for i in range(1, shards):
-        parts = parts.union(materialize(partial(i), "kn-partial"))
-    copies = F.count("*") / shards  # rows that repeat an id and its text
-    sums = parts.groupBy("doc_id", "lang", "text_key").agg(F.max("events").alias("events"), (F.sum("lp") / copies).alias("lp"), copies.cast("int").alias("copies"))
-    return sums.select("doc_id", "lang", "text_key", "events", "lp", F.explode(F.sequence(F.lit(1), "copies")).alias("_copy")).drop("_copy")
-
-
-def classify(docs: DataFrame, labels: DataFrame, *, quantile: float = 0.995, slack: float = 1.05, **sharding) -> DataFrame:
-    """doc_id, lang, events, perplexity (for each byte), threshold and kept of every row.
-
-    slack: the threshold is this many times the quantile, as few held-out documents tell little of a tail."""
-    good = materialize(trusted(labels), "kn-trusted")
-    grams = materialize(count_grams(docs, good), "kn-grams")
-    rows = score(docs, probabilities(grams), **sharding)
-    rows = materialize(rows.withColumn("perplexity", F.exp(-F.col("lp") / F.col("events"))), "kn-scores")
-    held = rows.join(good.where("held_out"), "doc_id")
-    at = F.percentile_approx("perplexity", quantile, 10_000)
-    by_lang = materialize(held.groupBy("lang").agg(at.alias("limit"), F.count("*").alias("n")), "kn-limits")
-    overall = held.agg(at.alias("limit")).first()["limit"]
-    out = rows.join(by_lang.select("lang", "limit"), "lang", "left").withColumn("threshold", F.lit(slack) * F.coalesce("limit", F.lit(overall).cast("double")))
-    return out.select("doc_id", "lang", "text_key", "events", "perplexity", "threshold", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True)).alias("kept"))
+    # Whole numbers, so that sums don't depend on their order and equal rows have equal ones.
+    lps = materialize(lps.select("g", F.rint(F.col("lp") * UNIT).cast("long").alias("lp")), "kn-log-probabilities")
+    got = lps.join(head_of(grams, head_grams), "g", "left_semi").toArrow()
+    keys, values = got.column("g").to_numpy(), got.column("lp").to_numpy()
+    order = np.argsort(keys)
+    head = spark.sparkContext.broadcast((keys[order], values[order]))
+    fields = [("doc_id", docs.schema["doc_id"].dataType), ("lang", T.StringType()), ("text_key", T.LongType()), ("row", T.LongType()), ("events", T.LongType()), ("lp", T.LongType()), ("g", T.LongType()), ("n", T.LongType())]
+    schema = T.StructType([T.StructField(*f) for f in fields])
+
+    def run(batches):
+        kept_by("kneser_ney")
+        known, value = head.value
+        row = TaskContext.get().partitionId() << 40  # a number for each row; a task's rows are committed as a whole
+        for part, texts in _pieces(batches, 3):
+            keys, starts = windows(texts)
+            n = len(texts)
+            found = np.zeros(len(keys), dtype=bool)
+            each = np.zeros(len(keys), dtype=np.int64)
+            if len(known):
+                at = np.searchsorted(known, keys)
+                at[at == len(known)] = 0
+                found = known[at] == keys
+                each = np.where(found, value[at], 0)
+            numbers = np.arange(row, row + n)
+            row += n
+            none = lambda kind, size: pa.nulls(size, kind)
+            yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(numbers), pa.array([len(t) + 1 for t in texts], pa.int64()), pa.array(np.add.reduceat(each, starts)), none(pa.int64(), n), none(pa.int64(), n)], schema.names)
+            left = np.flatnonzero(~found)
+            if len(left):
+                pair = np.empty(len(left), dtype=[("row", np.int64), ("g", np.int64)])
+                pair["row"], pair["g"] = numbers[np.searchsorted(starts, left, side="right") - 1], keys[left]
+                order = np.lexsort((pair["g"], pair["row"]))
+                pair = pair[order]
+                first = np.flatnonzero(np.append(True, pair[1:] != pair[:-1]))
+                count = np.diff(np.append(first, len(pair)))
+                pair = pair[first]
+                m = len(pair)
+                yield pa.RecordBatch.from_arrays([none(part.column(0).type, m), none(part.column(1).type, m), none(pa.int64(), m), pa.array(pair["row"]), none(pa.int64(), m), none(pa.int64(), m), pa.array(pair["g"]), pa.array(count.astype(np.int64))], schema.names)
+
+    given = docs.select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), F.xxhash64("text").alias("text_key"), "text")
+    both = materialize(given.mapInArrow(run, schema), "kn-parts")
+    head.destroy()
+    tail = both.where("g is not null").select("row", "g", "n").join(lps, "g").groupBy("row").agg(F.sum(F.col("n") * F.col("lp")).alias("more"))
+    rows = both.where("g is null").select("doc_id", "lang", "text_key", "row", "events", "lp").join(materialize(tail, "kn-tails"), "row", "left")
+    return rows.select("doc_id", "lang", "text_key", "events", ((F.col("lp") + F.coalesce("more", F.lit(0))) / float(UNIT)).alias("lp"))
+
+
+def classify(docs: DataFrame, labels: DataFrame, *, quantile: float = 0.995, head_grams: int = 1 << 19) -> DataFrame:
+    """doc_id, lang, text_key, events, perplexity (for each byte), threshold and kept of every row."""
+
+    def make() -> DataFrame:
+        good = materialize(trusted(labels), "kn-trusted")
+        grams = materialize(count_grams(docs, good), "kn-grams")
+        rows = score(docs, grams, probabilities(grams), head_grams=head_grams)
+        rows = materialize(rows.withColumn("perplexity", F.exp(-F.col("lp") / F.col("events"))), "kn-scores")
+        held = rows.join(good.where("held_out"), "doc_id")
+        at = F.percentile_approx("perplexity", quantile, 10_000)
+        by_lang = materialize(held.groupBy("lang").agg(at.alias("limit")), "kn-limits")
+        overall = held.agg(at.alias("limit")).first()["limit"]
+        out = rows.join(by_lang, "lang", "left").withColumn("threshold", F.coalesce("limit", F.lit(overall).cast("double")))
+        return out.select("doc_id", "lang", "text_key", "events", "perplexity", "threshold", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True)).alias("kept"))
+
+    return finished(docs.sparkSession, make, "kn-classes")
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that are kept, with their own columns."""
+    """The documents that are kept, with their own columns; a row without an id is judged like any other."""
     gone = materialize(classify(docs, table(spark, sf_dir, "labels")).where("not kept").select("doc_id", "text_key").distinct(), "kn-rejected")
     same = docs["doc_id"].eqNullSafe(gone["doc_id"]) & (F.xxhash64(docs["text"]) == gone["text_key"])
-    return docs.join(gone, same, "left_anti").select(*docs.columns)
+    return docs.join(gone, same, "left_anti")
 
 
 def op9_quality_classifier(spark, sf_dir: str) -> DataFrame:

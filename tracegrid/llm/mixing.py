@@ -2,14 +2,14 @@
 
 A multinomial naive Bayes model over hashed words, trained on labelled rows, gives each whole
 text a posterior over the domains of the labelled table: high, low and toxic. Projected
-gradient steps then fit a rate from 0 to max_rate for every document so that the expected
+gradient steps then fit a nonnegative rate for every document so that the expected
 tokens of each domain meet its target; a step needs one distributed sum of as many numbers as domains.
 
 The gradient is taken in the metric of the inverse token matrix, in which the problem has
-condition 1 as long as few rates are at a bound. What is open after some steps is closed by one
-last step whose length in each domain is exact: the nearest rates within the bounds that meet the
-targets, by Newton's method on the dual, which has as many unknowns as domains. Targets that no
-rates meet get the steps until these move nothing, and a warning with what stays open.
+condition 1 as long as few rates are at their bound. What is open after some steps is closed by
+last steps whose length in each domain is exact: Newton's method on the dual, which has as many unknowns as
+domains, for the rates nearest to those so far, with a weight on what they leave open that grows a thousandfold each time. Targets
+that no rates meet (of a domain that no document has) so get the rates of least squares, and a warning with what stays open.
 
 In a pipeline the filters before may have removed a domain, so the stage moves each domain's share
 towards its target by at most a quarter of the share: mixing weights documents, it isn't a filter.
@@ -17,8 +17,9 @@ The model is fitted on at most about max_labelled
 labelled rows (a documented bound), picked by a hash over all of them.
 
 Defined cases: a null or empty text has no tokens, the prior as posterior and rate 1; rows
-without an id are left out; rows that repeat an id are one document with all their words;
-without labels all domains have the same posterior; an empty table gives an empty result.
+without an id have no rate (the stage keeps each of them once); rows that repeat an id are one document with all their words;
+without labels all domains have the same posterior; labels that don't tell a domain (quality unknown, not toxic) are ignored;
+an empty table gives an empty result; other columns aren't read, and the stage keeps them whatever their names.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .workspace import materialize, table
+from .workspace import finished, fresh, materialize, table
 
 DOMAINS = ("high", "low", "toxic")
 TARGETS = {"high": 0.85, "low": 0.1, "toxic": 0.05}
@@ -49,7 +50,7 @@ def bucket(word: Column, buckets: int) -> Column:
 
 def labelled(labels: DataFrame, max_labelled: int) -> DataFrame:
     """doc_id and domain of at most 2 * max_labelled rows."""
-    rows = labels.where("doc_id is not null and (quality is not null or toxic is not null)").groupBy("doc_id").agg(F.min("quality").alias("q"), F.max("toxic").alias("x"))
+    rows = labels.where("doc_id is not null and (quality is not null or toxic = 1)").groupBy("doc_id").agg(F.min("quality").alias("q"), F.max("toxic").alias("x"))
     n = rows.count()
     rows = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.lit(int(1_000_000 * min(1, max_labelled / max(n, 1))))).limit(2 * max_labelled)
     return rows.select("doc_id", F.when(F.col("x") == 1, "toxic").when(F.col("q") == 0, "low").otherwise("high").alias("domain"))
@@ -69,16 +70,15 @@ def train(docs: DataFrame, labels: DataFrame, *, buckets: int = 4096, max_labell
     return weights, unseen, {d: math.log((priors.get(d, 0) + 1) / (n + len(DOMAINS))) for d in DOMAINS}
 
 
-def posteriors(docs: DataFrame, labels: DataFrame, *, buckets: int = 4096, effective_words: int = 60, **training) -> DataFrame:
-    """doc_id, n_tokens and a posterior of each domain; a text's evidence counts as that of effective_words words at most."""
+def posteriors(docs: DataFrame, labels: DataFrame, *, buckets: int = 4096, **training) -> DataFrame:
+    """doc_id, n_tokens and a posterior of each domain, from all words of the text."""
     weights, unseen, prior = train(docs, labels, buckets=buckets, **training)
     each = docs.where("doc_id is not null").select("doc_id", F.explode_outer(words(F.col("text"))).alias("w")).withColumn("b", bucket(F.col("w"), buckets))
     # The right side has one row for each bucket at most, whatever the data.
     found = each.join(F.broadcast(weights), "b", "left")
     has = F.col("w").isNotNull()
     sums = found.groupBy("doc_id").agg(F.count("w").alias("n_tokens"), *(F.sum(F.when(has, F.coalesce(F.col(d), F.lit(unseen[d]))).otherwise(0.0)).alias(d) for d in DOMAINS))
-    scale = F.least(F.lit(1.0), F.lit(float(effective_words)) / F.greatest(F.col("n_tokens"), F.lit(1)))
-    logs = sums.select("doc_id", "n_tokens", *((F.col(d) * scale + F.lit(prior[d])).alias(d) for d in DOMAINS))
+    logs = sums.select("doc_id", "n_tokens", *((F.col(d) + F.lit(prior[d])).alias(d) for d in DOMAINS))
     top = F.greatest(*DOMAINS)
     raised = logs.select("doc_id", "n_tokens", *(F.exp(F.col(d) - top).alias(d) for d in DOMAINS))
     whole = sum((F.col(d) for d in DOMAINS), F.lit(0.0))
@@ -102,9 +102,10 @@ def reachable(targets: dict[str, float], shares: dict[str, float], move: float)
     return {d: x / sum(found.values()) for d, x in found.items()}
 
 
-def fit_rates(members: DataFrame, targets: dict[str, float] = TARGETS, *, max_rate: float = 4.0, steps: int = 60, tolerance: float = 1e-6, ridge: float = 1e-5, restart: int = 10, move: float | None = None) -> DataFrame:
-    """members with rate, from 0 to max_rate: the fitted number of times that each document is to be read.
+def fit_rates(members: DataFrame, targets: dict[str, float] = TARGETS, *, steps: int = 10, tolerance: float = 1e-6, ridge: float = 1e-5, evaluations: int = 60, move: float | None = None) -> DataFrame:
+    """members with rate, 0 or more: the fitted number of times that each document is to be read.
 
+    steps: gradient steps before the exact ones, which fail if they don't end within so many evaluations.
     ridge: share of the matrix's trace that keeps steps small towards domains that hardly any document has.
     move: bounds the targets by the domains' own shares, see reachable."""
     names = list(targets)
@@ -132,7 +133,7 @@ def fit_rates(members: DataFrame, targets: dict[str, float] = TARGETS, *, max_ra
         return F.col("rate") - t * sum((F.col(d) * F.lit(float(x)) for d, x in zip(names, e)), F.lit(0.0))
 
     def clipped(rate: Column) -> Column:
-        return F.least(F.lit(max_rate), F.greatest(F.lit(0.0), rate))
+        return F.greatest(F.lit(0.0), rate)
 
     def with_rate(df: DataFrame, past: list[np.ndarray]) -> DataFrame:
         for e in past:
@@ -146,51 +147,45 @@ def fit_rates(members: DataFrame, targets: dict[str, float] = TARGETS, *, max_ra
     def met(gap: np.ndarray) -> bool:
         return np.abs(gap).sum() <= tolerance * whole
 
-    def moved(df: DataFrame, e: np.ndarray) -> float:
-        """Tokens that a step moves: the projected gradient, which is 0 at the nearest rates alone."""
-        return df.agg(F.sum(t * F.abs(clipped(shifted(e)) - F.col("rate")))).first()[0]
+    def exact(df: DataFrame) -> np.ndarray:
+        """The step from df's rates to the nearest ones of least squares."""
+        unit = np.eye(len(names)) * np.trace(matrix) / len(names)
 
-    def exact(df: DataFrame, evaluations: int = 40) -> np.ndarray | None:
-        """The step from df's rates to the nearest ones that meet the goal; None where there seem to be none."""
-
-        def at(e: np.ndarray):
-            free = (F.col("_z") > 0) & (F.col("_z") < max_rate)
+        def at(e: np.ndarray, soft: float):
             d = df.withColumn("_z", shifted(e)).withColumn("_r", clipped(F.col("_z")))
-            row = d.agg(F.sum((F.col("_r") - F.col("rate")) ** 2).alias("far"), *(F.sum(F.col("_r") * t * F.col(x)).alias(x) for x in names), *(F.sum(F.when(free, t * t * F.col(names[i]) * F.col(names[j]))).alias(f"m{i}_{j}") for i, j in pairs)).first()
+            row = d.agg(F.sum((F.col("_r") - F.col("rate")) ** 2).alias("far"), *(F.sum(F.col("_r") * t * F.col(x)).alias(x) for x in names), *(F.sum(F.when(F.col("_z") > 0, t * t * F.col(names[i]) * F.col(names[j]))).alias(f"m{i}_{j}") for i, j in pairs)).first()
             gap = np.array([row[x] for x in names]) - goal
-            return row["far"] / 2 + e @ gap, gap, square(row)
+            weight = soft * unit
+            return row["far"] / 2 + e @ gap - e @ weight @ e / 2, gap - weight @ e, square(row) + weight, gap
 
         e = np.zeros(len(names))
-        value, gap, curve = at(e)
-        left = evaluations
-        while not met(gap) and left:
-            step, part = np.linalg.solve(curve + 1e-12 * np.trace(matrix) * np.eye(len(names)), gap), 1.0
-            while left:
-                left -= 1
-                new = at(e + part * step)
-                if new[0] >= value + 1e-4 * part * (gap @ step) - 1e-12 * abs(value):
-                    e, (value, gap, curve) = e + part * step, new
-                    break
-                part /= 2
-        return e if met(gap) else None
+        for soft in (1e-3, 1e-6, 1e-9):
+            value, slope, curve, gap = at(e, soft)
+            left = evaluations
+            while not met(slope) and not met(gap):
+                step, part = np.linalg.solve(curve, slope), 1.0
+                while True:
+                    left -= 1
+                    if left < 0:
+                        raise RuntimeError(f"mixing: no fit within {evaluations} evaluations")
+                    new = at(e + part * step, soft)
+                    if new[0] >= value + 1e-4 * part * (slope @ step) - 1e-12 * abs(value):
+                        e, (value, slope, curve, gap) = e + part * step, new
+                        break
+                    part /= 2
+            if met(gap):
+                break
+        return e
 
     past: list[np.ndarray] = []
-    tried = False
-    for _ in range(steps):
-        now = with_rate(members, past)
-        gap = gap_of(now)
-        if met(gap):
-            break
-        if tried and moved(now, metric @ gap) <= tolerance * whole:
-            break
+    gap = gap_of(members)
+    while not met(gap) and len(past) < steps:
         past.append(metric @ gap)
-        if len(past) == restart:
-            members, past = materialize(with_rate(members, past), "mix-rates"), []
-            last = None if tried else exact(members)
-            tried = True
-            if last is not None:
-                return with_rate(members, [last])
-    fitted = with_rate(members, past)
+        gap = gap_of(with_rate(members, past))
+    if met(gap):
+        return with_rate(members, past)
+    members = materialize(with_rate(members, past), "mix-rates")
+    fitted = with_rate(members, [exact(members)])
     gap = gap_of(fitted)
     if not met(gap):
         warnings.warn("mixing: shares that stay open: " + ", ".join(f"{d} {(x + g) / whole:.6f} for {x / whole:.6f}" for d, x, g in zip(names, goal, gap)), stacklevel=2)
@@ -198,15 +193,19 @@ def fit_rates(members: DataFrame, targets: dict[str, float] = TARGETS, *, max_ra
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, *, move: float | None = None, **params) -> DataFrame:
-    return fit_rates(posteriors(docs, labels, **params), targets, move=move)
+    return finished(docs.sparkSession, lambda: fit_rates(posteriors(docs, labels, **params), targets, move=move), "mix-result")
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs with each row as often as its rate says: the whole part, and once more with the probability of the rest (by a hash of the id)."""
+    """docs with each row as often as its rate says: the whole part, and once more with the probability of the rest (by a
+    hash of the id); a row without an id stays once."""
     rates = mix(docs, table(spark, sf_dir, "labels"), move=STAGE_MOVE).select("doc_id", "rate")
     coin = F.pmod(F.xxhash64("doc_id", F.lit("mix")), F.lit(1 << 30)) / float(1 << 30)
-    copies = rates.select("doc_id", F.floor(F.col("rate") + coin).cast("int").alias("_copies")).where("_copies > 0")
-    return docs.join(copies, "doc_id").select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy")).drop("_copy")
+    name, each = fresh(docs, "copies"), fresh(docs, "copy")
+    copies = rates.select("doc_id", F.floor(F.col("rate") + coin).cast("int").alias(name))
+    times = F.coalesce(F.col(name), F.lit(1))
+    joined = docs.join(copies, "doc_id", "left").where(times > 0)
+    return joined.select(*(docs[f"`{c}`"] for c in docs.columns), F.explode(F.sequence(F.lit(1), times)).alias(each)).drop(each)
 
 
 def op5_mixing(spark, sf_dir: str) -> DataFrame:

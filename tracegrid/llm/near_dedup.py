@@ -15,7 +15,8 @@ min_estimate (4 standard deviations) with probability 3e-5; nothing is capped.
 
 Defined cases: null, empty and blank texts have no shingles, link to nothing and are kept; a
 text of fewer words than a shingle is one shingle; rows without an id are left out; texts under
-one id are one document; an empty table gives an empty result.
+one id are one document; an empty table gives an empty result; other columns aren't read, and the
+stage keeps them whatever their names.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .byte_bpe import _slices
-from .workspace import materialize, table
+from .workspace import finished, kept_by, materialize, table
 
 MINIMA, BANDS, ROWS = 768, 24, 4
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -77,9 +78,10 @@ def signatures(docs: DataFrame, n: int) -> DataFrame:
     def run(batches):
         import xxhash
 
+        kept_by("near_dedup")
         with np.errstate(over="ignore"):
             for batch in batches:
-                for part in _slices(batch):
+                for part in _slices(batch, text=1):
                     rows = []
                     for text in part.column(1).to_pylist():
                         s = shingles(text, n)
@@ -104,7 +106,7 @@ def sets(docs: DataFrame, n: int) -> DataFrame:
     def run(batches):
         with np.errstate(over="ignore"):
             for batch in batches:
-                for part in _slices(batch):
+                for part in _slices(batch, text=1):
                     got = [shingles(t, n).astype(np.int64) for t in part.column(1).to_pylist()]
                     ends = np.cumsum([0, *map(len, got)]).astype(np.int32)
                     yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(got) if got else np.empty(0, np.int64)))], ["doc_id", "items"])
@@ -150,7 +152,12 @@ def components(links: DataFrame) -> DataFrame:
             return label
 
 
-def classes(docs: DataFrame, *, n: int = 5, percent: int = 80, min_estimate: float = 0.73, sure: float = 0.86, picks: int = 3) -> DataFrame:
+def classes(docs: DataFrame, **params) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of every row, as a written table; what it was made from is deleted."""
+    return finished(docs.sparkSession, lambda: _classes(docs, **params), "dup-result")
+
+
+def _classes(docs: DataFrame, *, n: int = 5, percent: int = 80, min_estimate: float = 0.73, sure: float = 0.86, picks: int = 3) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row. picks: most turns of step 2; step 3 takes all that they leave."""
     sig = materialize(signatures(docs, n), "dup-signatures")
     groups = materialize(sig.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("doc_id")), "dup-groups")
@@ -222,9 +229,10 @@ def classes(docs: DataFrame, *, n: int = 5, percent: int = 80, min_estimate: flo
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five words, similarity 0.8): the one with the smallest id."""
-    kept = materialize(classes(docs).where("kept").select("doc_id").distinct(), "dup-kept")
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    """One document of each group of near copies (five words, similarity 0.8): the one with the smallest id. Rows
+    without an id stay: nothing tells which of them is which."""
+    gone = materialize(classes(docs).groupBy("doc_id").agg(F.max("kept").alias("kept")).where("not kept").select("doc_id"), "dup-gone")
+    return docs.join(gone, "doc_id", "left_anti").select(*(docs[f"`{c}`"] for c in docs.columns))
 
 
 def op4_near_dedup(spark, sf_dir: str) -> DataFrame:

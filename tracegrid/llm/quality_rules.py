@@ -5,9 +5,10 @@ threshold conjunctions on one part of the labelled statistics, prunes each on th
 the ordered list becomes one Spark conditional expression that judges all rows.
 
 Defined cases: a null or empty text has no words, all statistics 0 and fails the base rules;
-repeated rows are judged alike; an empty table gives an empty result; without labels the list
+repeated rows are judged alike, and rows without an id like any other; an empty table gives an empty result; without labels the list
 is empty and only the base rules act. Null labels and labels of unknown documents are ignored;
-a document labelled twice counts with its lowest quality.
+a document labelled twice counts with its lowest quality; of several texts under a labelled id the one with the
+least hash is learned from. Other columns are kept whatever their names.
 """
 
 from __future__ import annotations
@@ -19,8 +20,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .workspace import materialize, table
+from .byte_bpe import _slices, numbered, with_column
+from .workspace import fresh, table
 
 SYMBOLS = b"#*$%&|<>"
 WHITE = b" \t\n\r\x0b\x0c"
@@ -73,15 +76,18 @@ def statistics(text: str | None) -> tuple:
 def with_statistics(docs: DataFrame, text_col: str = "text", stats_col: str = "_stats") -> DataFrame:
     """docs with all its columns and the struct stats_col; one narrow Arrow pass."""
     kinds = pa.struct([*((c, pa.int64()) for c in COUNTS), *((r, pa.float64()) for r in RATIOS)])
+    fields = [*(T.StructField(c, T.LongType()) for c in COUNTS), *(T.StructField(r, T.DoubleType()) for r in RATIOS)]
+    schema, places = with_column(docs, stats_col, T.StructType(fields))
+    text = docs.columns.index(text_col)
 
     def run(batches):
         for batch in batches:
-            rows = [statistics(x) for x in batch.column(text_col).to_pylist()]
-            cols = [pa.array(c, type=f.type) for c, f in zip(zip(*rows), kinds)] if rows else [pa.array([], type=f.type) for f in kinds]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.StructArray.from_arrays(cols, fields=list(kinds))], [*batch.schema.names, stats_col])
+            for part in _slices(batch, text=text):
+                rows = [statistics(x) for x in part.column(text).to_pylist()]
+                cols = [pa.array(c, type=f.type) for c, f in zip(zip(*rows), kinds)]
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in places), pa.StructArray.from_arrays(cols, fields=list(kinds))], schema.names)
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{fields}, `{stats_col}` struct<{SCHEMA.replace(' ', ':').replace(',:', ',')}>")
+    return numbered(docs).mapInArrow(run, schema)
 
 
 @dataclass(frozen=True)
@@ -151,15 +157,18 @@ def learn(x: dict[str, np.ndarray], bad: np.ndarray, *, min_precision: float = 0
     return rules
 
 
-def fit(stats: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", stats_col: str = "_stats", max_labelled: int = 20_000, **params) -> list[list[Test]]:
-    """Learns from at most about max_labelled labelled rows, picked by a hash of the id over all of them."""
-    lab = labels.where("quality is not null").groupBy(id_col).agg(F.min("quality").alias("_quality"))
-    rows = stats.select(id_col, stats_col).join(lab, id_col).dropDuplicates([id_col])
+def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", max_labelled: int = 20_000, **params) -> list[list[Test]]:
+    """Learns from at most about max_labelled labelled rows (a documented bound), picked by a hash of the id over all of
+    them; statistics are taken of these alone."""
+    lab = labels.where("quality is not null").select(F.col(id_col).alias("id"), "quality").where("id is not null").groupBy("id").agg(F.min("quality").alias("quality"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(lab, "id")
     n = rows.count()
     if n > max_labelled:
-        rows = rows.where(F.pmod(F.xxhash64(id_col), F.lit(1_000_000)) < F.lit(int(1_000_000 * max_labelled / n))).limit(2 * max_labelled)
-    got = rows.select(f"{stats_col}.*", "_quality", id_col).toPandas().sort_values(id_col)
-    return learn({f: got[f].to_numpy(dtype=float) for f in FEATURES}, got["_quality"].to_numpy() == 0, **params)
+        rows = rows.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < F.lit(int(1_000_000 * max_labelled / n))).limit(2 * max_labelled)
+    stats = with_statistics(rows, stats_col="stats").select("id", "quality", F.xxhash64("text").alias("h"), "stats")
+    one = stats.groupBy("id", "quality").agg(F.min_by("stats", "h").alias("stats"))
+    got = one.select("stats.*", "quality", "id").toPandas().sort_values("id")
+    return learn({f: got[f].to_numpy(dtype=float) for f in FEATURES}, got["quality"].to_numpy() == 0, **params)
 
 
 def base_failed(stats: Column) -> Column:
@@ -179,19 +188,19 @@ def decision(rules: list[list[Test]], stats: Column) -> Column:
 
 def judge(docs: DataFrame, labels: DataFrame, *, stats_col: str = "_stats", **params) -> DataFrame:
     """doc_id, statistics, base_failed, rule (of the learned list, else null) and kept of each row."""
-    stats = materialize(with_statistics(docs.select("doc_id", "text"), stats_col=stats_col).select("doc_id", stats_col), "rule-stats")
-    rules = fit(stats, labels, stats_col=stats_col, **params)
+    rules = fit(docs, labels, **params)
     s = F.col(stats_col)
-    return stats.select("doc_id", s, base_failed(s).alias("base_failed"), decision(rules, s).alias("rule")).withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull())
+    judged = with_statistics(docs.select("doc_id", "text"), stats_col=stats_col).select("doc_id", s, base_failed(s).alias("base_failed"), decision(rules, s).alias("rule"))
+    return judged.withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull())
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that neither base rules nor the learned list reject, with their own columns."""
-    names = docs.columns
-    stats = materialize(with_statistics(docs.select("doc_id", "text")).select("doc_id", "_stats"), "rule-stats")
-    rules = fit(stats, table(spark, sf_dir, "labels"))
-    s = F.col("_stats")
-    return with_statistics(docs).where(~base_failed(s) & decision(rules, s).isNull()).select(*names)
+    rules = fit(docs, table(spark, sf_dir, "labels"))
+    name = fresh(docs, "stats")
+    marked = with_statistics(docs, stats_col=name)
+    s = F.col(name)
+    return marked.where(~base_failed(s) & decision(rules, s).isNull()).drop(name)
 
 
 def op10_quality_rules(spark, sf_dir: str) -> DataFrame:

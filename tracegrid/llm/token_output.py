@@ -7,19 +7,22 @@ under the same hash. One document is read by pruning blocks on first_id and last
 decompressing its frame alone.
 
 The dictionary is trained on the serialized ids of at most about dict_docs documents (a
-documented bound: the trainer takes no more), picked by a hash over all of them.
+documented bound: the trainer takes no more), picked by a hash over all of them. The trainer
+refuses very few or very uniform samples; then their bytes themselves are the dictionary, as
+zstandard takes any bytes for one, so the format is the same at every size.
+
+Ids are stored in as many bytes as the tokenizer file's largest id needs: 2, or else 4.
 
 Defined cases: null is an empty text and gives the end id alone; null ids sort first and keep
 their rows; rows that repeat an id stand in the order of their text's hash; an empty table
-gives empty files; where too little is there to train on, the dictionary is empty.
+gives empty files; columns other than doc_id and text aren't read. Names of special tokens in a text
+are those tokens, as in a plain call of the library; special_as_text makes them ordinary text.
 """
 
 from __future__ import annotations
 
 import hashlib
 import os
-import re
-from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -27,11 +30,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .byte_bpe import _CUT, _slices
-from .workspace import new_path, table
+from .byte_bpe import _slices, apart, cut_ids, looked_up, segments
+from .workspace import kept_by, new_path, table
 
-CACHE = 600_000
-_ODD = re.compile(r" \s|\s ")
+#: Segments that a worker keeps, and the longest of them: about 80 MB.
+CACHE, CACHE_CHARS = 400_000, 48
 BLOCK_BYTES = 1 << 20
 BLOCKS = "part int, block int, part_start long, dict_sha256 string, width int, first_id long, last_id long, doc_ids array<long>, offsets array<int>, n_tokens array<int>, payload binary"
 
@@ -40,75 +43,77 @@ class Encoder:
     """Ids of whole texts by a file of the tokenizers library.
 
     A space between two non-space characters begins a match of the byte-level pattern whatever
-    stands around, so the text is cut there and each different segment is encoded once."""
+    stands around, so the text is cut there and each different segment is encoded once. New segments
+    that begin with such a space are encoded side by side, as they would stand in a text, and told
+    apart by the lengths of their tokens in bytes."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special_as_text: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
-
-    @staticmethod
-    def segments(text: str) -> list[str]:
-        """Cut before each space between two non-space characters; the quick way holds where no white space meets another."""
-        if "  " in text or "\0" in text or any(f"{w} " in text or f" {w}" in text for w in "\n\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0") or not text.isascii() and _ODD.search(text):
-            return _CUT.split(text)
-        return text.replace(" ", "\0 ").split("\0")
+        self.tokenizer.encode_special_tokens = special_as_text
+        self.owner = f"token_output {path} {special_as_text}"
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.largest = max(vocabulary.values())
+        self.lengths = np.zeros(self.largest + 1, dtype=np.int64)
+        for token, i in vocabulary.items():  # byte-level: a character stands for a byte
+            self.lengths[i] = len(token)
+        for i, token in self.tokenizer.get_added_tokens_decoder().items():
+            self.lengths[i] = len(token.content.encode())
+
+    def fresh(self, new: list[str], side: int = 64) -> dict[str, bytes]:
+        row, rest = apart(new)
+        parts = [row[k : k + side] for k in range(0, len(row), side)] + [[x] for x in rest]
+        out = {}
+        for part, e in zip(parts, self.tokenizer.encode_batch_fast(["".join(p) for p in parts], add_special_tokens=False)):
+            ids = np.array(e.ids, dtype="<u4")
+            out.update(zip(part, cut_ids(part, ids, self.lengths) if len(part) > 1 else [ids.tobytes()]))
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit bytes. The first CACHE different segments are kept; the frequent ones come early."""
-        parts = [self.segments(t) for t in texts]
-        found = [list(map(self.known.get, p)) for p in parts]
-        gaps = [(p, f) for p, f in zip(parts, found) if None in f]
-        new = list({s for p, f in gaps for s, v in zip(p, f) if v is None})
-        fresh = {s: array("I", e.ids).tobytes() for s, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False))}
-        for p, f in gaps:
-            f[:] = [fresh[s] if v is None else v for s, v in zip(p, f)]
-        if len(self.known) < CACHE:
-            self.known.update(fresh)
-        return list(map(b"".join, found))
+        return looked_up([segments(t) if t else [] for t in texts], kept_by(self.owner), self.fresh, CACHE, CACHE_CHARS)
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, bool], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+def encoder(path: str, special_as_text: bool = False) -> Encoder:
+    if (path, special_as_text) not in _encoders:
+        _encoders[path, special_as_text] = Encoder(path, special_as_text)
+    return _encoders[path, special_as_text]
 
 
 def _narrow(ids: bytes, end_id: int, width: int) -> bytes:
-    return np.append(np.frombuffer(ids, dtype="<u4"), end_id).astype(f"<u{width}").tobytes()
+    return np.append(np.frombuffer(ids, dtype="<u4"), np.uint32(end_id)).astype(f"<u{width}").tobytes()
 
 
-def train(docs: DataFrame, tokenizer: str, end_id: int, width: int, dict_docs: int = 2000, dict_bytes: int = 1 << 16) -> bytes:
-    """A zstandard dictionary; empty where the trainer finds too little."""
+def train(docs: DataFrame, tokenizer: str, end_id: int, width: int, special_as_text: bool = False, dict_docs: int = 2000, dict_bytes: int = 1 << 16) -> bytes:
+    """A zstandard dictionary of the sampled documents; their own bytes where the trainer refuses them."""
     import zstandard
 
     n = docs.count()
 
     def run(batches):
-        enc = encoder(tokenizer)
+        enc = encoder(tokenizer, special_as_text)
         for batch in batches:
-            for part in _slices(batch):
+            for part in _slices(batch, text=0):
                 yield pa.RecordBatch.from_arrays([pa.array([_narrow(x, end_id, width) for x in enc.encode([t or "" for t in part.column(0).to_pylist()])], pa.binary())], ["ids"])
 
     some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.lit(int(1_000_000 * min(1, dict_docs / max(n, 1))))).select("text").limit(2 * dict_docs)
     samples = sorted(bytes(r.ids) for r in some.mapInArrow(run, "ids binary").toLocalIterator())
     try:
-        return zstandard.train_dictionary(dict_bytes, samples).as_bytes() if len(samples) >= 8 else b""
-    except zstandard.ZstdError:
-        return b""
+        return zstandard.train_dictionary(dict_bytes, samples).as_bytes()
+    except (zstandard.ZstdError, ValueError):
+        return (b"".join(samples) or bytes(8))[-dict_bytes:].ljust(8, b"\0")
 
 
-def write(docs: DataFrame, path: str, tokenizer: str, *, end_id: int = 0, level: int = 1, vocabulary: int = 50_257, **training) -> None:
+def write(docs: DataFrame, path: str, tokenizer: str, *, end_id: int = 0, level: int = 3, special_as_text: bool = False, **training) -> None:
     """Writes path/blocks and path/dictionary."""
-    spark, width = docs.sparkSession, 2 if vocabulary <= 1 << 16 else 4
+    spark, width = docs.sparkSession, 2 if max(encoder(tokenizer, special_as_text).largest, end_id) < 1 << 16 else 4
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    raw = train(docs, tokenizer, end_id, width, **training)
+    raw = train(docs, tokenizer, end_id, width, special_as_text, **training)
     sha = hashlib.sha256(raw).hexdigest()
     spark.createDataFrame([(sha, bytearray(raw))], "dict_sha256 string, dictionary binary").coalesce(1).write.parquet(f"{path}/dictionary")
     ordered = docs.withColumn("_h", F.xxhash64("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "_h").select("doc_id", "text", F.spark_partition_id().alias("part"))
@@ -116,8 +121,8 @@ def write(docs: DataFrame, path: str, tokenizer: str, *, end_id: int = 0, level:
     def run(batches):
         import zstandard
 
-        enc = encoder(tokenizer)
-        squeeze = zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(raw)) if raw else zstandard.ZstdCompressor(level=level)
+        enc = encoder(tokenizer, special_as_text)
+        squeeze = zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(raw))
         part = block = start = total = 0
         ids, offsets, counts, frames, size = [], [], [], [], 0
         names = [x.split()[0] for x in BLOCKS.split(", ")]
@@ -128,7 +133,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, *, end_id: int = 0, level:
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], names)
 
         for batch in batches:
-            for piece in _slices(batch):
+            for piece in _slices(batch, text=1):
                 part = piece.column(2)[0].as_py()
                 for i, x in zip(piece.column(0).to_pylist(), enc.encode([t or "" for t in piece.column(1).to_pylist()])):
                     frame = squeeze.compress(_narrow(x, end_id, width))
@@ -152,7 +157,7 @@ def _frames(df: DataFrame, raw: bytes, out: str, only: list[int] | None = None)
     def run(batches):
         import zstandard
 
-        loose = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(raw)) if raw else zstandard.ZstdDecompressor()
+        loose = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(raw))
         for batch in batches:
             for b in batch.to_pylist():
                 at, rows = b["start"], []

@@ -1,12 +1,18 @@
 """URL filters: written host and path rules first, mined association rules for the rest.
 
 FP-growth mines token combinations of the URLs of labelled pages together with the item of the
-label; rules with the blocking item as consequent that keep support and confidence are posted
-under their rarest token. A page meets a rule by that token and is checked for the others.
-
-Defined cases: a null url or one without "://" has empty host and path, fits no rule and has
-no tokens; null labels and labels of unknown pages are ignored; a page labelled twice is
-blocked if any label blocks; repeated rows are judged alike; no labels, no mined rules.
+label. Tokens that occur in exactly the same pages (equal counts and equal sums of two hashes of
+the page) are one item, so a group of copies of a long URL is one combination and not all
+subsets of its tokens. A combination is a rule where it has the support with the label's item and its
+confidence is at least min_lift times the share of blocked pages and at least min_errors standard
+errors above it: what counts as a high confidence depends on how common blocked pages are. A rule
+is dropped where a shorter one of its tokens is as sure. Rules are posted under their rarest token;
+a page meets a rule by that token and is checked for the others.
+
+Defined cases: a null url or one without "://" has empty host and path and fits no written rule (its
+tokens may meet mined ones); null labels and labels of unknown pages are ignored; a page labelled twice is
+blocked if any label blocks; repeated rows are judged alike, and rows without an id like any other; without
+labels, or without a combination of the support, there are no mined rules; other columns aren't read.
 """
 
 from __future__ import annotations
@@ -45,19 +51,47 @@ def tokens(url: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(F.coalesce(url, F.lit(""))), "[^\\p{L}\\p{N}]+"), lambda t: t != ""))
 
 
-def mine(pages: DataFrame, labels: DataFrame, *, min_support: float = 0.01, min_count: int = 20, min_confidence: float = 0.6) -> DataFrame:
-    """post (a rule's rarest token), antecedent and confidence of each kept blocking rule."""
-    lab = labels.where("doc_id is not null").groupBy(F.col("doc_id").alias("page_id")).agg(F.max((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad")).where("bad is not null")
-    seen = pages.select("page_id", tokens(F.col("url")).alias("t")).where(F.size("t") > 0).join(lab, "page_id")
-    items = materialize(seen.select(F.when(F.col("bad"), F.array_append("t", F.lit(BLOCK))).otherwise(F.col("t")).alias("items")), "url-items")
-    n = items.count()
-    if not n:
-        return pages.sparkSession.createDataFrame([], "post string, antecedent array<string>, confidence double")
-    model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(min_support, min_count / n)), minConfidence=min_confidence).fit(items)
-    single = model.freqItemsets.where(F.size("items") == 1).select(F.col("items")[0].alias("token"), "freq")
-    rules = model.associationRules.where(F.col("consequent") == F.array(F.lit(BLOCK))).select("antecedent", "confidence")
-    post = rules.select("antecedent", "confidence", F.explode("antecedent").alias("token")).join(single, "token").groupBy("antecedent", "confidence").agg(F.min_by("token", F.struct("freq", "token")).alias("post"))
-    return materialize(post.select("post", "antecedent", "confidence"), "url-rules")
+def transactions(pages: DataFrame, labels: DataFrame) -> DataFrame:
+    """id, t (its tokens) and bad of the labelled pages that have tokens."""
+    bad = (F.col("quality") == 0) | (F.col("toxic") == 1)
+    lab = labels.where("doc_id is not null").groupBy(F.col("doc_id").alias("id")).agg(F.max(bad).alias("bad")).where("bad is not null")
+    return pages.select(F.col("page_id").alias("id"), tokens(F.col("url")).alias("t")).where(F.size("t") > 0).join(lab, "id")
+
+
+def mine(pages: DataFrame, labels: DataFrame, *, min_support: float = 0.01, min_pages: int = 5, min_lift: float = 1.1, min_errors: float = 1.0) -> DataFrame:
+    """post (a rule's rarest token), antecedent, support and confidence of each kept blocking rule. min_pages: blocked
+    pages that a rule needs at least, however few are labelled, so that no single page makes one."""
+    none = pages.sparkSession.createDataFrame([], "post string, antecedent array<string>, support double, confidence double")
+    seen = materialize(transactions(pages, labels), "url-transactions")
+    whole = seen.agg(F.count("*").alias("n"), F.avg(F.col("bad").cast("double")).alias("share")).first()
+    if not whole.n or not whole.share:
+        return none
+    support = max(min_support * whole.n, min_pages)
+    each = seen.select(F.xxhash64("id", "t").alias("x"), F.hash("id", "t").cast("long").alias("y"), F.explode("t").alias("token"))
+    known = each.groupBy("token").agg(F.count("*").alias("freq"), F.sum(F.shiftright("x", 20)).alias("x"), F.sum("y").alias("y")).where(F.col("freq") >= support)
+    # Tokens of the same pages: at most 1 / min_support different ones in a page, whatever the size of the tables.
+    same = materialize(known.groupBy("freq", "x", "y").agg(F.array_sort(F.collect_list("token")).alias("tokens")).select("freq", "tokens", F.col("tokens")[0].alias("item")), "url-items")
+    rows = seen.withColumn("row", F.monotonically_increasing_id()).select("row", "bad", F.explode("t").alias("item")).join(same.select("item"), "item")
+    marked = F.when(F.first("bad"), F.array_append(F.collect_set("item"), F.lit(BLOCK))).otherwise(F.collect_set("item"))
+    items = materialize(rows.groupBy("row").agg(marked.alias("items")).select("items"), "url-baskets")
+    if items.isEmpty():
+        return none
+    total = items.count()
+    sets = FPGrowth(itemsCol="items", minSupport=min(1.0, support / total)).fit(items).freqItemsets
+    sets = materialize(sets.select(F.array_sort("items").alias("items"), "freq"), "url-itemsets")
+    both = sets.where(F.array_contains("items", BLOCK)).select(F.array_remove("items", BLOCK).alias("items"), F.col("freq").alias("hits")).where((F.size("items") > 0) & (F.col("hits") >= support))
+    rated = both.join(sets.where(~F.array_contains("items", BLOCK)), "items").withColumn("confidence", F.col("hits") / F.col("freq"))
+    least = F.lit(whole.share) + F.greatest(F.lit((min_lift - 1) * whole.share), min_errors * F.sqrt(F.lit(whole.share * (1 - whole.share)) / F.col("freq")))
+    rated = materialize(rated.where(F.col("confidence") >= least).select("items", "freq", "confidence"), "url-rated")
+    rules = rated.select(F.monotonically_increasing_id().alias("rule"), "items", "freq", "confidence")
+    rules = materialize(rules, "url-rules")
+    parts = rules.select("rule", "confidence", F.size("items").alias("n"), F.explode("items").alias("item"))
+    # A shorter rule meets the longer ones by its items; it is inside those where all of them meet.
+    short, long = parts.select(F.col("rule").alias("s"), F.col("n").alias("sn"), F.col("confidence").alias("sc"), "item"), parts.select(F.col("rule").alias("l"), F.col("n").alias("ln"), F.col("confidence").alias("lc"), "item")
+    inside = short.join(long, "item").where("sn < ln and sc >= lc").groupBy("s", "sn", "l").count().where("count = sn").select(F.col("l").alias("rule")).distinct()
+    best = rules.join(inside, "rule", "left_anti").select("rule", "freq", "confidence", F.explode("items").alias("item")).join(same.withColumnRenamed("freq", "item_freq"), "item")
+    kept = best.groupBy("rule", "freq", "confidence").agg(F.array_sort(F.flatten(F.collect_list("tokens"))).alias("antecedent"), F.min_by("item", F.struct("item_freq", "item")).alias("post"))
+    return materialize(kept.select("post", "antecedent", (F.col("freq") * F.col("confidence") / whole.n).alias("support"), "confidence"), "url-rules")
 
 
 def judge(pages: DataFrame, labels: DataFrame, rules=RULES, **mining) -> DataFrame:
@@ -66,10 +100,11 @@ def judge(pages: DataFrame, labels: DataFrame, rules=RULES, **mining) -> DataFra
     rows = pages.select("page_id", "url", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"))
     name, verdict = rule_for(rules, F.col("host"), F.col("path"))
     rows = rows.withColumns({"rule": name, "_verdict": verdict})
-    met = rows.where("_verdict is null and page_id is not null").select("page_id", "url", tokens(F.col("url")).alias("t"))
+    # By the text of the url: each different one is judged once, and a page needs no id.
+    met = rows.where("_verdict is null and url is not null").select("url").distinct().select("url", tokens(F.col("url")).alias("t"))
     met = met.select("*", F.explode("t").alias("post")).join(index, "post").where(F.size(F.array_except("antecedent", "t")) == 0)
-    fired = met.groupBy("page_id", "url").agg(F.max("confidence").alias("confidence"))
-    out = rows.join(fired, ["page_id", "url"], "left")
+    fired = met.groupBy("url").agg(F.max("confidence").alias("confidence"))
+    out = rows.join(fired, "url", "left").withColumn("confidence", F.when(F.col("_verdict").isNull(), F.col("confidence")))
     mined = F.when(F.col("confidence").isNotNull(), "block").otherwise("allow")
     return out.select("page_id", "host", "path", "rule", F.coalesce("_verdict", mined).alias("verdict"), "confidence")
 

@@ -7,9 +7,10 @@ candidates that the chain reaches, so a magic line inside a payload is never tak
 record: its piece is given back to the record around it.
 
 Defined cases: null html is an empty payload; of equal payloads the one with the largest page
-id is the response; rows without an id can't be named and are left out; each row is
+id is the response; a row without an id gets a record named null, which revisits a named page of equal payload
+where there is one; each row is
 a record of its own, and rows that repeat an id and its html are alike; an empty table gives an
-empty result. Bytes that no record covers are left out.
+empty result; other columns aren't read. Bytes that no record covers are left out.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from .workspace import materialize, new_path, table
 
 MAGIC = "WARC/1.0\r\n"
 TAIL = "\r\n\r\n"
+#: Fixed value of the format: a revisit of an identical payload.
+PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 
 
 def base32_sha1(payload) -> F.Column:
@@ -37,27 +40,30 @@ def base32_sha1(payload) -> F.Column:
 def revisits(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """page_id, sha1 and keeper (the response's id) of the rows that revisit another page."""
     body = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    keyed = pages.where("page_id is not null").select("page_id", F.sha1(body).alias("sha1"), F.octet_length(body).cast("long").alias("size")).where(F.col("size") >= min_bytes)
+    keyed = pages.select("page_id", F.sha1(body).alias("sha1"), F.octet_length(body).cast("long").alias("size")).where(F.col("size") >= min_bytes)
     keyed = materialize(keyed, "warc-keys")
-    best = materialize(keyed.groupBy("sha1").agg(F.max("page_id").alias("keeper"), F.min("page_id").alias("least")).where("least < keeper").drop("least"), "warc-best")
+    several = (F.col("least") < F.col("keeper")) | (F.col("named") < F.col("all"))
+    best = keyed.groupBy("sha1").agg(F.max("page_id").alias("keeper"), F.min("page_id").alias("least"), F.count("page_id").alias("named"), F.count("*").alias("all")).where(several)
+    best = materialize(best.where("keeper is not null").select("sha1", "keeper"), "warc-best")
     # Both sides are plain scans here, so that the adaptive skew join may split a hot digest.
-    joined = keyed.join(best, "sha1").where("page_id != keeper")
+    joined = keyed.join(best, "sha1").where("page_id is null or page_id != keeper")
     return materialize(joined.select("page_id", "sha1", "keeper").distinct(), "warc-revisits")
 
 
-def write(pages: DataFrame, path: str, min_bytes: int = 0, records_per_file: int = 10_000) -> None:
-    """One record for each page: a response with its payload, or a revisit that refers to it."""
-    rows = pages.where("page_id is not null").select("page_id", "url", "html", F.sha1(F.coalesce(F.col("html"), F.lit("")).cast("binary")).alias("sha1"))
-    rows = rows.join(revisits(pages, min_bytes), ["page_id", "sha1"], "left")
+def write(pages: DataFrame, path: str, min_bytes: int = 0, records_per_file: int = 10_000, date: str = "1970-01-01T00:00:00Z") -> None:
+    """One record for each page: a response with its payload, or a revisit that refers to it. date: the records' WARC-Date."""
+    rows = pages.select("page_id", "url", "html", F.sha1(F.coalesce(F.col("html"), F.lit("")).cast("binary")).alias("sha1"))
+    again = revisits(pages, min_bytes).select(F.col("page_id").alias("_id"), F.col("sha1").alias("_sha1"), "keeper")
+    rows = rows.join(again, F.col("page_id").eqNullSafe(F.col("_id")) & (F.col("sha1") == F.col("_sha1")), "left")
     body = F.coalesce(F.col("html"), F.lit(""))
     revisit = F.col("keeper").isNotNull()
     url = F.regexp_replace(F.coalesce("url", F.lit("")), r"[\r\n]", "")
     block = F.when(revisit, F.lit("")).otherwise(body)
     record = F.concat(
         F.lit(MAGIC), F.lit("WARC-Type: "), F.when(revisit, "revisit").otherwise("response"),
-        F.lit("\r\nWARC-Record-ID: <urn:page:"), F.col("page_id").cast("string"), F.lit(">\r\nWARC-Target-URI: "), url,
+        F.lit("\r\nWARC-Record-ID: <urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("null")), F.lit(f">\r\nWARC-Date: {date}\r\nContent-Type: text/html; charset=utf-8\r\nWARC-Target-URI: "), url,
         F.lit("\r\nWARC-Payload-Digest: sha1:"), base32_sha1(body.cast("binary")), F.lit("\r\nX-Payload-Bytes: "), F.octet_length(body).cast("string"),
-        F.when(revisit, F.concat(F.lit("\r\nWARC-Refers-To: <urn:page:"), F.col("keeper").cast("string"), F.lit(">"))).otherwise(""),
+        F.when(revisit, F.concat(F.lit(f"\r\nWARC-Profile: {PROFILE}\r\nWARC-Refers-To: <urn:page:"), F.col("keeper").cast("string"), F.lit(">"))).otherwise(""),
         F.lit("\r\nContent-Length: "), F.octet_length(block).cast("string"), F.lit(TAIL), block, F.lit(TAIL[:-1]),
     )
     rows.select(record.alias("value")).write.options(lineSep="\n", compression="gzip", maxRecordsPerFile=records_per_file).text(path)
@@ -168,9 +174,9 @@ def op3_warc(spark, sf_dir: str) -> DataFrame:
     revisit = kind == "revisit"
     checked = F.when(revisit, told).when(own == told, own).otherwise(F.raise_error(F.lit("payload digest differs from the record's header")))
     return got.select(
-        ident("WARC-Record-ID").cast("long").alias("page_id"),
+        ident("WARC-Record-ID").try_cast("long").alias("page_id"),
         F.when(revisit, field("X-Payload-Bytes").cast("long")).otherwise(F.octet_length("payload").cast("long")).alias("payload_bytes"),
         checked.alias("payload_digest"), kind.alias("record_type"),
-        F.when(revisit, ident("WARC-Refers-To").cast("long")).alias("refers_to"),
+        F.when(revisit, ident("WARC-Refers-To").try_cast("long")).alias("refers_to"),
     )
 
