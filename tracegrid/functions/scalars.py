@@ -35,3 +35,19 @@ def channel_name(electrode: Column, nsp: Column) -> Column:
 
 def nan_to_null(c: Column) -> Column:
     return F.nanvl(c, F.lit(None).cast("double"))
+
+
+def region_group(code: Column) -> Column:
+    """The area of a region code, null for none."""
+    return F.when(code.isin(0, 1), "M1i+M1s").when(code == 2, "PMd").when(code == 3, "SMA")
+
+
+def anchor_ms(meta: Column) -> Column:
+    """The anchor in ms from a JSON text: its own field, or else its sample by the rate (30 kHz if that is missing)."""
+    m = F.from_json(meta, "anchor_ms double, anchor_sample double, fs double")
+    return F.coalesce(m["anchor_ms"], m["anchor_sample"] * 1000.0 / F.coalesce(m["fs"], F.lit(30000.0)))
+
+
+def parse_channel_name(c: Column) -> tuple[Column, Column]:
+    """Electrode and NSP channel of a name like UAe001_NSP130."""
+    return tuple(F.regexp_extract(c, rf"{k}(\d+)", 1).try_cast("int") for k in ("UAe", "NSP"))

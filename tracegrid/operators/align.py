@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from . import blocks as B
+
 
 def lookup(df: DataFrame, meta: DataFrame, key: str, value: str, order: str, last: bool = True) -> DataFrame:
     """df with value of the last (or first) metadata row of its key."""
@@ -22,13 +24,16 @@ def peri_event(bins: DataFrame, events: DataFrame, before: int, after: int, by:
 
 
 def window_resampled(bins: DataFrame, events: DataFrame, before: int, after: int, by: str = "session") -> DataFrame:
-    """Windows of before + after + 1 values; those cut off by the recording's ends are stretched to that length by nearest index."""
+    """Windows of before + after + 1 values; those cut off by the recording's ends are stretched to that length by nearest
+    index, and those wholly outside are null."""
     span = bins.groupBy(by).agg(F.min("bin").alias("lo"), F.max("bin").alias("hi"))
-    e = events.join(span, by).select(by, "event_id", F.greatest(F.col("at") - before, "lo").alias("i0"), F.least(F.col("at") + after, "hi").alias("i1")).where("i0 <= i1")
+    e = events.join(span, by).select(by, "event_id", F.greatest(F.col("at") - before, "lo").alias("i0"), F.least(F.col("at") + after, "hi").alias("i1"))
     t = before + after
     need = e.select(by, "event_id", "i0", "i1", F.explode(F.sequence(F.lit(0), F.lit(t))).alias("k"))
-    need = need.select(by, "event_id", (F.col("k") - before).alias("rel_bin"), F.rint(F.col("i0") + (F.col("i1") - F.col("i0")) * F.col("k") / t).cast("long").alias("bin"))
-    return need.join(bins, [by, "bin"]).select(by, "event_id", "trace", "rel_bin", "value")
+    inside = F.when(F.col("i0") <= F.col("i1"), F.rint(F.col("i0") + (F.col("i1") - F.col("i0")) * F.col("k") / t).cast("long"))
+    need = need.select(by, "event_id", (F.col("k") - before).alias("rel_bin"), inside.alias("bin"))
+    lost = need.where("bin is null").join(bins.select(by, "trace").distinct(), by).select(by, "event_id", "trace", "rel_bin", F.lit(None).cast("double").alias("value"))
+    return need.join(bins, [by, "bin"]).select(by, "event_id", "trace", "rel_bin", "value").unionByName(lost)
 
 
 def raster(peaks: DataFrame, events: DataFrame, before: float, after: float, by: str = "session") -> DataFrame:
@@ -39,28 +44,36 @@ def raster(peaks: DataFrame, events: DataFrame, before: float, after: float, by:
     return p.join(e, [by, "bucket"]).withColumn("rel_ms", F.col("t_ms") - F.col("event_t")).where((F.col("rel_ms") >= -before) & (F.col("rel_ms") < after)).select(by, "event_id", "channel", "rel_ms")
 
 
-def asof_next(events: DataFrame, frames: DataFrame, by: str = "session") -> DataFrame:
-    """The first frame at or after each event, and how much later it is; one sort of both sides."""
-    both = events.select(by, "at", "event_id", F.lit(None).cast("long").alias("frame"), F.lit(None).cast("double").alias("frame_t")).unionByName(frames.select(by, F.col("t_ms").alias("at"), F.lit(None).cast("long").alias("event_id"), "frame", F.col("t_ms").alias("frame_t")))
-    w = Window.partitionBy(by).orderBy("at").rangeBetween(Window.currentRow, Window.unboundedFollowing)
-    nxt = both.withColumn("next", F.min(F.when(F.col("frame").isNotNull(), F.struct("frame_t", "frame"))).over(w))
-    return nxt.where("event_id is not null").select(by, "event_id", F.col("next.frame").alias("frame"), (F.col("next.frame_t") - F.col("at")).alias("late_ms"))
+def asof_next(events: DataFrame, frames: DataFrame, by: str = "session", width: float = 3_600_000.0) -> DataFrame:
+    """The first frame at or after each event, and how much later it is. Both sides are sorted together in blocks of width."""
+    both = events.select(by, "at", "event_id", F.lit(None).cast("long").alias("frame")).unionByName(frames.select(by, F.col("t_ms").alias("at"), F.lit(None).cast("long").alias("event_id"), "frame"))
+    nxt = B.known(both, [by], "at", F.when(F.col("frame").isNotNull(), F.struct("at", "frame")), "next", after=True, width=width)
+    return nxt.where("event_id is not null").select(by, "event_id", F.col("next.frame").alias("frame"), (F.col("next.at") - F.col("at")).alias("late_ms"))
+
+
+def merged(intervals: DataFrame, by: list[str], width: float = 3_600_000.0) -> DataFrame:
+    """Intervals (s, e) that meet or overlap as one."""
+    top = B.known(intervals.groupBy(*by, "s").agg(F.max("e").alias("e")), by, "s", F.struct("e"), "reach", width=width)
+    # reach: the largest end up to this start; a new interval begins where the row before reaches less far.
+    d = B.neighbour(top.withColumn("reach", F.col("reach.e")), by, "s", "reach", "past", width=width)
+    d = B.running(d, by, "s", F.coalesce((F.col("s") > F.col("past")).cast("long"), F.lit(1).cast("long")), "run", width=width)
+    return d.groupBy(*by, "run").agg(F.min("s").alias("s"), F.max("e").alias("e")).drop("run")
 
 
 def blank_intervals(samples: DataFrame, intervals: DataFrame, pre: float, post: float, width: float, by: str = "session") -> DataFrame:
-    """samples with value 0 inside an interval widened by pre and post. Intervals name the time buckets
-    that they touch, and a bucket's samples are marked once however many intervals hit them."""
-    iv = intervals.select(by, (F.col("start") - pre).alias("s"), (F.col("end") + post).alias("e"))
+    """samples with value 0 inside an interval widened by pre and post. Intervals that
+    overlap are merged, and name the time buckets that they touch."""
+    iv = merged(intervals.select(by, (F.col("start") - pre).alias("s"), (F.col("end") + post).alias("e")), [by], width)
     iv = iv.select(by, "s", "e", F.explode(F.sequence(F.floor(F.col("s") / width), F.floor(F.col("e") / width))).alias("bucket"))
-    iv = iv.groupBy(by, "bucket").agg(F.collect_set(F.struct("s", "e")).alias("iv"))
-    d = samples.withColumn("bucket", F.floor(F.col("t_ms") / width)).join(iv, [by, "bucket"], "left")
-    hit = F.exists(F.coalesce("iv", F.array().cast("array<struct<s:double,e:double>>")), lambda x: (F.col("t_ms") >= x["s"]) & (F.col("t_ms") <= x["e"]))
-    return d.withColumn("value", F.when(hit, 0.0).otherwise(F.col("value"))).drop("bucket", "iv")
+    d = samples.withColumn("bucket", F.floor(F.col("t_ms") / width))
+    # Merged intervals are apart, so a sample is in one at most and no row is made twice.
+    near = d.join(iv.withColumnRenamed(by, "_by"), (d[by] == F.col("_by")) & (d["bucket"] == iv["bucket"]) & d["t_ms"].between(F.col("s"), F.col("e")), "left")
+    return near.select(*(F.when(F.col("s").isNotNull(), 0.0).otherwise(d["value"]).alias("value") if c == "value" else d[c] for c in samples.columns))
 
 
 def blank_bins(intervals: DataFrame, width: int, by: str = "session") -> DataFrame:
     """Bins that an interval of samples touches, up to the bin after its end."""
-    return intervals.select(by, F.explode(F.sequence(F.floor(F.col("start") / width), F.floor((F.col("end") + width) / width) - 1)).alias("bin")).distinct()
+    return intervals.where(F.col("end") >= F.col("start")).select(by, F.explode(F.sequence(F.floor(F.col("start") / width), F.floor((F.col("end") + width) / width) - 1)).alias("bin")).distinct()
 
 
 def apply_anchor(df: DataFrame, shifts: DataFrame, key: str = "session") -> DataFrame:
@@ -74,11 +87,12 @@ def join_cameras(a: DataFrame, b: DataFrame, key: str = "frame") -> DataFrame:
     return left.join(b.select(key, *(F.col(c).alias(f"cam1_{c}") for c in b.columns if c != key)), key, "full")
 
 
-def frames_to_samples(frames: DataFrame, edges: DataFrame, by: str = "session") -> DataFrame:
-    """The k-th frame has the k-th edge; frames beyond the edges have none."""
+def frames_to_samples(frames: DataFrame, edges: DataFrame, by: str = "session", strict: bool = False) -> DataFrame:
+    """The k-th frame has the k-th edge; frames beyond the edges have none, or are an error if strict."""
     f = frames.withColumn("k", F.row_number().over(Window.partitionBy(by).orderBy("frame")))
     e = edges.select(by, "sample").withColumn("k", F.row_number().over(Window.partitionBy(by).orderBy("sample")))
-    return f.join(e, [by, "k"], "left").drop("k")
+    got = f.join(e, [by, "k"], "left").drop("k")
+    return got.withColumn("sample", F.coalesce("sample", F.raise_error(F.lit("fewer edges than frames")).cast("long"))) if strict else got
 
 
 def mask_and_shift(a: DataFrame, b: DataFrame, masked: DataFrame, k: int, key: str = "session") -> DataFrame:
@@ -131,13 +145,11 @@ def map_intervals(intervals: DataFrame, shifts: DataFrame, key: str = "session")
     return d.where("start >= 0 and end > start").select(*intervals.columns)
 
 
-def resample_linear(df: DataFrame, grid: DataFrame, by: str, at: str = "t") -> DataFrame:
-    """Values at the grid's times, linear between known ones and flat beyond them; one sort of both sides."""
+def resample_linear(df: DataFrame, grid: DataFrame, by: str, at: str = "t", width: float = B.WIDTH) -> DataFrame:
+    """Values at the grid's times, linear between known ones and flat beyond them; both sides are sorted together in blocks of width."""
     both = df.where("value is not null").select(by, at, F.struct(F.col(at).alias("t"), F.col("value").alias("v")).alias("k"), F.lit(False).alias("g"))
     both = both.unionByName(grid.select(by, at, F.lit(True).alias("g")), allowMissingColumns=True)
-    w = Window.partitionBy(by).orderBy(at)
-    upto, onward = w.rangeBetween(Window.unboundedPreceding, Window.currentRow), w.rangeBetween(Window.currentRow, Window.unboundedFollowing)
-    d = both.withColumns({"b": F.max("k").over(upto), "a": F.min("k").over(onward)}).where("g")
+    d = B.known(B.known(both, [by], at, F.col("k"), "b", width=width), [by], at, F.col("k"), "a", after=True, width=width).where("g")
     step = F.col("b.v") + (F.col("a.v") - F.col("b.v")) * (F.col(at) - F.col("b.t")) / (F.col("a.t") - F.col("b.t"))
     value = F.when(F.col("b").isNull(), F.col("a.v")).when(F.col("a").isNull() | (F.col("a.t") == F.col("b.t")), F.col("b.v")).otherwise(step)
     return d.select(by, at, value.alias("value"))
@@ -149,3 +161,42 @@ def align_to_peak(trials: DataFrame, by: list[str], at: str, lo: int, hi: int, b
     peak = trials.groupBy(*by).agg(F.min(inside)["at"].alias("peak"))
     d = trials.join(peak.where("peak is not null"), by).withColumn("rel", F.col(at) - F.col("peak"))
     return d.where(F.col("rel").between(-before, after)).select(*by, "rel", "value")
+
+
+def mask_around(df: DataFrame, events: DataFrame, delay: float, length: float, by: str = "session", at: str = "t_ms") -> DataFrame:
+    """df with value null in the closed windows [s, s + length] and [s + delay, s + delay + length] of each event s."""
+    iv = events.select(F.col(by).alias("_by"), F.explode(F.array(F.col("at"), F.col("at") + delay)).alias("s")).withColumn("e", F.col("s") + length)
+    iv = merged(iv, ["_by"], max(length, 1.0) * 16)
+    iv = iv.withColumn("_k", F.explode(F.sequence(F.floor(F.col("s") / max(length, 1.0)), F.floor(F.col("e") / max(length, 1.0)))))
+    d = df.withColumn("_k2", F.floor(F.col(at) / max(length, 1.0)))
+    hit = d.join(iv, (d[by] == iv["_by"]) & (d["_k2"] == iv["_k"]) & d[at].between(iv["s"], iv["e"]), "left")
+    return hit.select(*(F.when(iv["s"].isNull(), d["value"]).alias("value") if c == "value" else d[c] for c in df.columns))
+
+
+def stitch_spikes(spikes: DataFrame, ranges: DataFrame, width: int = 30) -> DataFrame:
+    """file, unit, channel (the one with most spikes, the first of equals) and the bins of width samples in which the unit fires, of the
+    spikes inside each file's range of samples [first, last]. Ranges name the buckets that they touch."""
+    size = 1 << 16
+    r = ranges.withColumn("_k", F.explode(F.sequence(F.floor(F.col("first") / size), F.floor(F.col("last") / size))))
+    d = spikes.withColumn("_k", F.floor(F.col("sample") / size)).join(r, "_k").where(F.col("sample").between(F.col("first"), F.col("last")))
+    main = d.groupBy("file", "unit", "channel").count().groupBy("file", "unit").agg(F.min_by("channel", F.struct(-F.col("count"), F.col("channel"))).alias("channel"))
+    bins = d.select("file", "unit", F.floor((F.col("sample") - F.col("first")) / width).alias("bin")).distinct()
+    return bins.join(main, ["file", "unit"]).select("file", "unit", "channel", "bin")
+
+
+def behaviour_ms(frames: DataFrame, fps: float, fs: float, by: str = "session") -> DataFrame:
+    """frames (n, t) with ms: t counts samples where it gets above 10 000 or its median step above 10, and frames otherwise; a
+    table with a column ms keeps that."""
+    if "ms" in frames.columns:
+        return frames
+    d = B.neighbour(frames, [by], "n", "t", "_t")
+    rule = d.groupBy(by).agg(((F.max("t") > 10_000) | (F.coalesce(F.median(F.col("t") - F.col("_t")), F.lit(0.0)) > 10)).alias("_s"))
+    return frames.join(rule, by).withColumn("ms", F.when(F.col("_s"), F.col("t") * 1000.0 / fs).otherwise(F.col("t") * 1000.0 / fps)).drop("_s")
+
+
+def joined_segments(peaks: DataFrame, segments: DataFrame, fs: float, by: str = "session") -> DataFrame:
+    """peaks (segment, sample) with their sample in the whole recording and its time in ms; segments: segment, n_samples."""
+    w = Window.partitionBy(by).orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
+    base = segments.withColumn("base", F.coalesce(F.sum("n_samples").over(w), F.lit(0))).select(by, "segment", "base")
+    d = peaks.join(base, [by, "segment"]).withColumn("sample", F.col("sample") + F.col("base"))
+    return d.withColumn("t_ms", to_ms(F.col("sample"), fs)).drop("base")

@@ -11,6 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from . import blocks as B
+from .lineage import written
+
 BY = ("session", "channel")
 
 
@@ -18,7 +21,7 @@ def _w(by=BY) -> Window:
     return Window.partitionBy(*by).orderBy("sample")
 
 
-def rising_edges_hysteresis(df: DataFrame, by=BY, points: int | None = None) -> DataFrame:
+def rising_edges_hysteresis(df: DataFrame, by=BY, points: int | None = None, width: float = B.WIDTH) -> DataFrame:
     """Samples where the state turns on: on at hi and above, off at lo and below, kept between. lo is the middle
     of the range of all samples, or of every (n // points)-th where points are given as in the reference; hi is
     the middle of lo and the top. A constant signal has none."""
@@ -28,36 +31,39 @@ def rising_edges_hysteresis(df: DataFrame, by=BY, points: int | None = None) ->
         sub = df.join(n, list(by)).where(F.col("sample") % F.greatest(F.lit(1), F.floor(F.col("n") / points)) == 0)
     limits = sub.groupBy(*by).agg(F.min("value").alias("least"), F.max("value").alias("most")).select(*by, ((F.col("least") + F.col("most")) / 2).alias("lo"), "most")
     limits = limits.select(*by, "lo", ((F.col("lo") + F.col("most")) / 2).alias("hi")).where("hi > lo")
-    state = F.last(F.when(F.col("value") >= F.col("hi"), 1).when(F.col("value") <= F.col("lo"), 0), ignorenulls=True).over(_w(by))
-    s = df.join(limits, list(by)).withColumn("state", state)
-    return s.withColumn("before", F.lag("state").over(_w(by))).where("state = 1 and coalesce(before, 0) = 0").select(*by, "sample")
+    s = df.join(limits, list(by)).withColumn("state", F.when(F.col("value") >= F.col("hi"), 1).when(F.col("value") <= F.col("lo"), 0)).where("state is not null")
+    return B.neighbour(s, list(by), "sample", "state", "before", width=width).where("state = 1 and coalesce(before, 0) = 0").select(*by, "sample")
 
 
-def edges(df: DataFrame, threshold: float, by=BY, rising: bool = True) -> DataFrame:
+def edges(df: DataFrame, threshold: float, by=BY, rising: bool = True, width: float = B.WIDTH) -> DataFrame:
     """Samples where the signal goes above the threshold (or, falling, to it or below)."""
-    high = (F.col("value") > threshold).cast("int")
-    d = df.where("value is not null").withColumn("high", high).withColumn("before", F.lag("high").over(_w(by)))
-    return d.where(F.col("high") - F.col("before") == (1 if rising else -1)).select(*by, "sample")
+    d = df.where("value is not null").withColumn("high", (F.col("value") > threshold).cast("int"))
+    return B.neighbour(d, list(by), "sample", "high", "before", width=width).where(F.col("high") - F.col("before") == (1 if rising else -1)).select(*by, "sample")
 
 
-def burst_starts(events: DataFrame, gap: float, by=BY, at: str = "t_ms") -> DataFrame:
-    """Events more than gap after the one before, and the first of each key."""
-    w = Window.partitionBy(*by).orderBy(at)
-    return events.withColumn("before", F.lag(at).over(w)).where(F.col("before").isNull() | (F.col(at) - F.col("before") > gap)).select(*by, at)
+def falling_edges(df: DataFrame, refractory: int = 1, by=BY, width: float = B.WIDTH) -> DataFrame:
+    """Falls through the middle of the signal's range, at least refractory after the last kept one. Missing values are taken
+    out first, and samples (counted from 0) are those of what remains."""
+    d = B.running(df.where("value is not null"), list(by), "sample", F.lit(1), "n", width=width).withColumn("sample", F.col("n") - 1)
+    mid = d.groupBy(*by).agg(((F.min("value") + F.max("value")) / 2).alias("mid"))
+    d = d.join(mid, list(by)).withColumn("high", (F.col("value") > F.col("mid")).cast("int"))
+    falls = B.neighbour(d, list(by), "sample", "high", "before", width=width).where("high = 0 and before = 1").select(*by, "sample")
+    falls = written(falls, "falls")
+    return refractory_greedy(falls, refractory, by, "sample", width)
 
 
-def refractory_consecutive(events: DataFrame, gap: float, by=BY, at: str = "t_ms", inclusive: bool = False) -> DataFrame:
-    """Events whose distance to the event before exceeds gap (or reaches it)."""
-    w = Window.partitionBy(*by).orderBy(at)
+def burst_starts(events: DataFrame, gap: float, by=BY, at: str = "t_ms", inclusive: bool = False, width: float = B.WIDTH) -> DataFrame:
+    """Events more than gap (or at least gap) after the one before, and the first of each key."""
     d = F.col(at) - F.col("before")
-    return events.withColumn("before", F.lag(at).over(w)).where(F.col("before").isNull() | ((d >= gap) if inclusive else (d > gap))).select(*by, at)
+    far = (d >= gap) if inclusive else (d > gap)
+    return B.neighbour(events, list(by), at, at, "before", width=width).where(F.col("before").isNull() | far).select(*by, at)
 
 
-def refractory_greedy(events: DataFrame, gap: float, by=BY, at: str = "t_ms") -> DataFrame:
+def refractory_greedy(events: DataFrame, gap: float, by=BY, at: str = "t_ms", width: float = B.WIDTH) -> DataFrame:
     """Events at least gap after the last kept one. Runs in which no neighbours are that far apart
     are independent, so each run is a group of its own."""
-    w = Window.partitionBy(*by).orderBy(at)
-    runs = events.select(*by, at).withColumn("new", F.coalesce((F.col(at) - F.lag(at).over(w) >= gap).cast("int"), F.lit(1))).withColumn("run", F.sum("new").over(w)).drop("new")
+    new = F.coalesce((F.col(at) - F.col("before") >= gap).cast("int"), F.lit(1))
+    runs = B.running(B.neighbour(events.select(*by, at), list(by), at, at, "before", width=width), list(by), at, new, "run", width=width).drop("before")
 
     def thin(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(at, ignore_index=True)
@@ -70,27 +76,45 @@ def refractory_greedy(events: DataFrame, gap: float, by=BY, at: str = "t_ms") ->
     return runs.groupBy(*by, "run").applyInPandas(thin, runs.schema).drop("run")
 
 
-def pulses(df: DataFrame, by=BY) -> DataFrame:
-    """start, end and size of pulses off a zero base: from a sample off zero after one at zero to the next zero."""
-    w = _w(by)
-    ahead = w.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    d = df.withColumn("before", F.lag("value").over(w)).withColumn("end", F.first(F.when(F.col("value") == 0, F.col("sample")), ignorenulls=True).over(ahead))
-    return d.where("value != 0 and before = 0 and end is not null").select(*by, F.col("sample").alias("start"), "end", (F.col("end") - F.col("sample")).alias("size"))
+def first_active(df: DataFrame) -> DataFrame:
+    """The signal of each session's first channel that is ever off zero."""
+    first = df.where("value != 0").groupBy("session").agg(F.min("channel").alias("channel"))
+    return df.join(first, ["session", "channel"], "left_semi")
+
+
+def pulses(df: DataFrame, by=BY, width: float = B.WIDTH) -> DataFrame:
+    """start, end and size of biphasic pulses off a zero base.
 
+    A signal falls and rises twice in a pulse. Each fall's phase ends at the first zero from it on. Starts are every
+    second fall (or rise, where the rises are more), ends the second, fourth and so on of the phase ends; pairs go on
+    as long as both lists do."""
+    d = B.neighbour(df.where("value is not null"), list(by), "sample", "value", "before", width=width)
+    zero = F.when(F.col("value") == 0, F.struct(F.col("sample").alias("s")))
+    d = B.known(d, list(by), "sample", zero, "zero", after=True, width=width).select(*by, "sample", F.signum(F.col("value") - F.col("before")).alias("turn"), F.col("zero.s").alias("end"))
+    d = written(d.where("turn != 0"), "turns")
+    hits = {"falls": F.col("turn") < 0, "rises": F.col("turn") > 0, "ends": (F.col("turn") < 0) & F.col("end").isNotNull()}
+    d = written(B.running(d, list(by), "sample", {n: h.cast("long") for n, h in hits.items()}, width=width), "turns")
+    more = d.groupBy(*by).agg((F.max("rises") > F.max("falls")).alias("more"))
+    d = d.join(more, list(by))
+    starts = d.where(F.when(F.col("more"), F.col("turn") > 0).otherwise(F.col("turn") < 0)).select(*by, F.col("sample").alias("start"), F.when(F.col("more"), F.col("rises")).otherwise(F.col("falls")).alias("n")).where("n % 2 = 1")
+    ends = d.where("turn < 0 and end is not null and ends % 2 = 0").select(*by, "end", (F.col("ends") - 1).alias("n"))
+    return starts.join(ends, [*by, "n"]).select(*by, "start", "end", (F.col("end") - F.col("start")).alias("size"))
 
-def pulse_blocks(p: DataFrame, by=BY, factor: int = 50) -> DataFrame:
+
+def pulse_blocks(p: DataFrame, by=BY, factor: int = 50, width: float = B.WIDTH) -> DataFrame:
     """Blocks of pulses: a new one where starts are more than factor median pulse sizes apart."""
-    w = Window.partitionBy(*by).orderBy("start")
     m = p.groupBy(*by).agg(F.median("size").cast("long").alias("m"))
-    d = p.join(m, list(by)).withColumn("new", F.coalesce((F.col("start") - F.lag("start").over(w) > factor * F.col("m")).cast("int"), F.lit(1))).withColumn("block", F.sum("new").over(w))
+    d = B.neighbour(p, list(by), "start", "start", "before", width=width).join(m, list(by))
+    new = F.coalesce((F.col("start") - F.col("before") > factor * F.col("m")).cast("long"), F.lit(1).cast("long"))
+    d = B.running(d, list(by), "start", new, "block", width=width)
     return d.groupBy(*by, "block").agg(F.min("start").alias("start"), F.max_by("end", "start").alias("end"), F.count("*").alias("pulses"))
 
 
 def stim_channels(df: DataFrame, eps: float = 0.0, min_edges: int = 1, by=BY) -> DataFrame:
     """Keys with at least min_edges rises over the middle of their 5th and 95th percentile."""
     q = df.groupBy(*by).agg(F.percentile("value", F.array(F.lit(0.05), F.lit(0.95))).alias("q")).where("q is not null").select(*by, ((F.col("q")[0] + F.col("q")[1]) / 2 + eps).alias("thr"))
-    d = df.where("value is not null").join(q, list(by)).withColumn("high", (F.col("value") > F.col("thr")).cast("int")).withColumn("before", F.lag("high").over(_w(by)))
-    return d.where("high = 1 and before = 0").groupBy(*by).agg(F.count("*").alias("n_edges")).where(F.col("n_edges") >= min_edges)
+    d = df.where("value is not null").join(q, list(by)).withColumn("high", (F.col("value") > F.col("thr")).cast("int"))
+    return B.neighbour(d, list(by), "sample", "high", "before").where("high = 1 and before = 0").groupBy(*by).agg(F.count("*").alias("n_edges")).where(F.col("n_edges") >= min_edges)
 
 
 def busiest_channel(df: DataFrame) -> DataFrame:
@@ -108,9 +132,8 @@ def noise_levels(df: DataFrame, by=BY) -> DataFrame:
 
 def detect_peaks(df: DataFrame, threshold: float = 3.0, sign: str = "neg", by=BY) -> DataFrame:
     """Local extremes beyond threshold noise levels from the median: strictly beyond the sample before, at least as far as the one after."""
-    w = _w(by)
     d = df.where("value is not null").join(noise_levels(df, by), list(by)).withColumn("x", F.col("value") - F.col("med"))
-    d = d.withColumns({"b": F.lag("x").over(w), "a": F.lead("x").over(w)})
+    d = B.neighbour(B.neighbour(d, list(by), "sample", "x", "b"), list(by), "sample", "x", "a", after=True)
     far = threshold * F.col("noise")
     low = (F.col("x") < -far) & (F.col("x") < F.coalesce("b", F.lit(float("inf")))) & (F.col("x") <= F.coalesce("a", F.lit(float("inf"))))
     high = (F.col("x") > far) & (F.col("x") > F.coalesce("b", F.lit(-float("inf")))) & (F.col("x") >= F.coalesce("a", F.lit(-float("inf"))))
@@ -136,11 +159,15 @@ def dedup_peaks(peaks: DataFrame, gap: int, span: int, by=BY) -> DataFrame:
     return runs.groupBy(*by, "run").applyInPandas(split, runs.schema).drop("run")
 
 
-def local_maxima(df: DataFrame, height: float, by=BY) -> DataFrame:
-    """Samples of at least height, above the one before and not below the one after."""
-    w = _w(by)
-    d = df.where("value is not null").withColumns({"b": F.lag("value").over(w), "a": F.lead("value").over(w)})
-    return d.where((F.col("value") >= height) & (F.col("b") < F.col("value")) & (F.col("value") >= F.col("a"))).select(*by, "sample", "value")
+def local_maxima(df: DataFrame, height: float, by=BY, width: float = B.WIDTH) -> DataFrame:
+    """Peaks of at least height: runs of equal values with lower ones on both sides, at their middle sample (the left one of
+    two). Missing values are taken out first."""
+    keys = list(by)
+    d = B.neighbour(B.neighbour(df.where("value is not null"), keys, "sample", "value", "b", width=width), keys, "sample", "value", "a", after=True, width=width)
+    # A run is open from a rise to it up to the next change; its last row has another value after it.
+    rise = F.when(F.col("b").isNull() | (F.col("b") != F.col("value")), F.struct(F.col("sample").alias("s"), (F.col("b") < F.col("value")).alias("up")))
+    d = B.known(d, keys, "sample", rise, "r", width=width).where((F.col("value") >= height) & (F.col("a") < F.col("value")) & F.col("r.up"))
+    return d.select(*by, F.floor((F.col("r.s") + F.col("sample")) / 2).alias("sample"), "value")
 
 
 def still_periods(df: DataFrame, width: int, limit: float, least: int, by=BY) -> DataFrame:
@@ -151,10 +178,11 @@ def still_periods(df: DataFrame, width: int, limit: float, least: int, by=BY) ->
     return m.groupBy(*by, "run").agg(F.min("sample").alias("start"), F.max("sample").alias("end"), F.count("*").alias("n")).where(F.col("n") >= least).drop("run")
 
 
-def first_sign_change(df: DataFrame, lo: int, hi: int, by=BY) -> DataFrame:
-    """The first sample in [lo, hi] whose sign differs from the one before, by key."""
-    s = df.where(F.col("sample").between(lo, hi) & F.col("value").isNotNull()).withColumn("sign", F.signum("value")).withColumn("before", F.lag("sign").over(_w(by)))
-    return s.where("sign != before").groupBy(*by).agg(F.min("sample").alias("sample"))
+def first_sign_change(df: DataFrame, lo: int | str, hi: int | str, by=BY) -> DataFrame:
+    """The first sample in [lo, hi] (numbers, or columns that hold each key's own) whose sign differs from the one before, by key."""
+    lo, hi = (F.col(x) if isinstance(x, str) else F.lit(x) for x in (lo, hi))
+    s = df.where(F.col("sample").between(lo, hi) & F.col("value").isNotNull()).withColumn("sign", F.signum("value"))
+    return B.neighbour(s, list(by), "sample", "sign", "before").where("sign != before").groupBy(*by).agg(F.min("sample").alias("sample"))
 
 
 def active_spans(df: DataFrame, width: int, limit: float, by=BY) -> DataFrame:

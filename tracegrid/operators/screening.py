@@ -71,3 +71,80 @@ def neighbours(channels: DataFrame, least: float, most: float) -> DataFrame:
     a = channels.select("channel", "x", "y", cell("x").alias("cx"), cell("y").alias("cy"))
     got = a.join(b.select("neighbour", "x2", "y2", "c.cx", "c.cy"), ["cx", "cy"]).withColumn("distance", F.hypot(F.col("x") - F.col("x2"), F.col("y") - F.col("y2")))
     return got.where((F.col("channel") != F.col("neighbour")) & F.col("distance").between(least, most)).select("channel", "neighbour", "distance")
+
+
+def in_both(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Different rows that both tables have."""
+    return a.intersect(b)
+
+
+def removed(whole: DataFrame, kept: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of whole whose key isn't among kept."""
+    return whole.join(kept.select(*keys).distinct(), keys, "left_anti")
+
+
+def reorder_channels(df: DataFrame, order: DataFrame) -> DataFrame:
+    """Rows with their channel's place in a permutation (device, place); channels that it doesn't name are dropped."""
+    return df.join(order.select(F.col("device").alias("channel"), "place"), "channel").withColumn("channel", F.col("place")).drop("place")
+
+
+def apply_electrode_map(channels: DataFrame, electrodes: DataFrame) -> DataFrame:
+    """channels (channel, port) with electrode (-1 where the map has none) and name. Port B's channels are 128 up."""
+    d = channels.withColumn("nsp", F.col("channel") + F.when(F.upper(F.trim("port")) == "B", 128).otherwise(0))
+    d = d.join(electrodes.select("nsp", "electrode"), "nsp", "left").withColumn("electrode", F.coalesce("electrode", F.lit(-1)))
+    return d.withColumn("name", F.format_string("UAe%03d_NSP%03d", F.col("electrode").cast("int"), F.col("nsp").cast("int")))
+
+
+def offset_to_reference(df: DataFrame, reference: str, point: str = "keypoint") -> DataFrame:
+    """offset of each key point and axis: its median less the reference point's on that axis."""
+    m = df.groupBy(point, "axis").agg(F.median("value").alias("m"))
+    r = m.where(F.col(point) == reference).select("axis", F.col("m").alias("r"))
+    return m.join(r, "axis", "left").select(point, "axis", (F.col("m") - F.col("r")).alias("offset"))
+
+
+def segment_channels(channels: DataFrame, largest: DataFrame, stimulated: DataFrame, distance: float, saturation: float) -> DataFrame:
+    """channel and kind: stim, saturated (largest absolute value), neighbour (no further from the stimulated span than distance) or other."""
+    span = channels.join(stimulated, "channel", "left_semi").agg(F.min("y").alias("lo"), F.max("y").alias("hi"), F.lit(1).alias("one"))
+    d = channels.withColumn("one", F.lit(1)).join(F.broadcast(span), "one").join(largest.select("channel", "most"), "channel", "left").join(stimulated.select("channel").distinct().withColumn("stim", F.lit(True)), "channel", "left")
+    near = F.col("y").between(F.col("lo") - distance, F.col("hi") + distance)
+    return d.select("channel", F.when(F.col("stim"), "stim").when(F.col("most") >= saturation, "saturated").when(near, "neighbour").otherwise("other").alias("kind"))
+
+
+def match_keypoints(names: list[str], wanted: list[str]) -> dict[str, str]:
+    """For each wanted point, in turn, the free name that shares most of its words (the first of equals); points that share none have none."""
+    import re
+
+    words = lambda n: set(re.findall(r"[a-z0-9]+", n.lower()))
+    free, out = list(names), {}
+    for w in wanted:
+        best = max(free, key=lambda n: len(words(n) & words(w)), default=None)
+        if best is not None and words(best) & words(w):
+            out[w] = best
+            free.remove(best)
+    return out
+
+
+def good_units(units: DataFrame, spikes: DataFrame, seconds: float) -> DataFrame:
+    """Units labelled good with their mean rate; silent ones have rate 0."""
+    n = spikes.groupBy("unit").agg(F.count("*").alias("n"))
+    return units.where(F.lower(F.trim("label")) == "good").join(n, "unit", "left").select("unit", (F.coalesce("n", F.lit(0)) / seconds).alias("rate"))
+
+
+def nearest_channels(channels: DataFrame, k: int) -> DataFrame:
+    """channel, neighbour and distance of the k channels nearest by the larger of the x and y distance; a probe's few hundred channels meet by pairs."""
+    from pyspark.sql.window import Window
+
+    b = F.broadcast(channels.select(F.lit(1).alias("one"), F.col("channel").alias("neighbour"), F.col("x").alias("x2"), F.col("y").alias("y2")))
+    d = channels.withColumn("one", F.lit(1)).join(b, "one").where("channel != neighbour").withColumn("distance", F.greatest(F.abs(F.col("x") - F.col("x2")), F.abs(F.col("y") - F.col("y2"))))
+    w = Window.partitionBy("channel").orderBy("distance", "neighbour")
+    return d.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).select("channel", "neighbour", "distance")
+
+
+def ordered_conditions(df: DataFrame, listed: str, values: list[str], keys: list[tuple[str, bool]]) -> DataFrame:
+    """df with place: rows sorted by where their value stands in a list (others last), then by keys, each up (True) or down. A
+    table of conditions has few rows."""
+    from pyspark.sql.window import Window
+
+    at = F.array_position(F.array(*map(F.lit, values)), F.col(listed))
+    order = [F.when(at > 0, at).otherwise(len(values) + 1), *(F.col(c).asc() if up else F.col(c).desc() for c, up in keys)]
+    return df.withColumn("place", F.row_number().over(Window.orderBy(*order)))

@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from . import blocks as B
+from .lineage import written
+
 
 def baseline_zero(windows: DataFrame, lo: int, hi: int, by: list[str], at: str = "rel_bin") -> DataFrame:
     """Values less the mean of their key's bins in [lo, hi)."""
@@ -40,28 +43,35 @@ def smooth_counts(counts: DataFrame, sigma: float, bin_ms: float, by: list[str],
     return out.select(*by, "bin", "count", (rate * (1000.0 / bin_ms)).alias("rate_hz"))
 
 
-def interpolate_gaps(df: DataFrame, max_gap: int, by: list[str], at: str = "sample") -> DataFrame:
-    """Inner runs of at most max_gap nulls filled linearly."""
-    w = Window.partitionBy(*by).orderBy(at)
-    known = F.when(F.col("value").isNotNull(), F.struct(F.col(at).alias("i"), F.col("value").alias("v")))
-    d = df.withColumns({"_b": F.last(known, ignorenulls=True).over(w), "_a": F.first(known, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))})
-    gap = F.col("_a.i") - F.col("_b.i") - 1
-    fill = F.col("_b.v") + (F.col("_a.v") - F.col("_b.v")) * (F.col(at) - F.col("_b.i")) / (F.col("_a.i") - F.col("_b.i"))
-    return d.withColumn("value", F.when(F.col("value").isNull() & (gap <= max_gap), fill).otherwise(F.col("value"))).drop("_a", "_b")
-
-
-def remove_teleports(df: DataFrame, by: list[str], at: str = "sample", z: float = 6.0, max_gap: int = 6) -> DataFrame:
-    """Values whose step is an outlier (robust z, or beyond the upper quartile by z spreads), with their neighbours, are dropped and short gaps filled."""
-    w = Window.partitionBy(*by).orderBy(at)
-    d = df.withColumn("step", F.abs(F.coalesce(F.col("value") - F.lag("value").over(w), F.lit(0.0))))
+def interpolate_gaps(df: DataFrame, max_gap: int, by: list[str], at: str = "sample", values: tuple[str, ...] = ("value",), width: float = B.WIDTH) -> DataFrame:
+    """Inner runs of at most max_gap rows in which any of the values is null, filled linearly."""
+    whole = F.lit(True)
+    for c in values:
+        whole = whole & F.col(c).isNotNull()
+    known = F.when(whole, F.struct(F.col(at).alias("i"), *(F.col(c).alias(f"v{k}") for k, c in enumerate(values))))
+    d = B.known(B.known(df, by, at, known, "_l", width=width), by, at, known, "_r", after=True, width=width)
+    gap = F.col("_r.i") - F.col("_l.i") - 1
+    part = (F.col(at) - F.col("_l.i")) / (F.col("_r.i") - F.col("_l.i"))
+    fills = {c: F.when(~whole & (gap <= max_gap), F.col(f"_l.v{k}") + (F.col(f"_r.v{k}") - F.col(f"_l.v{k}")) * part).otherwise(F.col(c)) for k, c in enumerate(values)}
+    return d.withColumns(fills).drop("_l", "_r")
+
+
+def remove_teleports(df: DataFrame, by: list[str], at: str = "sample", z: float = 6.0, max_gap: int = 6, width: float = B.WIDTH) -> DataFrame:
+    """Tracks (x, y) without leaps: places whose step is an outlier (robust |z| over z, or beyond the upper quartile by six
+    spreads of at least 1) are dropped with their neighbours, and short gaps filled."""
+    d = B.neighbour(df.withColumn("_p", F.struct("x", "y")), by, at, "_p", "_q", width=width)
+    step = F.hypot(F.col("x") - F.col("_q.x"), F.col("y") - F.col("_q.y"))
+    first = F.col("_q").isNull() & F.col("x").isNotNull() & F.col("y").isNotNull()
+    d = written(d.withColumn("step", F.when(first, 0.0).otherwise(step)).drop("_p", "_q"), "steps")
     q = d.groupBy(*by).agg(F.percentile("step", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
     d = d.join(q, by)
-    mad = d.groupBy(*by).agg(F.median(F.abs(F.col("step") - F.col("q")[1])).alias("mad"))
-    d = d.join(mad, by)
-    bad = ((F.col("mad") > 0) & (0.6745 * (F.col("step") - F.col("q")[1]) / F.col("mad") > z)) | (F.col("step") > F.col("q")[2] + z * F.greatest(F.col("q")[2] - F.col("q")[0], F.lit(1.0)))
-    d = d.withColumn("bad", F.coalesce(bad, F.lit(False)).cast("int"))
-    d = d.withColumn("near", F.max("bad").over(w.rowsBetween(-1, 1))).withColumn("value", F.when(F.col("near") == 1, None).otherwise(F.col("value")))
-    return interpolate_gaps(d.drop("step", "q", "mad", "bad", "near"), max_gap, by, at)
+    d = d.join(d.groupBy(*by).agg((F.median(F.abs(F.col("step") - F.col("q")[1])) + 1e-12).alias("mad")), by)
+    bad = (F.abs(0.6745 * (F.col("step") - F.col("q")[1]) / F.col("mad")) > z) | (F.col("step") > F.col("q")[2] + 6.0 * F.greatest(F.col("q")[2] - F.col("q")[0], F.lit(1.0)))
+    d = written(d.withColumn("bad", F.coalesce(bad, F.lit(False)).cast("int")).drop("q", "mad"), "steps")
+    d = B.neighbour(B.neighbour(d, by, at, "bad", "_b", width=width), by, at, "bad", "_a", after=True, width=width)
+    near = F.greatest("bad", F.coalesce("_b", F.lit(0)), F.coalesce("_a", F.lit(0))) == 1
+    d = d.withColumns({c: F.when(~near, F.col(c)) for c in ("x", "y")}).select(*df.columns)
+    return interpolate_gaps(written(d, "steps"), max_gap, by, at, ("x", "y"), width)
 
 
 def central_velocity(df: DataFrame, by: list[str], at: str, dt: float) -> DataFrame:
@@ -72,18 +82,17 @@ def central_velocity(df: DataFrame, by: list[str], at: str, dt: float) -> DataFr
     return df.withColumn("velocity", v)
 
 
-def correct_frames(ocr: DataFrame, by: str) -> DataFrame:
-    """Missing frames from the time step (10 a frame): running totals and corrected numbers."""
-    w = Window.partitionBy(by).orderBy("avi")
-    missing = F.greatest(F.coalesce(F.rint(F.col("delta_t") / 10 - 1), F.lit(0.0)), F.lit(0.0)).cast("long")
+def correct_frames(ocr: DataFrame, by: str, width: float = B.WIDTH) -> DataFrame:
+    """Missing frames from the read time step (10 a frame, as text or number, the letter o for zero): running totals and
+    corrected numbers. A frame whose text wasn't read (ok is false) carries the totals only."""
+    step = F.translate(F.col("delta_t").cast("string"), "oO", "00").try_cast("double")
+    read = F.col("ok") if "ok" in ocr.columns else F.lit(True)
+    # Steps below 10 give a negative number of frames, which the totals take as it is.
+    missing = F.when(read, F.coalesce(F.rint(step / 10.0 - 1.0), F.lit(0.0)).cast("long"))
     d = ocr.withColumn("n_missing", missing)
-    total = F.sum("n_missing").over(w)
-    return d.withColumns({"total_missing": total, "n_chunks_missing": F.sum((F.col("n_missing") > 0).cast("long")).over(w), "corrected": F.col("avi") + total})
-
-
-def decimate(df: DataFrame, max_points: int, by: list[str], at: str = "sample") -> DataFrame:
-    n = df.groupBy(*by).agg(F.ceil(F.count("*") / max_points).alias("step"))
-    return df.join(n, by).where(F.col(at) % F.col("step") == 0).drop("step")
+    d = B.running(d, [by], "avi", F.coalesce("n_missing", F.lit(0).cast("long")), "total_missing", width=width)
+    d = B.running(d, [by], "avi", F.coalesce((F.col("n_missing") > 0).cast("long"), F.lit(0).cast("long")), "n_chunks_missing", width=width)
+    return d.withColumn("corrected", F.when(read, F.col("avi") + F.col("total_missing")))
 
 
 def adaptation_sets(trials: DataFrame, by: str, at: str, k: int = 10) -> DataFrame:
@@ -114,3 +123,8 @@ def template_local(snippets: DataFrame, by: list[str], order: str, width: int) -
     """Snippets less the mean of up to width earlier ones at the same place (by); the first of a place has no template."""
     w = Window.partitionBy(*by).orderBy(order).rowsBetween(-width, -1)
     return snippets.withColumn("template", F.avg("value").over(w)).withColumn("value", F.col("value") - F.coalesce("template", F.lit(0.0)))
+
+
+def ranked(df: DataFrame, by: list[str], order: list[str], name: str = "rank") -> DataFrame:
+    """df with each row's place within its key, from 1."""
+    return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))

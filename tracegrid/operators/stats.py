@@ -6,6 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -89,16 +90,16 @@ def t_two_sided(t: float, df: float) -> float:
 
 
 def ttest_vs_baseline(df: DataFrame, baseline: str) -> DataFrame:
-    """Pooled two-sample t of each condition against the baseline, with two-sided p and stars."""
+    """Pooled two-sample t of each condition against the baseline, with two-sided p and stars; conditions of one value are left out, and without any spread there is no t."""
     s = df.groupBy("condition").agg(F.count("value").alias("n"), F.avg("value").alias("m"), F.var_samp("value").alias("v"))
     b = s.where(F.col("condition") == baseline).select(F.col("n").alias("nb"), F.col("m").alias("mb"), F.col("v").alias("vb"), F.lit(1).alias("one"))
     both = s.where(F.col("condition") != baseline).withColumn("one", F.lit(1)).join(b, "one").where("n > 1 and nb > 1")
     pooled = ((F.col("n") - 1) * F.col("v") + (F.col("nb") - 1) * F.col("vb")) / (F.col("n") + F.col("nb") - 2)
-    out = both.select("condition", (F.col("n") + F.col("nb") - 2).alias("df"), ((F.col("m") - F.col("mb")) / F.sqrt(pooled * (1 / F.col("n") + 1 / F.col("nb")))).alias("t"))
+    out = both.select("condition", (F.col("n") + F.col("nb") - 2).alias("df"), F.try_divide(F.col("m") - F.col("mb"), F.sqrt(pooled * (1 / F.col("n") + 1 / F.col("nb")))).alias("t"))
 
     @F.pandas_udf("double")
     def p_value(t: pd.Series, df: pd.Series) -> pd.Series:
-        return pd.Series([t_two_sided(a, b) for a, b in zip(t, df)])
+        return pd.Series([t_two_sided(a, b) for a, b in zip(t.astype(float), df)])
 
     out = out.withColumn("p", p_value("t", F.col("df").cast("double")))
     return out.withColumn("stars", F.when(F.col("p") < 0.001, "***").when(F.col("p") < 0.01, "**").when(F.col("p") < 0.05, "*").otherwise(""))
@@ -112,15 +113,30 @@ def interval_stats(events: DataFrame, by: str, at: str) -> DataFrame:
 def pca(rows: DataFrame, k: int, key: str = "trial") -> tuple[DataFrame, np.ndarray]:
     """Scores of the first k components and their variances. Sums of products are aggregated in Spark; the matrix of
     channels by channels, whose size the number of channels bounds, is decomposed on the driver. Signs: the largest loading is positive."""
-    a, b = rows.alias("a"), rows.alias("b")
     mean = {r.channel: r.m for r in rows.groupBy("channel").agg(F.avg("value").alias("m")).collect()}
-    n = rows.select(key).distinct().count()
-    prod = a.join(b, F.col(f"a.{key}") == F.col(f"b.{key}")).where(F.col("a.channel") <= F.col("b.channel")).groupBy(F.col("a.channel").alias("i"), F.col("b.channel").alias("j")).agg(F.sum(F.col("a.value") * F.col("b.value")).alias("s")).collect()
     at = {c: i for i, c in enumerate(sorted(mean))}
     m = np.array([mean[c] for c in sorted(mean)])
-    cov = np.zeros((len(at), len(at)))
-    for r in prod:
-        cov[at[r.i], at[r.j]] = cov[at[r.j], at[r.i]] = r.s / n
+    size = len(at)
+    places = F.create_map(*(x for c, i in at.items() for x in (F.lit(c), F.lit(i)))) if at else None
+    vectors = rows.groupBy(key).agg(F.collect_list(F.struct(places[F.col("channel")].alias("i"), F.coalesce(F.col("value"), F.lit(0.0)).alias("v"))).alias("row"))
+
+    def gram(batches):
+        total, n = np.zeros((size, size)), 0
+        for batch in batches:
+            x = np.zeros((batch.num_rows, size))
+            for j, row in enumerate(batch.column(0).to_pylist()):
+                x[j, [e["i"] for e in row]] = [e["v"] for e in row]
+            total, n = total + x.T @ x, n + len(x)
+        yield pa.RecordBatch.from_arrays([pa.array([total.ravel().tolist()], pa.list_(pa.float64())), pa.array([n], pa.int64())], ["g", "n"])
+
+    # A row for each task, of channels by channels; they are added up by place before they come to the driver.
+    parts = vectors.select("row").mapInArrow(gram, "g array<double>, n long")
+    n = parts.agg(F.sum("n")).first()[0] or 0
+    sums = parts.select(F.posexplode("g").alias("at", "v")).groupBy("at").agg(F.sum("v").alias("v")).collect()
+    cov = np.zeros(size * size)
+    for r in sums:
+        cov[r["at"]] = r["v"] / max(n, 1)
+    cov = cov.reshape(size, size)
     values, vectors = np.linalg.eigh(cov - np.outer(m, m))
     values, vectors = values[::-1][:k], vectors[:, ::-1][:, :k]
     vectors = vectors * np.sign(vectors[np.abs(vectors).argmax(axis=0), range(vectors.shape[1])])
@@ -139,14 +155,27 @@ def psth(windows: DataFrame, keys: list[str]) -> DataFrame:
     return windows.groupBy(*keys).agg(F.avg("value").alias("rate"), F.count("value").alias("n"))
 
 
-def bin_mean(samples: DataFrame, width: int, n_bins: int, by: list[str], at: str = "sample") -> DataFrame:
-    """Mean of each bin 0 to n_bins - 1; samples outside are left out and empty bins are null."""
-    d = samples.withColumn("bin", F.floor(F.col(at) / width))
-    got = d.where((F.col("bin") >= 0) & (F.col("bin") < n_bins)).groupBy(*by, "bin").agg(F.avg("value").alias("mean"))
-    spine = samples.select(*by).distinct().select(*by, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_bins - 1).cast("long"))).alias("bin"))
+def bin_mean(samples: DataFrame, width: int, by: list[str], at: str = "sample", n_bins: int | None = None) -> DataFrame:
+    """Mean of each bin from 0 to n_bins - 1, or to each key's last; samples outside are left out and empty bins are null."""
+    d = samples.withColumn("bin", F.floor(F.col(at) / width)).where("bin >= 0")
+    ends = d.groupBy(*by).agg(F.max("bin").alias("_m") if n_bins is None else F.lit(n_bins - 1).cast("long").alias("_m"))
+    got = d.groupBy(*by, "bin").agg(F.avg("value").alias("mean"))
+    spine = ends.select(*by, F.explode(F.sequence(F.lit(0).cast("long"), F.col("_m"))).alias("bin"))
     return spine.join(got, [*by, "bin"], "left")
 
 
+def summarise(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Mean, sample variance and number of values for each key, for the first keys alone, and in all."""
+    return df.rollup(*keys).agg(F.avg("value").alias("mean"), F.var_samp("value").alias("variance"), F.count("value").alias("n"))
+
+
+def rate_kinematics_corr(df: DataFrame, keys: list[str], at: str, until: int) -> DataFrame:
+    """Correlation of the rate (value), as z scores of its key's rows before until, with position."""
+    base = df.where(F.col(at) < until).groupBy(*keys).agg(F.avg("value").alias("m"), F.stddev_samp("value").alias("sd"))
+    d = df.join(base, keys).withColumn("z", (F.col("value") - F.col("m")) / F.nullif("sd", F.lit(0.0)))
+    return d.groupBy(*keys).agg(F.corr("z", "position").alias("r"), F.count(F.when(F.col("z").isNotNull() & F.col("position").isNotNull(), 1)).alias("n"))
+
+
 def snr(df: DataFrame, trial: list[str], keys: list[str], raw: str, clean: str) -> DataFrame:
     """Median across trials of 10 log10 of raw power over the power of what cleaning took away; trials that lost nothing have none."""
     t = df.groupBy(*trial).agg(F.sum(F.col(raw) ** 2).alias("p"), F.sum((F.col(raw) - F.col(clean)) ** 2).alias("q"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..operators import align as J
 from ..operators import events as E
+from ..operators import screening as K
 from ..operators import series as W
 from ..operators import stats as A
 from ..sources import tables as T
@@ -65,15 +66,20 @@ def _(spark, d):
     return A.bin_counts(_peaks(spark, d), _rec(spark, d), 4)
 
 
+def _firing(c):
+    """Bins in which the first channel of a session has peaks, as events."""
+    return c.where("trace = 0 and value > 0").select("session", F.col("bin").alias("event_id"), F.col("bin").alias("at"))
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
-    """Peaks to bins to windows around every 3rd bin, less their baseline, then medians across events."""
+    """Peaks to bins to windows around the bins in which the first channel fires, less their baseline, then medians across events."""
     c = A.bin_counts(_peaks(spark, d), _rec(spark, d), 4).select("session", F.col("channel").alias("trace"), "bin", F.col("count").cast("double").alias("value"))
-    ev = c.select("session", "bin").distinct().where("bin % 3 = 0").select("session", F.col("bin").alias("event_id"), F.col("bin").alias("at"))
+    ev = _firing(c)
     z = W.baseline_zero(J.peri_event(c, ev, 1, 2), -1, 0, ["session", "event_id", "trace"])
     return A.across_trials(z, ["session", "trace", "rel_bin"]).select("session", "trace", "rel_bin", F.round("median", 6).alias("median"), F.round("variance", 6).alias("variance"), "n")
 
 
-_PERI = _COUNTS + """, ev AS (SELECT DISTINCT session, bin AS tm FROM counts WHERE bin % 3 = 0),
+_PERI = _COUNTS + """, ev AS (SELECT session, bin AS tm FROM counts WHERE channel = 0 AND count > 0),
 w AS (SELECT c.session, tm AS event_id, c.channel AS trace, c.bin - tm AS rel_bin, CAST(count AS DOUBLE) AS value, count(*) OVER (PARTITION BY c.session, tm, c.channel) AS n
  FROM counts c JOIN ev ON c.session = ev.session AND c.bin BETWEEN tm - 1 AND tm + 1),
 peri AS (SELECT session, event_id, trace, rel_bin, value FROM w WHERE n = 3)"""
@@ -82,13 +88,13 @@ _ORACLE["j2_w1_a2_peri_event_medians"] = "WITH " + _PERI + """, z AS (SELECT ses
 SELECT session, trace, rel_bin, round(median(v), 6) AS median, round(var_pop(v), 6) AS variance, count(v) AS n FROM z GROUP BY ALL"""
 
 
-@query("j3_window_resampled", "WITH " + _COUNTS + """, ev AS (SELECT DISTINCT session, bin AS tm FROM counts WHERE bin % 3 = 0), span AS (SELECT session, min(bin) lo, max(bin) hi FROM counts GROUP BY ALL),
+@query("j3_window_resampled", "WITH " + _COUNTS + """, ev AS (SELECT session, bin AS tm FROM counts WHERE channel = 0 AND count > 0), span AS (SELECT session, min(bin) lo, max(bin) hi FROM counts GROUP BY ALL),
 e AS (SELECT session, tm AS event_id, greatest(tm - 3, lo) i0, least(tm + 4, hi) i1 FROM ev JOIN span USING (session)),
 need AS (SELECT session, event_id, k - 3 AS rel_bin, CAST(round_even(i0 + (i1 - i0) * k / 7.0::DOUBLE, 0) AS BIGINT) AS bin FROM (SELECT *, unnest(range(8)) AS k FROM e WHERE i0 <= i1))
 SELECT session, event_id, channel AS trace, CAST(rel_bin AS INTEGER) AS rel_bin, CAST(count AS DOUBLE) AS value FROM need JOIN counts USING (session, bin)""")
 def _(spark, d):
     c = A.bin_counts(_peaks(spark, d), _rec(spark, d), 4).select("session", F.col("channel").alias("trace"), "bin", F.col("count").cast("double").alias("value"))
-    ev = c.select("session", "bin").distinct().where("bin % 3 = 0").select("session", F.col("bin").alias("event_id"), F.col("bin").alias("at"))
+    ev = _firing(c)
     return J.window_resampled(c, ev, 3, 4)
 
 
@@ -116,21 +122,29 @@ def _(spark, d):
 
 @query("e4_refractory_consecutive", "WITH " + D.SAMPLES + _BURST.format(">=").join((" ", "")))
 def _(spark, d):
-    return E.refractory_consecutive(D.samples(spark, d), 60_000_000, inclusive=True)
+    return E.burst_starts(D.samples(spark, d), 60_000_000, inclusive=True)
 
 
-@query("e4_refractory_greedy")
+@query("e4_refractory_greedy", "WITH RECURSIVE " + D.SAMPLES + """, s AS MATERIALIZED (SELECT DISTINCT session, channel, t_ms FROM samples),
+nx AS MATERIALIZED (SELECT a.session, a.channel, a.t_ms, b.t_ms AS nxt FROM (SELECT *, t_ms + 60000000::DOUBLE AS lim FROM s) a ASOF JOIN s b ON a.session = b.session AND a.channel = b.channel AND a.lim <= b.t_ms),
+k AS (SELECT session, channel, min(t_ms) AS t_ms FROM s GROUP BY ALL UNION ALL SELECT k.session, k.channel, nx.nxt FROM k JOIN nx USING (session, channel, t_ms)) SELECT session, channel, t_ms FROM k""")
 def _(spark, d):
     return E.refractory_greedy(D.samples(spark, d), 60_000_000)
 
 
 def _stim(spark, d):
-    return D.samples(spark, d).withColumn("value", F.when(F.col("value") > 60, F.col("value")).otherwise(0.0))
+    v = F.col("value")
+    return D.samples(spark, d).withColumn("value", F.when(v > 60, v).when(v < 30, -v).otherwise(0.0))
 
 
-_PULSES = D.SAMPLES + """, st AS (SELECT session, channel, sample, CASE WHEN value > 60 THEN value ELSE 0 END AS value FROM samples),
-nx AS (SELECT *, lag(value) OVER w AS b, min(CASE WHEN value = 0 THEN sample END) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS e FROM st WINDOW w AS (PARTITION BY session, channel ORDER BY sample)),
-pulses AS (SELECT session, channel, sample AS start, e AS "end", e - sample AS size FROM nx WHERE value <> 0 AND b = 0 AND e IS NOT NULL)"""
+_PULSES = D.SAMPLES + """, st AS (SELECT session, channel, sample, CASE WHEN value > 60 THEN value WHEN value < 30 THEN -value ELSE 0 END AS value FROM samples),
+df AS (SELECT *, value - lag(value) OVER w AS diff, min(CASE WHEN value = 0 THEN sample END) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS e FROM st WINDOW w AS (PARTITION BY session, channel ORDER BY sample)),
+fe AS (SELECT session, channel, sample, row_number() OVER (PARTITION BY session, channel ORDER BY sample) AS n FROM df WHERE diff < 0),
+re AS (SELECT session, channel, sample, row_number() OVER (PARTITION BY session, channel ORDER BY sample) AS n FROM df WHERE diff > 0),
+rz AS (SELECT session, channel, e, row_number() OVER (PARTITION BY session, channel ORDER BY sample) AS n FROM df WHERE diff < 0 AND e IS NOT NULL),
+more AS (SELECT session, channel, count(*) FILTER (diff > 0) > count(*) FILTER (diff < 0) AS more FROM df GROUP BY ALL),
+beg AS (SELECT fe.* FROM fe JOIN more USING (session, channel) WHERE NOT more UNION ALL SELECT re.* FROM re JOIN more USING (session, channel) WHERE more),
+pulses AS (SELECT b.session, b.channel, b.sample AS start, rz.e AS "end", rz.e - b.sample AS size FROM beg b JOIN rz ON b.session = rz.session AND b.channel = rz.channel AND rz.n = b.n + 1 WHERE b.n % 2 = 1)"""
 
 
 @query("e5_pulses", "WITH " + _PULSES + ' SELECT session, channel, start, "end", size FROM pulses')
@@ -159,15 +173,41 @@ def _(spark, d):
     return E.busiest_channel(D.samples(spark, d)).withColumn("sd", F.round("sd", 6))
 
 
-@query("e10_dedup_peaks")
+@query("e10_dedup_peaks", "WITH RECURSIVE " + _PEAKS + """, g AS (SELECT *, CASE WHEN sample - lag(sample) OVER w > 2 OR lag(sample) OVER w IS NULL THEN 1 ELSE 0 END AS new FROM peaks WINDOW w AS (PARTITION BY session, channel ORDER BY sample)),
+r AS MATERIALIZED (SELECT session, channel, sample, t_ms, amplitude, sum(new) OVER (PARTITION BY session, channel ORDER BY sample) AS run FROM g),
+k AS (SELECT session, channel, run, min(sample) AS c FROM r GROUP BY ALL UNION ALL SELECT k.session, k.channel, k.run, (SELECT min(x.sample) FROM r x WHERE x.session = k.session AND x.channel = k.channel AND x.run = k.run AND x.sample > k.c + 4) FROM k WHERE k.c IS NOT NULL),
+a AS (SELECT r.*, max(k.c) AS c FROM r JOIN k ON r.session = k.session AND r.channel = k.channel AND r.run = k.run AND k.c <= r.sample GROUP BY ALL)
+SELECT session, channel, sample, t_ms, amplitude FROM a QUALIFY row_number() OVER (PARTITION BY session, channel, run, c ORDER BY -abs(amplitude), sample) = 1""")
 def _(spark, d):
     return E.dedup_peaks(_peaks(spark, d), 2, 4)
 
 
-@query("e11_local_maxima", "WITH " + D.SAMPLES + """, s AS (SELECT *, lag(value) OVER w AS b, lead(value) OVER w AS a FROM samples WHERE value IS NOT NULL WINDOW w AS (PARTITION BY session, channel ORDER BY sample))
-SELECT session, channel, sample, value FROM s WHERE value >= 80 AND b < value AND value >= a""")
+@query("e11_local_maxima", "WITH " + D.SAMPLES + """, s AS (SELECT session, channel, sample, round(value / 10) AS value FROM samples WHERE value IS NOT NULL),
+n AS (SELECT *, lag(value) OVER w AS b, lead(value) OVER w AS a FROM s WINDOW w AS (PARTITION BY session, channel ORDER BY sample)),
+g AS (SELECT *, sum(CASE WHEN b IS NULL OR b <> value THEN 1 ELSE 0 END) OVER (PARTITION BY session, channel ORDER BY sample) AS run FROM n),
+r AS (SELECT session, channel, run, min(sample) AS lo, max(sample) AS hi, min(value) AS value, bool_or(b < value) AS up, bool_or(a < value) AS down FROM g GROUP BY ALL)
+SELECT session, channel, CAST((lo + hi) // 2 AS BIGINT) AS sample, value FROM r WHERE up AND down AND value >= 6""")
+def _(spark, d):
+    return E.local_maxima(D.samples(spark, d).where("value is not null").withColumn("value", F.round(F.col("value") / 10)), 6)
+
+
+@query("e2_falling_edges", "WITH " + D.SAMPLES + """, s AS (SELECT session, channel, row_number() OVER (PARTITION BY session, channel ORDER BY sample) - 1 AS sample, value FROM samples WHERE value IS NOT NULL),
+m AS (SELECT session, channel, (min(value) + max(value)) / 2 AS mid FROM s GROUP BY ALL),
+h AS (SELECT s.session, s.channel, sample, value > mid AS h, lag(value > mid) OVER (PARTITION BY s.session, s.channel ORDER BY sample) AS b FROM s JOIN m USING (session, channel))
+SELECT session, channel, CAST(sample AS BIGINT) AS sample FROM h WHERE NOT h AND b""")
 def _(spark, d):
-    return E.local_maxima(D.samples(spark, d), 80)
+    return E.falling_edges(D.samples(spark, d), 1)
+
+
+@query("e2_falling_edges_debounced", "WITH RECURSIVE " + D.SAMPLES + """, s AS (SELECT session, channel, row_number() OVER (PARTITION BY session, channel ORDER BY sample) - 1 AS sample, value FROM samples WHERE value IS NOT NULL),
+m AS (SELECT session, channel, (min(value) + max(value)) / 2 AS mid FROM s GROUP BY ALL),
+h AS (SELECT s.session, s.channel, sample, value > mid AS h, lag(value > mid) OVER (PARTITION BY s.session, s.channel ORDER BY sample) AS b FROM s JOIN m USING (session, channel)),
+f AS (SELECT session, channel, CAST(sample AS BIGINT) AS sample FROM h WHERE NOT h AND b),
+nx AS (SELECT f.session, f.channel, f.sample, (SELECT min(g.sample) FROM f g WHERE g.session = f.session AND g.channel = f.channel AND g.sample >= f.sample + 5) AS nxt FROM f),
+k AS (SELECT session, channel, min(sample) AS sample FROM f GROUP BY ALL UNION ALL SELECT k.session, k.channel, nx.nxt FROM k JOIN nx ON nx.session = k.session AND nx.channel = k.channel AND nx.sample = k.sample WHERE nx.nxt IS NOT NULL)
+SELECT session, channel, sample FROM k""")
+def _(spark, d):
+    return E.falling_edges(D.samples(spark, d), 5)
 
 
 @query("e12_still_periods", "WITH " + D.SAMPLES + """, s AS (SELECT session, channel, sample, CAST(avg(abs(value)) OVER (PARTITION BY session, channel ORDER BY sample ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) <= 50 AS INTEGER) AS still FROM samples),
@@ -177,13 +217,17 @@ def _(spark, d):
     return E.still_periods(D.samples(spark, d), 5, 50, 6)
 
 
-@query("e13_first_sign_change", "WITH " + D.SAMPLES + """, s AS (SELECT session, channel, sample, sign(value - 50) AS g, lag(sign(value - 50)) OVER (PARTITION BY session, channel ORDER BY sample) AS b FROM samples WHERE value IS NOT NULL AND sample BETWEEN 10 AND 40)
-SELECT session, channel, min(sample) AS sample FROM s WHERE g <> b GROUP BY ALL""")
+@query("e13_first_sign_change", "WITH " + D.SAMPLES + """, n AS (SELECT session, channel, count(*) AS n FROM samples GROUP BY ALL), s AS (SELECT s.session, s.channel, sample, sign(value - 50) AS g, lag(sign(value - 50)) OVER (PARTITION BY s.session, s.channel ORDER BY sample) AS b
+ FROM samples s JOIN n USING (session, channel) WHERE value IS NOT NULL AND sample BETWEEN n // 4 AND n) SELECT session, channel, min(sample) AS sample FROM s WHERE g <> b GROUP BY ALL""")
 def _(spark, d):
-    return E.first_sign_change(D.samples(spark, d).withColumn("value", F.col("value") - 50), 10, 40)
+    s = D.samples(spark, d)
+    n = s.groupBy("session", "channel").agg(F.floor(F.count("*") / 4).alias("lo"), F.count("*").alias("hi"))
+    return E.first_sign_change(s.withColumn("value", F.col("value") - 50).join(n, ["session", "channel"]), "lo", "hi")
 
 
-@query("e14_active_spans")
+@query("e14_active_spans", "WITH " + D.SAMPLES + """, m AS (SELECT session, channel, avg(value) AS m FROM samples GROUP BY ALL),
+e AS (SELECT s.session, s.channel, sample, CAST(sqrt(avg((value - m) ** 2) OVER (PARTITION BY s.session, s.channel ORDER BY sample ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)) > 30 AS INTEGER) AS active FROM samples s JOIN m USING (session, channel)),
+r AS (SELECT *, sample - sum(active) OVER (PARTITION BY session, channel ORDER BY sample) AS run FROM e) SELECT session, channel, min(sample) AS start, max(sample) AS "end" FROM r WHERE active = 1 GROUP BY session, channel, run""")
 def _(spark, d):
     return E.active_spans(D.samples(spark, d), 5, 30.0)
 
@@ -215,7 +259,7 @@ def _(spark, d):
     return J.blank_intervals(_all_samples(spark, d), iv, 20_000.0, 20_000.0, 600_000.0).select("event_id", "value")
 
 
-@query("j13_blank_bins", "WITH " + _PULSES + """ SELECT DISTINCT session, unnest(range(start // 10, ("end" + 10) // 10)) AS bin FROM pulses""")
+@query("j13_blank_bins", "WITH " + _PULSES + """ SELECT DISTINCT session, unnest(range(start // 10, ("end" + 10) // 10)) AS bin FROM pulses WHERE "end" >= start""")
 def _(spark, d):
     return J.blank_bins(E.pulses(_stim(spark, d)), 10)
 
@@ -227,9 +271,9 @@ def _(spark, d):
     return J.asof_next(_stims(spark, d), f).withColumn("late_ms", F.round("late_ms", 3))
 
 
-@query("j21_matched_pairs", """SELECT p_brand, p_type, min(p_size) AS low, arg_min(p_partkey, (p_size, p_partkey)) AS low_id, max(p_size) AS high, arg_max(p_partkey, (p_size, p_partkey)) AS high_id FROM part GROUP BY ALL HAVING count(*) = 2""")
+@query("j21_matched_pairs", """SELECT o_custkey, o_orderstatus, min(o_totalprice) AS low, arg_min(o_orderkey, (o_totalprice, o_orderkey)) AS low_id, max(o_totalprice) AS high, arg_max(o_orderkey, (o_totalprice, o_orderkey)) AS high_id FROM orders GROUP BY ALL HAVING count(*) = 2""")
 def _(spark, d):
-    return J.matched_pairs(D.table(spark, d, "part").withColumn("id", F.col("p_partkey")), "p_size", ["p_brand", "p_type"])
+    return J.matched_pairs(D.table(spark, d, "orders").withColumn("id", F.col("o_orderkey")), "o_totalprice", ["o_custkey", "o_orderstatus"])
 
 
 @query("a2_across_trials", "WITH " + D.TRIALS + " SELECT condition, bin, round(median(value), 6) AS median, round(var_pop(value), 6) AS variance, count(value) AS n FROM trials GROUP BY ALL")
@@ -248,7 +292,9 @@ def _(spark, d):
     return A.zscore(D.features(spark, d), "channel").select("trial", "channel", F.round("z", 5).alias("z"))
 
 
-@query("a7_rsa_blocks")
+@query("a7_rsa_blocks", "WITH " + D.FEATURES + """, t AS (SELECT condition, trial, avg(value) AS m, stddev_pop(value) AS sd, count(*) AS k FROM features GROUP BY ALL HAVING sd > 0),
+u AS (SELECT condition, trial, list((value - m) / sd / sqrt(k) ORDER BY channel) AS u FROM features JOIN t USING (condition, trial) GROUP BY ALL)
+SELECT a.condition AS i, b.condition AS j, round(avg(list_dot_product(a.u, b.u)), 8) AS similarity, count(*) * (CASE WHEN a.condition = b.condition THEN 2 ELSE 1 END) AS pairs FROM u a JOIN u b ON a.condition < b.condition OR (a.condition = b.condition AND a.trial < b.trial) GROUP BY a.condition, b.condition""")
 def _(spark, d):
     return A.rsa_blocks(D.features(spark, d)).withColumn("similarity", F.round("similarity", 8))
 
@@ -268,8 +314,8 @@ def _(spark, d):
 
 @query("a10_summaries_rollup", """SELECT l_returnflag AS field, l_linestatus AS side, round(avg(l_quantity), 6) AS mean, round(var_samp(l_quantity), 6) AS variance, count(l_quantity) AS n FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)""")
 def _(spark, d):
-    li = D.table(spark, d, "lineitem").select(F.col("l_returnflag").alias("field"), F.col("l_linestatus").alias("side"), F.col("l_quantity").alias("v"))
-    return li.rollup("field", "side").agg(F.round(F.avg("v"), 6).alias("mean"), F.round(F.var_samp("v"), 6).alias("variance"), F.count("v").alias("n"))
+    li = D.table(spark, d, "lineitem").select(F.col("l_returnflag").alias("field"), F.col("l_linestatus").alias("side"), F.col("l_quantity").alias("value"))
+    return A.summarise(li, ["field", "side"]).select("field", "side", F.round("mean", 6).alias("mean"), F.round("variance", 6).alias("variance"), "n")
 
 
 @query("m1_pca")
@@ -277,7 +323,10 @@ def _(spark, d):
     return A.pca(D.features(spark, d), 3)[0]
 
 
-@query("w2_smooth_counts")
+@query("w2_smooth_counts", "WITH " + _COUNTS + """, tk AS (SELECT unnest(range(-4, 5)) AS k), wk AS (SELECT k, exp(-0.5 * k * k) / sum(exp(-0.5 * k * k)) OVER () AS g FROM tk),
+mi AS (SELECT c.session, c.channel, bin, count, r.n_bins AS n, k, g, (bin + k + 4 * (r.n_bins - 1)) % greatest(2 * r.n_bins - 2, 1) AS q FROM counts c JOIN rec r ON r.session = c.session AND r.channel = c.channel, wk),
+sx AS (SELECT *, CASE WHEN q >= n THEN 2 * n - 2 - q ELSE q END AS src FROM mi), sm AS (SELECT sx.session, sx.channel, sx.bin, any_value(sx.count) AS count, any_value(n) AS n, sum(g * c.count) AS num FROM sx LEFT JOIN counts c ON c.session = sx.session AND c.channel = sx.channel AND c.bin = sx.src GROUP BY sx.session, sx.channel, sx.bin)
+SELECT session, channel, bin, count, round((CASE WHEN n < 4 THEN count ELSE num END) * 100.0::DOUBLE, 6) AS rate_hz FROM sm""")
 def _(spark, d):
     c = A.bin_counts(_peaks(spark, d), _rec(spark, d), 4)
     return W.smooth_counts(c, 1.0, 10.0, ["session", "channel"]).withColumn("rate_hz", F.round("rate_hz", 6))
@@ -292,9 +341,23 @@ def _(spark, d):
     return W.interpolate_gaps(s, 2, ["session", "channel"]).withColumn("value", F.round("value", 6))
 
 
-@query("w4_remove_teleports")
+_FILL = """round(CASE WHEN {c} IS NULL AND a{c}i - b{c}i - 1 <= 6 THEN b{c}v + (a{c}v - b{c}v) * (sample - b{c}i) / (a{c}i - b{c}i) ELSE {c} END, 6) AS {c}"""
+_KNOWN = """last_value(CASE WHEN {c} IS NOT NULL THEN sample END IGNORE NULLS) OVER w AS b{c}i, last_value({c} IGNORE NULLS) OVER w AS b{c}v,
+ first_value(CASE WHEN {c} IS NOT NULL THEN sample END IGNORE NULLS) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS a{c}i, first_value({c} IGNORE NULLS) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS a{c}v"""
+
+
+@query("w4_remove_teleports", "WITH " + D.SAMPLES + """, t AS (SELECT session, channel, sample, exp(value / 10) AS x, value AS y FROM samples),
+st AS (SELECT *, row_number() OVER w AS rn, lag(x) OVER w AS lx, lag(y) OVER w AS ly FROM t WINDOW w AS (PARTITION BY session, channel ORDER BY sample)),
+sp AS (SELECT *, CASE WHEN rn = 1 AND x IS NOT NULL THEN 0 ELSE sqrt((x - lx) ** 2 + (y - ly) ** 2) END AS step FROM st),
+q AS (SELECT session, channel, quantile_cont(step, 0.25) AS q1, median(step) AS md, quantile_cont(step, 0.75) AS q3 FROM sp GROUP BY ALL),
+m AS (SELECT session, channel, median(abs(step - md)) + 1e-12 AS mad FROM sp JOIN q USING (session, channel) GROUP BY ALL),
+b AS (SELECT sp.*, coalesce(abs(0.6745 * (step - md) / mad) > 6 OR step > q3 + 6 * greatest(q3 - q1, 1), false) AS bad FROM sp JOIN q USING (session, channel) JOIN m USING (session, channel)),
+c AS (SELECT *, bad OR coalesce(lag(bad) OVER w, false) OR coalesce(lead(bad) OVER w, false) AS near FROM b WINDOW w AS (PARTITION BY session, channel ORDER BY sample)),
+e AS (SELECT session, channel, sample, CASE WHEN NOT near THEN x END AS x, CASE WHEN NOT near THEN y END AS y FROM c),
+k AS (SELECT *, """ + _KNOWN.format(c="x") + ", " + _KNOWN.format(c="y") + " FROM e WINDOW w AS (PARTITION BY session, channel ORDER BY sample)) SELECT session, channel, sample, " + _FILL.format(c="x") + ", " + _FILL.format(c="y") + " FROM k")
 def _(spark, d):
-    return W.remove_teleports(D.samples(spark, d).select("session", "channel", "sample", "value"), ["session", "channel"]).withColumn("value", F.round("value", 6))
+    s = D.samples(spark, d).select("session", "channel", "sample", F.exp(F.col("value") / 10).alias("x"), F.col("value").alias("y"))
+    return W.remove_teleports(s, ["session", "channel"]).withColumns({c: F.round(c, 6) for c in ("x", "y")})
 
 
 @query("w6_central_velocity", "WITH " + D.TRIALS + """, t AS (SELECT trial, bin, position AS v, lag(position) OVER w AS b, lead(position) OVER w AS a FROM trials WINDOW w AS (PARTITION BY trial ORDER BY bin))
@@ -304,14 +367,17 @@ def _(spark, d):
     return W.central_velocity(t, ["trial"], "bin", 1.0).select("trial", "bin", F.round("velocity", 6).alias("velocity"))
 
 
-@query("w11_correct_frames", """WITH o AS (SELECT l_suppkey AS k, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_quantity, l_shipdate) AS avi, l_quantity AS dt FROM lineitem),
-m AS (SELECT *, CAST(greatest(round_even(dt / 10 - 1, 0), 0) AS BIGINT) AS n FROM o)
-SELECT k, avi, n AS n_missing, CAST(sum(n) OVER w AS BIGINT) AS total_missing, CAST(avi + sum(n) OVER w AS BIGINT) AS corrected FROM m WINDOW w AS (PARTITION BY k ORDER BY avi)""")
+@query("w11_correct_frames", """WITH o AS (SELECT l_suppkey AS k, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_quantity, l_shipdate) AS avi, l_quantity AS dt, l_returnflag <> 'R' AS ok FROM lineitem),
+m AS (SELECT *, CASE WHEN ok THEN CAST(round_even(dt / 10 - 1, 0) AS BIGINT) END AS n FROM o),
+t AS (SELECT *, coalesce(sum(n) OVER w, 0) AS t, sum(CASE WHEN n > 0 THEN 1 ELSE 0 END) OVER w AS c FROM m WINDOW w AS (PARTITION BY k ORDER BY avi))
+SELECT k, avi, n AS n_missing, CAST(t AS BIGINT) AS total_missing, CAST(c AS BIGINT) AS n_chunks_missing, CASE WHEN ok THEN CAST(avi + t AS BIGINT) END AS corrected FROM t""")
 def _(spark, d):
     from pyspark.sql.window import Window
 
-    o = D.table(spark, d, "lineitem").select(F.col("l_suppkey").alias("k"), F.row_number().over(Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity", "l_shipdate")).cast("long").alias("avi"), F.col("l_quantity").alias("delta_t"))
-    return W.correct_frames(o, "k").select("k", "avi", "n_missing", "total_missing", "corrected")
+    order = Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity", "l_shipdate")
+    text = F.translate(F.col("l_quantity").cast("string"), "0", "o")
+    o = D.table(spark, d, "lineitem").select(F.col("l_suppkey").alias("k"), F.row_number().over(order).cast("long").alias("avi"), text.alias("delta_t"), (F.col("l_returnflag") != "R").alias("ok"))
+    return W.correct_frames(o, "k").select("k", "avi", "n_missing", "total_missing", "n_chunks_missing", "corrected")
 
 
 @query("w13_adaptation_sets", """WITH o AS (SELECT o_orderpriority AS condition, o_orderkey AS trial, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) AS i, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey DESC) AS j FROM orders)
@@ -346,13 +412,13 @@ def _(spark, d):
 @query("o3_intersect", "SELECT l_partkey AS k FROM lineitem WHERE l_returnflag = 'R' INTERSECT SELECT l_partkey FROM lineitem WHERE l_returnflag = 'A'")
 def _(spark, d):
     k = lambda f: D.table(spark, d, "lineitem").where(F.col("l_returnflag") == f).select(F.col("l_partkey").alias("k"))
-    return k("R").intersect(k("A"))
+    return K.in_both(k("R"), k("A"))
 
 
 @query("o4_except", "SELECT p_partkey AS k FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 45)")
 def _(spark, d):
-    returned = D.table(spark, d, "lineitem").where("l_returnflag = 'R' and l_quantity > 45")
-    return D.table(spark, d, "part").join(returned, F.col("p_partkey") == F.col("l_partkey"), "left_anti").select(F.col("p_partkey").alias("k"))
+    returned = D.table(spark, d, "lineitem").where("l_returnflag = 'R' and l_quantity > 45").select(F.col("l_partkey").alias("k"))
+    return K.removed(D.table(spark, d, "part").select(F.col("p_partkey").alias("k")), returned, ["k"])
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -363,4 +429,4 @@ def oracle_sql() -> dict[str, str]:
     return dict(_ORACLE)
 
 
-from . import trial_queries  # noqa: E402, F401  (enters its queries)
+from . import more_queries, signal_queries, trial_queries  # noqa: E402, F401  (enter their queries)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import scalars as S
 from ..operators import align as J
@@ -18,11 +17,11 @@ T_SQL = "WITH " + D.TRIALS
 S_SQL = "WITH " + D.SAMPLES
 
 
-@query("f5_high_impedance", """WITH x AS (SELECT s_nationkey AS session, s_suppkey AS electrode, CASE WHEN s_suppkey % 3 > 0 THEN s_acctbal END AS kohm FROM supplier),
+@query("f5_high_impedance", """WITH x AS (SELECT s_nationkey AS session, s_suppkey AS electrode, CASE WHEN s_acctbal > 0 THEN s_acctbal END AS kohm FROM supplier),
 k AS (SELECT *, coalesce(kohm <= 1000, true) AS ok FROM x) SELECT session, electrode FROM k QUALIFY ok OR NOT bool_or(ok) OVER (PARTITION BY session)""")
 def _(spark, d):
     s = D.table(spark, d, "supplier").select(F.col("s_nationkey").alias("session"), F.col("s_suppkey").alias("electrode"), F.col("s_acctbal").alias("kohm"))
-    return K.exclude_high_impedance(s.drop("kohm"), s.where("electrode % 3 > 0"), 1000.0).select("session", "electrode")
+    return K.exclude_high_impedance(s.drop("kohm"), s.where("kohm > 0"), 1000.0).select("session", "electrode")
 
 
 @query("f6_resolve_metadata", """SELECT o_custkey, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority <> '2-HIGH', o_orderstatus <> 'F', o_totalprice <= 100000, o_orderkey) = 1""")
@@ -68,12 +67,12 @@ def _(spark, d):
     return K.filter_coverage(e, ["event_type", "user_id"], 0.5).groupBy("event_type", "user_id").agg(F.count("*").alias("n"))
 
 
-@query("j4_raw_windows", S_SQL + """, ev AS (SELECT DISTINCT session, sample AS tm FROM samples WHERE sample % 10 = 0),
+@query("j4_raw_windows", S_SQL + """, ev AS (SELECT session, sample AS tm FROM samples WHERE channel = 0 AND value > 90),
 w AS (SELECT ev.session, tm AS event_id, channel, sample - tm AS rel, value, count(*) OVER (PARTITION BY ev.session, tm, channel) AS n FROM ev JOIN samples s ON s.session = ev.session AND sample BETWEEN tm - 3 AND tm + 3)
 SELECT session, event_id, channel, rel, value FROM w WHERE n = 7""")
 def _(spark, d):
     s = D.samples(spark, d)
-    ev = s.where("sample % 10 = 0").select("session", F.col("sample").alias("event_id"), F.col("sample").alias("at")).distinct()
+    ev = s.where("channel = 0 and value > 90").select("session", F.col("sample").alias("event_id"), F.col("sample").alias("at"))
     return J.extract_trials(T.to_blocks(s, 16), ev, 3, 4, 16)
 
 
@@ -88,20 +87,22 @@ def _(spark, d):
 
 
 @query("j11_map_intervals", """WITH x AS (SELECT l_orderkey AS id, l_suppkey AS session, l_partkey * 10 AS a, l_partkey * 10 + CAST(l_quantity AS BIGINT) AS b FROM lineitem),
-y AS (SELECT id, session, CAST(round_even((a - 50 * (session % 3)) * 30000.0::DOUBLE / 20000.0::DOUBLE, 0) AS BIGINT) AS start, least(CAST(round_even((b - 50 * (session % 3)) * 30000.0::DOUBLE / 20000.0::DOUBLE, 0) AS BIGINT), 2000) AS "end" FROM x)
+n AS (SELECT session, CAST(floor(0.9::DOUBLE * max(b)) AS BIGINT) AS n FROM x GROUP BY ALL),
+y AS (SELECT id, x.session, CAST(round_even((a - 50 * (x.session % 3)) * 30000.0::DOUBLE / 20000.0::DOUBLE, 0) AS BIGINT) AS start, least(CAST(round_even((b - 50 * (x.session % 3)) * 30000.0::DOUBLE / 20000.0::DOUBLE, 0) AS BIGINT), CAST(round_even(n * 1.5::DOUBLE, 0) AS BIGINT)) AS "end" FROM x JOIN n USING (session))
 SELECT * FROM y WHERE start >= 0 AND "end" > start""")
 def _(spark, d):
     iv = D.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_suppkey").alias("session"), (F.col("l_partkey") * 10).alias("start"), (F.col("l_partkey") * 10 + F.col("l_quantity").cast("long")).alias("end"))
-    shifts = D.table(spark, d, "supplier").select(F.col("s_suppkey").alias("session"), (50 * (F.col("s_suppkey") % 3)).alias("anchor_sample"), F.lit(20000.0).alias("fs_from"), F.lit(30000.0).alias("fs_to"), F.lit(2000).cast("long").alias("n_samples"))
-    return J.map_intervals(iv, shifts)
+    # A recording on the other clock ends a tenth before the last interval does.
+    ends = iv.groupBy("session").agg(F.rint(F.floor(0.9 * F.max("end")) * 1.5).cast("long").alias("n_samples"))
+    return J.map_intervals(iv, ends.select("session", (50 * (F.col("session") % 3)).alias("anchor_sample"), F.lit(20000.0).alias("fs_from"), F.lit(30000.0).alias("fs_to"), "n_samples"))
 
 
-@query("j17_resample_linear", S_SQL + """, k AS (SELECT session, channel * 100000 + sample AS t, value FROM samples WHERE value IS NOT NULL AND sample % 3 = 0), g AS (SELECT session, channel * 100000 + sample AS t FROM samples),
+@query("j17_resample_linear", S_SQL + """, k AS (SELECT session, channel * 100000 + sample AS t, value FROM samples WHERE value <= 50), g AS (SELECT session, channel * 100000 + sample AS t FROM samples),
 j AS (SELECT g.session, g.t, b.t AS bt, b.value AS bv FROM g ASOF LEFT JOIN k b ON g.session = b.session AND g.t >= b.t), h AS (SELECT j.*, a.t AS nt, a.value AS av FROM j ASOF LEFT JOIN k a ON j.session = a.session AND j.t <= a.t)
 SELECT session, t, round(CASE WHEN bt IS NULL THEN av WHEN nt IS NULL OR nt = bt THEN bv ELSE bv + (av - bv) * (t - bt) / (nt - bt) END, 6) AS value FROM h""")
 def _(spark, d):
     s = D.samples(spark, d).withColumn("t", F.col("channel").cast("long") * 100000 + F.col("sample"))
-    return J.resample_linear(s.where("sample % 3 = 0").select("session", "t", "value"), s.select("session", "t"), "session").withColumn("value", F.round("value", 6))
+    return J.resample_linear(s.where("value <= 50").select("session", "t", "value"), s.select("session", "t"), "session").withColumn("value", F.round("value", 6))
 
 
 @query("j18_within", """WITH e AS (SELECT event_id AS id, epoch_us(ts) / 1000.0::DOUBLE AS tm, event_type FROM events)
@@ -135,9 +136,10 @@ def _(spark, d):
     return A.psth(D.trials(spark, d), ["condition", "bin"]).withColumn("rate", F.round("rate", 6))
 
 
-@query("a15_rate_kinematics", T_SQL + " SELECT condition, round(corr(value, position), 6) AS r FROM trials GROUP BY ALL")
+@query("a15_rate_kinematics", T_SQL + """, b AS (SELECT condition, avg(value) AS m, stddev_samp(value) AS sd FROM trials WHERE bin <= 2 GROUP BY ALL)
+SELECT condition, round(corr((value - m) / sd, position), 6) AS r, count(*) FILTER (value IS NOT NULL AND position IS NOT NULL) AS n FROM trials JOIN b USING (condition) GROUP BY ALL""")
 def _(spark, d):
-    return D.trials(spark, d).groupBy("condition").agg(F.round(F.corr("value", "position"), 6).alias("r"))
+    return A.rate_kinematics_corr(D.trials(spark, d), ["condition"], "bin", 3).withColumn("r", F.round("r", 6))
 
 
 @query("a18_snr", T_SQL + """, t AS (SELECT condition, trial, sum(value ** 2) AS p, sum((value - least(value, 40)) ** 2) AS q FROM trials GROUP BY ALL),
@@ -147,10 +149,10 @@ def _(spark, d):
     return A.snr(t, ["condition", "trial"], ["condition"], "value", "clean").withColumn("snr", F.round("snr", 6))
 
 
-@query("a19_bin_mean", S_SQL + """, k AS (SELECT DISTINCT session, channel FROM samples), sp AS (SELECT session, channel, unnest(range(8)) AS bin FROM k),
+@query("a19_bin_mean", S_SQL + """, k AS (SELECT session, channel, max(sample) // 5 + 1 AS n FROM samples GROUP BY ALL), sp AS (SELECT session, channel, unnest(range(n)) AS bin FROM k),
 g AS (SELECT session, channel, sample // 5 AS bin, avg(value) AS mean FROM samples GROUP BY ALL) SELECT session, channel, bin, round(mean, 6) AS mean FROM sp LEFT JOIN g USING (session, channel, bin)""")
 def _(spark, d):
-    return A.bin_mean(D.samples(spark, d), 5, 8, ["session", "channel"]).withColumn("mean", F.round("mean", 6))
+    return A.bin_mean(D.samples(spark, d), 5, ["session", "channel"]).withColumn("mean", F.round("mean", 6))
 
 
 @query("w8_common_reference", S_SQL + """, m AS (SELECT session, sample, median(value) AS m FROM samples GROUP BY ALL)
@@ -168,8 +170,7 @@ def _(spark, d):
 
 @query("w14_rank_sessions", "SELECT o_custkey, o_orderkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS INTEGER) AS rank FROM orders")
 def _(spark, d):
-    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
-    return D.table(spark, d, "orders").select("o_custkey", "o_orderkey", F.row_number().over(w).alias("rank"))
+    return W.ranked(D.table(spark, d, "orders"), ["o_custkey"], ["o_orderdate", "o_orderkey"], "rank").select("o_custkey", "o_orderkey", "rank")
 
 
 @query("w15_decimate", S_SQL + """, r AS (SELECT *, row_number() OVER (PARTITION BY session, channel ORDER BY sample) - 1 AS r, count(*) OVER (PARTITION BY session, channel) AS n FROM samples)

@@ -20,6 +20,7 @@ def pick_col(df: DataFrame, names: list[str]) -> str | None:
 
 
 def read_metadata(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
+    """A table with a header; lines that don't fit it are left out. encoding: as the file was written, such as ISO-8859-1."""
     return normalise_columns(spark.read.options(header=True, mode="DROPMALFORMED", encoding=encoding).csv(path))
 
 
@@ -39,10 +40,12 @@ def write_rates(rates: DataFrame, path: str) -> None:
 
 
 def parse_impedances(lines: DataFrame, text: str = "value") -> DataFrame:
-    """electrode and kohm from free text; the last line of an electrode wins. lines: text and line_no."""
-    got = lines.select("line_no", F.regexp_extract(text, r"(?i)elec\D*(?:\d+-)?(\d+)\s+(\d+(?:\.\d+)?)\s*(k?)ohm", 0).alias("all"), *(F.regexp_extract(text, r"(?i)elec\D*(?:\d+-)?(\d+)\s+(\d+(?:\.\d+)?)\s*(k?)ohm", i).alias(n) for i, n in ((1, "e"), (2, "x"), (3, "k")))).where("all != ''")
-    kohm = F.col("x").cast("double") * F.when(F.lower("k") == "k", 1.0).otherwise(0.001)
-    return got.select(F.col("e").cast("int").alias("electrode"), "line_no", kohm.alias("kohm")).groupBy("electrode").agg(F.max_by("kohm", "line_no").alias("kohm"))
+    """electrode and kohm from free text, every match of a line; the last of an electrode wins. lines: text and line_no."""
+    pattern = r"(?i)elec\D*(?:\d+-)?(\d+)\s+(\d+(?:\.\d+)?)\s*(k?)(?:ohm|\u03a9|\u2126)"
+    parts = F.arrays_zip(*(F.regexp_extract_all(text, F.lit(pattern), F.lit(i)).alias(n) for i, n in ((1, "e"), (2, "x"), (3, "k"))))
+    got = lines.select("line_no", F.posexplode(parts).alias("nth", "m"))
+    kohm = F.col("m.x").try_cast("double") * F.when(F.lower("m.k") == "k", 1.0).otherwise(0.001)
+    return got.select(F.col("m.e").try_cast("int").alias("electrode"), F.struct("line_no", "nth").alias("at"), kohm.alias("kohm")).groupBy("electrode").agg(F.max_by("kohm", "at").alias("kohm"))
 
 
 def newest_per_key(files: DataFrame, keys: list[str], order: list) -> DataFrame:
@@ -52,3 +55,61 @@ def newest_per_key(files: DataFrame, keys: list[str], order: list) -> DataFrame:
 def complete_sets(files: DataFrame, key: str, kind: str, required: list[str]) -> DataFrame:
     ok = files.where(F.col(kind).isin(required)).groupBy(key).agg(F.count_distinct(kind).alias("n")).where(F.col("n") == len(required))
     return files.join(ok.select(key), key, "left_semi")
+
+
+def read_keypoints(spark: SparkSession, path: str, header_rows: int = 3, likelihood: float | None = None) -> DataFrame:
+    """frame, keypoint, axis and value of a track file whose first rows name each column (scorer, body part, coordinate). The
+    header is a few lines; points below the likelihood are null."""
+    raw = spark.read.option("inferSchema", False).csv(path)
+    head = [r.value for r in spark.read.text(path).limit(header_rows).collect()]
+    parts = [line.split(",") for line in head]
+    names = ["_".join(p[i].strip() for p in parts[1:]) for i in range(len(parts[0]))]
+    body = raw.where(F.col("_c0").try_cast("long").isNotNull())
+    each = F.array(*(F.struct(F.lit(names[i].rsplit("_", 1)[0]).alias("keypoint"), F.lit(names[i].rsplit("_", 1)[1]).alias("axis"), F.col(f"_c{i}").try_cast("double").alias("value")) for i in range(1, len(names))))
+    long = body.select(F.col("_c0").try_cast("long").alias("frame"), F.explode(each).alias("p")).select("frame", "p.*")
+    if likelihood is None:
+        return long
+    sure = long.where("axis = 'likelihood'").select("frame", "keypoint", F.col("value").alias("_l"))
+    return long.where("axis != 'likelihood'").join(sure, ["frame", "keypoint"], "left").withColumn("value", F.when(F.coalesce("_l", F.lit(1.0)) >= likelihood, F.col("value"))).drop("_l")
+
+
+def read_frame_map(spark: SparkSession, path: str) -> DataFrame:
+    """avi, ocr and corrected frame numbers; what isn't a number is null."""
+    d = normalise_columns(spark.read.option("header", True).csv(path))
+    return d.select(*(F.col(c).try_cast("double").cast("long").alias(n) for c, n in (("avi_framenum", "avi"), ("ocr_framenum", "ocr"), ("corrected_framenum", "corrected"))))
+
+
+def frame_map_agrees(frames: DataFrame) -> DataFrame:
+    """last (the last frame with both numbers) and agrees."""
+    last = frames.where("ocr is not null and corrected is not null").agg(F.max_by(F.struct("avi", "ocr", "corrected"), "avi").alias("x"))
+    return last.select(F.col("x.avi").alias("last"), (F.col("x.ocr") == F.col("x.corrected")).alias("agrees"))
+
+
+def write_bundle(samples: DataFrame, path: str, channels: list, digital: DataFrame | None = None) -> None:
+    """The chosen sync channels and all digital ones, a folder for each session."""
+    out = samples.where(F.col("channel").isin(channels)).withColumn("kind", F.lit("sync"))
+    if digital is not None:
+        out = out.unionByName(digital.withColumn("kind", F.lit("digital")), allowMissingColumns=True)
+    out.write.mode("overwrite").partitionBy("session").parquet(path)
+
+
+def read_rates(spark: SparkSession, path: str, optional: tuple[str, ...] = ("blank", "source")) -> DataFrame:
+    """Written rates; optional fields that the writer had not are null."""
+    d = spark.read.parquet(path)
+    return d.withColumns({c: F.lit(None).cast("string") for c in optional if c not in d.columns})
+
+
+def export_aligned(aligned: DataFrame, path: str, meta: str = "align_meta", fields: str = "anchor_ms double, fs double") -> None:
+    """A flat table for other tools: the JSON meta text becomes columns; written as JSON lines."""
+    aligned.withColumn("_m", F.from_json(meta, fields)).select(*(c for c in aligned.columns if c != meta), "_m.*").write.mode("overwrite").json(path)
+
+
+def manifest(windows: DataFrame, keys: list[str]) -> DataFrame:
+    """Events, traces and window length of each output."""
+    return windows.groupBy(*keys).agg(F.count_distinct("event_id").alias("n_events"), F.count_distinct("trace").alias("n_traces"), F.count_distinct("rel_bin").alias("length"))
+
+
+def session_index(files: DataFrame, name: str = "name") -> DataFrame:
+    """session (its YYMMDD_HHMMSS key) and place, from 1, by that key; names without one are dropped."""
+    d = files.select(F.regexp_extract(name, r"(\d{6}_\d{6})", 1).alias("session")).where("session != ''").distinct()
+    return d.withColumn("place", F.row_number().over(Window.orderBy("session")))
