@@ -40,12 +40,12 @@ from .workspace import kept_by, table
 
 LEAF_CHARS = 2048
 LEAF_BYTES = 8
-#: Segments and short windows that a worker keeps, and the longest of them: about 40 MB.
-CACHE, CACHE_CHARS = 200_000, 48
+#: Segments and short windows that a worker keeps, and the longest of them: about 30 MB.
+CACHE, CACHE_CHARS = 150_000, 48
 WINDOWS = 50_000
 #: Longest segment that is encoded beside others.
 SIDE_CHARS = 256
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 _CUT = re.compile(r"(?<=\S)(?= \S)")
 _FIRST = re.compile(r"\S \S")
 _ODD = re.compile(r" \s|[^\S ] ")
@@ -285,9 +285,13 @@ def numbered(df: DataFrame) -> DataFrame:
     return df.toDF(*(f"c{i}" for i in range(len(df.columns))))
 
 
-def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", ids_col: str = "token_ids") -> DataFrame:
-    """docs with all its columns and ids_col, the ids of every whole text."""
+def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", ids_col: str = "token_ids", bytes_col: str | None = None) -> DataFrame:
+    """docs with all its columns and ids_col, the ids of every whole text; and, where bytes_col is named, the bytes that these
+    ids decode to, in the same pass."""
     schema, places = with_column(docs, ids_col, T.ArrayType(T.IntegerType()))
+    if bytes_col:
+        places = [i for i in places if docs.columns[i].lower() != bytes_col.lower()]
+        schema = T.StructType([f for f in schema.fields if f.name.lower() != bytes_col.lower()] + [T.StructField(bytes_col, T.BinaryType())])
     text = docs.columns.index(text_col)
 
     def run(batches):
@@ -296,8 +300,11 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", ids
             for part in _slices(batch, text=text):
                 got = bpe.encode_all([x or "" for x in part.column(text).to_pylist()])
                 ends = np.cumsum([0, *(len(x) // 4 for x in got)]).astype(np.int32)
-                ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(got), dtype="<i4")))
-                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in places), ids], schema.names)
+                values = np.frombuffer(b"".join(got), dtype="<i4")
+                columns = [pa.ListArray.from_arrays(pa.array(ends), pa.array(values))]
+                if bytes_col:
+                    columns.append(pa.array([bpe.decode(values[a:b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())], pa.binary()))
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in places), *columns], schema.names)
 
     return numbered(docs).mapInArrow(run, schema)
 
@@ -327,7 +334,7 @@ def _tokenizer():
 
 def digests(docs: DataFrame) -> DataFrame:
     path, pattern = _tokenizer()
-    got = decode(encode(docs.select("doc_id", "text"), path, pattern).drop("text"), path, pattern)
+    got = encode(docs.select("doc_id", "text"), path, pattern, bytes_col="decoded")
     return got.select(
         "doc_id", F.size("token_ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("token_ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
@@ -338,7 +345,7 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, token_ids and decoded_sha256 of every row; the ids are decoded again, and a text that they don't
     give back fails the stage."""
     path, pattern = _tokenizer()
-    got = decode(encode(docs.select("doc_id", "text"), path, pattern), path, pattern)
+    got = encode(docs.select("doc_id", "text"), path, pattern, bytes_col="decoded")
     got = got.select("doc_id", "token_ids", F.sha2("decoded", 256).alias("decoded_sha256"), (F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")).alias("same"))
     return got.select("doc_id", "token_ids", F.when(F.col("same"), F.col("decoded_sha256")).otherwise(F.raise_error(F.lit("ids don't decode to their text"))).alias("decoded_sha256"))
 
