@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .workspace import kept_by, table
+from .workspace import Kept, kept_by, table
 
 LEAF_CHARS = 2048
 LEAF_BYTES = 8
@@ -46,27 +46,30 @@ WINDOWS = 50_000
 #: Longest segment that is encoded beside others.
 SIDE_CHARS = 256
 SLICE_BYTES = 2 << 20
-_CUT = re.compile(r"(?<=\S)(?= \S)")
+_CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
 _FIRST = re.compile(r"\S \S")
-_ODD = re.compile(r" \s|[^\S ] ")
+#: White space that meets a space or break; and other white space, with which the pattern below looks.
+_MET = ("\0", "  ", " \n", "\n ", "\n\n")
+_RARE = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+_ODD = re.compile(r"[ \n]\s|[^\S \n][ \n]")
 
 
 def segments(text: str) -> list[str]:
-    """text cut before each space between two non-space characters; the quick way holds where no white space meets a space."""
-    if "\0" in text or _ODD.search(text):
+    """text cut before each space or line break between two non-space characters: either begins a match of its own there
+    (a break is one by itself, and the word after it begins the next). The quick way holds where no white space meets one of them."""
+    if any(x in text for x in _MET) or any(x in text for x in _RARE) and _ODD.search(text):
         return _CUT.split(text)
-    if text[-1:] != " ":
-        return text.replace(" ", "\0 ").split("\0")
-    quick = text[:-1].replace(" ", "\0 ").split("\0")
-    quick[-1] += " "
+    end = text[-1:] if text[-1:] in (" ", "\n") else ""
+    quick = (text[:-1] if end else text).replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
+    quick[-1] += end
     return quick
 
 
 def apart(new: list[str]) -> tuple[list[str], list[str]]:
-    """Segments that may stand side by side, as they begin with a space before a word and end with a word; and the others."""
+    """Segments that may stand side by side, as they begin with a space or break before a word and end with a word; and the others."""
     row, rest = [], []
     for x in new:
-        (row if x[:1] == " " and 1 < len(x) <= SIDE_CHARS and not x[1].isspace() and not x[-1].isspace() and "\0" not in x else rest).append(x)
+        (row if x[:1] in (" ", "\n") and 1 < len(x) <= SIDE_CHARS and not x[1].isspace() and not x[-1].isspace() and "\0" not in x else rest).append(x)
     return row, rest
 
 
@@ -78,17 +81,22 @@ def cut_ids(part: list[str], ids: np.ndarray, lengths: np.ndarray) -> list[bytes
     return [packed[a:b] for a, b in zip([0, *ends], ends)]
 
 
-def looked_up(parts: list[list[str]], known: dict[str, bytes], fresh: Callable[[list[str]], dict[str, bytes]], most: int, longest: int) -> list[bytes]:
-    """The ids of each list of segments, back to back; fresh gives those that known lacks. As long as known has
-    under most entries it keeps new ones of at most longest characters; the frequent ones come early."""
-    got = fresh(list(set().union(*parts).difference(known)))
-    room = len(known) < most
-    known.update(got)
-    out = [b"".join(map(known.__getitem__, p)) for p in parts]
-    for x in got:
-        if not room or len(x) > longest:
-            del known[x]
-    return out
+def looked_up(parts: list[list[str]], known: Kept, fresh: Callable[[list[str]], dict[str, bytes]], most: int, longest: int) -> list[bytes]:
+    """The ids of each list of segments, back to back; fresh gives those that known lacks. As long as known has under most
+    entries it keeps those of at most longest characters that come a second time, as most words that come once never come again."""
+    different = set().union(*parts)
+    here = dict(zip(different, map(known.get, different)))
+    got = fresh([x for x, v in here.items() if v is None])
+    here.update(got)
+    seen, mask = known.seen, len(known.seen) - 1
+    if len(known) < most:
+        for x, v in got.items():
+            at = hash(x) & mask
+            if seen[at] and len(x) <= longest:
+                known[x] = v
+            else:
+                seen[at] = 1
+    return [b"".join(map(here.__getitem__, p)) for p in parts]
 
 
 class Ranks:
@@ -173,7 +181,7 @@ class Ranks:
         return struct.pack(f"<{len(ids)}i", *ids)
 
     def fresh(self, new: list[str]) -> dict[str, bytes]:
-        """Ids of different segments. Those that begin with the only space before a word stand one after the other, as
+        """Ids of different segments. Those that begin with the only space or break before a word stand one after the other, as
         they would in a text, and are told apart by their lengths in bytes; long ones go by the tree."""
         row, rest = apart(new)
         out = {x: self.plain(x) if len(x) > SIDE_CHARS else self.short.encode_to_numpy(x).astype("<i4").tobytes() for x in rest}

@@ -42,9 +42,9 @@ BLOCKS = "part int, block int, part_start long, dict_sha256 string, width int, f
 class Encoder:
     """Ids of whole texts by a file of the tokenizers library.
 
-    A space between two non-space characters begins a match of the byte-level pattern whatever
+    A space or line break between two non-space characters begins a match of the byte-level pattern whatever
     stands around, so the text is cut there and each different segment is encoded once. New segments
-    that begin with such a space are encoded side by side, as they would stand in a text, and told
+    that begin with one are encoded side by side, as they would stand in a text, and told
     apart by the lengths of their tokens in bytes."""
 
     def __init__(self, path: str, special_as_text: bool = False):
@@ -62,7 +62,7 @@ class Encoder:
         for i, token in self.tokenizer.get_added_tokens_decoder().items():
             self.lengths[i] = len(token.content.encode())
 
-    def fresh(self, new: list[str], side: int = 64) -> dict[str, bytes]:
+    def fresh(self, new: list[str], side: int = 32) -> dict[str, bytes]:
         row, rest = apart(new)
         parts = [row[k : k + side] for k in range(0, len(row), side)] + [[x] for x in rest]
         out = {}

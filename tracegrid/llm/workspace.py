@@ -16,7 +16,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
 _made: list[list[str]] = []
-_held: dict[str, dict] = {}
+
+
+class Kept(dict):
+    """A dictionary with marks of what came before (by hash)."""
+
+    def __init__(self):
+        super().__init__()
+        self.seen = bytearray(1 << 22)
+
+
+_held: dict[str, Kept] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -86,10 +96,10 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-def kept_by(owner: str) -> dict:
+def kept_by(owner: str) -> Kept:
     """A Python worker's dictionary for one operator. Workers are used again by other operators, so only
     the latest one's stays."""
     if owner not in _held:
         _held.clear()
-        _held[owner] = {}
+        _held[owner] = Kept()
     return _held[owner]
