@@ -33,8 +33,8 @@ from pyspark.sql.window import Window
 from .byte_bpe import _slices, apart, cut_ids, looked_up, segments
 from .workspace import kept_by, new_path, table
 
-#: Segments that a worker keeps, and the longest of them: about 80 MB.
-CACHE, CACHE_CHARS = 400_000, 48
+#: Segments that a worker keeps, and the longest of them: about 150 MB.
+CACHE, CACHE_CHARS = 800_000, 48
 BLOCK_BYTES = 1 << 20
 BLOCKS = "part int, block int, part_start long, dict_sha256 string, width int, first_id long, last_id long, doc_ids array<long>, offsets array<int>, n_tokens array<int>, payload binary"
 
@@ -133,7 +133,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, *, end_id: int = 0, level:
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], names)
 
         for batch in batches:
-            for piece in _slices(batch, text=1):
+            for piece in _slices(batch, rows=1024, text=1):
                 part = piece.column(2)[0].as_py()
                 for i, x in zip(piece.column(0).to_pylist(), enc.encode([t or "" for t in piece.column(1).to_pylist()])):
                     frame = squeeze.compress(_narrow(x, end_id, width))
