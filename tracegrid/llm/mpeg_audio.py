@@ -1,10 +1,11 @@
-"""Media columns: MPEG-1 Layer III audio.
+"""Media columns: MPEG Layer III audio.
 
 write() stores bytes losslessly as the ancillary data of silent, checksummed Layer III frames
 behind an ID3v2 tag and a Xing frame with a table of contents; the last frames take smaller
-bit rates, so the stream has a variable bit rate. parse() reads any MPEG-1 Layer III stream:
-it skips tags, resynchronises on chains of frame headers, verifies the checksums and gives the
-exact duration in samples and the byte offset of every frame.
+bit rates, so the stream has a variable bit rate. parse() reads any Layer III stream of MPEG-1,
+MPEG-2 or MPEG-2.5: it reads ID3v2.2 to v2.4 and ID3v1 tags and Xing, Info and VBRI tables,
+resynchronises on chains of frame headers of one version and rate, verifies the checksums and
+gives the exact duration in samples and the byte offset of every frame.
 
 Defined cases: null is stored as an empty text, which is 64 zero bytes; equal texts give equal
 streams; garbage before, between or after frames is skipped and counted; a column without any
@@ -24,11 +25,17 @@ from pyspark.sql import functions as F
 
 from .workspace import materialize, table
 
-# Fixed values of the format: kbit/s by index, Hz by index.
+# Fixed values of the format: kbit/s by index (of MPEG-1, of MPEG-2 and 2.5), Hz by index.
 BITRATES = (0, 32, 40, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320)
+LOW_BITRATES = (0, 8, 16, 24, 32, 40, 48, 56, 64, 80, 96, 112, 128, 144, 160)
 RATES = (44100, 48000, 32000)
-SAMPLES = 1152
+SAMPLES, LOW_SAMPLES = 1152, 576
 SIDE_MONO, SIDE_STEREO = 17, 32
+LOW_SIDE_MONO, LOW_SIDE_STEREO = 9, 17
+#: Bits of the version in a frame header, and what its rates are divided by.
+VERSIONS = {3: 1, 2: 2, 0: 4}
+#: Text encodings of ID3v2 by their first byte.
+ENCODINGS = ("latin-1", "utf-16", "utf-16-be", "utf-8")
 RATE_INDEX = 2
 HEAD = 4 + 2 + SIDE_MONO  # header, checksum, side information of a mono frame
 LENGTHS = [144 * b * 1000 // RATES[RATE_INDEX] for b in BITRATES]
@@ -105,20 +112,68 @@ class Stream:
     samples: int = 0
     bad_checksums: int = 0
     skipped: int = 0
-    vbr: tuple[int, int, bytes] | None = None  # frames, bytes, table of contents
+    vbr: tuple[int | None, int | None, bytes] | None = None  # frames, bytes, table of contents
     offsets: list[int] = field(default_factory=list)
     bodies: list[bytes] = field(default_factory=list)
 
 
-def _header(data: bytes, at: int) -> tuple[int, int, int, bool] | None:
-    """Length, rate, side information's length and protection of a frame header at this place."""
-    if at + 4 > len(data) or data[at] != 0xFF or data[at + 1] & 0xFE != 0xFA:
+def _header(data: bytes, at: int) -> tuple[int, int, int, bool, int] | None:
+    """Length, rate, side information's length, protection and samples of a frame header at this place."""
+    if at + 4 > len(data) or data[at] != 0xFF or data[at + 1] & 0xE6 != 0xE2:
         return None
-    b, r = data[at + 2] >> 4, data[at + 2] >> 2 & 3
-    if not 0 < b < 15 or r == 3:
+    by, b, r = VERSIONS.get(data[at + 1] >> 3 & 3), data[at + 2] >> 4, data[at + 2] >> 2 & 3
+    if by is None or not 0 < b < 15 or r == 3:
         return None
-    length = 144000 * BITRATES[b] // RATES[r] + (data[at + 2] >> 1 & 1)
-    return length, RATES[r], SIDE_MONO if data[at + 3] >> 6 == 3 else SIDE_STEREO, not data[at + 1] & 1
+    mono, rate, guarded = data[at + 3] >> 6 == 3, RATES[r] // by, not data[at + 1] & 1
+    bits, samples, sides = (BITRATES, SAMPLES, (SIDE_STEREO, SIDE_MONO)) if by == 1 else (LOW_BITRATES, LOW_SAMPLES, (LOW_SIDE_STEREO, LOW_SIDE_MONO))
+    return samples * 125 * bits[b] // rate + (data[at + 2] >> 1 & 1), rate, sides[mono], guarded, samples
+
+
+def _tags(data: bytes, at: int, end: int) -> tuple[dict[str, str], int]:
+    """The text frames of an ID3v2 tag at this place, and where it ends. Frames of version 2 have short heads,
+    those of 3 plain sizes and those of 4 sizes in groups of 7 bits; user texts go by their description."""
+    version, flags, found = data[at + 3], data[at + 5], {}
+    stop = min(at + 10 + _unsyncsafe(int.from_bytes(data[at + 6 : at + 10])), end)
+    body = data[at + 10 : stop]
+    if flags & 0x80 and version < 4:
+        body = body.replace(b"\xff\x00", b"\xff")
+    wide, p = (4 if version > 2 else 3), 0
+    head = 10 if version > 2 else 6
+    number = (lambda raw: _unsyncsafe(int.from_bytes(raw))) if version == 4 else int.from_bytes
+    if flags & 0x40 and version > 2:  # an extended header: version 4 counts its size field too
+        p = number(body[:4]) + (4 if version == 3 else 0)
+    while p + head <= len(body) and body[p : p + wide].strip(b"\0"):
+        name, n = body[p : p + wide].decode("latin-1"), number(body[p + wide : p + 2 * wide])
+        text = body[p + head : p + head + n]
+        if version == 4 and body[p + 9] & 2:
+            text = text.replace(b"\xff\x00", b"\xff")
+        if version == 4 and body[p + 9] & 1:
+            text = text[4:]
+        p += head + n
+        packed = version > 2 and body[p - n - 1] & (0x0C if version == 4 else 0xC0)
+        if name[0] != "T" or not text or text[0] >= len(ENCODINGS) or packed:
+            continue
+        parts = text[1:].decode(ENCODINGS[text[0]], "replace").split("\0")
+        parts = [x.removeprefix("\ufeff") for x in parts]
+        if name in ("TXXX", "TXX") and len(parts) > 1:
+            found[parts[0]] = parts[1]
+        else:
+            found[name] = parts[0]
+    return found, min(stop + (10 if flags & 0x10 and version == 4 else 0), end)
+
+
+def _vbr(data: bytes, at: int, body: int, stop: int) -> tuple[int | None, int | None, bytes] | None:
+    """Frames, bytes and table of contents of a frame that holds a variable bit rate table, with None for what its flags leave out."""
+    if data[body : body + 4] in (b"Xing", b"Info") and body + 8 <= stop:
+        flags, p, told = data[body + 7], body + 8, []
+        for bit in (1, 2):
+            told.append(int.from_bytes(data[p : p + 4]) if flags & bit and p + 4 <= stop else None)
+            p += 4 if flags & bit else 0
+        return told[0], told[1], data[p : min(p + 100, stop)] if flags & 4 else b""
+    if data[at + 36 : at + 40] == b"VBRI" and at + 62 <= stop:
+        entries, _, width, _ = struct.unpack(">4H", data[at + 54 : at + 62])
+        return int.from_bytes(data[at + 50 : at + 54]), int.from_bytes(data[at + 46 : at + 50]), data[at + 62 : min(at + 62 + entries * width, stop)]
+    return None
 
 
 def parse(data: bytes, chain: int = 2) -> Stream:
@@ -126,39 +181,41 @@ def parse(data: bytes, chain: int = 2) -> Stream:
     out, at, end, locked = Stream(), 0, len(data), False
     while at < end:
         if data[at : at + 3] == b"ID3" and at + 10 <= end:
-            stop = at + 10 + _unsyncsafe(int.from_bytes(data[at + 6 : at + 10]))
-            p = at + 10
-            while p + 10 <= min(stop, end) and data[p : p + 4].strip(b"\0"):
-                n = _unsyncsafe(int.from_bytes(data[p + 4 : p + 8]))
-                if data[p : p + 4] == b"TXXX":
-                    key, _, value = data[p + 11 : p + 10 + n].partition(b"\0")
-                    out.tags[key.decode("utf-8", "replace")] = value.decode("utf-8", "replace")
-                p += 10 + n
-            at = min(stop, end)
+            found, at = _tags(data, at, end)
+            out.tags.update(found)
             continue
         if data[at : at + 3] == b"TAG" and end - at == 128:
+            for name, a, b in (("title", 3, 33), ("artist", 33, 63), ("album", 63, 93), ("year", 93, 97)):
+                if text := data[at + a : at + b].partition(b"\0")[0].decode("latin-1").rstrip():
+                    out.tags.setdefault(name, text)
             break
-        h, p, left = _header(data, at), at, 1 if locked else chain
-        while h and left and p < end:  # a frame counts if it ends in another header or the end
+        first = h = _header(data, at)
+        p, left = at, 1 if locked else chain
+        while h and left:  # a frame counts if it ends in another header of its kind, a last tag or the end
             p, left = p + h[0], left - 1
-            h = _header(data, p) if p < end and left else h
+            if p >= end or end - p == 128 and data[p : p + 3] == b"TAG":
+                break
+            h = _header(data, p) if left else h
+            if h and (h[1], h[4]) != (first[1], first[4]):
+                h = None
         if not h or p > end:
             nxt = data.find(b"\xff", at + 1)
             tag = data.find(b"ID3", at + 1, nxt if nxt > 0 else end)
             stop = tag if tag > 0 else nxt if nxt > 0 else end
+            if 0 < end - 128 < stop and at < end - 128 and data[end - 128 : end - 125] == b"TAG":
+                stop = end - 128
             out.skipped, at, locked = out.skipped + stop - at, stop, False
             continue
-        length, rate, side, guarded = _header(data, at)
+        length, rate, side, guarded, samples = first
         body = at + 4 + 2 * guarded + side
         if guarded and crc16(data[at + 2 : at + 4] + data[at + 6 : body]) != int.from_bytes(data[at + 4 : at + 6]):
             out.bad_checksums += 1
-        if not out.offsets and not out.vbr and data[body : body + 4] in (b"Xing", b"Info"):
-            _, n, size = struct.unpack(">III", data[body + 4 : body + 16])
-            out.vbr = n, size, data[body + 16 : body + 116]
+        if not out.offsets and not out.vbr and (vbr := _vbr(data, at, body, at + length)):
+            out.vbr = vbr
         else:
             out.offsets.append(at)
             out.bodies.append(data[body : at + length])
-            out.rate, out.samples = rate, out.samples + SAMPLES
+            out.rate, out.samples = rate, out.samples + samples
         at, locked = at + length, True
     return out
 

@@ -7,7 +7,7 @@ from importlib.util import find_spec
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, kneser_ney, license_scan, mixing, mpeg_audio, near_dedup, quality_rules, token_output, url_filters, warc
+from . import byte_bpe, kneser_ney, license_scan, mixing, mpeg_audio, near_dedup, oracle, quality_rules, token_output, url_filters, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -31,4 +31,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracle.oracle_sql()

@@ -26,6 +26,8 @@ from .workspace import materialize, new_path, table
 
 MAGIC = "WARC/1.0\r\n"
 TAIL = "\r\n\r\n"
+#: Fixed value: the digits of base 32.
+DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 #: Fixed value of the format: a revisit of an identical payload.
 PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 
@@ -34,7 +36,7 @@ def base32_sha1(payload) -> F.Column:
     """Upper-case base 32 of the SHA-1: four times 40 bits are 8 digits each, in the alphabet of base 32."""
     hexa = F.sha1(payload)
     parts = (F.lpad(F.conv(F.substring(hexa, i, 10), 16, 32), 8, "0") for i in (1, 11, 21, 31))
-    return F.translate(F.concat(*parts), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
+    return F.translate(F.concat(*parts), "0123456789ABCDEFGHIJKLMNOPQRSTUV", DIGITS)
 
 
 def revisits(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
