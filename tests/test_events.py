@@ -125,3 +125,17 @@ def test_impedances(spark):
     lines = ["elec1-5   201 kOhm and elec6 300 Ohm", "nothing 12", "Elec 5 90.5 kΩ"]
     got = pairs(T.parse_impedances(spark.createDataFrame(list(enumerate(lines)), "line_no long, value string")), "electrode", "kohm")
     assert got == [(5, 90.5), (6, 0.3)]
+
+
+def test_still_windows_fit(spark):
+    p = spark.createDataFrame([("a", 0, 10, 20), ("a", 0, 40, 43), ("b", 1, 0, 4)], "session string, channel int, start long, end long")
+    got = sorted(tuple(r) for r in E.still_windows(p, 5, 3).collect())
+    assert got == [("a", 0, 10, 14), ("a", 0, 13, 17), ("a", 0, 16, 20), ("b", 1, 0, 4)]
+
+
+def test_gradient_and_bias(spark):
+    from tracegrid.operators import screening as K
+
+    t = spark.createDataFrame([(1, 0, 1.0), (1, 1, 4.0), (1, 2, 9.0), (2, 0, 5.0), (3, 0, None), (3, 1, 2.0)], "trial int, bin int, value double")
+    assert sorted(((r.trial, r.bin, r.value) for r in K.gradient(t, ["trial"], "bin").collect()), key=lambda r: r[:2]) == [(1, 0, 3.0), (1, 1, 4.0), (1, 2, 5.0), (2, 0, None), (3, 0, None), (3, 1, None)]
+    assert sorted(((r.trial, r.bin, r.value) for r in K.remove_bias(t, ["trial"], "bin", 0, 0).collect()), key=lambda r: r[:2]) == [(1, 0, 0.0), (1, 1, 3.0), (1, 2, 8.0), (2, 0, 0.0), (3, 0, None), (3, 1, 2.0)]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import blocks as B
+from .screening import remove_bias
 
 
 def lookup(df: DataFrame, meta: DataFrame, key: str, value: str, order: str, last: bool = True) -> DataFrame:
@@ -155,8 +156,11 @@ def resample_linear(df: DataFrame, grid: DataFrame, by: str, at: str = "t", widt
     return d.select(by, at, value.alias("value"))
 
 
-def align_to_peak(trials: DataFrame, by: list[str], at: str, lo: int, hi: int, before: int, after: int) -> DataFrame:
-    """Rows in [peak - before, peak + after] of each trial, the peak being the first largest absolute value in [lo, hi]."""
+def align_to_peak(trials: DataFrame, by: list[str], at: str, lo: int, hi: int, before: int, after: int, bias: int = 0) -> DataFrame:
+    """Rows in [peak - before, peak + after] of each trial, the peak being the first largest absolute value in [lo, hi].
+    bias: the mean of the first so many places of [lo, hi] is taken off first."""
+    if bias:
+        trials = remove_bias(trials, by, at, lo, lo + bias - 1)
     inside = F.when(F.col(at).between(lo, hi) & F.col("value").isNotNull(), F.struct((-F.abs("value")).alias("s"), F.col(at).alias("at")))
     peak = trials.groupBy(*by).agg(F.min(inside)["at"].alias("peak"))
     d = trials.join(peak.where("peak is not null"), by).withColumn("rel", F.col(at) - F.col("peak"))

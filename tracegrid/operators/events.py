@@ -178,6 +178,13 @@ def still_periods(df: DataFrame, width: int, limit: float, least: int, by=BY) ->
     return m.groupBy(*by, "run").agg(F.min("sample").alias("start"), F.max("sample").alias("end"), F.count("*").alias("n")).where(F.col("n") >= least).drop("run")
 
 
+def still_windows(periods: DataFrame, length: int, step: int, by=BY) -> DataFrame:
+    """start and end of the windows of length samples, every step, that fit into each still period."""
+    d = periods.where(F.col("end") - F.col("start") + 1 >= length)
+    d = d.select(*by, F.explode(F.sequence(F.col("start"), F.col("end") - (length - 1), F.lit(step).cast("long"))).alias("start"))
+    return d.withColumn("end", F.col("start") + (length - 1))
+
+
 def first_sign_change(df: DataFrame, lo: int | str, hi: int | str, by=BY) -> DataFrame:
     """The first sample in [lo, hi] (numbers, or columns that hold each key's own) whose sign differs from the one before, by key."""
     lo, hi = (F.col(x) if isinstance(x, str) else F.lit(x) for x in (lo, hi))

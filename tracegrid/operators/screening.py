@@ -63,6 +63,29 @@ def screen_trials(windows: DataFrame, by: list[str], at: str, limits: list[tuple
     return windows.join(windows.groupBy(*by).agg(*tops).where(ok).select(*by), by, "left_semi")
 
 
+def remove_bias(windows: DataFrame, by: list[str], at: str, lo: int, hi: int) -> DataFrame:
+    """value less the key's mean in [lo, hi]; a key without values there keeps its own."""
+    bias = windows.groupBy(*by).agg(F.avg(F.when(F.col(at).between(lo, hi), F.col("value"))).alias("_bias"))
+    return windows.join(bias, by).withColumn("value", F.col("value") - F.coalesce("_bias", F.lit(0.0))).select(*windows.columns)
+
+
+def gradient(windows: DataFrame, by: list[str], at: str) -> DataFrame:
+    """Half the difference of the values beside each row of a trial; at its ends the difference to the only one. A trial of one row has none."""
+    w = Window.partitionBy(*by).orderBy(at)
+    before, after = F.lag("value").over(w), F.lead("value").over(w)
+    first, last = F.lag(F.lit(1)).over(w).isNull(), F.lead(F.lit(1)).over(w).isNull()
+    d = F.when(first, after - F.col("value")).when(last, F.col("value") - before).otherwise((after - before) / 2)
+    return windows.withColumn("value", d)
+
+
+def trim_to_shortest(windows: DataFrame, by: list[str], at: str, group: list[str]) -> DataFrame:
+    """The rows of each trial up to the length of its group's shortest trial; rows count from each trial's first."""
+    span = windows.groupBy(*group, *(c for c in by if c not in group)).agg(F.min(at).alias("_from"), F.count("*").alias("_n"))
+    least = span.groupBy(*group).agg(F.min("_n").alias("_n"))
+    d = windows.join(span.drop("_n"), list(dict.fromkeys([*group, *by]))).join(least, group)
+    return d.where(F.col(at) < F.col("_from") + F.col("_n")).select(*windows.columns)
+
+
 def neighbours(channels: DataFrame, least: float, most: float) -> DataFrame:
     """channel and neighbour at a distance in [least, most]; places meet in square cells of that width."""
     cell = lambda c: F.floor(F.col(c) / most)

@@ -217,6 +217,14 @@ def _(spark, d):
     return E.still_periods(D.samples(spark, d), 5, 50, 6)
 
 
+@query("e12_still_windows", "WITH " + D.SAMPLES + """, s AS (SELECT session, channel, sample, CAST(avg(abs(value)) OVER (PARTITION BY session, channel ORDER BY sample ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) <= 50 AS INTEGER) AS still FROM samples),
+r AS (SELECT *, sample - sum(still) OVER (PARTITION BY session, channel ORDER BY sample) AS run FROM s),
+p AS (SELECT session, channel, min(sample) AS a, max(sample) AS b FROM r WHERE still = 1 GROUP BY session, channel, run HAVING count(*) >= 4),
+x AS (SELECT session, channel, unnest(range(a, b - 3, 2)) AS start FROM p) SELECT session, channel, start, start + 4 AS "end" FROM x""")
+def _(spark, d):
+    return E.still_windows(E.still_periods(D.samples(spark, d), 5, 50, 4), 5, 2)
+
+
 @query("e13_first_sign_change", "WITH " + D.SAMPLES + """, n AS (SELECT session, channel, count(*) AS n FROM samples GROUP BY ALL), s AS (SELECT s.session, s.channel, sample, sign(value - 50) AS g, lag(sign(value - 50)) OVER (PARTITION BY s.session, s.channel ORDER BY sample) AS b
  FROM samples s JOIN n USING (session, channel) WHERE value IS NOT NULL AND sample BETWEEN n // 4 AND n) SELECT session, channel, min(sample) AS sample FROM s WHERE g <> b GROUP BY ALL""")
 def _(spark, d):

@@ -125,6 +125,14 @@ def _(spark, d):
     return J.align_to_peak(D.trials(spark, d).select("trial", "bin", "value"), ["trial"], "bin", 1, 5, 2, 2)
 
 
+@query("j24_align_without_bias", T_SQL + """, b AS (SELECT trial, avg(CASE WHEN bin BETWEEN 1 AND 2 THEN value END) AS bias FROM trials GROUP BY ALL),
+v AS (SELECT trial, bin, value - coalesce(bias, 0) AS value FROM trials JOIN b USING (trial)),
+p AS (SELECT trial, arg_min(bin, (-abs(value), bin)) AS peak FROM v WHERE bin BETWEEN 1 AND 5 AND value IS NOT NULL GROUP BY ALL)
+SELECT trial, CAST(bin - peak AS INTEGER) AS rel, value FROM v JOIN p USING (trial) WHERE bin - peak BETWEEN -2 AND 2""")
+def _(spark, d):
+    return J.align_to_peak(D.trials(spark, d).select("trial", "bin", "value"), ["trial"], "bin", 1, 5, 2, 2, bias=2)
+
+
 @query("a3_median_line", T_SQL + """, b AS (SELECT trial, median(value) AS base FROM trials WHERE bin < 3 AND value IS NOT NULL GROUP BY ALL)
 SELECT condition, bin, round(median(value - base), 6) AS median, count(value) AS n FROM trials JOIN b USING (trial) GROUP BY ALL""")
 def _(spark, d):
@@ -185,6 +193,23 @@ def _(spark, d):
     return K.screen_trials(D.trials(spark, d).select("trial", "bin", "value"), ["trial"], "bin", [(1, 3, 45.0), (3, 9, 48.0)])
 
 
+@query("w16_gradient_screen", T_SQL + """, g AS (SELECT trial, bin, value AS own, lag(value) OVER w AS b, lead(value) OVER w AS a, lag(1) OVER w AS f, lead(1) OVER w AS l FROM trials WINDOW w AS (PARTITION BY trial ORDER BY bin)),
+v AS (SELECT trial, bin, CASE WHEN f IS NULL THEN a - own WHEN l IS NULL THEN own - b ELSE (a - b) / 2 END AS value FROM g)
+SELECT trial, bin, value FROM v WHERE trial IN (SELECT trial FROM v GROUP BY ALL HAVING coalesce(max(CASE WHEN bin >= 3 AND bin < 9 THEN abs(value) END), 0) <= 20)""")
+def _(spark, d):
+    v = K.gradient(D.trials(spark, d).select("trial", "bin", "value"), ["trial"], "bin")
+    return K.screen_trials(v, ["trial"], "bin", [(3, 9, 20.0)])
+
+
+@query("w16_trim_without_bias", T_SQL + """, b AS (SELECT trial, avg(CASE WHEN bin BETWEEN 1 AND 3 THEN position END) AS bias, count(*) AS n FROM trials GROUP BY ALL),
+s AS (SELECT o_custkey AS customer, min(n) AS n FROM b JOIN orders ON o_orderkey = trial GROUP BY ALL)
+SELECT o_custkey AS customer, trial, bin, round(position - coalesce(bias, 0), 6) AS value FROM trials JOIN b USING (trial) JOIN orders ON o_orderkey = trial JOIN s ON s.customer = o_custkey WHERE bin <= s.n""")
+def _(spark, d):
+    o = D.table(spark, d, "orders").select(F.col("o_orderkey").alias("trial"), F.col("o_custkey").alias("customer"))
+    t = D.trials(spark, d).select("trial", "bin", F.col("position").alias("value")).join(o, "trial")
+    return K.trim_to_shortest(K.remove_bias(t, ["trial"], "bin", 1, 3), ["trial"], "bin", ["customer"]).select("customer", "trial", "bin", F.round("value", 6).alias("value"))
+
+
 @query("m4_local_template", T_SQL + """, t AS (SELECT condition, trial, bin, value, avg(value) OVER (PARTITION BY condition, bin ORDER BY trial ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS template FROM trials)
 SELECT condition, trial, bin, round(template, 6) AS template, round(value - coalesce(template, 0), 6) AS value FROM t""")
 def _(spark, d):
