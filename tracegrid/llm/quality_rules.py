@@ -158,13 +158,15 @@ def learn(x: dict[str, np.ndarray], bad: np.ndarray, *, min_precision: float = 0
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", max_labelled: int = 20_000, **params) -> list[list[Test]]:
-    """Learns from at most about max_labelled labelled rows (a documented bound), picked by a hash of the id over all of
-    them; statistics are taken of these alone."""
+    """Learns from at most about max_labelled labelled ids (a documented bound, at most twice that many), picked by a hash
+    of the id over all of them; statistics are taken of their rows alone, where these lie. Of rows with the same id the
+    one whose text has the least hash counts."""
     lab = labels.where("quality is not null").select(F.col(id_col).alias("id"), "quality").where("id is not null").groupBy("id").agg(F.min("quality").alias("quality"))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(lab, "id")
-    n = rows.count()
+    picked = lab.join(docs.select(F.col(id_col).alias("id")), "id", "left_semi")
+    n = picked.count()
     if n > max_labelled:
-        rows = rows.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < F.lit(int(1_000_000 * max_labelled / n))).limit(2 * max_labelled)
+        picked = picked.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < F.lit(int(1_000_000 * max_labelled / n))).limit(2 * max_labelled)
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(picked), "id")
     stats = with_statistics(rows, stats_col="stats").select("id", "quality", F.xxhash64("text").alias("h"), "stats")
     one = stats.groupBy("id", "quality").agg(F.min_by("stats", "h").alias("stats"))
     got = one.select("stats.*", "quality", "id").toPandas().sort_values("id")
