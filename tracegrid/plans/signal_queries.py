@@ -102,10 +102,10 @@ def _(spark, d):
     return R.remove_artifacts_pca(_snippets(spark, d), 0).withColumn("value", F.round("value", 6))
 
 
-@query("m3_interpulse_ramp", S_SQL + """, v AS (SELECT session, channel, sample, coalesce(value, 0) AS value FROM samples), g AS (SELECT session, channel, sample AS start, sample + 6 AS "end", value AS v0 FROM v WHERE sample % 6 = 0 AND false),
+@query("m3_interpulse_ramp", S_SQL + """, v AS (SELECT session, channel, sample, coalesce(value, 0) AS value FROM samples),
 k AS (SELECT session, channel, (sample // 10) * 10 + 2 AS start, (sample // 10) * 10 + 8 AS "end", any_value(sample) AS x FROM v GROUP BY session, channel, sample // 10),
 f AS (SELECT k.*, v.value AS v0 FROM k JOIN v ON v.session = k.session AND v.channel = k.channel AND v.sample = k.start)
-SELECT v.session, v.channel, v.sample, round(value - coalesce(v0 * (1 - (v.sample - start) / 6.0::DOUBLE), 0), 6) AS value FROM v LEFT JOIN f ON f.session = v.session AND f.channel = v.channel AND v.sample >= start AND v.sample < "end\"""".replace(""" g AS (SELECT session, channel, sample AS start, sample + 6 AS "end", value AS v0 FROM v WHERE sample % 6 = 0 AND false),""", ""))
+SELECT v.session, v.channel, v.sample, round(value - coalesce(v0 * (1 - (v.sample - start) / 6.0::DOUBLE), 0), 6) AS value FROM v LEFT JOIN f ON f.session = v.session AND f.channel = v.channel AND v.sample >= start AND v.sample < "end\"""")
 def _(spark, d):
     s = _signal(spark, d).withColumn("value", F.coalesce("value", F.lit(0.0)))
     gaps = s.select(*SC, (F.floor(F.col("sample") / 10) * 10 + 2).alias("start"), (F.floor(F.col("sample") / 10) * 10 + 8).alias("end")).distinct()
