@@ -7,7 +7,7 @@ from importlib.util import find_spec
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, kneser_ney, license_scan, mixing, mpeg_audio, near_dedup, oracle, quality_rules, token_output, url_filters, warc
+from . import byte_bpe, kneser_ney, license_scan, mixing, mpeg_audio, near_dedup, oracle, pii, quality_rules, token_output, url_filters, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_mpeg_audio": mpeg_audio.op7_mpeg_audio,
         "op8_byte_bpe": byte_bpe.op8_byte_bpe,
         "op10_quality_rules": quality_rules.op10_quality_rules,
+        "op11_pii": pii.op11_pii,
     }
     if find_spec("corpus_pipeline"):
         import corpus_pipeline
