@@ -7,7 +7,7 @@ from importlib.util import find_spec
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, kneser_ney, license_scan, mixing, mpeg_audio, near_dedup, oracle, pii, quality_rules, token_output, url_filters, warc
+from . import byte_bpe, kneser_ney, license_scan, mixing, mpeg_audio, near_dedup, oracle, pii, quality_rules, token_output, url_filters, warc, whitening
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_byte_bpe": byte_bpe.op8_byte_bpe,
         "op10_quality_rules": quality_rules.op10_quality_rules,
         "op11_pii": pii.op11_pii,
+        "op12_whitening": whitening.op12_whitening,
     }
     if find_spec("corpus_pipeline"):
         import corpus_pipeline
