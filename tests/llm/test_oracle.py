@@ -23,7 +23,7 @@ def duck(sql, **paths):
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_small_tables(spark, name):
     got = registry.queries()[name](spark, SF)
-    want = duck(registry.oracle_sql()[name], documents=f"{SF}/documents.parquet", pages=f"{SF}/pages.parquet")
+    want = duck(registry.oracle_sql()[name], **{t: f"{SF}/{t}.parquet" for t in ("documents", "pages", "benchmark")})
     assert rows(got.columns, [tuple(r) for r in got.collect()]) == want
 
 

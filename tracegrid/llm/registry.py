@@ -7,7 +7,7 @@ from importlib.util import find_spec
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, kneser_ney, license_scan, mixing, mpeg_audio, near_dedup, oracle, pii, quality_rules, token_output, url_filters, warc, whitening
+from . import byte_bpe, kneser_ney, license_scan, mixing, mpeg_audio, near_dedup, oracle, pii, quality_rules, ranked_search, token_output, url_filters, warc, whitening
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -24,6 +24,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_quality_rules": quality_rules.op10_quality_rules,
         "op11_pii": pii.op11_pii,
         "op12_whitening": whitening.op12_whitening,
+        "op13_ranked_search": ranked_search.op13_ranked_search,
     }
     if find_spec("corpus_pipeline"):
         import corpus_pipeline

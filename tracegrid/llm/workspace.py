@@ -46,13 +46,13 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tracegrid/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: same rows, no lineage, known size."""
+def materialize(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Writes df to the shared folder, in a folder for each value of by, and reads it back: same rows, no lineage, known size."""
     spark = df.sparkSession
     path = new_path(spark, name)
     if _made:
         _made[-1].append(path)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").parquet(path, partitionBy=by)
     return spark.read.schema(df.schema).parquet(path)
 
 
