@@ -96,11 +96,72 @@ def test_artifacts_by_components(spark):
     base = x[2:].mean(axis=0)
     v = np.linalg.svd(x[2:] - base)[2][:3]
     assert np.abs(got - (x - base - (x - base) @ v.T @ v)).max() < 1e-9 and np.abs(got).max() < 0.1
-    one = R.remove_artifacts_pca(d.where("pulse = 0"), 0).collect()
-    assert all(abs(r.value) < 1e-9 for r in one)
+    for n in (0, 1):  # a block with one pulse besides those left out has no components: it stays
+        assert R.remove_artifacts_pca(d.where(f"pulse <= {n}"), n).exceptAll(d.where(f"pulse <= {n}")).count() == 0
+    same = d.where("pulse < 2").withColumn("value", F.col("pos").cast("double"))
+    assert all(r.value == 0 for r in R.remove_artifacts_pca(same, 0).collect())
     assert R.remove_artifacts_pca(d.where("pulse = 0"), 5).exceptAll(d.where("pulse = 0")).count() == 0
 
 
+def cleaned_one_by_one(x, pulses, before, after, exclude, k, tail, share):
+    """The edits of a whole signal, one pulse after another. pulses: block, start, end."""
+    out, fits, n = x.copy(), {}, len(x)
+    for block in {b for b, _, _ in pulses}:
+        own = [(s - before, e + after) for b, s, e in pulses if b == block]
+        size = max(z - a for a, z in own) + 1
+        rows = [np.pad(x[a : z + 1], (0, size - (z - a + 1)), mode="edge") for a, z in own if a >= 0 and z < n][exclude:]
+        fits[block] = (size, None)
+        if len(rows) >= (2 if k else 1):
+            m = np.array(rows)
+            base = m.mean(axis=0)
+            _, s, v = np.linalg.svd(m - base, full_matrices=False)
+            fits[block] = (size, (base, v[: min(k, int((s > 1e-12 * max(s[0], 1e-300)).sum()))]))
+    for i, (block, s, e) in enumerate(pulses):
+        a, (size, fit) = s - before, fits[block]
+        if a < 0 or a + size > n:
+            continue
+        if fit:
+            d = out[a : a + size] - fit[0]
+            out[a : a + size] = d - d @ fit[1].T @ fit[1]
+        r = min(e + tail, n - 1)
+        if i + 1 < len(pulses) and pulses[i + 1][1] > r:
+            z = pulses[i + 1][1]
+            out[r:z] -= out[r] * share * (1 - np.arange(z - r) / (z - r))
+    return out
+
+
+@pytest.mark.parametrize("gap,before,after,tail,k,group", [((8, 40), 3, 5, 4, 3, 8), ((4, 12), 4, 6, 0, 3, 8), ((4, 9), 2, 9, 2, 1, 40), ((6, 30), 0, 2, 9, 0, 8), ((5, 200), 3, 3, 3, 2, 256)])
+def test_signal_cleaned_in_place(spark, gap, before, after, tail, k, group):
+    rng = np.random.default_rng(sum(gap) + k)
+    n = 3000
+    x, starts = rng.normal(size=n).cumsum() * 0.1, []
+    at = 1
+    while at < n - 2:
+        starts.append(at)
+        at += int(rng.integers(*gap))
+    pulses = [(i // 7, s, s + int(rng.integers(1, 4))) for i, s in enumerate(starts)]
+    pulses.append((99, n - 1, n - 1))
+    for _, s, e in pulses:
+        x[s : e + 1] += rng.normal(50, 5)
+    want = cleaned_one_by_one(x, pulses, before, after, 1, k, tail, 0.9)
+    d = spark.createDataFrame([("s", 0, b, s, s, e) for b, s, e in pulses], "session string, channel int, block long, pulse long, start long, end long")
+    got = R.clean_signal(frame(spark, x), d, before, after, exclude=1, k=k, tail=tail, share=0.9, group=group)
+    assert np.abs(values(got) - want).max() < 1e-7
+    assert R.clean_signal(frame(spark, x), d.where("false"), before, after).count() == n
+
+
+def test_local_templates_begin_and_end_at_zero(spark):
+    rows = [("s", 0, b, 10 * b + p, i, float(v), p == 0) for b in range(3) for p, shape in enumerate(([1, 2, 4], [5, 1, 2], [0, 6, 1, 9])) for i, v in enumerate(shape)]
+    d = spark.createDataFrame(rows, "session string, channel int, block long, pulse long, pos long, value double, is_first boolean")
+    for group in (1, 4096):
+        got = {(r.pulse, r.pos): r.template for r in R.template_parts(d, 2, group=group).collect()}
+        assert [got[0, i] for i in range(3)] == [0, 0, 0] and [got[1, i] for i in range(3)] == [0, 0, 0]
+        assert [got[10, i] for i in range(3)] == [0, 2 - 1 - 1.5, 0]
+        assert [got[2, i] for i in range(4)] == [0, 1 - 5 + 1.5, 0, 0]  # longer than all before: 0 beyond them
+        # the means of the two before: [2.5, 3.5, 1.5, 9]
+        assert np.allclose([got[11, i] for i in range(3)], [0, 1 - (9 - 2.5) / 3, -1 - 2 * (9 - 2.5) / 3]) or np.allclose([got[11, i] for i in range(3)], [0, 1 + 0.5, 0])
+
+
 def test_models(spark):
     rng = np.random.default_rng(5)
     x = rng.normal(size=(300, 4))

@@ -3,20 +3,25 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
+
+from . import blocks as B
+from .lineage import written
 
 KEYS = ("session", "channel", "block")
 
 
 def pulse_snippets(samples: DataFrame, pulses: DataFrame, before: int, after: int) -> DataFrame:
     """session, channel, block, pulse, pos and value of each pulse's samples from start - before to end + after. Pulses that reach
-    beyond the recording are dropped, and shorter ones repeat their last value up to the block's longest."""
+    beyond the recording are dropped, and shorter ones repeat their last value up to the longest of all the block's pulses."""
     span = samples.groupBy("session", "channel").agg(F.min("sample").alias("lo"), F.max("sample").alias("hi"))
-    p = pulses.select("session", "channel", "block", "pulse", (F.col("start") - before).alias("a"), (F.col("end") + after).alias("z")).join(span, ["session", "channel"]).where("a >= lo and z <= hi and z >= a")
+    p = pulses.select("session", "channel", "block", "pulse", (F.col("start") - before).alias("a"), (F.col("end") + after).alias("z")).where("z >= a")
     longest = p.groupBy(*KEYS).agg(F.max(F.col("z") - F.col("a")).alias("last"))
+    p = p.join(span, ["session", "channel"]).where("a >= lo and z <= hi")
     need = p.join(longest, list(KEYS)).select(*KEYS, "pulse", "a", "z", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))).alias("pos"))
     need = need.withColumn("sample", F.least(F.col("a") + F.col("pos"), "z"))
     return need.join(samples.select("session", "channel", "sample", "value"), ["session", "channel", "sample"]).select(*KEYS, "pulse", "pos", "value")
@@ -25,32 +30,185 @@ def pulse_snippets(samples: DataFrame, pulses: DataFrame, before: int, after: in
 def components(x: np.ndarray, k: int = 3) -> tuple[np.ndarray, np.ndarray]:
     """Mean and first principal directions of the rows of x; one row is its own mean and has none."""
     base = x.mean(axis=0)
-    if len(x) < 2:
+    if len(x) < 2 or k < 1:
         return base, np.zeros((0, x.shape[1]))
     _, s, v = np.linalg.svd(x - base, full_matrices=False)
     k = min(k, len(x), x.shape[1], int((s > 1e-12 * max(s[0], 1e-300)).sum()))
     return base, v[:k]
 
 
+def _matrix(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The order of a block's rows by pulse and place, and its values, a row for each pulse; missing values are 0."""
+    pulse = t.column("pulse").to_numpy()
+    order = np.lexsort((t.column("pos").to_numpy(), pulse))
+    x = t.column("value").to_numpy().astype(float)[order]
+    return order, np.nan_to_num(x).reshape(len(np.unique(pulse)), -1)
+
+
 def remove_artifacts_pca(snippets: DataFrame, exclude: int = 0, k: int = 3) -> DataFrame:
     """Snippets less their template: the mean of the block's pulses (but the first `exclude`) and their projection on its
-    first components. Blocks with fewer pulses than that stay as they are."""
+    first k components. Blocks that have fewer than two pulses besides those stay as they are. Missing values count as 0."""
     schema = T.StructType([f for f in snippets.schema.fields if f.name != "value"] + [T.StructField("value", T.DoubleType())])
-    names = [f.name for f in schema]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        wide = pdf.pivot(index="pulse", columns="pos", values="value").sort_index()
-        x = np.nan_to_num(wide.to_numpy(dtype=float))
-        if len(x) > exclude:
+    def run(t: pa.Table) -> pa.Table:
+        order, x = _matrix(t)
+        if len(x) >= exclude + 2:
             base, v = components(x[exclude:], k)
-            wide.loc[:, :] = x - base - (x - base) @ v.T @ v
-        out = wide.reset_index().melt(id_vars="pulse", var_name="pos", value_name="value")
-        for c in names:
-            if c not in out:
-                out[c] = pdf[c].iloc[0]
-        return out[names]
+            x = x - base - (x - base) @ v.T @ v
+        out = t.drop_columns(["value"]).take(pa.array(order)).append_column("value", pa.array(x.ravel()))
+        return out.select(schema.names)
+
+    return snippets.groupBy(*KEYS).applyInArrow(run, schema)
+
+
+def template_fits(snippets: DataFrame, exclude: int = 1, k: int = 3) -> DataFrame:
+    """base and comps (doubles, as bytes) for each block with enough pulses besides the first `exclude`: two for components, one
+    for the mean alone (k = 0)."""
+    schema = T.StructType([snippets.schema[c] for c in KEYS] + [T.StructField(c, T.BinaryType()) for c in ("base", "comps")])
+
+    def run(t: pa.Table) -> pa.Table:
+        _, x = _matrix(t)
+        enough = len(x) >= exclude + (2 if k else 1)
+        base, v = components(x[exclude:], k) if enough else (None, None)
+        row = t.select(list(KEYS)).slice(0, int(enough))
+        return row.append_column("base", pa.array([base.tobytes()] * enough if enough else [], pa.binary())).append_column("comps", pa.array([v.tobytes()] * enough if enough else [], pa.binary()))
+
+    return snippets.groupBy(*KEYS).applyInArrow(run, schema)
+
+
+def _edit(sample: np.ndarray, cur: np.ndarray, pulses: list[dict], fits: dict, share: float) -> list[tuple[int, int, float]]:
+    """Patches and ramps of pulses, one after another, on cur: the values at sample (ascending), a column for each part of an
+    affine form. Gives the ramps with their first values."""
+    ramps = []
+    for p in pulses:
+        lo, n = int(np.searchsorted(sample, p["a"])), p["size"]
+        fit = fits.get(p["block"])
+        if fit:
+            base, v = fit
+            patch = cur[lo : lo + n]
+            patch[:, 0] -= base
+            patch -= v.T @ (v @ patch)
+        r, z = p["ramp"], p["next"]
+        if z is not None and z > r:
+            i, j = np.searchsorted(sample, [r, z])
+            first = cur[i] * share
+            cur[i:j] -= (1 - (sample[i:j] - r) / (z - r))[:, None] * first[None, :]
+            ramps.append((r, z, float(first[0])))
+    return ramps
+
+
+def _group(rows: pa.Table, pulses: pa.Table) -> tuple[np.ndarray, np.ndarray, list[dict], dict]:
+    order = np.argsort(rows.column("sample").to_numpy(), kind="stable")
+    sample, value = rows.column("sample").to_numpy()[order], np.nan_to_num(rows.column("value").to_numpy().astype(float)[order])
+    p = sorted(pulses.to_pylist(), key=lambda x: x["n"])
+    fits = {x["block"]: (np.frombuffer(x["base"]), np.frombuffer(x["comps"]).reshape(-1, len(x["base"]) // 8)) for x in p if x["base"] is not None}
+    return sample, value, p, fits
+
+
+def clean_signal(samples: DataFrame, pulses: DataFrame, before: int, after: int, *, exclude: int = 1, k: int = 3, tail: int = 0, share: float = 1.0, group: int = 256) -> DataFrame:
+    """samples (session, channel, sample, value; a row for each sample) with every pulse's artifact taken out in place.
+
+    pulses: session, channel, block, pulse, start, end. One pulse after another, the samples from start - before on, as many as
+    the block's longest pulse has, lose the block's template (its mean and their projection on its first components, fitted on
+    the samples as they were, without the first `exclude` pulses). After that a line falls from share of what the sample at end +
+    tail has become, to 0 at the next pulse's start, and is taken off. Pulses whose patch would pass the recording's ends
+    are left out, as are their ramps. Blocks without a template (template_fits) keep their samples, but for the ramps.
+    Missing values count as 0 and stay missing.
+
+    Windows may overlap, and each edit reads what those before it left. So pulses form groups of `group` at least. Edits are affine
+    in what a group takes over from the one before: each group is run once for its affine map from the few samples it shares
+    with the one before to those it shares with the one after; these maps are put together in order, a row for each group; and each
+    group is run again from the right values. Ramps between windows are made where the samples lie."""
+    by, spark = ["session", "channel"], samples.sparkSession
+    s = samples.select(*by, "sample", F.col("value").cast("double").alias("value"))
+    snippets = pulse_snippets(s.withColumn("value", F.coalesce("value", F.lit(0.0))), pulses, before, after)
+    fits = written(template_fits(snippets, exclude, k), "fits")
+    span = s.groupBy(*by).agg(F.min("sample").alias("lo"), F.max("sample").alias("hi"))
+    p = B.neighbour(pulses.select(*by, "block", "start", "end"), by, "start", "start", "next", after=True)
+    size = pulses.groupBy(*KEYS).agg((F.max(F.col("end") - F.col("start")) + before + after + 1).alias("size"))
+    p = p.join(size, list(KEYS)).join(span, by).withColumns({"a": F.col("start") - before, "ramp": F.least(F.col("end") + tail, "hi")})
+    p = written(p.where("a >= lo and a + size - 1 <= hi and end >= start"), "pulses")
+    longest = p.agg(F.max(F.col("size") + before + 1)).first()[0]
+    if longest is None:
+        return samples
+    # A window can't reach beyond the next group then: starts are all different.
+    group = max(group, longest)
+    p = B.running(p, by, "start", F.lit(1).cast("long"), "n").withColumn("g", F.floor((F.col("n") - 1) / group))
+    p = written(B.known(p, by, "start", F.greatest(F.col("a") + F.col("size"), "next"), "reach"), "pulses")
+    across = Window.partitionBy(*by).orderBy("g")
+    groups = written(p.groupBy(*by, "g").agg(F.min("a").alias("first"), F.min("n").alias("n"), F.max("reach").alias("reach")).withColumns({"stop": F.lead("first").over(across), "open": F.lag("reach").over(across)}), "groups")
+    least = F.min("n").alias("n")
+    fitted = p.groupBy(*by, "g", "block").agg(least).join(fits, list(KEYS)).select(*by, "g", "n", "base", "comps")
+    edits = p.select(*by, "g", "n", "block", "a", "size", "ramp", "next").join(fitted, [*by, "g", "n"], "left").join(groups.select(*by, "g", "first", "stop", "open"), [*by, "g"])
+    edits = written(edits, "edits")
+    # A group's windows and first ramp samples, and all that it shares with the groups beside it.
+    own = p.select(*by, "g", F.explode(F.concat(F.sequence("a", F.col("a") + F.col("size") - 1), F.array("ramp"))).alias("sample"))
+    shared = [groups.where(f"{z} > {a}").select(*by, "g", F.explode(F.sequence(F.col(a), F.col(z) - 1)).alias("sample")) for a, z in (("first", "open"), ("stop", "reach"))]
+    need = own.union(shared[0]).union(shared[1]).distinct()
+    rows = written(need.join(s, [*by, "sample"]), "windows")
+    maps_schema = T.StructType([rows.schema[c] for c in (*by, "g")] + [T.StructField(c, T.BinaryType()) for c in ("taken", "given", "map")])
+
+    def unknown(sample: np.ndarray, e: list[dict]) -> np.ndarray:
+        return np.flatnonzero(sample < e[0]["open"]) if e[0]["open"] is not None else np.zeros(0, dtype=np.int64)
+
+    def mapped(r: pa.Table, e: pa.Table) -> pa.Table:
+        sample, value, todo, fit = _group(r, e)
+        free = unknown(sample, todo)
+        cur = np.zeros((len(sample), 1 + len(free)))
+        cur[:, 0] = value
+        cur[free, 1 + np.arange(len(free))] = 1
+        _edit(sample, cur, todo, fit, share)
+        cur[:, 0] -= value
+        to = np.flatnonzero(sample >= todo[0]["stop"]) if todo[0]["stop"] is not None else np.zeros(0, dtype=np.int64)
+        blobs = [sample[free].tobytes(), sample[to].tobytes(), cur[to].tobytes()]
+        out = e.select([*by, "g"]).slice(0, 1)
+        for name, blob in zip(("taken", "given", "map"), blobs):
+            out = out.append_column(name, pa.array([blob], pa.binary()))
+        return out
+
+    carry_schema = T.StructType([rows.schema[c] for c in (*by, "g")] + [T.StructField(c, T.BinaryType()) for c in ("at", "by")])
+
+    def folded(t: pa.Table) -> pa.Table:
+        """What each group takes over, from the maps of those before it."""
+        order = np.argsort(t.column("g").to_numpy())
+        at, change, out = np.zeros(0, dtype=np.int64), np.zeros(0), []
+        for i in order.tolist():
+            out.append((at.tobytes(), change.tobytes()))
+            taken, given = (np.frombuffer(t.column(c)[i].as_py(), dtype=np.int64) for c in ("taken", "given"))
+            m = np.frombuffer(t.column("map")[i].as_py()).reshape(len(given), 1 + len(taken))
+            x = np.zeros(len(taken))
+            _, mine, theirs = np.intersect1d(taken, at, return_indices=True)
+            x[mine] = change[theirs]
+            at, change = given, m[:, 0] + m[:, 1:] @ x
+        return t.select([*by, "g"]).take(pa.array(order)).append_column("at", pa.array([a for a, _ in out], pa.binary())).append_column("by", pa.array([b for _, b in out], pa.binary()))
+
+    keys = [*by, "g"]
+    maps = written(rows.groupBy(*keys).cogroup(edits.groupBy(*keys)).applyInArrow(mapped, maps_schema), "maps")
+    carry = maps.groupBy(*by).applyInArrow(folded, carry_schema).join(groups.select(*keys, "n"), keys)
+    edits = edits.join(carry, [*keys, "n"], "left")
+    done_schema = T.StructType([*(rows.schema[c] for c in by), T.StructField("sample", T.LongType()), T.StructField("cleaned", T.DoubleType()), T.StructField("until", T.LongType())])
+
+    def cleaned(r: pa.Table, e: pa.Table) -> pa.Table:
+        """Cleaned samples, and (with until) the ramps' first values."""
+        sample, value, todo, fit = _group(r, e)
+        cur = value[:, None].copy()
+        if todo[0]["at"]:
+            at, change = np.frombuffer(todo[0]["at"], dtype=np.int64), np.frombuffer(todo[0]["by"])
+            _, mine, theirs = np.intersect1d(sample, at, return_indices=True)
+            cur[mine, 0] += change[theirs]
+        ramps = _edit(sample, cur, todo, fit, share)
+        own = (sample >= todo[0]["first"]) & (sample < (todo[0]["stop"] if todo[0]["stop"] is not None else sample[-1] + 1))
+        n = int(own.sum()) + len(ramps)
+        out = pa.table({c: pa.chunked_array([e.column(c).chunk(0).slice(0, 1)]).take(pa.array(np.zeros(n, dtype=np.int64))) for c in by})
+        parts = [np.concatenate([sample[own], [a for a, _, _ in ramps]]).astype(np.int64), np.concatenate([cur[own, 0], [v for _, _, v in ramps]])]
+        return out.append_column("sample", pa.array(parts[0])).append_column("cleaned", pa.array(parts[1])).append_column("until", pa.array([None] * int(own.sum()) + [z for _, z, _ in ramps], pa.int64()))
 
-    return snippets.groupBy(*KEYS).applyInPandas(run, schema)
+    done = written(rows.groupBy(*keys).cogroup(edits.groupBy(*keys)).applyInArrow(cleaned, done_schema), "cleaned")
+    ramps = done.where("until is not null").select(*by, "sample", F.struct("sample", "until", "cleaned").alias("_r"))
+    d = B.known(samples.join(ramps, [*by, "sample"], "left"), by, "sample", F.col("_r"), "_l")
+    d = d.join(done.where("until is null").select(*by, "sample", "cleaned"), [*by, "sample"], "left")
+    line = F.when(F.col("sample") < F.col("_l.until"), F.col("_l.cleaned") * (1 - (F.col("sample") - F.col("_l.sample")) / (F.col("_l.until") - F.col("_l.sample")))).otherwise(0.0)
+    return d.withColumn("value", F.when(F.col("value").isNotNull(), F.coalesce("cleaned", F.col("value") - line))).select(*samples.columns)
 
 
 def interpulse_ramp(samples: DataFrame, gaps: DataFrame, share: float = 1.0) -> DataFrame:
@@ -69,19 +227,26 @@ def template_rmse(snippets: DataFrame, neighbours: DataFrame) -> DataFrame:
     return d.groupBy("session", "channel", "block", "pulse").agg(F.sqrt(F.avg((F.col("value") - F.col("mean")) ** 2)).alias("rmse"))
 
 
-def template_parts(snippets: DataFrame, width: int, first_width: int = 3) -> DataFrame:
-    """Snippets less a local template: the mean of up to width earlier snippets of the same kind, a block's first pulse or a later
-    one (first pulses look back first_width), moved to the snippet's first value and turned to its last by a line."""
-    from pyspark.sql.window import Window
+def template_parts(snippets: DataFrame, width: int, first_width: int = 3, group: int = 4096) -> DataFrame:
+    """Snippets less a local template that begins and ends at 0: the mean of the last width earlier snippets of the same kind, a block's
+    first pulse or a later one (of first pulses the last first_width), less its first value and a line to its last.
 
-    place = Window.partitionBy("session", "channel", "is_first", "pos").orderBy("block", "pulse")
-    mean = F.when(F.col("is_first"), F.avg("value").over(place.rowsBetween(-first_width, -1))).otherwise(F.avg("value").over(place.rowsBetween(-width, -1)))
-    d = snippets.withColumn("template", mean)
-    ends = d.groupBy(*KEYS, "pulse").agg(F.max("pos").alias("last"), *(pick(c, "pos").alias(f"{c}_{n}") for c in ("value", "template") for n, pick in (("a", F.min_by), ("z", F.max_by))))
-    d = d.join(ends, [*KEYS, "pulse"])
-    offset = F.col("value_a") - F.col("template_a")
-    drift = (F.col("value_z") - F.col("template_z") - offset) * F.col("pos") / F.greatest("last", F.lit(1))
-    return d.select(*KEYS, "pulse", "pos", "is_first", F.coalesce(F.col("template") + offset + drift, F.lit(0.0)).alias("template"), (F.col("value") - F.coalesce(F.col("template") + offset + drift, F.lit(0.0))).alias("value"))
+    Snippets are numbered by pulse in each kind, and groups of numbers are worked on with as many earlier ones as the mean looks
+    back. Where lengths differ, a place's mean is of those that reach it; the line ends at the last place that has one,
+    and beyond it, as where there are no earlier snippets, the template is 0."""
+    kind = ["session", "channel", "is_first"]
+    places = B.running(written(snippets.select(*kind, "pulse").distinct(), "places"), kind, "pulse", F.lit(1).cast("long"), "n")
+    reach = max(width, first_width)
+    d = B.halo(snippets.join(written(places, "places"), [*kind, "pulse"]), kind, "n", max(group, reach), reach, "block_")
+    earlier = Window.partitionBy(*kind, "pos", "block_").orderBy("n")
+    mean = F.when(F.col("is_first"), F.avg("value").over(earlier.rangeBetween(-first_width, -1))).otherwise(F.avg("value").over(earlier.rangeBetween(-width, -1)))
+    d = d.withColumn("base", mean).where(F.col("block_") == F.floor(F.col("n") / max(group, reach)))
+    whole = Window.partitionBy(*KEYS, "pulse")
+    some = F.when(F.col("base").isNotNull(), F.struct("pos", "base"))
+    d = d.withColumns({"_a": F.min(some).over(whole), "_z": F.max(some).over(whole)})
+    fall = (F.col("_z.base") - F.col("_a.base")) * F.col("pos") / F.greatest(F.col("_z.pos"), F.lit(1))
+    d = d.withColumn("template", F.coalesce(F.col("base") - F.col("_a.base") - fall, F.lit(0.0)))
+    return d.select(*KEYS, "pulse", "pos", "is_first", "template", (F.col("value") - F.col("template")).alias("value"))
 
 
 def sums_of_products(df: DataFrame, columns: list[str]) -> tuple[int, np.ndarray, np.ndarray]:

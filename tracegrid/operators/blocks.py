@@ -54,8 +54,8 @@ def running(df: DataFrame, by: list[str], at: str, value: Column | dict[str, Col
     return d.drop("_k", *(f"_{x}_{n}" for n in values for x in "vic"))
 
 
-def halo(df: DataFrame, by: list[str], at: str, size: int, reach: int) -> DataFrame:
-    """Rows in blocks (column block) of size, each with the rows up to reach before and after it, so that a block can be filtered alone."""
+def halo(df: DataFrame, by: list[str], at: str, size: int, reach: int, name: str = "block") -> DataFrame:
+    """Rows in blocks (column name) of size, each with the rows up to reach before and after it, so that a block can be filtered alone."""
     k = F.floor(F.col(at) / size)
     first, last = F.floor((F.col(at) - reach) / size), F.floor((F.col(at) + reach) / size)
-    return df.withColumn("block", F.explode(F.sequence(F.least(first, k), F.greatest(last, k))))
+    return df.withColumn(name, F.explode(F.sequence(F.least(first, k), F.greatest(last, k))))

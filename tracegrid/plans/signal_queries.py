@@ -80,15 +80,22 @@ def _(spark, d):
     return L.refine_offset(of(0), of(1), 3, ["session"]).withColumn("rms", F.round("rms", 6))
 
 
-def _snippets(spark, d):
+def _pulses(spark, d):
     from ..operators import events as E
 
-    p = E.pulses(_stim(spark, d)).where("size >= 0").select(*SC, F.floor(F.col("start") / 20).alias("block"), F.col("start").alias("pulse"), "start", "end")
-    return R.pulse_snippets(_signal(spark, d).withColumn("value", F.coalesce("value", F.lit(0.0))), p, 1, 1)
+    return E.pulses(_stim(spark, d)).where("size >= 0").select(*SC, F.floor(F.col("start") / 20).alias("block"), F.col("start").alias("pulse"), "start", "end")
+
+
+def _full(spark, d):
+    return _signal(spark, d).withColumn("value", F.coalesce("value", F.lit(0.0)))
+
+
+def _snippets(spark, d):
+    return R.pulse_snippets(_full(spark, d), _pulses(spark, d), 1, 1)
 
 
-_SNIPS = _PULSES + """, sp0 AS (SELECT session, channel, min(sample) AS lo, max(sample) AS hi FROM samples GROUP BY ALL), pp AS (SELECT p.session, p.channel, start // 20 AS block, start AS pulse, start - 1 AS a, "end" + 1 AS z FROM pulses p JOIN sp0 USING (session, channel) WHERE size >= 0 AND start - 1 >= lo AND "end" + 1 <= hi),
-lg AS (SELECT session, channel, block, max(z - a) AS l FROM pp GROUP BY ALL), nd AS (SELECT session, channel, block, pulse, a, z, unnest(range(l + 1)) AS pos FROM pp JOIN lg USING (session, channel, block)),
+_SNIPS = _PULSES + """, sp0 AS (SELECT session, channel, min(sample) AS lo, max(sample) AS hi FROM samples GROUP BY ALL), pa AS (SELECT session, channel, start // 20 AS block, start AS pulse, start - 1 AS a, "end" + 1 AS z FROM pulses WHERE size >= 0),
+lg AS (SELECT session, channel, block, max(z - a) AS l FROM pa GROUP BY ALL), pp AS (SELECT pa.* FROM pa JOIN sp0 USING (session, channel) WHERE a >= lo AND z <= hi), nd AS (SELECT session, channel, block, pulse, a, z, unnest(range(l + 1)) AS pos FROM pp JOIN lg USING (session, channel, block)),
 snips AS (SELECT nd.session, nd.channel, block, pulse, pos, coalesce(value, 0) AS value FROM nd JOIN samples s ON s.session = nd.session AND s.channel = nd.channel AND s.sample = least(a + pos, z))"""
 
 
@@ -102,6 +109,24 @@ def _(spark, d):
     return R.remove_artifacts_pca(_snippets(spark, d), 0).withColumn("value", F.round("value", 6))
 
 
+@query("m3_clean_signal")
+def _(spark, d):
+    return R.clean_signal(_full(spark, d), _pulses(spark, d), 1, 1, exclude=1, k=3, tail=1).withColumn("value", F.round("value", 6))
+
+
+@query("m3_clean_signal_mean", "WITH " + _SNIPS + """, ap AS (SELECT session, channel, start // 20 AS block, start, "end" AS e, lead(start) OVER (PARTITION BY session, channel ORDER BY start) AS nx FROM pulses WHERE size >= 0),
+al AS (SELECT ap.*, start - 1 AS a, least(e + 1, hi) AS r FROM ap JOIN lg USING (session, channel, block) JOIN sp0 USING (session, channel) WHERE start - 1 >= lo AND start - 1 + l <= hi),
+tp AS (SELECT session, channel, block, pos, avg(value) AS t FROM (SELECT *, dense_rank() OVER (PARTITION BY session, channel, block ORDER BY pulse) AS k FROM snips) WHERE k > 1 GROUP BY ALL),
+pt AS (SELECT al.session, al.channel, al.start, a + pos AS sample, t FROM al JOIN tp USING (session, channel, block)),
+v AS (SELECT session, channel, sample, coalesce(value, 0) AS x FROM samples),
+r0 AS (SELECT al.session, al.channel, r, nx, any_value(x) - coalesce(sum(t), 0) AS v0 FROM al JOIN v ON v.session = al.session AND v.channel = al.channel AND v.sample = r
+ LEFT JOIN pt ON pt.session = al.session AND pt.channel = al.channel AND pt.sample = r AND pt.start <= al.start WHERE nx > r GROUP BY al.session, al.channel, al.start, r, nx),
+ts AS (SELECT session, channel, sample, sum(t) AS t FROM pt GROUP BY ALL), rs AS (SELECT session, channel, unnest(range(r, nx)) AS sample, r, nx, v0 FROM r0)
+SELECT session, channel, sample, round(x - coalesce(t, 0) - coalesce(v0 * (1 - (sample - r) / (nx - r)::DOUBLE), 0), 6) AS value FROM v LEFT JOIN ts USING (session, channel, sample) LEFT JOIN rs USING (session, channel, sample)""")
+def _(spark, d):
+    return R.clean_signal(_full(spark, d), _pulses(spark, d), 1, 1, exclude=1, k=0, tail=1).withColumn("value", F.round("value", 6))
+
+
 @query("m3_interpulse_ramp", S_SQL + """, v AS (SELECT session, channel, sample, coalesce(value, 0) AS value FROM samples),
 k AS (SELECT session, channel, (sample // 10) * 10 + 2 AS start, (sample // 10) * 10 + 8 AS "end", any_value(sample) AS x FROM v GROUP BY session, channel, sample // 10),
 f AS (SELECT k.*, v.value AS v0 FROM k JOIN v ON v.session = k.session AND v.channel = k.channel AND v.sample = k.start)
@@ -113,9 +138,11 @@ def _(spark, d):
 
 
 @query("m4_template_parts", "WITH " + _SNIPS + """, fs AS (SELECT *, pulse = min(pulse) OVER (PARTITION BY session, channel, block) AS is_first FROM snips),
-t AS (SELECT *, CASE WHEN is_first THEN avg(value) OVER (w ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) ELSE avg(value) OVER (w ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING) END AS t FROM fs WINDOW w AS (PARTITION BY session, channel, is_first, pos ORDER BY block, pulse)),
-e AS (SELECT session, channel, block, pulse, max(pos) AS l, max(CASE WHEN pos = 0 THEN value END) AS va, max(CASE WHEN pos = 0 THEN t END) AS ta, max_by(value, pos) AS vz, max_by(t, pos) AS tz FROM t GROUP BY ALL),
-r AS (SELECT t.*, coalesce(t + va - ta + (vz - tz - va + ta) * pos / greatest(l, 1), 0) AS tpl FROM t JOIN e USING (session, channel, block, pulse))
+nr AS (SELECT session, channel, is_first, pulse, row_number() OVER (PARTITION BY session, channel, is_first ORDER BY pulse) AS n FROM (SELECT DISTINCT session, channel, is_first, pulse FROM fs)),
+t AS (SELECT fs.*, CASE WHEN is_first THEN avg(value) OVER (w RANGE BETWEEN 3 PRECEDING AND 1 PRECEDING) ELSE avg(value) OVER (w RANGE BETWEEN 4 PRECEDING AND 1 PRECEDING) END AS base
+ FROM fs JOIN nr USING (session, channel, is_first, pulse) WINDOW w AS (PARTITION BY session, channel, is_first, pos ORDER BY n)),
+e AS (SELECT session, channel, block, pulse, arg_min(base, pos) AS b0, arg_max(base, pos) AS b1, max(pos) AS l FROM t WHERE base IS NOT NULL GROUP BY ALL),
+r AS (SELECT t.*, coalesce((base - b0) - (b1 - b0) * pos / greatest(l, 1)::DOUBLE, 0) AS tpl FROM t LEFT JOIN e USING (session, channel, block, pulse))
 SELECT session, channel, block, pulse, pos, is_first, round(tpl, 6) AS template, round(value - tpl, 6) AS value FROM r""")
 def _(spark, d):
     from pyspark.sql.window import Window
