@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import blocks as B
+from .events import local_maxima
+from .lineage import written
 
 
 def filtered(df: DataFrame, by: list[str], fn: Callable[[np.ndarray], np.ndarray], reach: int, size: int, at: str = "sample", value: str = "value") -> DataFrame:
@@ -173,20 +175,22 @@ def local_reference(df: DataFrame, neighbours: DataFrame, size: int = 1 << 12) -
 
 
 def template_anchor(df: DataFrame, template: np.ndarray, by: list[str], least: float = 0.95, size: int = 1 << 18) -> DataFrame:
-    """by, lag and c: the first lag at which the z-scored template fits the z-scored signal, a peak of at least `least` of the
-    largest absolute correlation. Blocks overlap by the template's length; lag 0 puts the template at the signal's start."""
+    """by, lag and c: the first peak of at least `least` of the full correlation of the z-scored signal with the z-scored template,
+    against its largest absolute value. Lags go from 1 - m (the template's last sample on the signal's first) to the signal's
+    last sample; lag 0 puts the template at its start. A peak is a run of equal values (to 9 places) with lower ones on both sides,
+    at its middle; neither end is one. Blocks of lags take as many samples more as the template is long."""
     t = (template - template.mean()) / template.std()
     m = len(t)
     size = max(size, m)
     s = df.groupBy(*by).agg(F.avg("value").alias("_m"), F.stddev_pop("value").alias("_s"), F.max("sample").alias("_n"))
     z = df.join(s.where("_s > 0"), by).withColumn("value", F.coalesce((F.col("value") - F.col("_m")) / F.col("_s"), F.lit(0.0)))
     keys = [f for f in df.schema.fields if f.name in by]
-    schema = T.StructType([*keys, T.StructField("lag", T.LongType()), T.StructField("c", T.DoubleType())])
+    schema = T.StructType([*keys, T.StructField("sample", T.LongType()), T.StructField("value", T.DoubleType())])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         block, last = int(pdf["block"].iloc[0]), int(pdf["_n"].iloc[0])
-        lo, hi = block * size, block * size + size + m - 1
-        x = np.zeros(hi - lo)
+        lo = block * size - m + 1  # the first lag, and the first sample that it needs
+        x = np.zeros(size + m - 1)
         inside = pdf["sample"].to_numpy() - lo
         ok = (inside >= 0) & (inside < len(x))
         x[inside[ok]] = pdf["value"].to_numpy()[ok]
@@ -194,20 +198,127 @@ def template_anchor(df: DataFrame, template: np.ndarray, by: list[str], least: f
         c = np.fft.irfft(np.fft.rfft(x, n) * np.conj(np.fft.rfft(t, n)), n)[:size]
         lag = np.arange(lo, lo + size)
         keep = lag <= last
-        out = pd.DataFrame({"lag": lag[keep], "c": c[keep]})
+        out = pd.DataFrame({"sample": lag[keep], "value": c[keep]})
         for f in keys:
             out[f.name] = pdf[f.name].iloc[0]
         return out[[f.name for f in schema]]
 
-    k = F.floor(F.col("sample") / size)
-    cut = z.withColumn("block", F.explode(F.sequence(F.greatest(k - math.ceil((m - 1) / size), F.lit(0)), k)))
-    c = cut.groupBy(*by, "block").applyInPandas(run, schema)
-    top = c.groupBy(*by).agg(F.max(F.abs("c")).alias("_t"))
-    c = c.join(top, by).withColumn("c", F.col("c") / F.col("_t")).drop("_t")
-    for name, after in (("_b", False), ("_a", True)):
-        c = B.neighbour(c, by, "lag", "c", name, after=after)
-    peak = (F.col("c") >= least) & (F.col("c") > F.coalesce("_b", F.lit(-2.0))) & (F.col("c") >= F.coalesce("_a", F.lit(-2.0)))
-    return c.where(peak).groupBy(*by).agg(F.min("lag").alias("lag"), F.min_by("c", "lag").alias("c"))
+    # A sample takes part in the lags from itself - m + 1 to itself.
+    cut = z.withColumn("block", F.explode(F.sequence(F.floor(F.col("sample") / size), F.floor((F.col("sample") + m - 1) / size))))
+    c = written(cut.groupBy(*by, "block").applyInPandas(run, schema), "lags")
+    top = c.groupBy(*by).agg(F.max(F.abs("value")).alias("_t"))
+    c = c.join(top, by).withColumn("value", F.round(F.col("value") / (F.col("_t") + 1e-12), 9)).drop("_t")
+    peaks = local_maxima(c, least, by)
+    return peaks.groupBy(*by).agg(F.min("sample").alias("lag"), F.min_by("value", "sample").alias("c"))
+
+
+def _in_range(df: DataFrame, by: list[str]) -> DataFrame:
+    """Values less their key's mean, against its range."""
+    s = df.groupBy(*by).agg(F.avg("value").alias("_m"), (F.max("value") - F.min("value") + 1e-12).alias("_r"))
+    return df.join(s, by).withColumn("value", (F.col("value") - F.col("_m")) / F.col("_r")).drop("_m", "_r")
+
+
+def refine_anchor(a: DataFrame, b: DataFrame, anchors: DataFrame, fs_a: float, fs_b: float, reach: int, by: list[str], seconds: float | None = None, both: bool = False, size: int = 1 << 15) -> DataFrame:
+    """by, anchor, best (samples of b), rms, delta and shift (samples of a) and dt_ms: where b's start lies on a's clock.
+
+    a and b: by, sample, value, at rates fs_a and fs_b; anchors: by, anchor, a sample of a. a, less its mean and against its
+    range (b too if both), is interpolated linearly at the times of b's samples moved by the anchor and by each of -reach to reach samples of
+    b. best is the move of the least root mean square difference over b's first seconds (all if None), the first of equals (to 9
+    places). Times off a's ends, or beside a missing value, take the mean of the others. delta is best in samples of a, half to even; shift is anchor + delta within a.
+
+    A moved sample of b lies where another one lies unmoved, so a is interpolated once; blocks of b, with reach
+    more on both sides, give sums for all moves together, and no row is copied for each."""
+    r = fs_a / fs_b
+    x = B.neighbour(_in_range(a.select(*by, "sample", "value"), by), by, "sample", "value", "after", after=True)
+    y = b.select(*by, "sample", "value").where("sample >= 0")
+    if both:
+        y = _in_range(y, by)
+    if seconds is not None:
+        y = y.where(F.col("sample") < round(seconds * fs_b))
+    y = written(y.join(anchors.select(*by, "anchor"), by), "clock")
+    ends = y.groupBy(*by, "anchor").agg(F.max("sample").alias("n"))
+    beyond = ends.select(*by, "anchor", F.explode(F.concat(F.sequence(F.lit(-reach).cast("long"), F.lit(-1).cast("long")), F.sequence(F.col("n") + 1, F.col("n") + reach))).alias("sample")) if reach else y.select(*by, "anchor", "sample").limit(0)
+    grid = y.select(*by, "anchor", "sample", F.col("value").alias("y")).unionByName(beyond, allowMissingColumns=True)
+    place = F.col("anchor") + F.col("sample") * r
+    grid = grid.withColumns({"_p": place - F.floor(place), "_i": F.floor(place)})
+    near = x.select(*by, F.col("sample").alias("_i"), F.col("value").alias("_v"), F.col("after").alias("_w"))
+    u = F.when(F.col("_p") == 0, F.col("_v")).otherwise(F.col("_v") + (F.col("_w") - F.col("_v")) * F.col("_p"))
+    grid = grid.join(near, [*by, "_i"], "left").select(*by, "sample", "y", u.alias("u"))
+    sums = T.StructType([*(f for f in y.schema.fields if f.name in by), *(T.StructField(c, T.ArrayType(T.DoubleType())) for c in ("n", "u", "off", "n0", "y0", "yy0"))])
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        lo = int(pdf["block"].iloc[0]) * size
+        at = pdf["sample"].to_numpy() - lo + reach
+        yy, uu = np.full(size, np.nan), np.full(size + 2 * reach, np.nan)
+        own = (at >= reach) & (at < reach + size)
+        yy[at[own] - reach] = pdf["y"].to_numpy(dtype=float)[own]
+        ok = (at >= 0) & (at < len(uu))
+        uu[at[ok]] = pdf["u"].to_numpy(dtype=float)[ok]
+        have = ~np.isnan(yy)
+        yy, out = yy[have], []
+        for k in range(2 * reach + 1):
+            v = uu[k : k + size][have]
+            off = np.isnan(v)
+            d, lost = (yy - v)[~off], yy[off]
+            out.append((len(d), v[~off].sum(), (d * d).sum(), len(lost), lost.sum(), (lost * lost).sum()))
+        return pd.DataFrame([[*(pdf[c].iloc[0] for c in by), *(list(map(float, c)) for c in zip(*out))]], columns=sums.names)
+
+    parts = B.halo(grid, by, "sample", size, reach).groupBy(*by, "block").applyInPandas(run, sums)
+    each = parts.select(*by, F.posexplode(F.arrays_zip("n", "u", "off", "n0", "y0", "yy0")).alias("k", "s"))
+    each = each.groupBy(*by, "k").agg(*(F.sum(f"s.{c}").alias(c) for c in ("n", "u", "off", "n0", "y0", "yy0"))).where("n > 0")
+    mean = F.col("u") / F.col("n")
+    rms = F.sqrt((F.col("off") + F.col("yy0") - 2 * mean * F.col("y0") + F.col("n0") * mean * mean) / (F.col("n") + F.col("n0")))
+    best = each.groupBy(*by).agg(F.min(F.struct(F.round(rms, 9).alias("rms"), (F.col("k") - reach).alias("best"))).alias("x"))
+    best = best.join(anchors.select(*by, "anchor"), by).join(a.groupBy(*by).agg(F.max("sample").alias("_n")), by)
+    delta = F.rint(F.col("x.best") * F.lit(r)).cast("long")
+    return best.select(*by, "anchor", F.col("x.best").alias("best"), F.col("x.rms").alias("rms"), delta.alias("delta"), F.greatest(F.lit(0).cast("long"), F.least(F.col("anchor") + delta, "_n")).alias("shift"), (1000.0 * delta / fs_a).alias("dt_ms"))
+
+
+def gaussian_irregular(df: DataFrame, sigma: float, by: list[str], at: str = "t_ms", size: float | None = None) -> DataFrame:
+    """by, at and value: the Gaussian mean at each of a key's times, which need no equal spacing but must differ.
+
+    Each value weighs half the time between its neighbours (at the ends the time to its one neighbour; 2.5 sigma at most) times
+    the density of the normal distribution at its distance. Within 2.4 sigma of an end the side that lies on is mirrored in:
+    values farther from that end than twice the place's own distance count twice. Missing values are taken out first; one value alone stays.
+    Blocks of time take what lies within 9 sigma of them, beyond which the density is below 1e-17 of its top."""
+    reach = 9 * sigma
+    size = max(size or 1024 * sigma, reach)
+    d = df.where(F.col("value").isNotNull()).select(*by, at, "value")
+    d = written(d, "times")
+    ends = d.groupBy(*by).agg(F.min(at).alias("_lo"), F.max(at).alias("_hi"))
+    width = max(B.WIDTH, 64 * size)
+    d = B.neighbour(B.neighbour(d, by, at, at, "_b", width=width), by, at, at, "_a", after=True, width=width)
+    w = F.coalesce((F.col("_a") - F.col("_b")) / 2, F.col("_a") - F.col(at), F.col(at) - F.col("_b"))
+    d = d.join(ends, by).withColumn("_w", F.least(w, F.lit(2.5 * sigma))).drop("_a", "_b")
+    schema = T.StructType([*(f for f in df.schema.fields if f.name in by), df.schema[at], T.StructField("value", T.DoubleType())])
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(at, ignore_index=True)
+        t, z, w = (pdf[c].to_numpy(dtype=float) for c in (at, "value", "_w"))
+        own = np.flatnonzero(np.floor(t / size) == pdf["_k"].iloc[0])
+        out = pdf.iloc[own][[*by, at, "value"]].copy()
+        lo, hi = pdf["_lo"].iloc[0], pdf["_hi"].iloc[0]
+        if lo < hi:
+            left, right = t[own] < lo + 2.4 * sigma, t[own] > hi - 2.4 * sigma
+            sums = np.zeros(len(own))
+            for side in (1, -1):
+                k = 0 if side > 0 else 1
+                while True:
+                    j = own + side * k
+                    ok = (j >= 0) & (j < len(t))
+                    far = np.where(ok, t[np.clip(j, 0, len(t) - 1)] - t[own], np.inf)
+                    ok &= np.abs(far) <= reach
+                    if not ok.any():
+                        break
+                    i, f = j[ok], far[ok]
+                    times = 1 + (left[ok] & (f > t[own][ok] - lo)) + (right[ok] & (f < t[own][ok] - hi))
+                    sums[ok] += times * w[i] * z[i] * np.exp(-0.5 * (f / sigma) ** 2)
+                    k += 1
+            out["value"] = sums / (math.sqrt(2 * math.pi) * sigma)
+        return out
+
+    cut = d.withColumn("_k", F.explode(F.sequence(F.floor((F.col(at) - reach) / size), F.floor((F.col(at) + reach) / size))))
+    return cut.groupBy(*by, "_k").applyInPandas(run, schema)
 
 
 def refine_offset(a: DataFrame, b: DataFrame, reach: int, by: list[str]) -> DataFrame:

@@ -23,6 +23,16 @@ def _(spark, d):
     return L.gaussian_filtfilt(_signal(spark, d), 1.5, SC).withColumn("value", F.round("value", 6))
 
 
+@query("w5_gaussian_irregular", S_SQL + """, s AS (SELECT session, channel, t_ms, value FROM samples WHERE value IS NOT NULL),
+x AS (SELECT *, lag(t_ms) OVER w AS b, lead(t_ms) OVER w AS a, min(t_ms) OVER k AS lo, max(t_ms) OVER k AS hi FROM s WINDOW w AS (PARTITION BY session, channel ORDER BY t_ms), k AS (PARTITION BY session, channel)),
+y AS (SELECT *, least(coalesce((a - b) / 2, a - t_ms, t_ms - b), 2.5 * 3e7) AS w FROM x),
+z AS (SELECT i.session, i.channel, i.t_ms, sum(j.w * j.value * exp(-0.5 * ((j.t_ms - i.t_ms) / 3e7) ** 2)
+ * (1 + CASE WHEN i.t_ms < i.lo + 2.4 * 3e7 AND j.t_ms - i.t_ms > i.t_ms - i.lo THEN 1 ELSE 0 END + CASE WHEN i.t_ms > i.hi - 2.4 * 3e7 AND j.t_ms - i.t_ms < i.t_ms - i.hi THEN 1 ELSE 0 END)) / (sqrt(2 * pi()) * 3e7) AS value
+ FROM y i JOIN y j ON i.session = j.session AND i.channel = j.channel AND j.t_ms BETWEEN i.t_ms - 3e8 AND i.t_ms + 3e8 GROUP BY ALL) SELECT session, channel, t_ms, round(value, 6) AS value FROM z""")
+def _(spark, d):
+    return L.gaussian_irregular(D.samples(spark, d), 3e7, SC).withColumn("value", F.round("value", 6))
+
+
 @query("w6_lowpass")
 def _(spark, d):
     return L.lowpass(_signal(spark, d), 10.0, 100.0, SC).withColumn("value", F.round("value", 6))
@@ -63,12 +73,36 @@ def _(spark, d):
     return L.kernel_rates(s.where("value > 80").select(*SC, "sample"), rec, 5.0, 1000.0, 4, SC, 0.04).withColumn("rate", F.round("rate", 6))
 
 
-@query("j15_template_anchor", S_SQL + """, z AS (SELECT session, channel, sample, coalesce((value - avg(value) OVER w) / stddev_pop(value) OVER w, 0) AS z FROM samples WINDOW w AS (PARTITION BY session, channel)),
-t AS (SELECT unnest(range(5)) AS i, unnest([-2, -1, 0, 1, 2]) / sqrt(2.0::DOUBLE) AS t), c AS (SELECT session, channel, z.sample - i AS lag, sum(z * t) AS c FROM z, t WHERE z.sample - i >= 0 GROUP BY ALL),
-n AS (SELECT *, c / max(abs(c)) OVER (PARTITION BY session, channel) AS r FROM c), p AS (SELECT *, lag(r) OVER w AS b, lead(r) OVER w AS a FROM n WINDOW w AS (PARTITION BY session, channel ORDER BY lag))
-SELECT session, channel, min(lag) AS lag, round(arg_min(r, lag), 6) AS c FROM p WHERE r >= 0.9 AND r > coalesce(b, -2) AND r >= coalesce(a, -2) GROUP BY ALL""")
+_ANCHORS = """z AS (SELECT session, channel, sample, coalesce((value - avg(value) OVER w) / stddev_pop(value) OVER w, 0) AS z FROM samples WINDOW w AS (PARTITION BY session, channel)),
+t AS (SELECT unnest(range(5)) AS i, unnest([-2, -1, 0, 1, 2]) / sqrt(2.0::DOUBLE) AS t), c AS (SELECT session, channel, z.sample - i AS lag, sum(z * t) AS c FROM z, t GROUP BY ALL),
+n AS (SELECT session, channel, lag, round(c / (max(abs(c)) OVER (PARTITION BY session, channel) + 1e-12), 9) AS r FROM c),
+p AS (SELECT *, CASE WHEN lag(r) OVER w = r THEN 0 ELSE 1 END AS new FROM n WINDOW w AS (PARTITION BY session, channel ORDER BY lag)),
+g AS (SELECT *, sum(new) OVER (PARTITION BY session, channel ORDER BY lag) AS run FROM p), h AS (SELECT session, channel, run, any_value(r) AS r, floor((min(lag) + max(lag)) / 2.0) AS lag FROM g GROUP BY ALL),
+e AS (SELECT *, lag(r) OVER w AS b, lead(r) OVER w AS a FROM h WINDOW w AS (PARTITION BY session, channel ORDER BY run)),
+anchors AS (SELECT session, channel, CAST(min(lag) AS BIGINT) AS lag, arg_min(r, lag) AS c FROM e WHERE r >= 0.9 AND r > b AND r > a GROUP BY ALL)"""
+
+
+def _anchors(spark, d):
+    return L.template_anchor(_signal(spark, d), np.array([-2.0, -1.0, 0.0, 1.0, 2.0]), SC, 0.9)
+
+
+@query("j15_template_anchor", S_SQL + ", " + _ANCHORS + " SELECT session, channel, lag, round(c, 6) AS c FROM anchors")
 def _(spark, d):
-    return L.template_anchor(_signal(spark, d), np.array([-2.0, -1.0, 0.0, 1.0, 2.0]), SC, 0.9).withColumn("c", F.round("c", 6))
+    return _anchors(spark, d).withColumn("c", F.round("c", 6))
+
+
+@query("j16_refine_anchor", S_SQL + ", " + _ANCHORS + """, ai AS (SELECT session, channel, sample, (value - avg(value) OVER k) / (max(value) OVER k - min(value) OVER k + 1e-12) AS x FROM samples WINDOW k AS (PARTITION BY session, channel)),
+ax AS (SELECT *, lead(x) OVER (PARTITION BY session, channel ORDER BY sample) AS x1 FROM ai), bs AS (SELECT session, (channel + 7) % 8 AS channel, sample AS m, x AS y FROM ai),
+j AS (SELECT session, channel, m, y, lag AS anchor FROM bs JOIN anchors USING (session, channel)), k AS (SELECT *, unnest(range(-4, 5)) AS n FROM j),
+q AS (SELECT *, anchor + (m + n) * 1.25::DOUBLE AS p FROM k), u AS (SELECT q.session, q.channel, anchor, m, n, y, CASE WHEN p = floor(p) THEN x ELSE x + (x1 - x) * (p - floor(p)) END AS u FROM q LEFT JOIN ax ON ax.session = q.session AND ax.channel = q.channel AND ax.sample = floor(p)),
+f AS (SELECT session, channel, anchor, n, avg(u) AS mu FROM u WHERE y IS NOT NULL GROUP BY ALL), r AS (SELECT session, channel, anchor, n, round(sqrt(avg((y - coalesce(u, mu)) ** 2)), 9) AS rms FROM u JOIN f USING (session, channel, anchor, n) WHERE mu IS NOT NULL GROUP BY ALL),
+o AS (SELECT session, channel, anchor, arg_min(n, (rms, n)) AS best, min(rms) AS rms FROM r GROUP BY ALL), z1 AS (SELECT session, channel, max(sample) AS hi FROM samples GROUP BY ALL)
+SELECT session, channel, anchor, CAST(best AS INTEGER) AS best, round(rms, 6) AS rms, CAST(round_even(best * 1.25::DOUBLE, 0) AS BIGINT) AS delta, greatest(0, least(anchor + CAST(round_even(best * 1.25::DOUBLE, 0) AS BIGINT), hi)) AS shift, 1000 * round_even(best * 1.25::DOUBLE, 0) / 30000 AS dt_ms FROM o JOIN z1 USING (session, channel)""")
+def _(spark, d):
+    s = _signal(spark, d)
+    other = s.withColumn("channel", (F.col("channel") + 7) % 8)  # each channel against the next one, of another rate
+    got = L.refine_anchor(s, other, _anchors(spark, d).withColumnRenamed("lag", "anchor"), 30_000.0, 24_000.0, 4, SC, both=True)
+    return got.withColumn("rms", F.round("rms", 6))
 
 
 @query("j16_refine_offset", S_SQL + """, a AS (SELECT session, sample, value AS va FROM samples WHERE channel = 0), b AS (SELECT session, sample, value AS vb FROM samples WHERE channel = 1), m AS (SELECT session, avg(va) AS m FROM a GROUP BY ALL),
