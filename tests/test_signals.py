@@ -10,7 +10,9 @@ from tracegrid.operators import artifacts as R
 from tracegrid.operators import filters as L
 from tracegrid.operators import movement as M
 from tracegrid.operators import screening as K
+from tracegrid.operators import series as W
 from tracegrid.operators import stats as A
+from tracegrid.operators.quantiles import quantiles
 
 FS = 30_000.0
 
@@ -165,6 +167,67 @@ def test_gaussian_at_irregular_times(spark, n):
         assert np.abs(got - want).max() < 1e-12
 
 
+def test_quantiles_by_counts(spark):
+    rng = np.random.default_rng(12)
+    keys = {"noise": rng.normal(size=900), "ties": rng.integers(0, 3, 900).astype(float), "far": rng.choice([-1e308, 1e308, 5e-324, 0.0, 1.0], 900), "steep": np.exp(rng.normal(size=900) * 50), "one": np.array([7.0]), "two": np.array([1.0, 4.0])}
+    rows = [(k, float(v)) for k, x in keys.items() for v in x] + [("one", None), ("none", None), ("two", float("nan"))]
+    d = spark.createDataFrame(rows, "k string, value double")
+    shares = {"a": 0.0, "b": 0.05, "m": 0.5, "c": 0.951, "z": 1.0}
+    for few, cuts in ((4096, 256), (10, 16)):
+        got = {r.k: r for r in quantiles(d, ["k"], shares, few=few, cuts=cuts).collect()}
+        assert set(got) == set(keys)
+        for k, x in keys.items():
+            for name, p in shares.items():
+                h, x = (len(x) - 1) * p, np.sort(x)
+                low, high = x[math.floor(h)], x[math.ceil(h)]
+                want = low + (high - low) * (h - math.floor(h))
+                assert got[k][name] == want or abs(got[k][name] / want - 1) < 1e-12, (k, name)
+
+
+@pytest.mark.parametrize("kernel", [L.causal_kernel(5.0, 1000.0, 0.2), L.gaussian_kernel(20.0, 1000.0), L.gaussian_kernel(17.3, 1000.0), L.kaiser_kernel(20.0, 60.0, 1000.0)])
+def test_rates_by_convolution(spark, kernel):
+    taps, delay = kernel
+    rng = np.random.default_rng(13)
+    n = 2000
+    spikes = np.sort(np.concatenate([rng.choice(n, 40, replace=False), np.repeat(rng.choice(np.arange(900, 1100), 150), 2)]))
+    x = np.zeros(n)
+    np.add.at(x, spikes, 1)
+    want = np.convolve(x, taps)[delay : delay + n][::3]
+    d = spark.createDataFrame([("s", 0, int(i)) for i in spikes], "session string, channel int, sample long")
+    rec = spark.createDataFrame([("s", 0, n), ("s", 1, 10), ("s", 2, 0)], "session string, channel int, n_samples long")
+    for size in (100, 1 << 18):
+        got = L.convolved_rates(d, rec, kernel, 3, ["session", "channel"], size).orderBy("channel", "place").collect()
+        assert [(r.channel, r.place) for r in got] == [(0, i) for i in range(len(want))] + [(1, i) for i in range(4)]
+        assert np.abs(np.array([r.rate for r in got[: len(want)]]) - want).max() < 1e-9 * max(1, np.abs(want).max()) and all(r.rate == 0 for r in got[len(want) :])
+
+
+@pytest.mark.parametrize("blanks", [False, True])
+def test_smoothed_counts_in_blocks(spark, blanks):
+    rng = np.random.default_rng(14)
+    series = {0: rng.poisson(3, 300), 1: rng.poisson(3, 3), 2: rng.poisson(3, 5)}
+    lost = {0: {0, 1, 70, 71, 72, 150, 299}, 1: {1}, 2: set()} if blanks else {0: set(), 1: set(), 2: set()}
+    d = spark.createDataFrame([("s", c, i, int(v)) for c, x in series.items() for i, v in enumerate(x)], "session string, channel int, bin long, count long")
+    gone = spark.createDataFrame([("s", c, i) for c, x in lost.items() for i in x], "session string, channel int, bin long") if blanks else None
+    r, sigma = 6, 1.5
+    g = np.exp(-0.5 * (np.arange(-r, r + 1) / sigma) ** 2)
+    g /= g.sum()
+    for size in (16, 1 << 14):
+        got = {(x.channel, x.bin): x.rate_hz for x in W.smooth_counts(d, sigma, 10.0, ["session", "channel"], gone, size).collect()}
+        assert len(got) == sum(map(len, series.values()))
+        for c, x in series.items():
+            n = len(x)
+            ok = np.array([not any(abs(i - b) <= r for b in lost[c]) for i in range(n)])
+            for i in range(n):
+                if i in lost[c]:
+                    assert got[c, i] is None
+                    continue
+                q = np.arange(i - r, i + r + 1) % (2 * n - 2)
+                q = np.where(q >= n, 2 * n - 2 - q, q)
+                den = (g * ok[q]).sum()
+                want = x[i] if n < 4 else 0.0 if den < 1e-12 else (g * ok[q] * x[q]).sum() / den
+                assert abs(got[c, i] - 100 * want) < 1e-9
+
+
 def test_artifacts_by_components(spark):
     rng = np.random.default_rng(4)
     shape = rng.normal(size=(2, 12))

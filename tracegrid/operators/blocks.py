@@ -41,6 +41,17 @@ def neighbour(df: DataFrame, by: list[str], at: str, value: str, name: str, *, a
     return d.withColumn(name, F.coalesce("_i", "_c")["v"]).drop("_k", "_i", "_c")
 
 
+def beside(df: DataFrame, by: list[str], at: str, value: str, before: str, after: str, *, width: float = WIDTH) -> DataFrame:
+    """df with the values of the row before and the row after each row, in one pass; null where there is none."""
+    d = _blocked(df, at, width)
+    inside, across = Window.partitionBy(*by, "_k").orderBy(at), Window.partitionBy(*by).orderBy("_k")
+    v = F.struct(F.col(value).alias("v"))
+    ends = d.groupBy(*by, "_k").agg(F.min_by(v, at).alias("_f"), F.max_by(v, at).alias("_l"))
+    ends = ends.select(*by, "_k", F.lag("_l").over(across).alias("_c0"), F.lead("_f").over(across).alias("_c1"))
+    d = d.withColumns({"_i0": F.lag(v).over(inside), "_i1": F.lead(v).over(inside)}).join(ends, [*by, "_k"])
+    return d.withColumns({before: F.coalesce("_i0", "_c0")["v"], after: F.coalesce("_i1", "_c1")["v"]}).drop("_k", "_i0", "_i1", "_c0", "_c1")
+
+
 def running(df: DataFrame, by: list[str], at: str, value: Column | dict[str, Column], name: str = "", *, width: float = WIDTH) -> DataFrame:
     """df with name: the sum of value over the rows up to each row; or several sums by name."""
     values = value if isinstance(value, dict) else {name: value}

@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 
 from . import blocks as B
 from .lineage import written
+from .quantiles import quantiles
 
 BY = ("session", "channel")
 
@@ -112,7 +113,7 @@ def pulse_blocks(p: DataFrame, by=BY, factor: int = 50, width: float = B.WIDTH)
 
 def stim_channels(df: DataFrame, eps: float = 0.0, min_edges: int = 1, by=BY) -> DataFrame:
     """Keys with at least min_edges rises over the middle of their 5th and 95th percentile."""
-    q = df.groupBy(*by).agg(F.percentile("value", F.array(F.lit(0.05), F.lit(0.95))).alias("q")).where("q is not null").select(*by, ((F.col("q")[0] + F.col("q")[1]) / 2 + eps).alias("thr"))
+    q = quantiles(df, by, {"low": 0.05, "high": 0.95}).select(*by, ((F.col("low") + F.col("high")) / 2 + eps).alias("thr"))
     d = df.where("value is not null").join(q, list(by)).withColumn("high", (F.col("value") > F.col("thr")).cast("int"))
     return B.neighbour(d, list(by), "sample", "high", "before").where("high = 1 and before = 0").groupBy(*by).agg(F.count("*").alias("n_edges")).where(F.col("n_edges") >= min_edges)
 
@@ -124,16 +125,16 @@ def busiest_channel(df: DataFrame) -> DataFrame:
 
 
 def noise_levels(df: DataFrame, by=BY) -> DataFrame:
-    """Exact median and scaled median deviation of each key, by two aggregations."""
-    med = df.groupBy(*by).agg(F.median("value").alias("med"))
-    dev = df.join(med, list(by)).groupBy(*by, "med").agg(F.median(F.abs(F.col("value") - F.col("med"))).alias("mad"))
-    return dev.select(*by, "med", (F.col("mad") / 0.6744897501960817).alias("noise"))
+    """Exact median and scaled median deviation of each key."""
+    med = written(quantiles(df, by, {"med": 0.5}), "medians")
+    dev = quantiles(df.join(med, list(by)).withColumn("value", F.abs(F.col("value") - F.col("med"))), by, {"mad": 0.5})
+    return med.join(dev, list(by)).select(*by, "med", (F.col("mad") / 0.6744897501960817).alias("noise"))
 
 
 def detect_peaks(df: DataFrame, threshold: float = 3.0, sign: str = "neg", by=BY) -> DataFrame:
     """Local extremes beyond threshold noise levels from the median: strictly beyond the sample before, at least as far as the one after."""
     d = df.where("value is not null").join(noise_levels(df, by), list(by)).withColumn("x", F.col("value") - F.col("med"))
-    d = B.neighbour(B.neighbour(d, list(by), "sample", "x", "b"), list(by), "sample", "x", "a", after=True)
+    d = B.beside(d, list(by), "sample", "x", "b", "a")
     far = threshold * F.col("noise")
     low = (F.col("x") < -far) & (F.col("x") < F.coalesce("b", F.lit(float("inf")))) & (F.col("x") <= F.coalesce("a", F.lit(float("inf"))))
     high = (F.col("x") > far) & (F.col("x") > F.coalesce("b", F.lit(-float("inf")))) & (F.col("x") >= F.coalesce("a", F.lit(-float("inf"))))
@@ -163,7 +164,7 @@ def local_maxima(df: DataFrame, height: float, by=BY, width: float = B.WIDTH) ->
     """Peaks of at least height: runs of equal values with lower ones on both sides, at their middle sample (the left one of
     two). Missing values are taken out first."""
     keys = list(by)
-    d = B.neighbour(B.neighbour(df.where("value is not null"), keys, "sample", "value", "b", width=width), keys, "sample", "value", "a", after=True, width=width)
+    d = B.beside(df.where("value is not null"), keys, "sample", "value", "b", "a", width=width)
     # A run is open from a rise to it up to the next change; its last row has another value after it.
     rise = F.when(F.col("b").isNull() | (F.col("b") != F.col("value")), F.struct(F.col("sample").alias("s"), (F.col("b") < F.col("value")).alias("up")))
     d = B.known(d, keys, "sample", rise, "r", width=width).where((F.col("value") >= height) & (F.col("a") < F.col("value")) & F.col("r.up"))

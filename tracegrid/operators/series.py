@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from . import blocks as B
@@ -18,29 +21,45 @@ def baseline_zero(windows: DataFrame, lo: int, hi: int, by: list[str], at: str =
     return windows.withColumn("value", F.col("value") - F.avg(F.when((F.col(at) >= lo) & (F.col(at) < hi), F.col("value"))).over(w))
 
 
-def smooth_counts(counts: DataFrame, sigma: float, bin_ms: float, by: list[str], blanks: DataFrame | None = None) -> DataFrame:
+def smooth_counts(counts: DataFrame, sigma: float, bin_ms: float, by: list[str], blanks: DataFrame | None = None, size: int = 1 << 14) -> DataFrame:
     """Gaussian rates in Hz: weights out to ceil(4 sigma) bins, ends reflected, and bins within that reach of a blank
-    one left out and weighed up; a blank bin has no rate. Series of under 4 bins aren't smoothed."""
+    one left out and weighed up; a blank bin has no rate. Series of under 4 bins aren't smoothed. A series has each bin from 0
+    on; it is filtered in blocks of bins, with twice the reach more on both sides."""
     r = math.ceil(4 * sigma)
-    taps = [math.exp(-0.5 * (i / sigma) ** 2) for i in range(-r, r + 1)]
-    taps = [t / sum(taps) for t in taps]
-    w = Window.partitionBy(*by).orderBy("bin")
-    d = counts if blanks is not None else counts.withColumn("blank", F.lit(False))
+    size = max(size, 2 * r)
+    taps = np.exp(-0.5 * (np.arange(-r, r + 1) / sigma) ** 2)
+    taps /= taps.sum()
+    d = counts.select(*by, "bin", "count")
     if blanks is not None:
-        d = counts.join(blanks.withColumn("blank", F.lit(True)), [c for c in blanks.columns], "left").withColumn("blank", F.coalesce("blank", F.lit(False)))
-    d = d.withColumn("n", F.count("*").over(Window.partitionBy(*by)))
-    d = d.withColumn("ok", (~F.max("blank").over(w.rowsBetween(-r, r))).cast("double"))
-    # Reflection is an index map: each bin sends its value to the bins that it reaches, mirrored at the ends.
-    period = 2 * F.col("n") - 2
-    hits = d.where("n >= 4").select(*by, "n", F.col("bin").alias("from"), F.explode(F.sequence(F.col("bin") - r, F.col("bin") + r)).alias("p"), "bin")
-    hits = hits.select(*by, "bin", (F.col("p") - F.col("bin") + r).cast("int").alias("tap"), F.pmod(F.col("p"), period).alias("q"), "n")
-    hits = hits.withColumn("source", F.when(F.col("q") >= F.col("n"), 2 * F.col("n") - 2 - F.col("q")).otherwise(F.col("q")))
-    weight = F.element_at(F.array(*map(F.lit, taps)), F.col("tap") + 1)
-    src = d.select(*by, F.col("bin").alias("source"), (F.col("count") * F.col("ok")).alias("x"), "ok")
-    s = hits.join(src, [*by, "source"]).groupBy(*by, "bin").agg(F.sum(weight * F.col("x")).alias("num"), F.sum(weight * F.col("ok")).alias("den"))
-    out = d.join(s, [*by, "bin"], "left")
-    rate = F.when(F.col("blank"), None).when(F.col("n") < 4, F.col("count")).when(F.col("den") < 1e-12, 0.0).otherwise(F.col("num") / F.col("den"))
-    return out.select(*by, "bin", "count", (rate * (1000.0 / bin_ms)).alias("rate_hz"))
+        d = d.join(blanks.withColumn("_blank", F.lit(True)), list(blanks.columns), "left")
+    else:
+        d = d.withColumn("_blank", F.lit(False))
+    d = d.withColumn("_blank", F.coalesce("_blank", F.lit(False))).join(d.groupBy(*by).agg(F.count("*").alias("_n")), by)
+    schema = T.StructType([*(counts.schema[c] for c in by), counts.schema["bin"], counts.schema["count"], T.StructField("rate_hz", T.DoubleType())])
+
+    def run(t: pa.Table) -> pa.Table:
+        lo, n = t.column("block")[0].as_py() * size, t.column("_n")[0].as_py()
+        order = np.argsort(t.column("bin").to_numpy())
+        at = t.column("bin").to_numpy()[order]
+        x, blank = np.zeros(size + 4 * r), np.zeros(size + 4 * r, dtype=bool)
+        x[at - lo + 2 * r], blank[at - lo + 2 * r] = t.column("count").to_numpy()[order], t.column("_blank").to_numpy()[order]
+        own = order[(at >= lo) & (at < lo + size)]
+        k = t.column("bin").to_numpy()[own] - lo
+        rate = x[k + 2 * r]
+        if n >= 4:
+            near = np.concatenate([[0], np.cumsum(blank)])
+            ok = np.zeros(len(x))
+            ok[r : len(x) - r] = near[2 * r + 1 :] == near[: -2 * r - 1]
+            p = np.arange(lo - r, lo + size + r) % (2 * n - 2)
+            q = np.where(p >= n, 2 * n - 2 - p, p) - lo + 2 * r
+            q = np.clip(q, 0, len(x) - 1)  # beyond the series' end, where no bin looks
+            num, den = np.convolve((x * ok)[q], taps, "valid"), np.convolve(ok[q], taps, "valid")
+            with np.errstate(invalid="ignore", divide="ignore"):
+                rate = np.where(den < 1e-12, 0.0, num / den)[k]
+        rate = pa.array(rate * (1000.0 / bin_ms), mask=blank[k + 2 * r])
+        return t.select([*by, "bin", "count"]).take(pa.array(own)).append_column("rate_hz", rate)
+
+    return B.halo(d, by, "bin", size, 2 * r).groupBy(*by, "block").applyInArrow(run, schema)
 
 
 def interpolate_gaps(df: DataFrame, max_gap: int, by: list[str], at: str = "sample", values: tuple[str, ...] = ("value",), width: float = B.WIDTH) -> DataFrame:

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..operators.lineage import written
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -25,9 +27,10 @@ LINES = ("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantit
 
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Written once: the block primitives read their input more than once."""
     e = table(spark, sf_dir, "events").select(F.col("event_type").alias("session"), (F.col("user_id") % 8).cast("int").alias("channel"), "ts", "event_id", F.nanvl("value", F.lit(None).cast("double")).alias("value"))
     w = Window.partitionBy("session", "channel").orderBy("ts", "event_id")
-    return e.select("session", "channel", (F.row_number().over(w) - 1).cast("long").alias("sample"), micros("ts").alias("t_ms"), "value")
+    return written(e.select("session", "channel", (F.row_number().over(w) - 1).cast("long").alias("sample"), micros("ts").alias("t_ms"), "value"), "samples")
 
 
 SAMPLES = """samples AS (SELECT event_type AS session, CAST(user_id % 8 AS INTEGER) AS channel,

@@ -13,6 +13,7 @@ from ..operators import events as E
 from ..operators import screening as K
 from ..operators import series as W
 from ..operators import stats as A
+from ..operators.lineage import written
 from ..sources import tables as T
 from . import adapters as D
 
@@ -38,11 +39,16 @@ peaks AS (SELECT session, channel, sample, t_ms, value AS amplitude FROM y WHERE
 
 
 def _peaks(spark, d):
-    return E.detect_peaks(D.samples(spark, d), 1.5, "pos")
+    return _peaks_of(D.samples(spark, d))
 
 
-def _rec(spark, d):
-    return D.samples(spark, d).groupBy("session", "channel").agg(F.count("*").alias("n_samples"))
+def _peaks_of(samples):
+    return written(E.detect_peaks(samples, 1.5, "pos"), "peaks")
+
+
+def _counts(spark, d):
+    s = D.samples(spark, d)
+    return written(A.bin_counts(_peaks_of(s), s.groupBy("session", "channel").agg(F.count("*").alias("n_samples")), 4), "counts")
 
 
 @query("e9_noise", "WITH " + _NOISE + " SELECT session, channel, round(med, 6) AS med, round(noise, 6) AS noise FROM noise")
@@ -63,7 +69,7 @@ counts AS (SELECT session, channel, bin, coalesce(n, 0) AS count FROM spine LEFT
 
 @query("a1_bin_counts", "WITH " + _COUNTS + " SELECT session, channel, bin, count FROM counts")
 def _(spark, d):
-    return A.bin_counts(_peaks(spark, d), _rec(spark, d), 4)
+    return _counts(spark, d)
 
 
 def _firing(c):
@@ -73,7 +79,7 @@ def _firing(c):
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Peaks to bins to windows around the bins in which the first channel fires, less their baseline, then medians across events."""
-    c = A.bin_counts(_peaks(spark, d), _rec(spark, d), 4).select("session", F.col("channel").alias("trace"), "bin", F.col("count").cast("double").alias("value"))
+    c = _counts(spark, d).select("session", F.col("channel").alias("trace"), "bin", F.col("count").cast("double").alias("value"))
     ev = _firing(c)
     z = W.baseline_zero(J.peri_event(c, ev, 1, 2), -1, 0, ["session", "event_id", "trace"])
     return A.across_trials(z, ["session", "trace", "rel_bin"]).select("session", "trace", "rel_bin", F.round("median", 6).alias("median"), F.round("variance", 6).alias("variance"), "n")
@@ -93,7 +99,7 @@ e AS (SELECT session, tm AS event_id, greatest(tm - 3, lo) i0, least(tm + 4, hi)
 need AS (SELECT session, event_id, k - 3 AS rel_bin, CAST(round_even(i0 + (i1 - i0) * k / 7.0::DOUBLE, 0) AS BIGINT) AS bin FROM (SELECT *, unnest(range(8)) AS k FROM e WHERE i0 <= i1))
 SELECT session, event_id, channel AS trace, CAST(rel_bin AS INTEGER) AS rel_bin, CAST(count AS DOUBLE) AS value FROM need JOIN counts USING (session, bin)""")
 def _(spark, d):
-    c = A.bin_counts(_peaks(spark, d), _rec(spark, d), 4).select("session", F.col("channel").alias("trace"), "bin", F.col("count").cast("double").alias("value"))
+    c = _counts(spark, d).select("session", F.col("channel").alias("trace"), "bin", F.col("count").cast("double").alias("value"))
     ev = _firing(c)
     return J.window_resampled(c, ev, 3, 4)
 
@@ -336,7 +342,7 @@ mi AS (SELECT c.session, c.channel, bin, count, r.n_bins AS n, k, g, (bin + k +
 sx AS (SELECT *, CASE WHEN q >= n THEN 2 * n - 2 - q ELSE q END AS src FROM mi), sm AS (SELECT sx.session, sx.channel, sx.bin, any_value(sx.count) AS count, any_value(n) AS n, sum(g * c.count) AS num FROM sx LEFT JOIN counts c ON c.session = sx.session AND c.channel = sx.channel AND c.bin = sx.src GROUP BY sx.session, sx.channel, sx.bin)
 SELECT session, channel, bin, count, round((CASE WHEN n < 4 THEN count ELSE num END) * 100.0::DOUBLE, 6) AS rate_hz FROM sm""")
 def _(spark, d):
-    c = A.bin_counts(_peaks(spark, d), _rec(spark, d), 4)
+    c = _counts(spark, d)
     return W.smooth_counts(c, 1.0, 10.0, ["session", "channel"]).withColumn("rate_hz", F.round("rate_hz", 6))
 
 

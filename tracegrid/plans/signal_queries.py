@@ -73,6 +73,36 @@ def _(spark, d):
     return L.kernel_rates(s.where("value > 80").select(*SC, "sample"), rec, 5.0, 1000.0, 4, SC, 0.04).withColumn("rate", F.round("rate", 6))
 
 
+def _spike_rates(spark, d, kernel):
+    s = _signal(spark, d)
+    rec = s.groupBy(*SC).agg(F.count("*").alias("n_samples"))
+    return L.convolved_rates(s.where("value > 80").select(*SC, "sample"), rec, kernel, 4, SC).withColumn("rate", F.round("rate", 6))
+
+
+#: weight(i) of the i-th tap, taps and delay go in between.
+_RATES = S_SQL + """, r AS (SELECT session, channel, (count(*) - 1) // 4 AS l FROM samples GROUP BY ALL), sp AS (SELECT session, channel, unnest(range(l + 1)) AS place FROM r), k AS (SELECT session, channel, sample FROM samples WHERE value > 80),
+{taps}, g AS (SELECT sp.session, sp.channel, place, sum(w) AS rate FROM sp JOIN k ON k.session = sp.session AND k.channel = sp.channel JOIN taps ON i = place * 4 - sample + {delay} GROUP BY ALL)
+SELECT session, channel, place, round(coalesce(rate, 0), 6) AS rate FROM sp LEFT JOIN g USING (session, channel, place)"""
+
+
+@query("w10_causal_rates", _RATES.format(delay=0, taps="taps AS (SELECT i, (9.4352::DOUBLE * 5) ** 2 * (i / 30000.0::DOUBLE) * exp(-9.4352::DOUBLE * 5 * (i / 30000.0::DOUBLE)) AS w FROM (SELECT unnest(range(60001)) AS i))"))
+def _(spark, d):
+    return _spike_rates(spark, d, L.causal_kernel(5.0, 30_000.0))
+
+
+@query("w10_gaussian_rates", _RATES.format(delay=159, taps="""t0 AS (SELECT unnest(range(319)) AS i), t1 AS (SELECT i, exp(-((-6 * 0.0265::DOUBLE + i / 1000.0::DOUBLE) ** 2) / (2 * 0.0265::DOUBLE ** 2)) AS k FROM t0),
+taps AS (SELECT i, k / ((SELECT sum(k) - sum(CASE WHEN i IN (0, 318) THEN k ELSE 0 END) / 2 FROM t1) / 1000) AS w FROM t1)"""))
+def _(spark, d):
+    return _spike_rates(spark, d, L.gaussian_kernel(5.0, 1000.0))
+
+
+@query("w10_kaiser_rates", _RATES.format(delay=1812, taps="""t0 AS (SELECT unnest(range(3627)) AS i), t1 AS (SELECT i, CASE WHEN i = 1813 THEN 1 ELSE sin(pi() * 0.011::DOUBLE * (i - 1813)) / (pi() * 0.011::DOUBLE * (i - 1813)) END
+ * list_sum(list_transform(range(60), lambda k: (pow(0.1102::DOUBLE * 51.3 / 2 * sqrt(greatest(0, 1 - ((i - 1813) / 1813.0::DOUBLE) ** 2)), k) / gamma(k + 1)) ** 2)) AS h FROM t0),
+taps AS (SELECT i, h / (SELECT sum(h) FROM t1) * 1000 AS w FROM t1)"""))
+def _(spark, d):
+    return _spike_rates(spark, d, L.kaiser_kernel(5.0, 6.0, 1000.0))
+
+
 _ANCHORS = """z AS (SELECT session, channel, sample, coalesce((value - avg(value) OVER w) / stddev_pop(value) OVER w, 0) AS z FROM samples WINDOW w AS (PARTITION BY session, channel)),
 t AS (SELECT unnest(range(5)) AS i, unnest([-2, -1, 0, 1, 2]) / sqrt(2.0::DOUBLE) AS t), c AS (SELECT session, channel, z.sample - i AS lag, sum(z * t) AS c FROM z, t GROUP BY ALL),
 n AS (SELECT session, channel, lag, round(c / (max(abs(c)) OVER (PARTITION BY session, channel) + 1e-12), 9) AS r FROM c),
