@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from . import blocks as B
 from .lineage import written
+from .models import factor_em, grams
 
 KEYS = ("session", "channel", "block")
 
@@ -250,14 +251,12 @@ def template_parts(snippets: DataFrame, width: int, first_width: int = 3, group:
 
 
 def sums_of_products(df: DataFrame, columns: list[str]) -> tuple[int, np.ndarray, np.ndarray]:
-    """Rows without nulls, their means and their covariances, by one aggregation of a number for each pair of columns."""
-    d = df.select(*columns).dropna()
-    pairs = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
-    row = d.agg(F.count("*").alias("n"), *(F.avg(c).alias(f"m{i}") for i, c in enumerate(columns)), *(F.covar_pop(columns[i], columns[j]).alias(f"c{i}_{j}") for i, j in pairs)).first()
-    cov = np.zeros((len(columns), len(columns)))
-    for i, j in pairs:
-        cov[i, j] = cov[j, i] = row[f"c{i}_{j}"] or 0.0
-    return row["n"], np.array([row[f"m{i}"] or 0.0 for i in range(len(columns))]), cov
+    """Rows without nulls, their means and their covariances."""
+    size = len(columns)
+    row = grams(df.select(F.lit(0).alias("_g"), F.array(*(F.col(c).cast("double") for c in columns)).alias("x")), ["_g"], size).first()
+    if row is None:
+        return 0, np.zeros(size), np.zeros((size, size))
+    return row["n"], np.array(row["mean"]), np.frombuffer(row["gram"]).reshape(size, size) / row["n"]
 
 
 def reduced_rank_regression(df: DataFrame, x: list[str], y: list[str], ranks: list[int], ridge: float = 0.0) -> DataFrame:
@@ -275,20 +274,6 @@ def reduced_rank_regression(df: DataFrame, x: list[str], y: list[str], ranks: li
 def factor_loadings(df: DataFrame, columns: list[str], k: int = 2, turns: int = 500, tolerance: float = 1e-9) -> DataFrame:
     """name, l1 to lk and noise of a factor model, by expectation and maximisation on the covariance matrix."""
     _, _, s = sums_of_products(df, columns)
-    values, vectors = np.linalg.eigh(s)
-    load, noise, last = vectors[:, ::-1][:, :k] * np.sqrt(np.maximum(values[::-1][:k], 1e-12)), np.maximum(np.diag(s) / 2, 1e-12), np.inf
-    for _ in range(turns):
-        beta = load.T @ np.linalg.inv(load @ load.T + np.diag(noise))
-        second = np.eye(k) - beta @ load + beta @ s @ beta.T
-        load = s @ beta.T @ np.linalg.inv(second)
-        noise = np.maximum(np.diag(s - load @ beta @ s), 1e-12)
-        model = load @ load.T + np.diag(noise)
-        score = np.linalg.slogdet(model)[1] + np.trace(np.linalg.solve(model, s))
-        if abs(last - score) < tolerance:
-            break
-        last = score
-    _, _, turn = np.linalg.svd(load, full_matrices=False)
-    load = load @ turn.T
-    load = load * np.where(load[np.abs(load).argmax(axis=0), range(k)] < 0, -1, 1)
+    load, noise = factor_em(s, k, turns, tolerance)
     rows = [(c, *map(float, load[i]), float(noise[i])) for i, c in enumerate(columns)]
     return df.sparkSession.createDataFrame(rows, "name string, " + ", ".join(f"l{j + 1} double" for j in range(k)) + ", noise double")

@@ -52,6 +52,18 @@ def beside(df: DataFrame, by: list[str], at: str, value: str, before: str, after
     return d.withColumns({before: F.coalesce("_i0", "_c0")["v"], after: F.coalesce("_i1", "_c1")["v"]}).drop("_k", "_i0", "_i1", "_c0", "_c1")
 
 
+def around(df: DataFrame, by: list[str], at: str, value: Column, before: str, after: str, *, width: float = WIDTH) -> DataFrame:
+    """df with the largest value (a struct, or null) up to each row and the least from it on, in one pass: with structs that begin
+    with the order column, the last and the next row that have one."""
+    d = _blocked(df, at, width).withColumn("_v", value)
+    inside, across = Window.partitionBy(*by, "_k").orderBy(at), Window.partitionBy(*by).orderBy("_k")
+    ends = d.groupBy(*by, "_k").agg(F.max("_v").alias("_l"), F.min("_v").alias("_f"))
+    ends = ends.select(*by, "_k", F.max("_l").over(across.rowsBetween(Window.unboundedPreceding, -1)).alias("_c0"), F.min("_f").over(across.rowsBetween(1, Window.unboundedFollowing)).alias("_c1"))
+    up, down = inside.rangeBetween(Window.unboundedPreceding, Window.currentRow), inside.rangeBetween(Window.currentRow, Window.unboundedFollowing)
+    d = d.withColumns({"_i0": F.max("_v").over(up), "_i1": F.min("_v").over(down)}).join(ends, [*by, "_k"])
+    return d.withColumns({before: F.greatest("_i0", "_c0"), after: F.least("_i1", "_c1")}).drop("_k", "_v", "_i0", "_i1", "_c0", "_c1")
+
+
 def running(df: DataFrame, by: list[str], at: str, value: Column | dict[str, Column], name: str = "", *, width: float = WIDTH) -> DataFrame:
     """df with name: the sum of value over the rows up to each row; or several sums by name."""
     values = value if isinstance(value, dict) else {name: value}

@@ -22,31 +22,112 @@ from .events import local_maxima
 from .lineage import written
 
 
+def filled(df: DataFrame, by: list[str], at: str = "sample", value: str = "value", name: str = "_filled") -> DataFrame:
+    """df with name: value, and where it is missing (null or NaN) the line between its neighbours, or the nearest one at the ends,
+    however far they are; null in a key without values."""
+    v = F.nanvl(F.col(value).cast("double"), F.lit(None))
+    d = B.around(df, by, at, F.when(v.isNotNull(), F.struct(F.col(at).alias("i"), v.alias("v"))), "_l", "_r")
+    part = F.try_divide(F.col(at) - F.col("_l.i"), F.col("_r.i") - F.col("_l.i"))
+    line = F.coalesce(v, F.col("_l.v") + (F.col("_r.v") - F.col("_l.v")) * part, "_l.v", "_r.v")
+    return d.withColumn(name, line).drop("_l", "_r")
+
+
 def filtered(df: DataFrame, by: list[str], fn: Callable[[np.ndarray], np.ndarray], reach: int, size: int, at: str = "sample", value: str = "value") -> DataFrame:
-    """df with value filtered by fn. Missing values are filled linearly (flat at the ends) for the filter and stay missing."""
+    """df with value filtered by fn. Missing values are filled linearly (flat at the ends) for the filter and stay missing; they are
+    filled before blocks are cut, so that a gap may be longer than a block."""
     schema = T.StructType([T.StructField(f.name, T.DoubleType()) if f.name == value else f for f in df.schema.fields])
     columns = df.columns
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(at, ignore_index=True)
-        x = pdf[value].to_numpy(dtype=float)
-        lost = np.isnan(x)
-        if lost.all():
-            y = x
-        else:
-            if lost.any():
-                i = np.arange(len(x))
-                x = np.interp(i, i[~lost], x[~lost])
-            y = np.where(lost, np.nan, fn(x))
+        x, lost = pdf["_filled"].to_numpy(dtype=float), np.isnan(pdf[value].to_numpy(dtype=float))
+        y = x if np.isnan(x).all() else np.where(lost, np.nan, fn(x))
         own = pdf[at].to_numpy() // size == pdf["block"].to_numpy()
         out = pdf.loc[own, columns].copy()
         out[value] = y[own]
         return out
 
-    got = B.halo(df, by, at, size, reach).groupBy(*by, "block").applyInPandas(run, schema)
+    got = B.halo(filled(df, by, at, value), by, at, size, reach).groupBy(*by, "block").applyInPandas(run, schema)
     return got.withColumn(value, F.nanvl(value, F.lit(None).cast("double")))
 
 
+def poles(kind: str, cut: float | tuple[float, float], fs: float, order: int) -> tuple[float, np.ndarray, np.ndarray]:
+    """A digital Butterworth filter as a sum: y = k x + sum of r s, s[i] = p s[i - 1] + x[i]; k, the poles p and their weights r.
+    kind: high, low or stop (a band; order is then that of the low-pass behind it)."""
+    warp = lambda f: 2 * fs * math.tan(math.pi * f / fs)
+    base = np.exp(1j * np.pi * (2 * np.arange(order) + order + 1) / (2 * order))
+    if kind == "stop":
+        a, b = map(warp, cut)
+        half = (b - a) / (2 * base)
+        p = np.concatenate([half + np.sqrt(half**2 - a * b), half - np.sqrt(half**2 - a * b)])
+        z = np.tile([1j, -1j], order) * math.sqrt(a * b)
+    elif kind == "high":
+        p, z = warp(cut) / base, np.zeros(order, dtype=complex)
+    else:
+        p, z = warp(cut) * base, np.full(order, np.inf + 0j)
+    to_z = lambda s: np.where(np.isinf(s), -1, (2 * fs + np.where(np.isinf(s), 0, s)) / (2 * fs - np.where(np.isinf(s), 0, s)))
+    p, z = to_z(p), to_z(z)
+    at = -1.0 if kind == "high" else 1.0  # where the gain is 1: half the rate, or 0
+    gain = np.prod(1 - p / at) / np.prod(1 - z / at)
+    r = np.array([gain * np.prod(1 - z / q) / np.prod(1 - np.delete(p, j) / q) for j, q in enumerate(p)])
+    return float((gain * np.prod(z) / np.prod(p)).real), p, r
+
+
+def recursive(df: DataFrame, filter_: tuple[float, np.ndarray, np.ndarray], by: list[str], size: int = 1 << 17, at: str = "sample", value: str = "value") -> DataFrame:
+    """df with value through a recursive filter (see poles) from rest at the key's first sample, once, forwards.
+
+    Such a filter may remember for seconds, so blocks aren't filtered with neighbours around them: each gives what its own samples
+    leave in the filter at its end; these are put together in order, a row for each block; and each block starts from what
+    those before it left. Missing values are filled linearly for the filter and stay missing; a key has a row for each sample."""
+    gain, p, r = filter_
+    columns = df.columns
+    rows = written(filled(df, by, at, value).withColumn("_k", F.floor(F.col(at) / size)), "filled")
+    keys = [rows.schema[c] for c in by]
+    left = T.StructType([*keys, rows.schema["_k"], T.StructField("n", T.LongType()), T.StructField("state", T.BinaryType())])
+
+    def ends(t: pa.Table) -> pa.Table:
+        x = np.nan_to_num(t.column("_filled").to_numpy().astype(float))[np.argsort(t.column(at).to_numpy())]
+        back = np.arange(len(x) - 1, -1, -1)
+        state = np.array([(q**back) @ x for q in p])
+        return t.select([*by, "_k"]).slice(0, 1).append_column("n", pa.array([len(x)], pa.int64())).append_column("state", pa.array([state.tobytes()], pa.binary()))
+
+    start = T.StructType([*keys, rows.schema["_k"], T.StructField("_state", T.BinaryType()), T.StructField(at, rows.schema[at].dataType)])
+
+    def carried(t: pa.Table) -> pa.Table:
+        order, state, out = np.argsort(t.column("_k").to_numpy()), np.zeros(len(p), dtype=complex), []
+        for i in order.tolist():
+            out.append(state.tobytes())
+            state = state * p ** t.column("n")[i].as_py() + np.frombuffer(t.column("state")[i].as_py(), dtype=complex)
+        got = t.select([*by, "_k"]).take(pa.array(order)).append_column("_state", pa.array(out, pa.binary()))
+        return got.append_column(at, t.column("_first").take(pa.array(order)))
+
+    first = rows.groupBy(*by, "_k").agg(F.min(at).alias("_first"))
+    carry = rows.groupBy(*by, "_k").applyInArrow(ends, left).join(first, [*by, "_k"]).groupBy(*by).applyInArrow(carried, start)
+    schema = T.StructType([T.StructField(f.name, T.DoubleType()) if f.name == value else f for f in df.schema.fields])
+
+    def run(t: pa.Table) -> pa.Table:
+        order = np.argsort(t.column(at).to_numpy())
+        x = t.column("_filled").to_numpy().astype(float)[order]
+        y = x
+        if not np.isnan(x).any():
+            n, state = len(x), np.frombuffer(t.column("_state").take(pa.array(order[:1]))[0].as_py(), dtype=complex)
+            power = p[:, None] ** np.arange(n + 1)[None, :]
+            h = (r @ power[:, :n]).real
+            m = 1 << (2 * n - 1).bit_length()
+            y = gain * x + np.fft.irfft(np.fft.rfft(x, m) * np.fft.rfft(h, m), m)[:n] + ((r * state) @ power[:, 1:]).real
+        v = t.column(value).take(pa.array(order))
+        lost = np.isnan(v.to_numpy().astype(float))
+        out = t.select(columns).take(pa.array(order))
+        return out.set_column(columns.index(value), value, pa.array(y, mask=lost))
+
+    return rows.join(carry, [*by, "_k", at], "left").groupBy(*by, "_k").applyInArrow(run, schema)
+
+
+def notch(df: DataFrame, fs: float, by: list[str], middle: float = 60.0, half: float = 2.0, size: int = 1 << 17) -> DataFrame:
+    """A signal without its hum: a Butterworth band-stop of order 4, forwards."""
+    return recursive(df, poles("stop", (middle - half, middle + half), fs, 2), by, size)
+
+
 def extended(x: np.ndarray, pad: int) -> np.ndarray:
     """x with up to pad values on each side, mirrored through its ends."""
     pad = min(pad, len(x) - 1)

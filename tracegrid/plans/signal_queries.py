@@ -226,15 +226,39 @@ def _(spark, d):
     return R.template_rmse(s, near).select("session", "channel", F.round("rmse", 6).alias("rmse"))
 
 
-def _wide(spark, d, n):
-    return D.features(spark, d).where(F.col("channel") < n).groupBy("trial").pivot("channel", list(range(n))).agg(F.first("value")).toDF("trial", *(f"c{i}" for i in range(n)))
+def _wide(spark, d):
+    from ..operators import models as Q
+
+    v = Q.vectors(D.features(spark, d), ["trial"])
+    return v.select("trial", *(F.get("x", F.lit(i)).alias(f"c{i}") for i in range(64)))
 
 
 @query("m5_reduced_rank_regression")
 def _(spark, d):
-    return R.reduced_rank_regression(_wide(spark, d, 8), [f"c{i}" for i in range(4)], [f"c{i}" for i in range(4, 8)], [1, 2, 3, 4])
+    return R.reduced_rank_regression(_wide(spark, d), [f"c{i}" for i in range(32)], [f"c{i}" for i in range(32, 64)], list(range(1, 20)))
 
 
 @query("m6_factor_loadings")
 def _(spark, d):
-    return R.factor_loadings(_wide(spark, d, 6), [f"c{i}" for i in range(6)])
+    return R.factor_loadings(_wide(spark, d), [f"c{i}" for i in range(64)])
+
+
+def _groups(spark, d):
+    from ..operators import models as Q
+
+    return Q.factor_groups(Q.vectors(D.features(spark, d), ["condition", "trial"]), ["condition"], "trial")
+
+
+@query("m6_factor_groups")
+def _(spark, d):
+    return _groups(spark, d)[0]
+
+
+@query("m6_factor_scores")
+def _(spark, d):
+    return _groups(spark, d)[1]
+
+
+@query("w7_notch")
+def _(spark, d):
+    return L.notch(_signal(spark, d), 1000.0, SC).withColumn("value", F.round("value", 6))
