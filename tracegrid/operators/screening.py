@@ -63,6 +63,21 @@ def screen_trials(windows: DataFrame, by: list[str], at: str, limits: list[tuple
     return windows.join(windows.groupBy(*by).agg(*tops).where(ok).select(*by), by, "left_semi")
 
 
+def position_filter(windows: DataFrame, by: list[str], at: str, columns: list[str], pre: int, tolerance: float, back: int = 20) -> tuple[DataFrame, DataFrame]:
+    """Trials that begin in the primary position, less their bias, and the rest as they were.
+
+    A column's bias is its mean from pre - back to pre. A trial stays if the value at pre of every column, less the bias where that
+    is below tolerance, is within tolerance of 0; one without a value there goes. Kept and removed are all rows of windows."""
+    near = (F.col(at) >= pre - back) & (F.col(at) <= pre)
+    s = windows.groupBy(*by).agg(*(F.avg(F.when(near, F.col(c))).alias(f"_b{i}") for i, c in enumerate(columns)), *(F.max(F.when(F.col(at) == pre, F.col(c))).alias(f"_p{i}") for i, c in enumerate(columns)))
+    ok = F.lit(True)
+    for i in range(len(columns)):
+        ok = ok & F.coalesce(F.abs(F.col(f"_p{i}") - F.when(F.col(f"_b{i}") < tolerance, F.col(f"_b{i}")).otherwise(0.0)) < tolerance, F.lit(False))
+    s = s.where(ok).select(*by, *(f"_b{i}" for i in range(len(columns))))
+    kept = windows.join(s, by).withColumns({c: F.col(c) - F.col(f"_b{i}") for i, c in enumerate(columns)}).select(*windows.columns)
+    return kept, windows.join(s, by, "left_anti").select(*windows.columns)
+
+
 def remove_bias(windows: DataFrame, by: list[str], at: str, lo: int, hi: int) -> DataFrame:
     """value less the key's mean in [lo, hi]; a key without values there keeps its own."""
     bias = windows.groupBy(*by).agg(F.avg(F.when(F.col(at).between(lo, hi), F.col("value"))).alias("_bias"))

@@ -7,7 +7,7 @@ import math
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -105,6 +105,27 @@ def ttest_vs_baseline(df: DataFrame, baseline: str) -> DataFrame:
     return out.withColumn("stars", F.when(F.col("p") < 0.001, "***").when(F.col("p") < 0.01, "**").when(F.col("p") < 0.05, "*").otherwise(""))
 
 
+def condition_sets(trials: DataFrame, conditions: dict[str, Column], ends: tuple[str, list, int] | None = None, trial: str = "trial") -> DataFrame:
+    """condition and trial: the sets that each trial is in, often several. conditions: a name and when a trial belongs. ends: a column, an
+    order (columns) and a number: the first and last so many trials of each value of the column are sets of their own, as `value first`."""
+    names = F.array_compact(F.array(*(F.when(c, F.lit(n)) for n, c in conditions.items()))) if conditions else F.array().cast("array<string>")
+    out = trials.select(F.explode(names).alias("condition"), trial)
+    if ends:
+        by, order, n = ends
+        turned = [c.desc() for c in order]
+        for name, o in (("first", order), ("last", turned)):
+            top = trials.withColumn("_r", F.row_number().over(Window.partitionBy(by).orderBy(*o))).where(F.col("_r") <= n)
+            out = out.unionByName(top.select(F.concat(F.col(by).cast("string"), F.lit(f" {name}")).alias("condition"), trial))
+    return out.distinct()
+
+
+def ttest_sets(trials: DataFrame, sets: DataFrame, baseline: str, trial: str = "trial") -> DataFrame:
+    """The test of each set of trials against the baseline's, which may share trials with it; with n and mean."""
+    d = sets.join(trials.select(trial, "value"), trial)
+    s = d.groupBy("condition").agg(F.count("value").alias("n"), F.avg("value").alias("mean"))
+    return ttest_vs_baseline(d, baseline).join(s, "condition")
+
+
 def interval_stats(events: DataFrame, by: str, at: str) -> DataFrame:
     d = events.withColumn("d", F.col(at) - F.lag(at).over(Window.partitionBy(by).orderBy(at)))
     return d.groupBy(by).agg(F.median("d").alias("median"), F.avg("d").alias("mean"), F.stddev_pop("d").alias("sd"), F.min("d").alias("least"), F.max("d").alias("most"), F.count("d").alias("n"))

@@ -295,6 +295,34 @@ def _(spark, d):
     return M.bootstrap_ci(D.trials(spark, d), ["condition", "bin"], "trial", 100)
 
 
+@query("a13_bootstrap_means", "WITH " + D.TRIALS + " SELECT condition, bin, round(avg(value), 6) AS mean, count(value) AS n FROM trials GROUP BY ALL")
+def _(spark, d):
+    return M.bootstrap_ci(D.trials(spark, d), ["condition", "bin"], "trial", 100).select("condition", "bin", F.round("mean", 6).alias("mean"), "n")
+
+
+_FILES = """files AS (SELECT 'rec_' || lpad(CAST(o_custkey % 250 AS VARCHAR), 3, '0') || '_' || o_orderstatus || '.ns5' AS path, o_orderkey AS id, CAST(o_orderdate AS DATE) AS mtime, o_totalprice AS size FROM orders)"""
+
+
+def _files(spark, d):
+    name = F.concat(F.lit("rec_"), F.lpad((F.col("o_custkey") % 250).cast("string"), 3, "0"), F.lit("_"), "o_orderstatus", F.lit(".ns5"))
+    return D.table(spark, d, "orders").select(F.concat(F.lit("/data.v2/17/"), name).alias("path"), F.col("o_orderdate").cast("date").alias("mtime"), F.col("o_totalprice").alias("size"))
+
+
+@query("s12_best_file", "WITH " + _FILES + """, n AS (SELECT *, regexp_extract_all(regexp_replace(path, '\\.[^.]*$', ''), '[0-9]+') AS numbers FROM files),
+w AS (SELECT s_suppkey AS index, CASE WHEN s_suppkey < 100 THEN lpad(CAST(s_suppkey AS VARCHAR), 3, '0') ELSE CAST(s_suppkey AS VARCHAR) END AS token FROM supplier),
+x AS (SELECT index, list_contains(numbers, token) AS strong, path, mtime, size FROM w, n)
+SELECT index, '/data.v2/17/' || arg_max(path, (strong, mtime, size, path)) AS path, max(strong) AS strong FROM x GROUP BY index""")
+def _(spark, d):
+    return T.best_file_per_index(_files(spark, d), D.table(spark, d, "supplier").select(F.col("s_suppkey").alias("index")))
+
+
+@query("s12_preferred", """SELECT o_custkey, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN 2 ELSE 3 END,
+ CASE o_orderpriority WHEN '3-MEDIUM' THEN 1 WHEN '1-URGENT' THEN 2 WHEN '2-HIGH' THEN 3 ELSE 4 END, o_orderdate DESC, o_orderkey DESC) = 1""")
+def _(spark, d):
+    o = D.table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderstatus", "o_orderpriority", "o_orderdate")
+    return T.preferred(o, ["o_custkey"], [("o_orderstatus", ["F", "O"]), ("o_orderpriority", ["3-MEDIUM", "1-URGENT", "2-HIGH"])], ["o_orderdate", "o_orderkey"]).select("o_custkey", "o_orderkey")
+
+
 @query("o1_top_trials", "SELECT o_custkey, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) <= 3")
 def _(spark, d):
     from ..operators import series as W

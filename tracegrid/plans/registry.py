@@ -319,6 +319,18 @@ def _(spark, d):
     return A.ttest_vs_baseline(o, "1-URGENT")
 
 
+@query("a11_condition_sets", """WITH o AS (SELECT o_orderkey AS trial, o_totalprice AS value, o_orderpriority AS p, o_orderstatus AS s, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate, o_orderkey) AS i, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate DESC, o_orderkey DESC) AS j FROM orders),
+m AS (SELECT 'catch' AS condition, trial, value FROM o WHERE s = 'P' UNION ALL SELECT 'stim', trial, value FROM o WHERE s <> 'P' UNION ALL SELECT 'urgent', trial, value FROM o WHERE p IN ('1-URGENT', '2-HIGH')
+ UNION ALL SELECT p || ' first', trial, value FROM o WHERE i <= 10 UNION ALL SELECT p || ' last', trial, value FROM o WHERE j <= 10),
+g AS (SELECT condition, count(value) AS n, avg(value) AS m, var_samp(value) AS v FROM m GROUP BY ALL), b AS (SELECT n AS nb, m AS mb, v AS vb FROM g WHERE condition = 'catch')
+SELECT condition, n, n + nb - 2 AS df, round(m, 6) AS mean, round((m - mb) / sqrt(((n - 1) * v + (nb - 1) * vb) / (n + nb - 2) * (1.0::DOUBLE / n + 1.0::DOUBLE / nb)), 6) AS t FROM g, b WHERE condition <> 'catch' AND n > 1 AND nb > 1""")
+def _(spark, d):
+    o = D.table(spark, d, "orders").select(F.col("o_orderkey").alias("trial"), F.col("o_totalprice").alias("value"), "o_orderpriority", "o_orderstatus", "o_orderdate")
+    status = F.col("o_orderstatus")
+    sets = A.condition_sets(o, {"catch": status == "P", "stim": status != "P", "urgent": F.col("o_orderpriority").isin("1-URGENT", "2-HIGH")}, ("o_orderpriority", [F.col("o_orderdate"), F.col("trial")], 10))
+    return A.ttest_sets(o, sets, "catch").select("condition", "n", "df", F.round("mean", 6).alias("mean"), F.round("t", 6).alias("t"))
+
+
 @query("a16_interval_stats", """WITH x AS (SELECT event_type, (epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY event_type ORDER BY ts)) / 1000.0::DOUBLE AS d FROM events)
 SELECT event_type AS session, round(median(d), 3) AS median, round(avg(d), 3) AS mean, round(min(d), 3) AS least, round(max(d), 3) AS most, count(d) AS n FROM x GROUP BY ALL""")
 def _(spark, d):

@@ -210,6 +210,16 @@ def _(spark, d):
     return K.trim_to_shortest(K.remove_bias(t, ["trial"], "bin", 1, 3), ["trial"], "bin", ["customer"]).select("customer", "trial", "bin", F.round("value", 6).alias("value"))
 
 
+@query("w16_position_filter", T_SQL + """, b AS (SELECT trial, avg(CASE WHEN bin BETWEEN 1 AND 3 THEN value END) AS bv, avg(CASE WHEN bin BETWEEN 1 AND 3 THEN position / 2000 END) AS bp, max(CASE WHEN bin = 3 THEN value END) AS pv, max(CASE WHEN bin = 3 THEN position / 2000 END) AS pp FROM trials GROUP BY ALL),
+k AS (SELECT *, coalesce(abs(pv - CASE WHEN bv < 20 THEN bv ELSE 0 END) < 20 AND abs(pp - CASE WHEN bp < 20 THEN bp ELSE 0 END) < 20, false) AS kept FROM b)
+SELECT trial, bin, kept, round(value - CASE WHEN kept THEN bv ELSE 0 END, 6) AS value, round(position / 2000 - CASE WHEN kept THEN bp ELSE 0 END, 6) AS position FROM trials JOIN k USING (trial)""")
+def _(spark, d):
+    t = D.trials(spark, d).select("trial", "bin", "value", (F.col("position") / 2000).alias("position"))
+    kept, removed = K.position_filter(t, ["trial"], "bin", ["value", "position"], 3, 20.0, 2)
+    both = kept.withColumn("kept", F.lit(True)).unionByName(removed.withColumn("kept", F.lit(False)))
+    return both.withColumns({c: F.round(c, 6) for c in ("value", "position")})
+
+
 @query("m4_local_template", T_SQL + """, t AS (SELECT condition, trial, bin, value, avg(value) OVER (PARTITION BY condition, bin ORDER BY trial ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS template FROM trials)
 SELECT condition, trial, bin, round(template, 6) AS template, round(value - coalesce(template, 0), 6) AS value FROM t""")
 def _(spark, d):

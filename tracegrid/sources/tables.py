@@ -52,6 +52,31 @@ def newest_per_key(files: DataFrame, keys: list[str], order: list) -> DataFrame:
     return files.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_r = 1").drop("_r")
 
 
+def best_file_per_index(files: DataFrame, indexes: DataFrame, digits: int = 3) -> DataFrame:
+    """index, path and strong: the file of each index. A file whose name has the index, padded to digits, as a number of its own is a strong
+    match; of several the newest (mtime), then the largest (size), then the last path is taken, and where there is none, of all
+    files (strong is false then). files: path, mtime, size. Names are joined on their numbers, never tried one by one."""
+    stem = F.regexp_replace(F.regexp_replace("path", r"^.*/", ""), r"\.[^.]*$", "")
+    best = F.max(F.struct("mtime", "size", "path")).alias("b")
+    numbers = files.select("path", "mtime", "size", F.explode(F.array_distinct(F.regexp_extract_all(stem, F.lit("[0-9]+"), 0))).alias("token"))
+    named = numbers.groupBy("token").agg(best).select("token", F.col("b.path").alias("_own"))
+    text = F.col("index").cast("string")
+    wanted = indexes.select("index").distinct().withColumn("token", F.when(F.length(text) < digits, F.lpad(text, digits, "0")).otherwise(text))
+    newest = files.agg(best).first().b
+    path = F.coalesce("_own", F.lit(newest.path if newest else None).cast("string"))
+    return wanted.join(named, "token", "left").select("index", path.alias("path"), F.col("_own").isNotNull().alias("strong")).where("path is not null")
+
+
+def preferred(files: DataFrame, keys: list[str], wishes: list[tuple[str, list]], order: list[str]) -> DataFrame:
+    """One row of each key: the earliest in the first wish's list of values, then in the next one's, values that aren't listed last;
+    then the largest by order."""
+    ranks = [F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, values)), F.col(c)), F.lit(0)), F.lit(len(values) + 1)).alias(f"w{i}") for i, (c, values) in enumerate(wishes)]
+    rest = [c for c in files.columns if c not in keys]
+    # The best is the largest of: ranks turned round, then the order.
+    rank = F.struct(*(-r for r in ranks), *order)
+    return files.groupBy(*keys).agg(F.max_by(F.struct(*rest), rank).alias("_r")).select(*keys, "_r.*")
+
+
 def complete_sets(files: DataFrame, key: str, kind: str, required: list[str]) -> DataFrame:
     ok = files.where(F.col(kind).isin(required)).groupBy(key).agg(F.count_distinct(kind).alias("n")).where(F.col("n") == len(required))
     return files.join(ok.select(key), key, "left_semi")
