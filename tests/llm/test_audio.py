@@ -64,3 +64,16 @@ def test_tags():
 @pytest.mark.parametrize("data", [b"ID3", b"ID3\4\0\0\0\0\0\x7f", b"ID3\3\0\x40\0\0\0\5TXXX\0", b"\xff" * 50, b"TAG".ljust(128, b"\0"), frame(3)[:20], id3(4, b"TXXX\0\0\0\x09\0\3\0")])
 def test_broken_streams(data):
     assert A.parse(data).samples == 0
+
+
+def test_streams_with_columns_of_any_name(spark):
+    stream = A.write(A.pad(b"abc"))
+    rows = [(None, stream, "y", "p", 1, 7), (1, None, "y", "p", 2, 7), (1, stream, "y", "p", 3, 7), (1, stream, "y", "p", 3, 7), (2, b"", None, None, None, 7)]
+    d = spark.createDataFrame(rows, "doc_id long, media binary, `x.y` string, Payload string, n_frames int, MEDIA_ int")
+    got = A.decode(d)
+    assert got.columns[:4] == ["doc_id", "media", "x.y", "MEDIA_"] and len(got.columns) == 14
+    out = sorted((r.doc_id or 0, bytes(r.payload or b"")[:3], r["x.y"], r.MEDIA_) for r in got.collect())
+    assert out == sorted([(0, b"abc", "y", 7), (1, b"", "y", 7), (1, b"abc", "y", 7), (1, b"abc", "y", 7), (2, b"", None, 7)], key=lambda r: (r[0], r[1]))
+    assert A.decode(d.where("false")).count() == 0
+    ids = spark.createDataFrame([(None, "a"), (None, None), (3, "a"), (3, "a")], "doc_id long, text string")
+    assert sorted((r.doc_id or 0, r.n_bytes) for r in A.encode(ids).collect()) == [(0, 0), (0, 1), (3, 1), (3, 1)]

@@ -9,7 +9,8 @@ gives the exact duration in samples and the byte offset of every frame.
 
 Defined cases: null is stored as an empty text, which is 64 zero bytes; equal texts give equal
 streams; garbage before, between or after frames is skipped and counted; a column without any
-frame has 0 samples and a null payload; an empty table gives an empty result.
+frame has 0 samples and a null payload; an empty table gives an empty result. Rows without an id and repeated
+rows are stored and read like any other; other columns of a table of streams stay, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,7 +23,9 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from .byte_bpe import numbered
 from .workspace import materialize, table
 
 # Fixed values of the format: kbit/s by index (of MPEG-1, of MPEG-2 and 2.5), Hz by index.
@@ -242,25 +245,30 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, media binary")
 
 
-DECODED = "payload binary, sample_rate int, n_frames long, n_samples long, duration_s double, bad_checksums long, skipped_bytes long, vbr_frames long, vbr_bytes long, seek_offsets array<long>"
+DECODED = "payload binary, sample_rate int, n_frames long, n_samples long, duration_s double, bad_checksums long, skipped_bytes long, vbr_frames long, vbr_bytes long, seek_offsets array<long>"  # names in lower case
 
 
 def decode(media: DataFrame, media_col: str = "media") -> DataFrame:
-    """media's columns with the payload, exact duration, checksum failures and seek offsets of each stream."""
+    """media's columns with the payload, exact duration, checksum failures and seek offsets of each stream. Columns that have one of
+    these names, in any case, are replaced."""
+    new = T.StructType.fromDDL(DECODED)
+    taken = {f.name for f in new}
+    keep = [i for i, f in enumerate(media.schema.fields) if f.name.lower() not in taken]
+    schema = T.StructType([*(media.schema.fields[i] for i in keep), *new.fields])
+    at = media.columns.index(media_col)
     kinds = [pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), *[pa.int64()] * 4, pa.list_(pa.int64())]
 
     def run(batches):
         for batch in batches:
             for part in (batch.slice(i, 512) for i in range(0, batch.num_rows, 512)):
                 rows = []
-                for x in part.column(media_col).to_pylist():
+                for x in part.column(at).to_pylist():
                     s = parse(x or b"")
                     rows.append((payload(s), s.rate or None, len(s.offsets), s.samples, s.samples / s.rate if s.rate else 0.0, s.bad_checksums, s.skipped, s.vbr and s.vbr[0], s.vbr and s.vbr[1], s.offsets))
                 cols = [pa.array(c, k) for c, k in zip(zip(*rows), kinds)] if rows else [pa.array([], k) for k in kinds]
-                yield pa.RecordBatch.from_arrays([*part.columns, *cols], [*part.schema.names, *(x.split()[0] for x in DECODED.split(", "))])
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in keep), *cols], schema.names)
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in media.schema)
-    return media.mapInArrow(run, f"{fields}, {DECODED}")
+    return numbered(media).mapInArrow(run, schema)
 
 
 def tail_crc32(raw: bytes | None) -> int | None:
