@@ -105,7 +105,7 @@ def reachable(targets: dict[str, float], shares: dict[str, float], move: float)
 def fit_rates(members: DataFrame, targets: dict[str, float] = TARGETS, *, steps: int = 10, tolerance: float = 1e-6, ridge: float = 1e-5, evaluations: int = 60, move: float | None = None) -> DataFrame:
     """members with rate, 0 or more: the fitted number of times that each document is to be read.
 
-    steps: gradient steps before the exact ones, which fail if they don't end within so many evaluations.
+    steps: gradient steps before the exact ones, which end after so many evaluations with a warning and the shares that stay open.
     ridge: share of the matrix's trace that keeps steps small towards domains that hardly any document has.
     move: bounds the targets by the domains' own shares, see reachable."""
     names = list(targets)
@@ -167,7 +167,8 @@ def fit_rates(members: DataFrame, targets: dict[str, float] = TARGETS, *, steps:
                 while True:
                     left -= 1
                     if left < 0:
-                        raise RuntimeError(f"mixing: no fit within {evaluations} evaluations")
+                        warnings.warn(f"mixing: the fit ends after {evaluations} evaluations", stacklevel=2)
+                        return e
                     new = at(e + part * step, soft)
                     if new[0] >= value + 1e-4 * part * (slope @ step) - 1e-12 * abs(value):
                         e, (value, slope, curve, gap) = e + part * step, new
