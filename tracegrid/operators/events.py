@@ -141,10 +141,11 @@ def detect_peaks(df: DataFrame, threshold: float = 3.0, sign: str = "neg", by=BY
     return d.where({"neg": low, "pos": high, "both": low | high}[sign]).select(*by, "sample", "t_ms", F.col("value").alias("amplitude"))
 
 
-def dedup_peaks(peaks: DataFrame, gap: int, span: int, by=BY) -> DataFrame:
+def dedup_peaks(peaks: DataFrame, gap: int, span: int, by=BY, width: float = B.WIDTH) -> DataFrame:
     """The strongest peak (the first of equals) of each cluster: neighbours at most gap apart, and all at most span from the cluster's start."""
-    w = _w(by)
-    runs = peaks.withColumn("new", F.coalesce((F.col("sample") - F.lag("sample").over(w) > gap).cast("int"), F.lit(1))).withColumn("run", F.sum("new").over(w)).drop("new")
+    d = B.neighbour(peaks, list(by), "sample", "sample", "_b", width=width)
+    new = F.coalesce((F.col("sample") - F.col("_b") > gap).cast("long"), F.lit(1).cast("long"))
+    runs = B.running(d, list(by), "sample", new, "run", width=width).drop("_b")
 
     names = runs.columns
 

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from . import blocks as B
+
 
 def bin_counts(peaks: DataFrame, recordings: DataFrame, width: int, by=("session", "channel")) -> DataFrame:
     """Peaks in each bin with zero bins present; the last bin takes what lies beyond. recordings: keys and n_samples."""
@@ -127,7 +129,8 @@ def ttest_sets(trials: DataFrame, sets: DataFrame, baseline: str, trial: str = "
 
 
 def interval_stats(events: DataFrame, by: str, at: str) -> DataFrame:
-    d = events.withColumn("d", F.col(at) - F.lag(at).over(Window.partitionBy(by).orderBy(at)))
+    """Median, mean, deviation, least, most and number of the times between neighbouring events."""
+    d = B.neighbour(events.select(by, at), [by], at, at, "_b").withColumn("d", F.col(at) - F.col("_b"))
     return d.groupBy(by).agg(F.median("d").alias("median"), F.avg("d").alias("mean"), F.stddev_pop("d").alias("sd"), F.min("d").alias("least"), F.max("d").alias("most"), F.count("d").alias("n"))
 
 
