@@ -88,10 +88,10 @@ def join_cameras(a: DataFrame, b: DataFrame, key: str = "frame") -> DataFrame:
     return left.join(b.select(key, *(F.col(c).alias(f"cam1_{c}") for c in b.columns if c != key)), key, "full")
 
 
-def frames_to_samples(frames: DataFrame, edges: DataFrame, by: str = "session", strict: bool = False) -> DataFrame:
-    """The k-th frame has the k-th edge; frames beyond the edges have none, or are an error if strict."""
-    f = frames.withColumn("k", F.row_number().over(Window.partitionBy(by).orderBy("frame")))
-    e = edges.select(by, "sample").withColumn("k", F.row_number().over(Window.partitionBy(by).orderBy("sample")))
+def frames_to_samples(frames: DataFrame, edges: DataFrame, by: str = "session", strict: bool = False, width: float = B.WIDTH) -> DataFrame:
+    """The k-th frame has the k-th edge; frames beyond the edges have none, or are an error if strict. Frames and samples are numbers."""
+    f = B.numbered(frames, [by], "frame", "k", width=width)
+    e = B.numbered(edges.select(by, "sample"), [by], "sample", "k", width=width)
     got = f.join(e, [by, "k"], "left").drop("k")
     return got.withColumn("sample", F.coalesce("sample", F.raise_error(F.lit("fewer edges than frames")).cast("long"))) if strict else got
 

@@ -82,3 +82,23 @@ def halo(df: DataFrame, by: list[str], at: str, size: int, reach: int, name: str
     k = F.floor(F.col(at) / size)
     first, last = F.floor((F.col(at) - reach) / size), F.floor((F.col(at) + reach) / size)
     return df.withColumn(name, F.explode(F.sequence(F.least(first, k), F.greatest(last, k))))
+
+
+def numbered(df: DataFrame, by: list[str], at: str, name: str, *, width: float = WIDTH) -> DataFrame:
+    """df with each row's place within its key, from 1, in the order of the number `at`."""
+    return running(df, by, at, F.lit(1).cast("long"), name, width=width)
+
+
+def moving_mean(df: DataFrame, by: list[str], at: str, value: Column, before: int, after: int, name: str, *, size: int = 1 << 16) -> DataFrame:
+    """df with name: the mean of value over the rows whose `at` is from `before` below to `after` above their own. Blocks of
+    size take as much of their neighbours, so that the blocks' borders don't show."""
+    d = halo(df.withColumn("_v", value), by, at, max(size, before, after, 1), max(before, after), "_block")
+    w = Window.partitionBy(*by, "_block").orderBy(at).rangeBetween(-before, after)
+    own = F.floor(F.col(at) / max(size, before, after, 1)) == F.col("_block")
+    return d.withColumn(name, F.avg("_v").over(w)).where(own).drop("_v", "_block")
+
+
+def islands(df: DataFrame, by: list[str], at: str, *, width: float = WIDTH) -> DataFrame:
+    """start, end and n of the runs of rows whose `at` follow each other by one."""
+    d = numbered(df.select(*by, at), by, at, "_r", width=width).withColumn("_r", F.col(at) - F.col("_r"))
+    return d.groupBy(*by, "_r").agg(F.min(at).alias("start"), F.max(at).alias("end"), F.count("*").alias("n")).drop("_r")

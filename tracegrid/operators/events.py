@@ -9,7 +9,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from . import blocks as B
 from .lineage import written
@@ -18,10 +17,6 @@ from .quantiles import quantiles
 BY = ("session", "channel")
 
 
-def _w(by=BY) -> Window:
-    return Window.partitionBy(*by).orderBy("sample")
-
-
 def rising_edges_hysteresis(df: DataFrame, by=BY, points: int | None = None, width: float = B.WIDTH) -> DataFrame:
     """Samples where the state turns on: on at hi and above, off at lo and below, kept between. lo is the middle
     of the range of all samples, or of every (n // points)-th where points are given as in the reference; hi is
@@ -172,12 +167,11 @@ def local_maxima(df: DataFrame, height: float, by=BY, width: float = B.WIDTH) ->
     return d.select(*by, F.floor((F.col("r.s") + F.col("sample")) / 2).alias("sample"), "value")
 
 
-def still_periods(df: DataFrame, width: int, limit: float, least: int, by=BY) -> DataFrame:
-    """Runs of at least `least` samples whose moving mean of the absolute value is at most limit."""
-    w = _w(by)
-    m = df.withColumn("still", (F.avg(F.abs("value")).over(w.rowsBetween(-(width // 2), width - width // 2 - 1)) <= limit).cast("int"))
-    m = m.withColumn("run", F.col("sample") - F.sum("still").over(w)).where("still = 1")
-    return m.groupBy(*by, "run").agg(F.min("sample").alias("start"), F.max("sample").alias("end"), F.count("*").alias("n")).where(F.col("n") >= least).drop("run")
+def still_periods(df: DataFrame, width: int, limit: float, least: int, by=BY, size: int = 1 << 16) -> DataFrame:
+    """Runs of at least `least` samples whose moving mean of the absolute value is at most limit. A signal has each sample once."""
+    m = B.moving_mean(df, list(by), "sample", F.abs("value"), width // 2, width - width // 2 - 1, "mean", size=size)
+    still = written(m.where(F.col("mean") <= limit).select(*by, "sample"), "still")
+    return B.islands(still, list(by), "sample", width=size).where(F.col("n") >= least)
 
 
 def still_windows(periods: DataFrame, length: int, step: int, by=BY) -> DataFrame:
@@ -194,10 +188,16 @@ def first_sign_change(df: DataFrame, lo: int | str, hi: int | str, by=BY) -> Dat
     return B.neighbour(s, list(by), "sample", "sign", "before").where("sign != before").groupBy(*by).agg(F.min("sample").alias("sample"))
 
 
-def active_spans(df: DataFrame, width: int, limit: float, by=BY) -> DataFrame:
+def active_spans(df: DataFrame, width: int, limit: float, by=BY, size: int = 1 << 16) -> DataFrame:
     """Runs where the root mean square of the deviation from the key's mean, over width samples, exceeds limit."""
-    w = _w(by)
-    d = df.withColumn("d", F.pow(F.col("value") - F.avg("value").over(Window.partitionBy(*by)), F.lit(2)))
-    d = d.withColumn("on", (F.sqrt(F.avg("d").over(w.rowsBetween(-(width // 2), width - width // 2 - 1))) > limit).cast("int"))
-    d = d.withColumn("run", F.col("sample") - F.sum("on").over(w)).where("on = 1")
-    return d.groupBy(*by, "run").agg(F.min("sample").alias("start"), F.max("sample").alias("end")).drop("run")
+    keys = list(by)
+    d = df.select(*by, "sample", "value").join(df.groupBy(*by).agg(F.avg("value").alias("_a")), keys)
+    d = B.moving_mean(d, keys, "sample", F.pow(F.col("value") - F.col("_a"), F.lit(2)), width // 2, width - width // 2 - 1, "mean", size=size)
+    active = written(d.where(F.sqrt("mean") > limit).select(*by, "sample"), "active")
+    return B.islands(active, keys, "sample", width=size).drop("n")
+
+
+def mark_first_pulse(pulses: DataFrame, by: list[str], at: str = "start") -> DataFrame:
+    """pulses with first (whether each begins its block) and n_pulses (the block's number of pulses); by: the block's keys."""
+    s = pulses.groupBy(*by).agg(F.min(at).alias("_s"), F.count("*").alias("n_pulses"))
+    return pulses.join(s, list(by)).withColumn("first", F.col(at) == F.col("_s")).drop("_s")

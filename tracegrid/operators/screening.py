@@ -37,13 +37,21 @@ def filter_coverage(df: DataFrame, by: list[str], least: float) -> DataFrame:
     return df.join(ok.select(*by), by, "left_semi")
 
 
-def order_channels(df: DataFrame, region: str = "region", at: str = "t", mode: str = "max") -> DataFrame:
-    """region, channel, peak, peak_t and rank by peak time, the larger peak first of equal times; channels without values last."""
+def order_channels(df: DataFrame, region: str = "region", at: str = "t", mode: str = "max", before: bool = False, with_zero: bool = True, reverse: bool = False) -> DataFrame:
+    """region, channel, peak, peak_t and rank by peak time, the larger peak first of equal times; channels without values last.
+    before: peaks are sought up to time 0 (with_zero: 0 itself too), over all times if no row is that early. reverse: ranks of a region
+    turned round, channels without values then first."""
     size = {"max": F.col("value"), "min": -F.col("value"), "abs": F.abs("value")}[mode]
-    best = F.min(F.when(F.col("value").isNotNull(), F.struct((-size).alias("s"), F.col(at).alias("t"))))
+    seen = F.col("value").isNotNull()
+    if before:
+        early = (F.col(at) <= 0) if with_zero else (F.col(at) < 0)
+        any_early = df.agg(F.coalesce(F.max(early), F.lit(False)).alias("_any"), F.lit(1).alias("_one"))
+        df = df.withColumn("_one", F.lit(1)).join(any_early, "_one")
+        seen = seen & (early | ~F.col("_any"))
+    best = F.min(F.when(seen, F.struct((-size).alias("s"), F.col(at).alias("t"))))
     g = df.groupBy(region, "channel").agg(best.alias("b")).select(region, "channel", (-F.col("b.s")).alias("peak"), F.col("b.t").alias("peak_t"))
-    w = Window.partitionBy(region).orderBy(F.col("peak_t").asc_nulls_last(), F.col("peak").desc(), "channel")
-    return g.withColumn("rank", F.row_number().over(w))
+    order = [F.col("peak_t").desc_nulls_first(), F.col("peak").asc(), F.col("channel").desc()] if reverse else [F.col("peak_t").asc_nulls_last(), F.col("peak").desc(), F.col("channel")]
+    return g.withColumn("rank", F.row_number().over(Window.partitionBy(region).orderBy(*order)))
 
 
 def resolve_metadata(rows: DataFrame, key: str, wishes: list[Column], order: str) -> DataFrame:

@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -15,10 +15,22 @@ from . import blocks as B
 from .lineage import written
 
 
-def baseline_zero(windows: DataFrame, lo: int, hi: int, by: list[str], at: str = "rel_bin") -> DataFrame:
-    """Values less the mean of their key's bins in [lo, hi)."""
+def baseline_zero(windows: DataFrame, lo: int, hi: int, by: list[str], at: str = "rel_bin", stat: str = "mean", closed: bool = False, missing: str = "null") -> DataFrame:
+    """Values less the mean (or the median, by stat) of their key's bins in [lo, hi), or in [lo, hi] if closed. missing says what a
+    key without a bin there gets: null values, an error, or its first tenth of bins (at least one) as the baseline. A key whose
+    bins there have no value gets nulls. by: the keys of a trial's trace, so that a key is one window long."""
     w = Window.partitionBy(*by)
-    return windows.withColumn("value", F.col("value") - F.avg(F.when((F.col(at) >= lo) & (F.col(at) < hi), F.col("value"))).over(w))
+    bins = (F.col(at) >= lo) & ((F.col(at) <= hi) if closed else (F.col(at) < hi))
+    middle = lambda rows: {"mean": F.avg, "median": F.median}[stat](F.when(rows, F.col("value"))).over(w)
+    if missing == "null":
+        return windows.withColumn("value", F.col("value") - middle(bins))
+    d = windows.withColumn("_has", F.max(bins).over(w))
+    if missing == "error":
+        base = F.when(F.col("_has"), middle(bins)).otherwise(F.raise_error(F.lit("baseline window has no bins")).cast("double"))
+    else:
+        d = d.withColumns({"_r": F.row_number().over(w.orderBy(at)), "_n": F.count("*").over(w)})
+        base = F.when(F.col("_has"), middle(bins)).otherwise(middle(F.col("_r") <= F.greatest(F.lit(1), F.rint(F.col("_n") * 0.1))))
+    return d.withColumn("_b", base).withColumn("value", F.col("value") - F.col("_b")).select(*windows.columns)
 
 
 def smooth_counts(counts: DataFrame, sigma: float, bin_ms: float, by: list[str], blanks: DataFrame | None = None, size: int = 1 << 14) -> DataFrame:
@@ -114,10 +126,16 @@ def correct_frames(ocr: DataFrame, by: str, width: float = B.WIDTH) -> DataFrame
     return d.withColumn("corrected", F.when(read, F.col("avi") + F.col("total_missing")))
 
 
-def adaptation_sets(trials: DataFrame, by: str, at: str, k: int = 10) -> DataFrame:
-    w = Window.partitionBy(by)
-    d = trials.withColumns({"i": F.row_number().over(w.orderBy(at)), "j": F.row_number().over(w.orderBy(F.col(at).desc()))})
-    return d.withColumns({"first": F.col("i") <= k, "last": F.col("j") <= k}).where("first or last").drop("i", "j")
+def adaptation_sets(trials: DataFrame, by: str, at: str, k: int = 10, catch: Column | None = None, width: float = B.WIDTH) -> DataFrame:
+    """Trials with first and last: whether each is of the first or the last k of its key, by the number `at`; a key of fewer has all in
+    both. With catch (when a trial is one), catch trials stay as a set of their own and aren't counted among the others."""
+    others = trials if catch is None else trials.where(~F.coalesce(catch, F.lit(False)))
+    d = B.numbered(others, [by], at, "_i", width=width).join(others.groupBy(by).agg(F.count("*").alias("_n")), by)
+    d = d.withColumns({"first": F.col("_i") <= k, "last": F.col("_i") > F.col("_n") - k}).where("first or last").select(*trials.columns, "first", "last")
+    if catch is None:
+        return d
+    caught = trials.where(catch).withColumns({"first": F.lit(False), "last": F.lit(False), "catch": F.lit(True)})
+    return d.withColumn("catch", F.lit(False)).unionByName(caught)
 
 
 def common_reference(samples: DataFrame, by: list[str]) -> DataFrame:
@@ -131,11 +149,16 @@ def zscore_tracks(df: DataFrame, by: list[str]) -> DataFrame:
     return df.join(s, by).withColumn("value", F.when(F.col("_s") > 0, (F.col("value") - F.col("_a")) / F.col("_s"))).drop("_a", "_s")
 
 
-def decimate(df: DataFrame, by: list[str], max_points: int, at: str = "sample") -> DataFrame:
+def decimate(df: DataFrame, by: list[str], max_points: int, at: str = "sample", width: float = B.WIDTH) -> DataFrame:
     """Every k-th row of a series, k = ceil(n / max_points): a preview of at most max_points rows."""
     n = df.groupBy(*by).agg(F.count("*").alias("_n"))
-    d = df.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(at)) - 1).join(n, by)
-    return d.where(F.col("_r") % F.ceil(F.col("_n") / max_points) == 0).drop("_r", "_n")
+    d = B.numbered(df, by, at, "_r", width=width).join(n, by)
+    return d.where((F.col("_r") - 1) % F.ceil(F.col("_n") / max_points) == 0).drop("_r", "_n")
+
+
+def downsample(df: DataFrame, by: list[str], every: int, at: str = "sample", width: float = B.WIDTH) -> DataFrame:
+    """Rows 1, 1 + every, 1 + 2 every, ... of each series."""
+    return B.numbered(df, by, at, "_r", width=width).where((F.col("_r") - 1) % every == 0).drop("_r")
 
 
 def template_local(snippets: DataFrame, by: list[str], order: str, width: int) -> DataFrame:
@@ -147,3 +170,10 @@ def template_local(snippets: DataFrame, by: list[str], order: str, width: int) -
 def ranked(df: DataFrame, by: list[str], order: list[str], name: str = "rank") -> DataFrame:
     """df with each row's place within its key, from 1."""
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+
+
+def session_offsets(lengths: DataFrame, order: str, n: str = "n_samples", by: list[str] = ()) -> DataFrame:
+    """lengths (a row for each session) with start and end: each session's place, end left out, where all follow each other by order."""
+    w = Window.partitionBy(*by).orderBy(order)
+    ends = F.sum(n).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return lengths.withColumn("end", ends).withColumn("start", F.col("end") - F.col(n))

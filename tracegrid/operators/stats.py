@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import blocks as B
+from .lineage import written
 
 
 def bin_counts(peaks: DataFrame, recordings: DataFrame, width: int, by=("session", "channel")) -> DataFrame:
@@ -31,19 +32,33 @@ def mean_sem(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.avg("value").alias("mean"), (F.stddev_samp("value") / F.sqrt(F.count("value"))).alias("sem"), F.count("value").alias("n"))
 
 
-def trial_features(windows: DataFrame, lo: int, hi: int, min_channels: int = 2, min_trials: int = 15) -> DataFrame:
-    """Mean of each (trial, channel) in [lo, hi]; trials with few finite features and conditions with few trials are dropped."""
-    f = windows.where(F.col("rel_bin").between(lo, hi)).groupBy("condition", "trial", "channel").agg(F.avg("value").alias("value")).where("value is not null")
+def trial_features(windows: DataFrame, lo: int, hi: int, min_channels: int = 2, min_trials: int = 15, fallback: tuple[int, int] | None = None, skip: tuple = ()) -> DataFrame:
+    """Mean of each (trial, channel) in [lo, hi]; trials with few finite features and conditions with few trials are dropped, and so
+    are the conditions of skip. A condition none of whose bins, with or without value, is in [lo, hi] takes those of fallback."""
+    d = windows.where(~F.col("condition").isin(*skip)) if skip else windows
+    inside = F.col("rel_bin").between(lo, hi)
+    if fallback is not None:
+        has = d.groupBy("condition").agg(F.max(inside).alias("_has"))
+        d = d.join(has, "condition")
+        inside = F.when(F.col("_has"), inside).otherwise(F.col("rel_bin").between(*fallback))
+    f = d.where(inside).groupBy("condition", "trial", "channel").agg(F.avg("value").alias("value")).where("value is not null")
     ok = f.groupBy("condition", "trial").count().where(F.col("count") >= min_channels)
     big = ok.groupBy("condition").agg(F.count("*").alias("n")).where(F.col("n") >= min_trials)
     return f.join(ok.select("condition", "trial"), ["condition", "trial"], "left_semi").join(big, "condition", "left_semi")
 
 
-def zscore(df: DataFrame, key: str) -> DataFrame:
+def zscore(df: DataFrame, key: str, trial: list[str] | None = None) -> DataFrame:
     """Values by mean and population deviation of their key; a deviation of 0 counts as 1. The statistics
-    are aggregated and joined, so that a key with many rows is never one task."""
+    are aggregated and joined, so that a key with many rows is never one task. With trial (its keys), trials that lack a value
+    of any key that has one at all are dropped."""
     s = df.groupBy(key).agg(F.avg("value").alias("m"), F.stddev_pop("value").alias("sd"))
-    return df.join(s, key).withColumn("z", (F.col("value") - F.col("m")) / F.when(F.col("sd") > 0, F.col("sd")).otherwise(1.0)).drop("m", "sd")
+    z = df.join(s, key).withColumn("z", (F.col("value") - F.col("m")) / F.when(F.col("sd") > 0, F.col("sd")).otherwise(1.0)).drop("m", "sd")
+    if trial is None:
+        return z
+    # Keys without any value don't count; a row of one number is joined on a constant.
+    n = s.where("m is not null").agg(F.count("*").alias("_n"), F.lit(1).alias("_one"))
+    whole = df.where("value is not null").groupBy(*trial).agg(F.count_distinct(key).alias("_got")).withColumn("_one", F.lit(1)).join(n, "_one").where("_got = _n")
+    return z.where("z is not null").join(whole.select(*trial), trial, "left_semi")
 
 
 def rsa_blocks(features: DataFrame) -> DataFrame:
@@ -128,10 +143,18 @@ def ttest_sets(trials: DataFrame, sets: DataFrame, baseline: str, trial: str = "
     return ttest_vs_baseline(d, baseline).join(s, "condition")
 
 
-def interval_stats(events: DataFrame, by: str, at: str) -> DataFrame:
-    """Median, mean, deviation, least, most and number of the times between neighbouring events."""
-    d = B.neighbour(events.select(by, at), [by], at, at, "_b").withColumn("d", F.col(at) - F.col("_b"))
-    return d.groupBy(by).agg(F.median("d").alias("median"), F.avg("d").alias("mean"), F.stddev_pop("d").alias("sd"), F.min("d").alias("least"), F.max("d").alias("most"), F.count("d").alias("n"))
+def interval_stats(events: DataFrame, by: str, at: str, gap: float | None = None) -> DataFrame:
+    """Median, mean, deviation, least, most and number of the times between neighbouring events. With gap, also gaps (the times longer
+    than gap medians) and lost (the events that would have filled them, one for each further median)."""
+    d = B.neighbour(events.select(by, at), [by], at, at, "_b").select(by, (F.col(at) - F.col("_b")).alias("d"))
+    d = d if gap is None else written(d, "intervals")
+    s = d.groupBy(by).agg(F.median("d").alias("median"), F.avg("d").alias("mean"), F.stddev_pop("d").alias("sd"), F.min("d").alias("least"), F.max("d").alias("most"), F.count("d").alias("n"))
+    if gap is None:
+        return s
+    long = F.col("d") > gap * F.col("median")
+    filled = F.when(F.col("median") > 0, F.rint(F.col("d") / F.col("median")) - 1).cast("long")
+    g = d.join(s.select(by, "median"), by).groupBy(by).agg(F.count(F.when(long, 1)).alias("gaps"), F.coalesce(F.sum(F.when(long, filled)), F.lit(0)).alias("lost"))
+    return s.join(g, by)
 
 
 def pca(rows: DataFrame, k: int, key: str = "trial") -> tuple[DataFrame, np.ndarray]:
@@ -193,6 +216,18 @@ def summarise(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.rollup(*keys).agg(F.avg("value").alias("mean"), F.var_samp("value").alias("variance"), F.count("value").alias("n"))
 
 
+def summarise_metrics(trials: DataFrame, metrics: list[str], side: str, field: str = "field", error: str = "error") -> DataFrame:
+    """Mean and sample variance of each metric of a field's trials, for the error those of its absolute value too and n_trials, the
+    trials that have one. summary is the name: side_catch_summary for a field catch_..., else side_..._summary by what follows
+    stim_ in the field's name (null without it). side: ipsi or contra."""
+    each = [f(F.col(m)).alias(f"{m}_{n}") for m in metrics for n, f in (("mean", F.avg), ("var", F.var_samp))]
+    size = [f(F.abs(error)).alias(f"{error}_abs_{n}") for n, f in (("mean", F.avg), ("var", F.var_samp))]
+    at = F.instr(F.col(field), "stim_")
+    after = F.when(at > 0, F.substring(F.col(field), at + 5, F.length(field)))
+    name = F.when(F.startswith(F.col(field), F.lit("catch_")), f"{side}_catch_summary").otherwise(F.concat(F.lit(f"{side}_"), after, F.lit("_summary")))
+    return trials.groupBy(field).agg(F.count(error).alias("n_trials"), *each, *(size if error in metrics else [])).withColumn("summary", name)
+
+
 def rate_kinematics_corr(df: DataFrame, keys: list[str], at: str, until: int) -> DataFrame:
     """Correlation of the rate (value), as z scores of its key's rows before until, with position."""
     base = df.where(F.col(at) < until).groupBy(*keys).agg(F.avg("value").alias("m"), F.stddev_samp("value").alias("sd"))

@@ -6,10 +6,12 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import align as J
+from ..operators import events as E
 from ..operators import screening as K
 from ..operators import series as W
 from ..operators import stats as A
 from ..sources import tables as T
+from ..operators.lineage import new_path
 from . import adapters as D
 from .registry import query
 
@@ -235,3 +237,132 @@ SELECT condition, CAST(arg_max(lag, (round(vaf, 12), -lag)) AS INTEGER) AS lag,
 def _(spark, d):
     x = D.trials(spark, d).select("condition", "trial", "bin", F.col("value").alias("y"), F.col("position").alias("x1"), (F.col("bin") * F.col("bin")).cast("double").alias("x2"))
     return A.delay_regression(x, [-1, 0, 1], ["trial"], ["condition"]).select("condition", "lag", F.round("vaf", 6).alias("vaf"))
+
+
+@query("s1_encodings", """SELECT CAST(o_orderkey AS VARCHAR) AS br_file, o_orderpriority || ' ' || t AS notes FROM orders, (SELECT unnest(['5 \u20ac', 'd\u00e9j\u00e0', 'x' || chr(129)]) AS t)""")
+def _(spark, d):
+    o = D.table(spark, d, "orders")
+    got = None
+    for text, encoding in (("5 \x80", "ISO-8859-1"), ("d\u00e9j\u00e0", "UTF-8"), ("x\u0081", "ISO-8859-1")):
+        path = new_path(spark, "encoded")
+        o.select(F.col("o_orderkey").alias("BR File"), F.concat_ws(" ", "o_orderpriority", F.lit(text)).alias("Notes")).write.options(header=True, encoding=encoding).csv(path)
+        one = T.read_metadata(spark, path)
+        got = one if got is None else got.unionByName(one)
+    return got
+
+
+@query("s8_write_aligned", S_SQL + """, c AS (SELECT DISTINCT session, length(session) * 10.0::DOUBLE AS offset_ms FROM samples WHERE session <> 'click')
+SELECT session, 'rates' AS source, t_ms, value AS rate_hz, CAST(NULL AS INTEGER) AS unit, t_ms + coalesce(offset_ms, 0) AS t_ms_aligned FROM samples LEFT JOIN c USING (session) WHERE channel < 4
+UNION ALL SELECT session, 'peaks', t_ms, NULL, channel, t_ms FROM samples WHERE channel >= 4""")
+def _(spark, d):
+    s, path = D.samples(spark, d), new_path(spark, "aligned")
+    clocks = s.where("session != 'click'").select("session", F.lit("rates").alias("source"), (F.length("session") * 10.0).alias("offset_ms")).distinct()
+    T.write_aligned({"rates": s.where("channel < 4").select("session", "t_ms", F.col("value").alias("rate_hz")), "peaks": s.where("channel >= 4").select("session", "t_ms", F.col("channel").alias("unit"))}, path, clocks)
+    return spark.read.parquet(path).select("session", "source", "t_ms", "rate_hz", "unit", "t_ms_aligned")
+
+
+@query("s10_append_manifest", """SELECT o_orderpriority AS condition, count(DISTINCT l_orderkey) AS n_events, count(DISTINCT l_suppkey) AS n_traces, count(DISTINCT l_linenumber) AS length, 'all' AS file, false AS curated FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL
+UNION ALL SELECT o_orderpriority, count(DISTINCT l_orderkey), count(DISTINCT l_suppkey), count(DISTINCT l_linenumber), 'kept', true FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity > 10 GROUP BY ALL""")
+def _(spark, d):
+    path = new_path(spark, "manifest")
+    w = D.table(spark, d, "lineitem").join(D.table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    w = w.select(F.col("o_orderpriority").alias("condition"), F.col("l_orderkey").alias("event_id"), F.col("l_suppkey").alias("trace"), F.col("l_linenumber").alias("rel_bin"), "l_quantity")
+    T.append_manifest(w, ["condition"], path, "all")
+    T.append_manifest(w.where("l_quantity > 10"), ["condition"], path, "kept", curated=True)
+    return spark.read.parquet(path)
+
+
+_PEAKS = """WITH x AS (SELECT l_linestatus AS region, l_suppkey AS channel, l_linenumber - {zero} AS t, CASE WHEN l_suppkey % 9 > 0 THEN l_quantity - 25 END AS value FROM lineitem),
+b AS (SELECT region, channel, max({size}) FILTER (value IS NOT NULL AND t {until}) AS peak FROM x GROUP BY ALL),
+p AS (SELECT b.region, b.channel, b.peak, CAST(min(t) AS INTEGER) AS peak_t FROM b LEFT JOIN x ON x.region = b.region AND x.channel = b.channel AND x.t {until} AND {size} = b.peak GROUP BY ALL)
+SELECT *, CAST(row_number() OVER (PARTITION BY region ORDER BY {order}) AS INTEGER) AS rank FROM p"""
+
+
+def _traces(spark, d, zero):
+    li = D.table(spark, d, "lineitem")
+    value = F.when(F.col("l_suppkey") % 9 > 0, F.col("l_quantity") - 25)
+    return li.select(F.col("l_linestatus").alias("region"), F.col("l_suppkey").alias("channel"), (F.col("l_linenumber") - zero).cast("int").alias("t"), value.alias("value"))
+
+
+@query("f13_order_before_event", _PEAKS.format(zero=3, size="value", until="<= 0", order="peak_t NULLS LAST, peak DESC, channel"))
+def _(spark, d):
+    return K.order_channels(_traces(spark, d, 3), before=True)
+
+
+@query("f13_order_reversed", _PEAKS.format(zero=3, size="abs(value)", until="< 0", order="peak_t DESC NULLS FIRST, peak, channel DESC"))
+def _(spark, d):
+    return K.order_channels(_traces(spark, d, 3), mode="abs", before=True, with_zero=False, reverse=True)
+
+
+@query("f13_order_without_early_rows", _PEAKS.format(zero=0, size="-value", until="IS NOT NULL", order="peak_t NULLS LAST, peak DESC, channel"))
+def _(spark, d):
+    return K.order_channels(_traces(spark, d, 0), mode="min", before=True)
+
+
+@query("a4_fallback_window", T_SQL + """, x AS (SELECT condition, trial, bin % 3 AS channel, CASE WHEN condition = '1-URGENT' THEN bin + 100 ELSE bin END AS rel_bin, value FROM trials WHERE condition <> '5-LOW'),
+f AS (SELECT condition, trial, channel, avg(value) AS value FROM x WHERE rel_bin BETWEEN 2 AND 6 OR (condition = '1-URGENT' AND rel_bin BETWEEN 101 AND 104) GROUP BY ALL HAVING avg(value) IS NOT NULL),
+ok AS (SELECT condition, trial FROM f GROUP BY ALL HAVING count(*) >= 2), big AS (SELECT condition FROM ok GROUP BY ALL HAVING count(*) >= 15)
+SELECT condition, trial, CAST(channel AS INTEGER) AS channel, round(value, 6) AS value FROM f WHERE (condition, trial) IN (SELECT condition, trial FROM ok) AND condition IN (SELECT condition FROM big)""")
+def _(spark, d):
+    moved = F.when(F.col("condition") == "1-URGENT", F.col("bin") + 100).otherwise(F.col("bin"))
+    t = D.trials(spark, d).select("condition", "trial", (F.col("bin") % 3).cast("int").alias("channel"), moved.alias("rel_bin"), "value")
+    return A.trial_features(t, 2, 6, fallback=(101, 104), skip=("5-LOW",)).select("condition", "trial", "channel", F.round("value", 6).alias("value"))
+
+
+@query("a5_zscore_whole_trials", "WITH " + D.FEATURES + """, x AS (SELECT trial, channel, CASE WHEN channel = 5 OR (trial % 3 = 0 AND channel = trial % 8) THEN NULL ELSE value END AS value FROM features WHERE NOT (trial % 7 = 0 AND channel = 2)),
+s AS (SELECT channel, avg(value) AS m, stddev_pop(value) AS sd FROM x GROUP BY ALL HAVING m IS NOT NULL), ok AS (SELECT trial FROM x GROUP BY ALL HAVING count(DISTINCT CASE WHEN value IS NOT NULL THEN channel END) = (SELECT count(*) FROM s))
+SELECT trial, channel, round((value - m) / CASE WHEN sd > 0 THEN sd ELSE 1 END, 5) AS z FROM x JOIN s USING (channel) WHERE value IS NOT NULL AND trial IN (SELECT trial FROM ok)""")
+def _(spark, d):
+    gone = (F.col("channel") == 5) | ((F.col("trial") % 3 == 0) & (F.col("channel") == F.col("trial") % 8))
+    f = D.features(spark, d).where("not (trial % 7 = 0 and channel = 2)").withColumn("value", F.when(~gone, F.col("value")))
+    return A.zscore(f, "channel", ["trial"]).select("trial", "channel", F.round("z", 5).alias("z"))
+
+
+@query("a10_metric_summaries", """WITH x AS (SELECT CASE l_returnflag WHEN 'A' THEN 'catch_pos' WHEN 'R' THEN 'active_like_stim_' || lower(l_linestatus) ELSE 'rest' END AS field, CASE WHEN l_quantity > 3 THEN l_quantity - 25 END AS error, l_extendedprice / 1000 AS peak FROM lineitem)
+SELECT field, count(error) AS n_trials, round(avg(error), 6) AS error_mean, round(var_samp(error), 6) AS error_var, round(avg(peak), 6) AS peak_mean, round(var_samp(peak), 6) AS peak_var, round(avg(abs(error)), 6) AS error_abs_mean, round(var_samp(abs(error)), 6) AS error_abs_var,
+ CASE WHEN starts_with(field, 'catch_') THEN 'ipsi_catch_summary' WHEN contains(field, 'stim_') THEN 'ipsi_' || split_part(field, 'stim_', 2) || '_summary' END AS summary FROM x GROUP BY ALL""")
+def _(spark, d):
+    flag = F.col("l_returnflag")
+    field = F.when(flag == "A", "catch_pos").when(flag == "R", F.concat(F.lit("active_like_stim_"), F.lower("l_linestatus"))).otherwise("rest")
+    x = D.table(spark, d, "lineitem").select(field.alias("field"), F.when(F.col("l_quantity") > 3, F.col("l_quantity") - 25).alias("error"), (F.col("l_extendedprice") / 1000).alias("peak"))
+    s = A.summarise_metrics(x, ["error", "peak"], "ipsi")
+    return s.select("field", "summary", "n_trials", *(F.round(c, 6).alias(c) for c in s.columns if c.endswith(("_mean", "_var"))))
+
+
+@query("a16_interval_gaps", """WITH x AS (SELECT event_type AS session, (epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY event_type ORDER BY ts)) / 1000.0::DOUBLE AS d FROM events), m AS (SELECT session, median(d) AS m FROM x GROUP BY ALL)
+SELECT session, round(median(d), 3) AS median, round(stddev_pop(d), 3) AS sd, count(d) AS n, count(CASE WHEN d > 3 * m THEN 1 END) AS gaps, CAST(coalesce(sum(CASE WHEN d > 3 * m THEN CAST(round_even(d / m, 0) AS BIGINT) - 1 END), 0) AS BIGINT) AS lost FROM x JOIN m USING (session) GROUP BY ALL""")
+def _(spark, d):
+    e = D.table(spark, d, "events").select(F.col("event_type").alias("session"), D.micros("ts").alias("t"))
+    return A.interval_stats(e, "session", "t", gap=3.0).select("session", F.round("median", 3).alias("median"), F.round("sd", 3).alias("sd"), "n", "gaps", "lost")
+
+
+@query("w1_median_baseline", T_SQL + """, r AS (SELECT *, row_number() OVER (PARTITION BY trial ORDER BY bin) AS r, count(*) OVER (PARTITION BY trial) AS n FROM trials),
+b AS (SELECT trial, CASE WHEN bool_or(bin BETWEEN 2 AND 3) THEN median(CASE WHEN bin BETWEEN 2 AND 3 THEN value END) ELSE median(CASE WHEN r <= greatest(1, round_even(n * 0.1, 0)) THEN value END) END AS base FROM r GROUP BY ALL)
+SELECT trial, bin, round(value - base, 6) AS value FROM r JOIN b USING (trial)""")
+def _(spark, d):
+    t = D.trials(spark, d).select("trial", "bin", "value")
+    return W.baseline_zero(t, 2, 3, ["trial"], "bin", stat="median", closed=True, missing="tenth").withColumn("value", F.round("value", 6))
+
+
+@query("w13_catch_trials", """WITH o AS (SELECT o_orderpriority AS condition, o_orderkey AS trial, coalesce(o_orderstatus = 'P', false) AS "catch" FROM orders),
+r AS (SELECT *, row_number() OVER (PARTITION BY condition ORDER BY trial) AS i, row_number() OVER (PARTITION BY condition ORDER BY trial DESC) AS j FROM o WHERE NOT "catch")
+SELECT condition, trial, i <= 10 AS "first", j <= 10 AS "last", "catch" FROM r WHERE i <= 10 OR j <= 10 UNION ALL SELECT condition, trial, false, false, true FROM o WHERE o."catch" """)
+def _(spark, d):
+    o = D.table(spark, d, "orders").select(F.col("o_orderpriority").alias("condition"), F.col("o_orderkey").alias("trial"), F.col("o_orderstatus").alias("kind"))
+    return W.adaptation_sets(o, "condition", "trial", catch=F.col("kind") == "P").drop("kind")
+
+
+@query("w14_first_pulses", """SELECT o_custkey AS block, o_orderkey AS start, o_orderkey = min(o_orderkey) OVER (PARTITION BY o_custkey) AS "first", count(*) OVER (PARTITION BY o_custkey) AS n_pulses FROM orders""")
+def _(spark, d):
+    return E.mark_first_pulse(D.table(spark, d, "orders").select(F.col("o_custkey").alias("block"), F.col("o_orderkey").alias("start")), ["block"])
+
+
+@query("w14_session_offsets", S_SQL + """, n AS (SELECT session, count(*) AS n_samples FROM samples GROUP BY ALL)
+SELECT session, n_samples, CAST(sum(n_samples) OVER (ORDER BY session) AS BIGINT) AS "end", CAST(sum(n_samples) OVER (ORDER BY session) - n_samples AS BIGINT) AS start FROM n""")
+def _(spark, d):
+    return W.session_offsets(D.samples(spark, d).groupBy("session").agg(F.count("*").alias("n_samples")), "session")
+
+
+@query("w15_downsample", S_SQL + " SELECT session, channel, sample, value FROM samples WHERE sample % 7 = 0")
+def _(spark, d):
+    return W.downsample(D.samples(spark, d).select("session", "channel", "sample", "value"), ["session", "channel"], 7)

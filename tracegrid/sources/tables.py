@@ -19,9 +19,25 @@ def pick_col(df: DataFrame, names: list[str]) -> str | None:
     return next((have[k] for k in (re.sub(r"[^a-z0-9]", "", n.lower()) for n in names) if k in have), None)
 
 
-def read_metadata(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
-    """A table with a header; lines that don't fit it are left out. encoding: as the file was written, such as ISO-8859-1."""
-    return normalise_columns(spark.read.options(header=True, mode="DROPMALFORMED", encoding=encoding).csv(path))
+def file_encoding(spark: SparkSession, path: str) -> str:
+    """UTF-8 if each line is, else windows-1252 unless a byte that it doesn't define is there, else ISO-8859-1, which any bytes are."""
+    undefined = F.hex("value").rlike("^(..)*(81|8D|8F|90|9D)")
+    r = spark.read.text(path).agg(F.min(F.is_valid_utf8("value")).alias("utf8"), F.max(undefined).alias("undefined")).first()
+    return "UTF-8" if r.utf8 is None or r.utf8 else "ISO-8859-1" if r.undefined else "windows-1252"
+
+
+def read_metadata(spark: SparkSession, path: str, encoding: str | None = None) -> DataFrame:
+    """A table with a header; lines that don't fit it are left out. encoding: as the file was written, such as ISO-8859-1; found by
+    file_encoding where none is given. Spark reads no windows-1252, so that is read as ISO-8859-1 and its own signs put in."""
+    encoding = encoding or file_encoding(spark, path)
+    western = encoding.lower() in ("windows-1252", "cp1252")
+    d = spark.read.options(header=True, mode="DROPMALFORMED", encoding="ISO-8859-1" if western else encoding).csv(path)
+    if western:
+        codes = [c for c in range(0x80, 0xA0) if c not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)]
+        controls, signs = "".join(map(chr, codes)), bytes(codes).decode("cp1252")
+        d = d.toDF(*(c.translate(str.maketrans(controls, signs)) for c in d.columns))
+        d = d.select(*(F.translate(F.col(f"`{c.replace('`', '``')}`"), controls, signs).alias(c) for c in d.columns))
+    return normalise_columns(d)
 
 
 def explode_blocks(blocks: DataFrame) -> DataFrame:
@@ -36,7 +52,21 @@ def to_blocks(samples: DataFrame, size: int) -> DataFrame:
 
 
 def write_rates(rates: DataFrame, path: str) -> None:
-    rates.write.mode("overwrite").partitionBy("session").parquet(path)
+    """A folder for each session, and in it for each source if there is such a column."""
+    rates.write.mode("overwrite").partitionBy(*(c for c in ("session", "source") if c in rates.columns)).parquet(path)
+
+
+def write_aligned(parts: dict[str, DataFrame], path: str, clocks: DataFrame | None = None) -> None:
+    """The aligned parts of sessions (rates, peaks, tracks, event times by name), a folder for each session and source; a field that a part
+    lacks is null. clocks: session, source and offset_ms, by which t_ms gives t_ms_aligned; a session without one keeps its times."""
+    whole = None
+    for source, part in parts.items():
+        part = part.withColumn("source", F.lit(source))
+        whole = part if whole is None else whole.unionByName(part, allowMissingColumns=True)
+    if clocks is not None:
+        whole = whole.join(clocks.select("session", "source", "offset_ms"), ["session", "source"], "left")
+        whole = whole.withColumn("t_ms_aligned", F.col("t_ms") + F.coalesce("offset_ms", F.lit(0.0))).drop("offset_ms")
+    whole.write.mode("overwrite").partitionBy("session", "source").parquet(path)
 
 
 def parse_impedances(lines: DataFrame, text: str = "value") -> DataFrame:
@@ -134,6 +164,11 @@ def manifest(windows: DataFrame, keys: list[str]) -> DataFrame:
     return windows.groupBy(*keys).agg(F.count_distinct("event_id").alias("n_events"), F.count_distinct("trace").alias("n_traces"), F.count_distinct("rel_bin").alias("length"))
 
 
+def append_manifest(windows: DataFrame, keys: list[str], path: str, file: str, curated: bool = False) -> None:
+    """Adds the outputs' rows, with the file that they are in and whether they are curated, to the manifest at path."""
+    manifest(windows, keys).withColumns({"file": F.lit(file), "curated": F.lit(curated)}).write.mode("append").parquet(path)
+
+
 def session_index(files: DataFrame, name: str = "name") -> DataFrame:
     """session (its YYMMDD_HHMMSS key) and place, from 1, by that key; names without one are dropped."""
     d = files.select(F.regexp_extract(name, r"(\d{6}_\d{6})", 1).alias("session")).where("session != ''").distinct()
