@@ -143,10 +143,10 @@ def ttest_sets(trials: DataFrame, sets: DataFrame, baseline: str, trial: str = "
     return ttest_vs_baseline(d, baseline).join(s, "condition")
 
 
-def interval_stats(events: DataFrame, by: str, at: str, gap: float | None = None) -> DataFrame:
-    """Median, mean, deviation, least, most and number of the times between neighbouring events. With gap, also gaps (the times longer
+def interval_stats(events: DataFrame, by: str, at: str, gap: float | None = None, per: float = 1.0) -> DataFrame:
+    """Median, mean, deviation, least, most and number of the times between neighbouring events, in units of per ticks of `at`. With gap, also gaps (the times longer
     than gap medians) and lost (the events that would have filled them, one for each further median)."""
-    d = B.neighbour(events.select(by, at), [by], at, at, "_b").select(by, (F.col(at) - F.col("_b")).alias("d"))
+    d = B.neighbour(events.select(by, at), [by], at, at, "_b", width=B.WIDTH * max(per, 1.0)).select(by, ((F.col(at) - F.col("_b")) / per).alias("d"))
     d = d if gap is None else written(d, "intervals")
     s = d.groupBy(by).agg(F.median("d").alias("median"), F.avg("d").alias("mean"), F.stddev_pop("d").alias("sd"), F.min("d").alias("least"), F.max("d").alias("most"), F.count("d").alias("n"))
     if gap is None:

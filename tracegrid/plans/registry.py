@@ -334,8 +334,8 @@ def _(spark, d):
 @query("a16_interval_stats", """WITH x AS (SELECT event_type, (epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY event_type ORDER BY ts)) / 1000.0::DOUBLE AS d FROM events)
 SELECT event_type AS session, round(median(d), 3) AS median, round(avg(d), 3) AS mean, round(min(d), 3) AS least, round(max(d), 3) AS most, count(d) AS n FROM x GROUP BY ALL""")
 def _(spark, d):
-    e = D.table(spark, d, "events").select(F.col("event_type").alias("session"), D.micros("ts").alias("t"))
-    return A.interval_stats(e, "session", "t").select("session", *(F.round(c, 3).alias(c) for c in ("median", "mean", "least", "most")), "n")
+    e = D.table(spark, d, "events").select(F.col("event_type").alias("session"), F.unix_micros(F.col("ts").cast("timestamp")).alias("t"))
+    return A.interval_stats(e, "session", "t", per=1000.0).select("session", *(F.round(c, 3).alias(c) for c in ("median", "mean", "least", "most")), "n")
 
 
 @query("a10_summaries_rollup", """SELECT l_returnflag AS field, l_linestatus AS side, round(avg(l_quantity), 6) AS mean, round(var_samp(l_quantity), 6) AS variance, count(l_quantity) AS n FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)""")

@@ -332,8 +332,8 @@ def _(spark, d):
 @query("a16_interval_gaps", """WITH x AS (SELECT event_type AS session, (epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY event_type ORDER BY ts)) / 1000.0::DOUBLE AS d FROM events), m AS (SELECT session, median(d) AS m FROM x GROUP BY ALL)
 SELECT session, round(median(d), 3) AS median, round(stddev_pop(d), 3) AS sd, count(d) AS n, count(CASE WHEN d > 3 * m THEN 1 END) AS gaps, CAST(coalesce(sum(CASE WHEN d > 3 * m THEN CAST(round_even(d / m, 0) AS BIGINT) - 1 END), 0) AS BIGINT) AS lost FROM x JOIN m USING (session) GROUP BY ALL""")
 def _(spark, d):
-    e = D.table(spark, d, "events").select(F.col("event_type").alias("session"), D.micros("ts").alias("t"))
-    return A.interval_stats(e, "session", "t", gap=3.0).select("session", F.round("median", 3).alias("median"), F.round("sd", 3).alias("sd"), "n", "gaps", "lost")
+    e = D.table(spark, d, "events").select(F.col("event_type").alias("session"), F.unix_micros(F.col("ts").cast("timestamp")).alias("t"))
+    return A.interval_stats(e, "session", "t", gap=3.0, per=1000.0).select("session", F.round("median", 3).alias("median"), F.round("sd", 3).alias("sd"), "n", "gaps", "lost")
 
 
 @query("w1_median_baseline", T_SQL + """, r AS (SELECT *, row_number() OVER (PARTITION BY trial ORDER BY bin) AS r, count(*) OVER (PARTITION BY trial) AS n FROM trials),
