@@ -41,3 +41,10 @@ def test_query(spark, name):
     assert len(a) == len(b)
     bad = [(x, y) for x, y in zip(a, b) if x != y]
     assert not bad, bad[:3]
+
+
+@pytest.mark.parametrize("name", ["a1_bin_counts", "e6_pulse_blocks", "e9_peaks", "j12_blank_intervals", "w2_smooth_counts", "w11_correct_frames"])
+def test_plans_read_little(spark, name):
+    """What several steps need is written once, so that a plan doesn't read its source again for each of them."""
+    plan = registry.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert 1 <= plan.count("Relation [") <= 3

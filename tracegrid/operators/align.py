@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import blocks as B
+from .lineage import written
 from .screening import remove_bias
 
 
@@ -53,12 +54,13 @@ def asof_next(events: DataFrame, frames: DataFrame, by: str = "session", width:
 
 
 def merged(intervals: DataFrame, by: list[str], width: float = 3_600_000.0) -> DataFrame:
-    """Intervals (s, e) that meet or overlap as one."""
-    top = B.known(intervals.groupBy(*by, "s").agg(F.max("e").alias("e")), by, "s", F.struct("e"), "reach", width=width)
-    # reach: the largest end up to this start; a new interval begins where the row before reaches less far.
-    d = B.neighbour(top.withColumn("reach", F.col("reach.e")), by, "s", "reach", "past", width=width)
-    d = B.running(d, by, "s", F.coalesce((F.col("s") > F.col("past")).cast("long"), F.lit(1).cast("long")), "run", width=width)
-    return d.groupBy(*by, "run").agg(F.min("s").alias("s"), F.max("e").alias("e")).drop("run")
+    """Intervals (s, e) that meet or overlap as one; written, as others join them. Null ends don't count."""
+    top = written(intervals.groupBy(*by, "s").agg(F.max("e").alias("e")), "intervals")
+    # past: the largest end before this start. An interval that begins beyond it begins a run, and all before it end by then.
+    d = B.known(top, by, "s", F.struct("e"), "past", own=False, width=width).withColumn("past", F.col("past.e"))
+    new = written(d.where(F.coalesce(F.col("s") > F.col("past"), F.lit(True))).select(*by, "s", "past"), "intervals")
+    d = B.neighbour(new, by, "s", "past", "next", after=True, width=width).join(top.groupBy(*by).agg(F.max("e").alias("last")), by)
+    return written(d.select(*by, "s", F.coalesce("next", "last").alias("e")), "intervals")
 
 
 def blank_intervals(samples: DataFrame, intervals: DataFrame, pre: float, post: float, width: float, by: str = "session") -> DataFrame:

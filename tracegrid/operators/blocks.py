@@ -17,12 +17,14 @@ def _blocked(df: DataFrame, at: str, width: float) -> DataFrame:
     return df.withColumn("_k", F.floor(F.col(at) / width))
 
 
-def known(df: DataFrame, by: list[str], at: str, value: Column, name: str, *, after: bool = False, width: float = WIDTH) -> DataFrame:
+def known(df: DataFrame, by: list[str], at: str, value: Column, name: str, *, after: bool = False, own: bool = True, width: float = WIDTH) -> DataFrame:
     """df with name: the largest value (a struct, or null) up to each row, or the least from it on. A struct that begins with
-    the order column so gives the last row up to each row that has a value, or the first from it on."""
+    the order column so gives the last row up to each row that has a value, or the first from it on. Without own the row itself
+    doesn't count; no two rows of a key may have the same place then."""
     best, order = (F.min, F.col(at).desc()) if after else (F.max, F.col(at))
     d = _blocked(df, at, width).withColumn("_v", value)
-    inside = Window.partitionBy(*by, "_k").orderBy(order).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = Window.partitionBy(*by, "_k").orderBy(order)
+    inside = inside.rangeBetween(Window.unboundedPreceding, Window.currentRow) if own else inside.rowsBetween(Window.unboundedPreceding, -1)
     ends = d.groupBy(*by, "_k").agg(best("_v").alias("_e"))
     across = Window.partitionBy(*by).orderBy(F.col("_k").desc() if after else F.col("_k")).rowsBetween(Window.unboundedPreceding, -1)
     ends = ends.select(*by, "_k", best("_e").over(across).alias("_c"))

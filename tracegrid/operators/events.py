@@ -99,10 +99,11 @@ def pulses(df: DataFrame, by=BY, width: float = B.WIDTH) -> DataFrame:
 
 def pulse_blocks(p: DataFrame, by=BY, factor: int = 50, width: float = B.WIDTH) -> DataFrame:
     """Blocks of pulses: a new one where starts are more than factor median pulse sizes apart."""
+    p = written(p, "pulses")
     m = p.groupBy(*by).agg(F.median("size").cast("long").alias("m"))
     d = B.neighbour(p, list(by), "start", "start", "before", width=width).join(m, list(by))
     new = F.coalesce((F.col("start") - F.col("before") > factor * F.col("m")).cast("long"), F.lit(1).cast("long"))
-    d = B.running(d, list(by), "start", new, "block", width=width)
+    d = B.running(written(d.select(*by, "start", "end", new.alias("_new")), "pulses"), list(by), "start", F.col("_new"), "block", width=width)
     return d.groupBy(*by, "block").agg(F.min("start").alias("start"), F.max_by("end", "start").alias("end"), F.count("*").alias("pulses"))
 
 

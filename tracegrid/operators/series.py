@@ -121,8 +121,8 @@ def correct_frames(ocr: DataFrame, by: str, width: float = B.WIDTH) -> DataFrame
     # Steps below 10 give a negative number of frames, which the totals take as it is.
     missing = F.when(read, F.coalesce(F.rint(step / 10.0 - 1.0), F.lit(0.0)).cast("long"))
     d = ocr.withColumn("n_missing", missing)
-    d = B.running(d, [by], "avi", F.coalesce("n_missing", F.lit(0).cast("long")), "total_missing", width=width)
-    d = B.running(d, [by], "avi", F.coalesce((F.col("n_missing") > 0).cast("long"), F.lit(0).cast("long")), "n_chunks_missing", width=width)
+    none = F.lit(0).cast("long")
+    d = B.running(d, [by], "avi", {"total_missing": F.coalesce("n_missing", none), "n_chunks_missing": F.coalesce((F.col("n_missing") > 0).cast("long"), none)}, width=width)
     return d.withColumn("corrected", F.when(read, F.col("avi") + F.col("total_missing")))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import artifacts as R
 from ..operators import filters as L
+from ..operators.lineage import written
 from . import adapters as D
 from .registry import _PULSES, _stim, query
 
@@ -147,7 +148,8 @@ def _(spark, d):
 def _pulses(spark, d):
     from ..operators import events as E
 
-    return E.pulses(_stim(spark, d)).where("size >= 0").select(*SC, F.floor(F.col("start") / 20).alias("block"), F.col("start").alias("pulse"), "start", "end")
+    p = E.pulses(_stim(spark, d)).where("size >= 0").select(*SC, F.floor(F.col("start") / 20).alias("block"), F.col("start").alias("pulse"), "start", "end")
+    return written(p, "pulses")
 
 
 def _full(spark, d):
