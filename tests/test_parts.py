@@ -120,3 +120,11 @@ def test_encodings(spark, tmp_path):
     (tmp_path / "g").write_bytes(b"Dur\xe9e,Co\x80t\n1,5 \x80\n")
     r = T.read_metadata(spark, str(tmp_path / "g"))
     assert r.first()[1] == "5 \u20ac" and len(r.columns) == 2
+
+
+def test_velocity_over_blocks(spark):
+    x = [0.0, 1.0, 4.0, None, 16.0, 25.0, 36.0]
+    d = spark.createDataFrame([("a", i, v) for i, v in enumerate(x)], "k string, sample long, value double").repartition(3)
+    want = [1.0, 2.0, 3.0, 6.0, 9.0, 10.0, 11.0]
+    for width in (2, 1 << 20):
+        assert [r.velocity for r in W.central_velocity(d, ["k"], "sample", 1.0, width).orderBy("sample").collect()] == want

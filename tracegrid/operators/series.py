@@ -105,12 +105,11 @@ def remove_teleports(df: DataFrame, by: list[str], at: str = "sample", z: float
     return interpolate_gaps(written(d, "steps"), max_gap, by, at, ("x", "y"), width)
 
 
-def central_velocity(df: DataFrame, by: list[str], at: str, dt: float) -> DataFrame:
-    """Central differences, one-sided at the ends."""
-    w = Window.partitionBy(*by).orderBy(at)
-    before, after = F.lag("value").over(w), F.lead("value").over(w)
+def central_velocity(df: DataFrame, by: list[str], at: str, dt: float, width: float = B.WIDTH) -> DataFrame:
+    """Central differences, one-sided at the ends and beside missing values."""
+    d, before, after = B.beside(df, by, at, "value", "_b", "_a", width=width), F.col("_b"), F.col("_a")
     v = F.when(before.isNull(), (after - F.col("value")) / dt).when(after.isNull(), (F.col("value") - before) / dt).otherwise((after - before) / (2 * dt))
-    return df.withColumn("velocity", v)
+    return d.withColumn("velocity", v).select(*df.columns, "velocity")
 
 
 def correct_frames(ocr: DataFrame, by: str, width: float = B.WIDTH) -> DataFrame:
