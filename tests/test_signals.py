@@ -362,3 +362,17 @@ def test_intervals_and_tests(spark):
 
 def test_keypoint_names():
     assert K.match_keypoints(["net_hand_left", "net_eye", "wrist"], ["left hand", "eye center", "tail"]) == {"left hand": "net_hand_left", "eye center": "net_eye"}
+
+
+def test_no_window_is_summed_anew_for_each_row(spark):
+    """A frame from the row on to its block's end takes the square of the block's rows."""
+    from tracegrid.operators import blocks as B
+
+    d = frame(spark, np.array([np.nan, 1.0, np.nan, np.nan, 4.0, np.nan]))
+    got = L.filled(d, ["session", "channel"])
+    assert "unboundedfollowing" not in got._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert [r._filled for r in got.orderBy("sample").collect()] == [1.0, 1.0, 2.0, 3.0, 4.0, 4.0]
+    value = F.when(F.col("value").isNotNull(), F.struct("sample", "value"))
+    for width in (2, 3, 100):
+        got = B.around(d, ["session", "channel"], "sample", value, "b", "a", width=width).orderBy("sample").collect()
+        assert [(r.b and r.b.value, r.a and r.a.value) for r in got] == [(None, 1.0), (1.0, 1.0), (1.0, 4.0), (1.0, 4.0), (4.0, 4.0), (4.0, None)]

@@ -60,9 +60,12 @@ def around(df: DataFrame, by: list[str], at: str, value: Column, before: str, af
     d = _blocked(df, at, width).withColumn("_v", value)
     inside, across = Window.partitionBy(*by, "_k").orderBy(at), Window.partitionBy(*by).orderBy("_k")
     ends = d.groupBy(*by, "_k").agg(F.max("_v").alias("_l"), F.min("_v").alias("_f"))
-    ends = ends.select(*by, "_k", F.max("_l").over(across.rowsBetween(Window.unboundedPreceding, -1)).alias("_c0"), F.min("_f").over(across.rowsBetween(1, Window.unboundedFollowing)).alias("_c1"))
-    up, down = inside.rangeBetween(Window.unboundedPreceding, Window.currentRow), inside.rangeBetween(Window.currentRow, Window.unboundedFollowing)
-    d = d.withColumns({"_i0": F.max("_v").over(up), "_i1": F.min("_v").over(down)}).join(ends, [*by, "_k"])
+    back = Window.partitionBy(*by).orderBy(F.col("_k").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select(*by, "_k", F.max("_l").over(across.rowsBetween(Window.unboundedPreceding, -1)).alias("_c0"), F.min("_f").over(back).alias("_c1"))
+    # A frame that ends with its block is summed up anew for each row, so the way down is a running frame of the rows turned round.
+    turned = Window.partitionBy(*by, "_k").orderBy(F.col(at).desc())
+    up, down = (w.rangeBetween(Window.unboundedPreceding, Window.currentRow) for w in (inside, turned))
+    d = d.withColumn("_i1", F.min("_v").over(down)).withColumn("_i0", F.max("_v").over(up)).join(ends, [*by, "_k"])
     return d.withColumns({before: F.greatest("_i0", "_c0"), after: F.least("_i1", "_c1")}).drop("_k", "_v", "_i0", "_i1", "_c0", "_c1")
 
 
