@@ -376,3 +376,56 @@ def test_no_window_is_summed_anew_for_each_row(spark):
     for width in (2, 3, 100):
         got = B.around(d, ["session", "channel"], "sample", value, "b", "a", width=width).orderBy("sample").collect()
         assert [(r.b and r.b.value, r.a and r.a.value) for r in got] == [(None, 1.0), (1.0, 1.0), (1.0, 4.0), (1.0, 4.0), (4.0, 4.0), (4.0, None)]
+
+
+def test_similarity_in_blocks_of_bounded_size(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(30, 6))
+    x[7] = 2.0
+    d = spark.createDataFrame([(t, c, float(v)) for t, row in enumerate(x) for c, v in enumerate(row)] + [(30, 0, 1.0), (30, 9, 2.0), (30, 11, 4.0)], "trial long, channel int, value double")
+    got = {(r.i, r.j): r.r for r in M.rsa_matrix(d, blocks=1, most=4).collect()}
+    want = np.corrcoef(np.delete(x, 7, axis=0))
+    names = [t for t in range(30) if t != 7]
+    assert len(got) == 30 * 29 // 2
+    assert all(got[a, 30] is None for a in names)
+    assert max(abs(got[a, b] - want[i, j]) for i, a in enumerate(names) for j, b in enumerate(names) if a < b) < 1e-12
+
+
+def nearest(x, k):
+    """Brute force; a missing coordinate doesn't count, and a pair without any is last."""
+    out = {}
+    for a, p in x.items():
+        gaps = {b: [abs(u - v) for u, v in zip(p, q) if u is not None and v is not None] for b, q in x.items() if b != a}
+        far = sorted((not g, max(g, default=0.0), b) for b, g in gaps.items())[:k]
+        out[a] = [(b, None if lost else d) for lost, d, b in far]
+    return out
+
+
+def test_nearest_channels_by_cells(spark):
+    rng = np.random.default_rng(4)
+    spread = {i: tuple(p) for i, p in enumerate(np.concatenate([rng.uniform(0, 1000, (80, 2)), rng.normal(300, 1e-4, (80, 2)), rng.integers(0, 4, (80, 2)) * 100.0, np.full((40, 2), 7.0)]).tolist())}
+    lost = {**spread, 900: (None, 7.0), 901: (None, None), 902: (5.0, None)}
+    for x in (spread, lost, {0: (1.0, 1.0), 1: (1.0, 1.0)}, {0: (1.0, 2.0)}):
+        rows = K.nearest_channels(spark.createDataFrame([(i, *p) for i, p in x.items()], "channel long, x double, y double"), 4).collect()
+        got = {i: [] for i in x}
+        for r in sorted(rows, key=lambda r: (r.distance is None, r.distance or 0.0, r.neighbour)):
+            got[r.channel].append((r.neighbour, r.distance))
+        assert got == nearest(x, 4)
+
+
+def test_nearest_channels_of_many(spark):
+    """All pairs of these are 1.6 billion."""
+    import time
+
+    rng = np.random.default_rng(5)
+    x = rng.uniform(0, 500, (40_000, 2))
+    d = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(x)], "channel long, x double, y double")
+    began = time.time()
+    got = {}
+    for r in K.nearest_channels(d, 4).collect():
+        got.setdefault(r.channel, []).append((r.distance, r.neighbour))
+    assert time.time() - began < 90 and len(got) == len(x)
+    for i in range(0, len(x), 500):
+        far = np.abs(x - x[i]).max(axis=1)
+        far[i] = np.inf
+        assert [n for _, n in sorted(got[i])] == np.argsort(far, kind="stable")[:4].tolist()
