@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .lineage import written
+
 
 def exclude_high_impedance(df: DataFrame, impedance: DataFrame, max_kohm: float, by: str = "session") -> DataFrame:
     """Rows whose electrode isn't known to be above the limit; a key that would lose all its rows keeps them."""
@@ -176,14 +178,41 @@ def good_units(units: DataFrame, spikes: DataFrame, seconds: float) -> DataFrame
     return units.where(F.lower(F.trim("label")) == "good").join(n, "unit", "left").select("unit", (F.coalesce("n", F.lit(0)) / seconds).alias("rate"))
 
 
-def nearest_channels(channels: DataFrame, k: int) -> DataFrame:
-    """channel, neighbour and distance of the k channels nearest by the larger of the x and y distance; a probe's few hundred channels meet by pairs."""
-    from pyspark.sql.window import Window
-
-    b = F.broadcast(channels.select(F.lit(1).alias("one"), F.col("channel").alias("neighbour"), F.col("x").alias("x2"), F.col("y").alias("y2")))
-    d = channels.withColumn("one", F.lit(1)).join(b, "one").where("channel != neighbour").withColumn("distance", F.greatest(F.abs(F.col("x") - F.col("x2")), F.abs(F.col("y") - F.col("y2"))))
-    w = Window.partitionBy("channel").orderBy("distance", "neighbour")
-    return d.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).select("channel", "neighbour", "distance")
+def nearest_channels(channels: DataFrame, k: int, levels: int = 20) -> DataFrame:
+    """channel, neighbour and distance of the k channels nearest by the larger of the x and y distance, the smaller neighbour of equals.
+
+    Square cells are halved from one that holds all places. A place takes the smallest of its cells that has more than k channels: the k
+    nearest are then within a cell's width, in the cells beside it. A smaller cell has at most k channels, so few places look into
+    a large one and pairs grow with the places. Channels at one place share its neighbours, of which each place gives its first
+    k + 1. Channels without a place (a missing or infinite x or y) meet all others, by what they have."""
+    c = written(channels.select("channel", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")), "channels")
+    placed = F.coalesce(F.abs("x") < float("inf"), F.lit(False)) & F.coalesce(F.abs("y") < float("inf"), F.lit(False))
+    clean, odd = c.where(placed), c.where(~placed)
+    low = clean.agg(F.min("x").alias("x"), F.min("y").alias("y"), F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y")).alias("w")).first()
+    x0, y0, width = (low.x, low.y, 1.001 * low.w or 1.0) if low.x is not None else (0.0, 0.0, 1.0)
+    first = F.slice(F.array_sort(F.collect_list("channel")), 1, k + 1)
+    w = Window.partitionBy("x", "y").orderBy("channel")
+    top = clean.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k + 1)
+    places = written(top.groupBy("x", "y").agg(first.alias("ids")).join(clean.groupBy("x", "y").agg(F.count("*").alias("n")), ["x", "y"]), "places")
+    side = F.lit(width) / F.pow(F.lit(2.0), F.col("level"))
+    cells = places.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(levels))))
+    cells = cells.withColumns({"cx": F.floor((F.col("x") - F.lit(x0)) / side), "cy": F.floor((F.col("y") - F.lit(y0)) / side)})
+    full = cells.groupBy("level", "cx", "cy").agg(F.sum("n").alias("_n")).where((F.col("_n") > k) | (F.col("level") == 0))
+    own = cells.join(full, ["level", "cx", "cy"]).groupBy("x", "y").agg(F.max(F.struct("level", "cx", "cy")).alias("own")).select("x", "y", "own.*")
+    beside = F.explode(F.array(*(F.struct((F.col("cx") + i).alias("cx"), (F.col("cy") + j).alias("cy")) for i in (-1, 0, 1) for j in (-1, 0, 1))))
+    asks = written(own.select("x", "y", "level", beside.alias("c")).select("x", "y", "level", "c.*"), "asks")
+    there = cells.select("level", "cx", "cy", F.col("x").alias("x2"), F.col("y").alias("y2"), "ids")
+    far = F.greatest(F.abs(F.col("x") - F.col("x2")), F.abs(F.col("y") - F.col("y2")))
+    got = asks.join(there, ["level", "cx", "cy"]).withColumn("distance", far)
+    # The first k + 1 places hold the first k + 1 channels.
+    got = got.withColumn("_r", F.row_number().over(Window.partitionBy("x", "y").orderBy("distance", F.col("ids")[0]))).where(F.col("_r") <= k + 1)
+    near = got.groupBy("x", "y").agg(F.array_sort(F.flatten(F.collect_list(F.transform("ids", lambda i: F.struct(F.col("distance").alias("distance"), i.alias("neighbour")))))).alias("near"))
+    near = near.select("x", "y", F.slice("near", 1, k + 1).alias("near"))
+    both = clean.join(near, ["x", "y"]).select("channel", F.explode("near").alias("n")).select("channel", "n.neighbour", "n.distance")
+    pair = lambda a, b: a.withColumn("_one", F.lit(1)).join(b.select(F.lit(1).alias("_one"), F.col("channel").alias("neighbour"), F.col("x").alias("x2"), F.col("y").alias("y2")), "_one").select("channel", "neighbour", far.alias("distance"))
+    d = both.unionByName(pair(c, odd)).unionByName(pair(odd, clean)).where("channel != neighbour")
+    w = Window.partitionBy("channel").orderBy(F.col("distance").asc_nulls_last(), "neighbour")
+    return d.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).select("channel", "neighbour", "distance")
 
 
 def ordered_conditions(df: DataFrame, listed: str, values: list[str], keys: list[tuple[str, bool]]) -> DataFrame:
