@@ -128,3 +128,19 @@ def test_velocity_over_blocks(spark):
     want = [1.0, 2.0, 3.0, 6.0, 9.0, 10.0, 11.0]
     for width in (2, 1 << 20):
         assert [r.velocity for r in W.central_velocity(d, ["k"], "sample", 1.0, width).orderBy("sample").collect()] == want
+
+
+def test_nearest_within_makes_no_pairs(spark):
+    import random
+
+    from tracegrid.operators import align as J
+
+    rng = random.Random(7)
+    a = [(i, float(rng.randrange(400))) for i in range(150)] + [(999, None), (998, 5000.0)]
+    b = [(i, float(rng.randrange(400))) for i in rng.sample(range(1000), 60)] + [(2000, None)]
+    x, y = spark.createDataFrame(a, "id long, t double"), spark.createDataFrame(b, "other long, t double")
+    for tolerance in (3.0, 1000.0):
+        got = J.within(x, y, tolerance)
+        assert "bucket" not in got._jdf.queryExecution().optimizedPlan().toString()  # pairs of dense times were made there
+        want = {i: min((abs(t - u), o) for o, u in b if u is not None and abs(t - u) <= tolerance)[1] for i, t in a if t is not None and any(u is not None and abs(t - u) <= tolerance for _, u in b)}
+        assert {r.id: r.other for r in got.collect()} == want

@@ -105,10 +105,14 @@ def mask_and_shift(a: DataFrame, b: DataFrame, masked: DataFrame, k: int, key: s
 
 
 def within(a: DataFrame, b: DataFrame, tolerance: float, at: str = "t") -> DataFrame:
-    """For each row of a (id, t) the nearest of b (other, t) within the tolerance; the smaller other of equals."""
-    y = b.select(F.col("other"), F.col(at).alias("tb")).withColumn("bucket", F.explode(F.array(*(F.floor(F.col("tb") / tolerance) + i for i in (-1, 0, 1)))))
-    x = a.withColumn("bucket", F.floor(F.col(at) / tolerance))
-    return x.join(y, "bucket").where(F.abs(F.col(at) - F.col("tb")) <= tolerance).groupBy("id").agg(F.min_by("other", F.struct(F.abs(F.col(at) - F.col("tb")), "other")).alias("other"))
+    """For each row of a (id, t) the nearest of b (other, t) within the tolerance; the smaller other of equals. That is the last one up to
+    it or the first from it on, so that both sides are sorted together and no pairs are made."""
+    y = b.where(F.col(at).isNotNull()).groupBy(F.col(at).alias("_t")).agg(F.min("other").alias("other")).select("_t", F.struct("_t", "other").alias("_y"))
+    both = written(a.where(F.col(at).isNotNull()).select(F.col(at).alias("_t"), "id").unionByName(y, allowMissingColumns=True).withColumn("_a", F.col("_y").isNull()), "times")
+    d = B.around(both, [], "_t", F.col("_y"), "_b", "_f", width=max(float(tolerance), float(B.WIDTH))).where("_a")
+    near = F.explode(F.array_compact(F.array("_b", "_f")))
+    d = d.select("id", "_t", near.alias("y")).withColumn("far", F.abs(F.col("_t") - F.col("y._t"))).where(F.col("far") <= tolerance)
+    return d.groupBy("id").agg(F.min_by("y.other", F.struct("far", "y.other")).alias("other"))
 
 
 def matched_pairs(conditions: DataFrame, vary: str, others: list[str]) -> DataFrame:
