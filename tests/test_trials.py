@@ -67,3 +67,17 @@ def test_trials_that_begin_in_place(spark):
     # Trial 1's bias isn't below the tolerance and isn't taken off; trial 3's is: -9 - (-4.5) is still too far.
     assert {r.trial for r in kept.collect()} == {0} and {r.trial for r in removed.collect()} == {1, 2, 3}
     assert [r.x for r in kept.orderBy("bin").collect()] == [-0.5, -0.5, 0.5, 7.5] and removed.count() == 12
+
+
+def test_large_tables_are_dealt_by_their_rows(spark, monkeypatch):
+    from tracegrid.plans import adapters, registry
+
+    sf = "/root/testdata/sf0.001"
+    run = lambda name: sorted(map(str, registry.queries()[name](spark, sf).collect()))
+    names = ("w12_zscore_tracks", "a4_fallback_window")
+    plain = [run(n) for n in names]
+    assert adapters.parted(adapters.table(spark, sf, "lineitem"), "l_orderkey").rdd.getNumPartitions() < 10
+    monkeypatch.setattr(adapters, "PART_ROWS", 400)
+    lines = adapters.table(spark, sf, "lineitem")
+    assert adapters.parted(lines, "l_orderkey").rdd.getNumPartitions() == -(-lines.count() // 400) > 8
+    assert [run(n) for n in names] == plain

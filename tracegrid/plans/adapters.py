@@ -22,6 +22,16 @@ def micros(ts: str) -> F.Column:
     return F.unix_micros(F.col(ts).cast("timestamp")) / 1000
 
 
+#: Rows of a partition where the number of shuffle partitions, or merging them, would make a task's sorts grow with the table.
+PART_ROWS = 500_000
+
+
+def parted(df: DataFrame, key: str) -> DataFrame:
+    """A large table by key in as many partitions as it has PART_ROWS rows; a small one as it is."""
+    n = -(-df.count() // PART_ROWS)
+    return df if n <= 8 else df.repartition(max(n, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), key)
+
+
 #: Makes the order of an order's lines whole: line numbers repeat in the given table.
 LINES = ("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_shipdate")
 
@@ -42,7 +52,8 @@ def trials(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A trial for each order, a condition for each priority; the lines of an order are its bins."""
     o = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderpriority").alias("condition"))
     w = Window.partitionBy("l_orderkey").orderBy(*LINES)
-    li = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("trial"), F.row_number().over(w).alias("bin"), F.col("l_quantity").alias("value"), F.col("l_extendedprice").alias("position"))
+    li = parted(table(spark, sf_dir, "lineitem"), "l_orderkey")
+    li = li.select(F.col("l_orderkey").alias("trial"), F.row_number().over(w).alias("bin"), F.col("l_quantity").alias("value"), F.col("l_extendedprice").alias("position"))
     return li.join(o, li.trial == o.o_orderkey).select("condition", "trial", "bin", "value", "position")
 
 
