@@ -139,3 +139,13 @@ def test_gradient_and_bias(spark):
     t = spark.createDataFrame([(1, 0, 1.0), (1, 1, 4.0), (1, 2, 9.0), (2, 0, 5.0), (3, 0, None), (3, 1, 2.0)], "trial int, bin int, value double")
     assert sorted(((r.trial, r.bin, r.value) for r in K.gradient(t, ["trial"], "bin").collect()), key=lambda r: r[:2]) == [(1, 0, 3.0), (1, 1, 4.0), (1, 2, 5.0), (2, 0, None), (3, 0, None), (3, 1, None)]
     assert sorted(((r.trial, r.bin, r.value) for r in K.remove_bias(t, ["trial"], "bin", 0, 0).collect()), key=lambda r: r[:2]) == [(1, 0, 0.0), (1, 1, 3.0), (1, 2, 8.0), (2, 0, 0.0), (3, 0, None), (3, 1, 2.0)]
+
+
+def test_runs_of_peaks_share_a_group(spark):
+    from tracegrid.operators import events as E
+
+    at = [0, 1, 4, 5, 6, 7, 8, 9, 12, 15, 16]  # runs 0-1, 4-9, 12 and 15-16, nearer to each other than the span
+    rows = [("s", 0, s, float(s), float(s % 5 + 1)) for s in at]
+    got = E.dedup_peaks(spark.createDataFrame(rows, "session string, channel int, sample long, t_ms double, amplitude double"), 2, 4)
+    assert "FlatMapGroupsInPandas [session" in (p := got._jdf.queryExecution().optimizedPlan().toString()) and str(E.RUNS) in p
+    assert sorted(r.sample for r in got.collect()) == [1, 4, 9, 12, 16]

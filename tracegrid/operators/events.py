@@ -15,6 +15,8 @@ from .lineage import written
 from .quantiles import quantiles
 
 BY = ("session", "channel")
+#: Runs of events that are worked on together.
+RUNS = 1024
 
 
 def rising_edges_hysteresis(df: DataFrame, by=BY, points: int | None = None, width: float = B.WIDTH) -> DataFrame:
@@ -147,14 +149,15 @@ def dedup_peaks(peaks: DataFrame, gap: int, span: int, by=BY, width: float = B.W
 
     def split(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("sample", ignore_index=True)
-        at, cluster, start = pdf["sample"].to_numpy(), np.zeros(len(pdf), dtype=np.int64), 0
+        at, run, cluster, start = pdf["sample"].to_numpy(), pdf["run"].to_numpy(), np.zeros(len(pdf), dtype=np.int64), 0
         while start < len(at):
-            stop = int(np.searchsorted(at, at[start] + span, side="right"))
+            stop = int(min(np.searchsorted(at, at[start] + span, side="right"), np.searchsorted(run, run[start], side="right")))
             cluster[start:stop], start = start, stop
         best = pdf.assign(c=cluster, m=-pdf["amplitude"].abs()).sort_values(["c", "m", "sample"]).drop_duplicates("c")
         return best[names]
 
-    return runs.groupBy(*by, "run").applyInPandas(split, runs.schema).drop("run")
+    # Most runs are a few peaks long, and a group for each would cost more than its work.
+    return runs.groupBy(*by, F.floor(F.col("run") / RUNS)).applyInPandas(split, runs.schema).drop("run")
 
 
 def local_maxima(df: DataFrame, height: float, by=BY, width: float = B.WIDTH) -> DataFrame:
