@@ -440,3 +440,59 @@ def test_gaussian_sums_of_dense_times():
     times = 1 + ((t < lo + 2.4 * sigma)[:, None] & (gap > (t - lo)[:, None])) + ((t > hi - 2.4 * sigma)[:, None] & (gap < (t - hi)[:, None]))
     want = (times * v * np.exp(-0.5 * (gap / sigma) ** 2)).sum(axis=1)
     assert np.abs(L.gaussian_sums(t, v, t, sigma, 9 * sigma, lo, hi) - want).max() < 1e-10
+
+
+def long_pulses(spark):
+    """Two channels whose pulses overlap many times over, in blocks of 20 starts; some reach beyond the recording."""
+    rng = np.random.default_rng(29)
+    xs = rng.normal(size=(2, 9000))
+    xs[0, 100] = np.nan
+    rows = [("s", c, at // 20, at, at, at + int(rng.integers(1, 900))) for c in range(2) for at in range(0, 8900, 5 + c)]
+    pulses = spark.createDataFrame(rows, "session string, channel int, block long, pulse long, start long, end long")
+    return xs, frames(spark, xs), pulses, rows
+
+
+def sent(df):
+    """Exchanges of what the groups of pulses give."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return plan[: plan.index("FlatMapGroupsInArrow")].count("Exchange")
+
+
+def test_snippets_are_cut_where_their_samples_are(spark):
+    xs, s, pulses, rows = long_pulses(spark)
+    got = R.pulse_snippets(s, pulses, 1, 1)
+    assert sent(got) == 0
+    last, n = {}, 0
+    for _, c, b, _, start, end in rows:
+        last[c, b] = max(last.get((c, b), 0), end - start + 2)
+    want = {(c, start): np.concatenate([xs[c, start - 1 : end + 2], np.full(last[c, b] - (end - start + 2), xs[c, end + 1])]) for _, c, b, _, start, end in rows if start > 0 and end + 1 < 9000}
+    for r in got.groupBy("channel", "pulse").agg(F.sort_array(F.collect_list(F.struct("pos", "value"))).alias("v")).toLocalIterator():
+        x = np.array([np.nan if v.value is None else v.value for v in r.v])
+        assert [v.pos for v in r.v] == list(range(len(x))) and np.array_equal(x, want[r.channel, r.pulse], equal_nan=True)
+        n += 1
+    assert n == len(want)
+    gap = R.pulse_snippets(s.where("sample not between 200 and 210"), pulses.where("pulse = 190"), 1, 1)
+    assert gap.where("pos between 11 and 21").count() == 0 and gap.count() == sum(last[c, 9] + 1 - 11 for _, c, _, at, _, _ in rows if at == 190)
+
+
+def test_artifacts_of_pulses_are_taken_out_where_their_samples_are(spark):
+    _, s, pulses, _ = long_pulses(spark)
+    got = R.pulse_artifacts(s, pulses, 1, 1, 1, 2)
+    assert sent(got) == 0
+    want = R.remove_artifacts_pca(R.pulse_snippets(s, pulses, 1, 1), 1, 2).select("channel", "pulse", "pos", F.col("value").alias("w"))
+    r = got.join(want, ["channel", "pulse", "pos"], "full").agg(F.max(F.abs(F.col("value") - F.col("w"))).alias("far"), F.count("value").alias("n"), F.count("w").alias("m"), F.count("*").alias("k")).first()
+    assert r.far < 1e-9 and r.n == r.m == r.k > 500_000
+
+
+@pytest.mark.parametrize("size", [64, 1 << 14])
+def test_local_templates_of_pulses_are_taken_off_where_their_samples_are(spark, size):
+    from pyspark.sql.window import Window
+
+    _, s, pulses, _ = long_pulses(spark)
+    got = R.pulse_template_parts(s, pulses, 1, 1, 4, size=size)
+    assert sent(got) == 0
+    snips = R.pulse_snippets(s, pulses, 1, 1).withColumn("is_first", F.col("pulse") == F.min("pulse").over(Window.partitionBy("session", "channel", "block")))
+    keys = ["channel", "pulse", "pos", "is_first"]
+    want = R.template_parts(snips, 4).select(*keys, F.col("value").alias("w"), F.col("template").alias("t"))
+    r = got.join(want, keys, "full").agg(F.max(F.abs(F.col("value") - F.col("w"))).alias("far"), F.max(F.abs(F.col("template") - F.col("t"))).alias("off"), F.count("value").alias("n"), F.count("w").alias("m"), F.count("template").alias("k"), F.count("t").alias("l")).first()
+    assert r.far < 1e-9 and r.off < 1e-9 and r.n == r.m > 500_000 and r.k == r.l

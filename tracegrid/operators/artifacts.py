@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window
 
 from . import blocks as B
@@ -16,16 +19,142 @@ from .models import factor_em, grams
 KEYS = ("session", "channel", "block")
 
 
+#: Values of a batch that a group of pulses hands over.
+BATCH = 1 << 20
+#: Samples of a chunk of signal, of which groups of pulses take those that they need.
+CHUNK = 1 << 12
+
+
+def whole_pulses(samples: DataFrame, pulses: DataFrame, before: int, after: int, size: int = 1 << 14) -> DataFrame:
+    """session, channel, block, pulse, a, z, last and g of the pulses that are inside the recording: their first and last sample, how far the
+    longest of all the block's pulses goes, and a group of neighbouring blocks. Groups are as wide as the longest pulse at
+    least, so that they share no more samples than they own."""
+    span = samples.groupBy("session", "channel").agg(F.min("sample").alias("lo"), F.max("sample").alias("hi"))
+    p = pulses.select(*KEYS, "pulse", (F.col("start") - before).alias("a"), (F.col("end") + after).alias("z")).where("z >= a")
+    longest = p.groupBy(*KEYS).agg(F.max(F.col("z") - F.col("a")).alias("last"))
+    p = written(p.join(span, ["session", "channel"]).where("a >= lo and z <= hi").join(longest, list(KEYS)).select(*KEYS, "pulse", "a", "z", "last"), "pulses")
+    width = max(size, p.agg(F.max(F.col("z") - F.col("a") + 1)).first()[0] or 0)
+    return p.withColumn("g", F.floor(F.min("a").over(Window.partitionBy(*KEYS)) / width))
+
+
+def by_groups(samples: DataFrame, pulses: DataFrame, fn: Callable[[list[dict], list[np.ndarray]], Iterator[tuple[dict, list[np.ndarray]]]], keep: list[str], names: list[str]) -> DataFrame:
+    """keep, pos and names: for each pulse that fn gives, with arrays as long as its snippet, a row for each place. fn takes a group's pulses
+    (see whole_pulses) and their snippets, NaN where a value is missing. Only samples are sent to the groups, never snippets:
+    pulses may overlap many times over. Places at which the recording has no row have none here."""
+    where = ["session", "channel", "g"]
+    p = pulses.withColumn("_src", F.col("_src") if "_src" in pulses.columns else F.col("g"))
+    need = p.groupBy(*where, "_src").agg(F.min("a").alias("a"), F.max("z").alias("z"))
+    need = need.select(*where, F.explode(F.sequence(F.floor(F.col("a") / CHUNK), F.floor(F.col("z") / CHUNK))).alias("_c")).distinct()
+    rows = samples.select("session", "channel", "sample", F.col("value").cast("double").alias("value"), F.floor(F.col("sample") / CHUNK).alias("_c"))
+    both = rows.join(need, ["session", "channel", "_c"]).drop("_c").unionByName(p.drop("_src"), allowMissingColumns=True)
+    schema = T.StructType([pulses.schema[c] for c in keep] + [T.StructField("_n", T.LongType())] + [T.StructField(c, T.ArrayType(T.DoubleType())) for c in names])
+    fields = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(list(batches))
+        todo = t.filter(t.column("a").is_valid()).drop_columns(["sample", "value"]).sort_by([("a", "ascending"), ("pulse", "ascending")]).to_pylist()
+        s = t.filter(t.column("a").is_null()).select(["sample", "value"])
+        order = np.argsort(s.column("sample").to_numpy(), kind="stable")
+        sample, value = s.column("sample").to_numpy()[order], s.column("value").to_numpy().astype(float)[order]
+        snippets, gaps = [], {}
+        for i, x in enumerate(todo):
+            v, n, lo = np.empty(x["last"] + 1), x["z"] - x["a"] + 1, int(np.searchsorted(sample, x["a"]))
+            if lo + n <= len(sample) and sample[lo] == x["a"] and sample[lo + n - 1] == x["z"]:
+                v[:n], v[n:] = value[lo : lo + n], value[lo + n - 1]
+            else:
+                want = np.minimum(x["a"] + np.arange(len(v)), x["z"])
+                at = np.minimum(np.searchsorted(sample, want), len(sample) - 1)
+                gaps[i] = sample[at] != want
+                v[:] = np.where(gaps[i], np.nan, value[at])
+            snippets.append(v)
+            x["_i"] = i
+        ready: list[tuple[dict, list[np.ndarray]]] = []
+
+        def batch() -> pa.RecordBatch:
+            length = np.cumsum([0, *(len(v[0]) for _, v in ready)])
+            out = [pa.array([x[c] for x, _ in ready], fields.field(c).type) for c in keep] + [pa.array(np.diff(length))]
+            lost = np.concatenate([gaps.get(x["_i"], np.zeros(len(v[0]), dtype=bool)) for x, v in ready]) if gaps else None
+            for j in range(len(names)):
+                out.append(pa.ListArray.from_arrays(pa.array(length, pa.int32()), pa.array(np.concatenate([v[j] for _, v in ready]), mask=lost)))
+            return pa.RecordBatch.from_arrays(out, schema=fields)
+
+        total = 0
+        for x, v in fn(todo, snippets):
+            ready.append((x, v))
+            total += len(v[0])
+            if total >= BATCH:
+                yield batch()
+                ready, total = [], 0
+        if ready:
+            yield batch()
+
+    got = both.groupBy(*where).applyInArrow(run, schema).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)).alias("pos"))
+    item: Callable[[str], Column] = lambda c: F.col(c)[F.col("pos").cast("int")]
+    got = got.select(*keep, "pos", *(item(c).alias(c) for c in names)).where(F.col(names[0]).isNotNull())
+    return got.withColumns({c: F.nanvl(c, F.lit(None).cast("double")) for c in names})
+
+
 def pulse_snippets(samples: DataFrame, pulses: DataFrame, before: int, after: int) -> DataFrame:
     """session, channel, block, pulse, pos and value of each pulse's samples from start - before to end + after. Pulses that reach
     beyond the recording are dropped, and shorter ones repeat their last value up to the longest of all the block's pulses."""
-    span = samples.groupBy("session", "channel").agg(F.min("sample").alias("lo"), F.max("sample").alias("hi"))
-    p = pulses.select("session", "channel", "block", "pulse", (F.col("start") - before).alias("a"), (F.col("end") + after).alias("z")).where("z >= a")
-    longest = p.groupBy(*KEYS).agg(F.max(F.col("z") - F.col("a")).alias("last"))
-    p = p.join(span, ["session", "channel"]).where("a >= lo and z <= hi")
-    need = p.join(longest, list(KEYS)).select(*KEYS, "pulse", "a", "z", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))).alias("pos"))
-    need = need.withColumn("sample", F.least(F.col("a") + F.col("pos"), "z"))
-    return need.join(samples.select("session", "channel", "sample", "value"), ["session", "channel", "sample"]).select(*KEYS, "pulse", "pos", "value")
+
+    def run(todo: list[dict], snippets: list[np.ndarray]) -> Iterator[tuple[dict, list[np.ndarray]]]:
+        for x, v in zip(todo, snippets):
+            yield x, [v]
+
+    return by_groups(samples, whole_pulses(samples, pulses, before, after), run, [*KEYS, "pulse"], ["value"])
+
+
+def pulse_artifacts(samples: DataFrame, pulses: DataFrame, before: int, after: int, exclude: int = 0, k: int = 3) -> DataFrame:
+    """What remove_artifacts_pca gives of the pulses' snippets, which aren't sent anywhere for it."""
+
+    def run(todo: list[dict], snippets: list[np.ndarray]) -> Iterator[tuple[dict, list[np.ndarray]]]:
+        blocks: dict[int, list[int]] = {}
+        for i, x in sorted(enumerate(todo), key=lambda e: e[1]["pulse"]):
+            blocks.setdefault(x["block"], []).append(i)
+        for rows in blocks.values():
+            for i, v in zip(rows, without_template(np.nan_to_num(np.array([snippets[i] for i in rows])), exclude, k)):
+                yield todo[i], [v]
+
+    return by_groups(samples, whole_pulses(samples, pulses, before, after), run, [*KEYS, "pulse"], ["value"])
+
+
+def pulse_template_parts(samples: DataFrame, pulses: DataFrame, before: int, after: int, width: int, first_width: int = 3, size: int = 1 << 14) -> DataFrame:
+    """What template_parts gives of the pulses' snippets, which aren't sent anywhere for it: a group of pulses also takes the earlier ones
+    that its means look back to. Column is_first tells a block's first pulse."""
+    p = whole_pulses(samples, pulses, before, after, size)
+    p = written(p.withColumn("is_first", F.col("pulse") == F.min("pulse").over(Window.partitionBy(*KEYS))), "pulses")
+    kind = ["session", "channel", "is_first"]
+    p = written(B.numbered(p, kind, "pulse", "n"), "pulses")
+    reach = F.when(F.col("is_first"), F.lit(first_width)).otherwise(F.lit(width)).cast("long")
+    later = p.select(*kind, "g", F.explode(F.sequence(F.greatest(F.col("n") - reach, F.lit(1)), "n")).alias("n")).distinct()
+    p = p.withColumnRenamed("g", "_src").join(later, [*kind, "n"]).withColumn("own", F.col("g") == F.col("_src"))
+
+    def run(todo: list[dict], snippets: list[np.ndarray]) -> Iterator[tuple[dict, list[np.ndarray]]]:
+        known = {(x["is_first"], x["n"]): v for x, v in zip(todo, snippets)}
+        for x, v in zip(todo, snippets):
+            if not x["own"]:
+                continue
+            back = first_width if x["is_first"] else width
+            template = local_template(len(v), [known[x["is_first"], n] for n in range(max(1, x["n"] - back), x["n"])])
+            yield x, [template, v - template]
+
+    return by_groups(samples, p, run, [*KEYS, "pulse", "is_first"], ["template", "value"]).select(*KEYS, "pulse", "pos", "is_first", "template", "value")
+
+
+def local_template(size: int, earlier: list[np.ndarray]) -> np.ndarray:
+    """The mean of earlier snippets less its first value and a line to its last; 0 where none of them has a value."""
+    total, count, out = np.zeros(size), np.zeros(size), np.zeros(size)
+    for v in earlier:
+        v = v[:size]
+        ok = ~np.isnan(v)
+        total[: len(v)][ok] += v[ok]
+        count[: len(v)] += ok
+    at = np.flatnonzero(count)
+    if len(at):
+        base = total[at] / count[at]
+        out[at] = base - base[0] - (base[-1] - base[0]) * at / max(at[-1], 1)
+    return out
 
 
 def components(x: np.ndarray, k: int = 3) -> tuple[np.ndarray, np.ndarray]:
@@ -38,6 +167,14 @@ def components(x: np.ndarray, k: int = 3) -> tuple[np.ndarray, np.ndarray]:
     return base, v[:k]
 
 
+def without_template(x: np.ndarray, exclude: int, k: int) -> np.ndarray:
+    """Rows less their mean and their projection on the first k components, both of all but the first `exclude` of at least two more."""
+    if len(x) < exclude + 2:
+        return x
+    base, v = components(x[exclude:], k)
+    return x - base - (x - base) @ v.T @ v
+
+
 def _matrix(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """The order of a block's rows by pulse and place, and its values, a row for each pulse; missing values are 0."""
     pulse = t.column("pulse").to_numpy()
@@ -53,9 +190,7 @@ def remove_artifacts_pca(snippets: DataFrame, exclude: int = 0, k: int = 3) -> D
 
     def run(t: pa.Table) -> pa.Table:
         order, x = _matrix(t)
-        if len(x) >= exclude + 2:
-            base, v = components(x[exclude:], k)
-            x = x - base - (x - base) @ v.T @ v
+        x = without_template(x, exclude, k)
         out = t.drop_columns(["value"]).take(pa.array(order)).append_column("value", pa.array(x.ravel()))
         return out.select(schema.names)
 

@@ -172,7 +172,7 @@ def _(spark, d):
 
 @query("m3_remove_artifacts_pca")
 def _(spark, d):
-    return R.remove_artifacts_pca(_snippets(spark, d), 0).withColumn("value", F.round("value", 6))
+    return R.pulse_artifacts(_full(spark, d), _pulses(spark, d), 1, 1).withColumn("value", F.round("value", 6))
 
 
 @query("m3_clean_signal")
@@ -211,10 +211,7 @@ e AS (SELECT session, channel, block, pulse, arg_min(base, pos) AS b0, arg_max(b
 r AS (SELECT t.*, coalesce((base - b0) - (b1 - b0) * pos / greatest(l, 1)::DOUBLE, 0) AS tpl FROM t LEFT JOIN e USING (session, channel, block, pulse))
 SELECT session, channel, block, pulse, pos, is_first, round(tpl, 6) AS template, round(value - tpl, 6) AS value FROM r""")
 def _(spark, d):
-    from pyspark.sql.window import Window
-
-    s = _snippets(spark, d).withColumn("is_first", F.col("pulse") == F.min("pulse").over(Window.partitionBy("session", "channel", "block")))
-    got = R.template_parts(s, 4)
+    got = R.pulse_template_parts(_full(spark, d), _pulses(spark, d), 1, 1, 4)
     return got.withColumns({c: F.round(c, 6) for c in ("template", "value")})
 
 
