@@ -1,5 +1,8 @@
 """Parts of operators that the given tables don't reach: block borders, errors, empty tables and nulls."""
 
+import random
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -144,3 +147,33 @@ def test_nearest_within_makes_no_pairs(spark):
         assert "bucket" not in got._jdf.queryExecution().optimizedPlan().toString()  # pairs of dense times were made there
         want = {i: min((abs(t - u), o) for o, u in b if u is not None and abs(t - u) <= tolerance)[1] for i, t in a if t is not None and any(u is not None and abs(t - u) <= tolerance for _, u in b)}
         assert {r.id: r.other for r in got.collect()} == want
+
+
+def test_neighbours_of_channels_that_share_a_place(spark):
+    n = 60_000
+    near = spark.range(n).select(F.col("id").alias("channel"), F.lit(1.0).alias("x"), F.lit(1.0).alias("y"))
+    far = spark.createDataFrame([(n, 41.0, 1.0), (n + 1, 1.0, 300.0), (n + 2, 160.0, 1.0)], "channel long, x double, y double")
+    began = time.time()
+    got = K.neighbours(near.union(far), 30.0, 150.0).groupBy("distance").agg(F.count("*").alias("n"), F.count_distinct("channel", "neighbour").alias("d")).collect()
+    assert {(r.distance, r.n, r.d) for r in got} == {(40.0, 2 * n, 2 * n), (119.0, 2, 2)}
+    assert time.time() - began < 30  # 3.6 billion pairs of one place aren't looked at
+
+
+def test_spikes_of_stretches_are_stitched_as_if_in_one(spark):
+    rng = random.Random(30)
+    spikes = [(rng.randrange(4), rng.randrange(3), rng.randrange(3000)) for _ in range(900)] + [(7, 1, 100), (7, 2, 101), (7, 2, 2990)]
+    ranges = [("a", 100, 2900), ("b", 5, 1500), ("c", 1499, 2990)]
+    hits, count = set(), {}
+    for unit, channel, at in spikes:
+        for file, first, last in ranges:
+            if first <= at <= last:
+                hits.add((file, unit, (at - first) // 30))
+                count[file, unit, channel] = count.get((file, unit, channel), 0) + 1
+    main = {(f, u): min((-n, c) for (g, v, c), n in count.items() if (g, v) == (f, u))[1] for f, u, _ in count}
+    want = sorted((f, u, main[f, u], b) for f, u, b in hits)
+    d, r = spark.createDataFrame(spikes, "unit int, channel int, sample long"), spark.createDataFrame(ranges, "file string, first long, last long")
+    for size in (64, 1000, 1 << 22):
+        got = J.stitch_spikes(d, r, size=size)
+        assert sorted(map(tuple, got.collect())) == want
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Aggregate" in line and "bin#" in line]  # bins of all files aren't gathered

@@ -112,13 +112,20 @@ def trim_to_shortest(windows: DataFrame, by: list[str], at: str, group: list[str
 
 
 def neighbours(channels: DataFrame, least: float, most: float) -> DataFrame:
-    """channel and neighbour at a distance in [least, most]; places meet in square cells of that width."""
+    """channel and neighbour at a distance in [least, most]; places meet in square cells of that width, once for all channels that
+    share them, and only pairs of places that are near are made into pairs of channels."""
     cell = lambda c: F.floor(F.col(c) / most)
     near = [F.struct((cell("x") + i).alias("cx"), (cell("y") + j).alias("cy")) for i in (-1, 0, 1) for j in (-1, 0, 1)]
-    b = channels.select(F.col("channel").alias("neighbour"), F.col("x").alias("x2"), F.col("y").alias("y2"), F.explode(F.array(*near)).alias("c"))
-    a = channels.select("channel", "x", "y", cell("x").alias("cx"), cell("y").alias("cy"))
-    got = a.join(b.select("neighbour", "x2", "y2", "c.cx", "c.cy"), ["cx", "cy"]).withColumn("distance", F.hypot(F.col("x") - F.col("x2"), F.col("y") - F.col("y2")))
-    return got.where((F.col("channel") != F.col("neighbour")) & F.col("distance").between(least, most)).select("channel", "neighbour", "distance")
+    places = channels.select("x", "y").distinct()
+    b = places.select(F.col("x").alias("x2"), F.col("y").alias("y2"), F.explode(F.array(*near)).alias("c"))
+    a = places.select("x", "y", cell("x").alias("cx"), cell("y").alias("cy"))
+    pairs = a.join(b.select("x2", "y2", "c.cx", "c.cy"), ["cx", "cy"]).withColumn("distance", F.hypot(F.col("x") - F.col("x2"), F.col("y") - F.col("y2")))
+    pairs = pairs.where(F.col("distance").between(least, most)).select("x", "y", "x2", "y2", "distance")
+    other = channels.select(F.col("channel").alias("neighbour"), F.col("x").alias("x2"), F.col("y").alias("y2"))
+    # Small tables make many pairs: without a number of its own their join would be merged into a task or two.
+    n = 4 * int(channels.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    got = channels.select("channel", "x", "y").join(pairs, ["x", "y"]).repartition(n, "x2", "y2").join(other, ["x2", "y2"])
+    return got.where(F.col("channel") != F.col("neighbour")).select("channel", "neighbour", "distance")
 
 
 def in_both(a: DataFrame, b: DataFrame) -> DataFrame:
