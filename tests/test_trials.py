@@ -81,3 +81,10 @@ def test_large_tables_are_dealt_by_their_rows(spark, monkeypatch):
     lines = adapters.table(spark, sf, "lineitem")
     assert adapters.parted(lines, "l_orderkey").rdd.getNumPartitions() == -(-lines.count() // 400) > 8
     assert [run(n) for n in names] == plain
+
+
+def test_tasks_hold_as_many_lines_at_each_size(spark):
+    from tracegrid.plans import adapters
+
+    for n in (900_001, 1_800_002):
+        assert adapters.parted(spark.range(n), "id").rdd.getNumPartitions() == -(-n // 100_000)

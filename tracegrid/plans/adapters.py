@@ -23,7 +23,7 @@ def micros(ts: str) -> F.Column:
 
 
 #: Rows of a partition where the number of shuffle partitions, or merging them, would make a task's sorts grow with the table.
-PART_ROWS = 500_000
+PART_ROWS = 100_000
 
 
 def parted(df: DataFrame, key: str) -> DataFrame:
