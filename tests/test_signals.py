@@ -299,6 +299,23 @@ def test_signal_cleaned_in_place(spark, gap, before, after, tail, k, group):
     assert R.clean_signal(frame(spark, x), d.where("false"), before, after).count() == n
 
 
+@pytest.mark.parametrize("wide", [0, 64])
+def test_groups_that_clean_a_signal_take_no_windows(spark, monkeypatch, wide):
+    rng = np.random.default_rng(17)
+    n, length = 1500, 20 + 280 * np.abs(np.sin(np.arange(1500) / 200))
+    x = rng.normal(size=n).cumsum() * 0.1
+    pulses = [(i // 5, s, s + int(length[s])) for i, s in enumerate(range(1, n - 2, 4)) if s + length[s] < n]
+    want = cleaned_one_by_one(x, pulses, 1, 1, 1, 3, 1, 1.0)
+    d = spark.createDataFrame([("s", 0, b, s, s, e) for b, s, e in pulses], "session string, channel int, block long, pulse long, start long, end long")
+    sent, taken = [], []
+    snippets, kept = R.pulse_snippets, R.written
+    monkeypatch.setattr(R, "pulse_snippets", lambda s, p, *a: sent.append(p.count()) or snippets(s, p, *a))
+    monkeypatch.setattr(R, "written", lambda df, name="cut": taken.append((name, (out := kept(df, name)).count())) or out)
+    got = R.clean_signal(frame(spark, x), d, 1, 1, exclude=1, k=3, tail=1, group=32, wide=wide)
+    assert np.abs(values(got) - want).max() < 1e-7
+    assert sent[0] < len(pulses) / 2 and max(m for _, m in taken) < 3 * n  # snippets would be of some 80,000 values
+
+
 def test_local_templates_begin_and_end_at_zero(spark):
     rows = [("s", 0, b, 10 * b + p, i, float(v), p == 0) for b in range(3) for p, shape in enumerate(([1, 2, 4], [5, 1, 2], [0, 6, 1, 9])) for i, v in enumerate(shape)]
     d = spark.createDataFrame(rows, "session string, channel int, block long, pulse long, pos long, value double, is_first boolean")

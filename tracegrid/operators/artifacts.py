@@ -23,6 +23,8 @@ KEYS = ("session", "channel", "block")
 BATCH = 1 << 20
 #: Samples of a chunk of signal, of which groups of pulses take those that they need.
 CHUNK = 1 << 12
+#: The same of groups that edit it, which may be of few pulses.
+SHARED = 1 << 9
 
 
 def whole_pulses(samples: DataFrame, pulses: DataFrame, before: int, after: int, size: int = 1 << 14) -> DataFrame:
@@ -212,15 +214,45 @@ def template_fits(snippets: DataFrame, exclude: int = 1, k: int = 3) -> DataFram
     return snippets.groupBy(*KEYS).applyInArrow(run, schema)
 
 
-def _edit(sample: np.ndarray, cur: np.ndarray, pulses: list[dict], fits: dict, share: float) -> list[tuple[int, int, float]]:
+def _fits(sample: np.ndarray, value: np.ndarray, pulses: list[dict], exclude: int, k: int) -> Callable[[dict], tuple[np.ndarray, np.ndarray] | None]:
+    """Gives a pulse's template: the one that came with its block, or that of the block's own snippets, fitted where its first pulse asks and
+    dropped after its last one."""
+    known = {x["block"]: (np.frombuffer(x["base"]), np.frombuffer(x["comps"]).reshape(-1, len(x["base"]) // 8)) for x in pulses if x["base"] is not None}
+    own: dict[int, list[dict]] = {}
+    left: dict[int, int] = {}
+    for x in pulses:
+        if x["local"]:
+            own.setdefault(x["block"], []).append(x)
+        left[x["block"]] = left.get(x["block"], 0) + x["edit"]
+
+    def fitted(rows: list[dict]) -> tuple[np.ndarray, np.ndarray] | None:
+        if len(rows) < exclude + (2 if k else 1):
+            return None
+        m = np.empty((len(rows), rows[0]["size"]))
+        for v, x in zip(m, sorted(rows, key=lambda x: x["pulse"])):
+            lo, n = int(np.searchsorted(sample, x["a"])), x["z"] - x["a"] + 1
+            v[:n], v[n:] = value[lo : lo + n], value[lo + n - 1]
+        return components(m[exclude:], k)
+
+    def fit(x: dict) -> tuple[np.ndarray, np.ndarray] | None:
+        block = x["block"]
+        if block not in known:
+            known[block] = fitted(own.get(block, []))
+        left[block] -= 1
+        return known[block] if left[block] else known.pop(block)
+
+    return fit
+
+
+def _edit(sample: np.ndarray, cur: np.ndarray, pulses: list[dict], fit: Callable[[dict], tuple[np.ndarray, np.ndarray] | None], share: float) -> list[tuple[int, int, float]]:
     """Patches and ramps of pulses, one after another, on cur: the values at sample (ascending), a column for each part of an
     affine form. Gives the ramps with their first values."""
     ramps = []
     for p in pulses:
         lo, n = int(np.searchsorted(sample, p["a"])), p["size"]
-        fit = fits.get(p["block"])
-        if fit:
-            base, v = fit
+        known = fit(p)
+        if known:
+            base, v = known
             patch = cur[lo : lo + n]
             patch[:, 0] -= base
             patch -= v.T @ (v @ patch)
@@ -233,15 +265,7 @@ def _edit(sample: np.ndarray, cur: np.ndarray, pulses: list[dict], fits: dict, s
     return ramps
 
 
-def _group(rows: pa.Table, pulses: pa.Table) -> tuple[np.ndarray, np.ndarray, list[dict], dict]:
-    order = np.argsort(rows.column("sample").to_numpy(), kind="stable")
-    sample, value = rows.column("sample").to_numpy()[order], np.nan_to_num(rows.column("value").to_numpy().astype(float)[order])
-    p = sorted(pulses.to_pylist(), key=lambda x: x["n"])
-    fits = {x["block"]: (np.frombuffer(x["base"]), np.frombuffer(x["comps"]).reshape(-1, len(x["base"]) // 8)) for x in p if x["base"] is not None}
-    return sample, value, p, fits
-
-
-def clean_signal(samples: DataFrame, pulses: DataFrame, before: int, after: int, *, exclude: int = 1, k: int = 3, tail: int = 0, share: float = 1.0, group: int = 256) -> DataFrame:
+def clean_signal(samples: DataFrame, pulses: DataFrame, before: int, after: int, *, exclude: int = 1, k: int = 3, tail: int = 0, share: float = 1.0, group: int = 256, wide: int = 64) -> DataFrame:
     """samples (session, channel, sample, value; a row for each sample) with every pulse's artifact taken out in place.
 
     pulses: session, channel, block, pulse, start, end. One pulse after another, the samples from start - before on, as many as
@@ -251,51 +275,74 @@ def clean_signal(samples: DataFrame, pulses: DataFrame, before: int, after: int,
     are left out, as are their ramps. Blocks without a template (template_fits) keep their samples, but for the ramps.
     Missing values count as 0 and stay missing.
 
-    Windows may overlap, and each edit reads what those before it left. So pulses form groups of `group` at least. Edits are affine
-    in what a group takes over from the one before: each group is run once for its affine map from the few samples it shares
-    with the one before to those it shares with the one after; these maps are put together in order, a row for each group; and each
-    group is run again from the right values. Ramps between windows are made where the samples lie."""
-    by, spark = ["session", "channel"], samples.sparkSession
+    Windows may overlap, and each edit reads what those before it left. So pulses form groups, cut in each stretch of `group` pulses
+    where the fewest samples are shared, if these are at most `wide`; a longer stretch whose windows all overlap by more is one group.
+    Edits are affine in what a group takes over from the one before: each group is run once for its affine map from the samples it shares
+    with those before to those it shares with those after; these maps are put together in order, a row for each group; and each
+    group is run again from the right values. A group takes chunks of signal, never windows, and fits the templates of blocks that
+    are all its own. Ramps outside its chunks are made where the samples lie."""
+    by = ["session", "channel"]
     s = samples.select(*by, "sample", F.col("value").cast("double").alias("value"))
-    snippets = pulse_snippets(s.withColumn("value", F.coalesce("value", F.lit(0.0))), pulses, before, after)
-    fits = written(template_fits(snippets, exclude, k), "fits")
     span = s.groupBy(*by).agg(F.min("sample").alias("lo"), F.max("sample").alias("hi"))
-    p = B.neighbour(pulses.select(*by, "block", "start", "end"), by, "start", "start", "next", after=True)
+    p = B.neighbour(pulses.select(*by, "block", "pulse", "start", "end"), by, "start", "start", "next", after=True)
     size = pulses.groupBy(*KEYS).agg((F.max(F.col("end") - F.col("start")) + before + after + 1).alias("size"))
-    p = p.join(size, list(KEYS)).join(span, by).withColumns({"a": F.col("start") - before, "ramp": F.least(F.col("end") + tail, "hi")})
-    p = written(p.where("a >= lo and a + size - 1 <= hi and end >= start"), "pulses")
-    longest = p.agg(F.max(F.col("size") + before + 1)).first()[0]
-    if longest is None:
+    p = p.join(size, list(KEYS)).join(span, by).withColumns({"a": F.col("start") - before, "z": F.col("end") + after, "ramp": F.least(F.col("end") + tail, "hi")})
+    p = p.withColumns({"edit": F.expr("a >= lo and a + size - 1 <= hi and end >= start"), "fit": F.expr("z >= a and a >= lo and z <= hi")})
+    p = written(p.where("edit or fit").drop("lo", "hi"), "pulses")
+    if p.where("edit").isEmpty():
         return samples
-    # A window can't reach beyond the next group then: starts are all different.
-    group = max(group, longest)
-    p = B.running(p, by, "start", F.lit(1).cast("long"), "n").withColumn("g", F.floor((F.col("n") - 1) / group))
-    p = written(B.known(p, by, "start", F.greatest(F.col("a") + F.col("size"), "next"), "reach"), "pulses")
+    far = F.when(F.col("edit"), F.greatest(F.col("a") + F.col("size"), "next"))
+    p = B.known(B.running(p, by, "start", F.col("edit").cast("long"), "n"), by, "start", far, "past", own=False)
+    p = written(p.withColumns({"over": F.greatest(F.coalesce(F.col("past") - F.col("a"), F.lit(0)), F.lit(0)), "reach": F.greatest("past", far)}).drop("past"), "pulses")
+    cuts = p.where("edit").groupBy(*by, F.floor((F.col("n") - 1) / group).alias("_q")).agg(F.min(F.struct("over", "start")).alias("_m"))
+    cuts = cuts.where(F.col("_m.over") <= wide).select(*by, F.col("_m.start").alias("start"), F.lit(1).cast("long").alias("cut"))
+    p = B.running(p.join(cuts, [*by, "start"], "left"), by, "start", F.coalesce("cut", F.lit(0).cast("long")), "g")
+    p = written(p.withColumn("g", F.greatest("g", F.lit(1).cast("long"))).drop("cut", "over", "n"), "pulses")
     across = Window.partitionBy(*by).orderBy("g")
-    groups = written(p.groupBy(*by, "g").agg(F.min("a").alias("first"), F.min("n").alias("n"), F.max("reach").alias("reach")).withColumns({"stop": F.lead("first").over(across), "open": F.lag("reach").over(across)}), "groups")
-    least = F.min("n").alias("n")
-    fitted = p.groupBy(*by, "g", "block").agg(least).join(fits, list(KEYS)).select(*by, "g", "n", "base", "comps")
-    edits = p.select(*by, "g", "n", "block", "a", "size", "ramp", "next").join(fitted, [*by, "g", "n"], "left").join(groups.select(*by, "g", "first", "stop", "open"), [*by, "g"])
+    groups = p.where("edit").groupBy(*by, "g").agg(F.min("a").alias("first"), F.min("start").alias("start"), F.max("reach").alias("reach"))
+    groups = written(groups.withColumns({"stop": F.lead("first").over(across), "open": F.lag("reach").over(across)}), "groups")
+    homes = written(p.where("fit").groupBy(*KEYS).agg((F.min("g") == F.max("g")).alias("one")), "homes")
+    # Few blocks are in several groups, but for those of very many pulses.
+    spread = pulses.join(homes.where("not one"), list(KEYS), "left_semi")
+    snippets = pulse_snippets(s.withColumn("value", F.coalesce("value", F.lit(0.0))), spread, before, after)
+    fits = written(template_fits(snippets, exclude, k), "fits")
+    fitted = p.where("edit").groupBy(*by, "g", "block").agg(F.min("start").alias("start")).join(fits, list(KEYS)).select(*by, "g", "start", "base", "comps")
+    edits = p.drop("end", "reach").join(homes, list(KEYS), "left").withColumn("local", F.col("fit") & F.col("one")).drop("fit", "one")
+    edits = edits.join(fitted, [*by, "g", "start"], "left").join(groups.drop("start"), [*by, "g"])
     edits = written(edits, "edits")
-    # A group's windows and first ramp samples, and all that it shares with the groups beside it.
-    own = p.select(*by, "g", F.explode(F.concat(F.sequence("a", F.col("a") + F.col("size") - 1), F.array("ramp"))).alias("sample"))
-    shared = [groups.where(f"{z} > {a}").select(*by, "g", F.explode(F.sequence(F.col(a), F.col(z) - 1)).alias("sample")) for a, z in (("first", "open"), ("stop", "reach"))]
-    need = own.union(shared[0]).union(shared[1]).distinct()
-    rows = written(need.join(s, [*by, "sample"]), "windows")
+    # The chunks of a group's windows and first ramp samples, of its own blocks' pulses, and of all that it shares with other groups.
+    chunk = lambda d, a, z: d.where(F.col(z) >= F.col(a)).select(*by, "g", F.explode(F.sequence(F.floor(F.col(a) / SHARED), F.floor(F.col(z) / SHARED))).alias("_c"))
+    ends = edits.select(*by, "g", "a", "z", "local", "edit", "ramp", (F.col("a") + F.col("size") - 1).alias("_z"), F.when(F.col("next") > F.col("ramp"), F.col("ramp")).alias("_r"))
+    shares = groups.select(*by, "g", "first", "stop", (F.col("open") - 1).alias("_o"), (F.col("reach") - 1).alias("_z"))
+    parts = [chunk(ends.where("edit"), "a", "_z"), chunk(ends.where("local"), "a", "z"), chunk(ends.where("edit"), "_r", "_r"), chunk(shares, "first", "_o"), chunk(shares, "stop", "_z")]
+    need = parts[0]
+    for d in parts[1:]:
+        need = need.union(d)
+    rows = written(s.withColumn("_c", F.floor(F.col("sample") / SHARED)).join(need.distinct(), [*by, "_c"]).drop("_c"), "chunks")
+
+    def group_of(r: pa.Table, e: pa.Table) -> tuple[np.ndarray, np.ndarray, list[dict], Callable]:
+        order = np.argsort(r.column("sample").to_numpy(), kind="stable")
+        sample, value = r.column("sample").to_numpy()[order], np.nan_to_num(r.column("value").to_numpy().astype(float)[order])
+        todo = sorted(e.to_pylist(), key=lambda x: x["start"])
+        fit, todo = _fits(sample, value, todo, exclude, k), [x for x in todo if x["edit"]]
+        own = (sample >= todo[0]["first"]) & (sample < todo[0]["reach"])
+        return sample[own], value[own], todo, fit
+
     maps_schema = T.StructType([rows.schema[c] for c in (*by, "g")] + [T.StructField(c, T.BinaryType()) for c in ("taken", "given", "map")])
 
     def unknown(sample: np.ndarray, e: list[dict]) -> np.ndarray:
         return np.flatnonzero(sample < e[0]["open"]) if e[0]["open"] is not None else np.zeros(0, dtype=np.int64)
 
     def mapped(r: pa.Table, e: pa.Table) -> pa.Table:
-        sample, value, todo, fit = _group(r, e)
+        sample, value, todo, fit = group_of(r, e)
         free = unknown(sample, todo)
-        cur = np.zeros((len(sample), 1 + len(free)))
-        cur[:, 0] = value
-        cur[free, 1 + np.arange(len(free))] = 1
-        _edit(sample, cur, todo, fit, share)
-        cur[:, 0] -= value
         to = np.flatnonzero(sample >= todo[0]["stop"]) if todo[0]["stop"] is not None else np.zeros(0, dtype=np.int64)
+        cur = np.zeros((len(sample), 1 + len(free)))
+        if len(to):
+            cur[:, 0] = value
+            cur[free, 1 + np.arange(len(free))] = 1
+            _edit(sample, cur, todo, fit, share)
+            cur[:, 0] -= value
         blobs = [sample[free].tobytes(), sample[to].tobytes(), cur[to].tobytes()]
         out = e.select([*by, "g"]).slice(0, 1)
         for name, blob in zip(("taken", "given", "map"), blobs):
@@ -320,13 +367,13 @@ def clean_signal(samples: DataFrame, pulses: DataFrame, before: int, after: int,
 
     keys = [*by, "g"]
     maps = written(rows.groupBy(*keys).cogroup(edits.groupBy(*keys)).applyInArrow(mapped, maps_schema), "maps")
-    carry = maps.groupBy(*by).applyInArrow(folded, carry_schema).join(groups.select(*keys, "n"), keys)
-    edits = edits.join(carry, [*keys, "n"], "left")
+    carry = maps.groupBy(*by).applyInArrow(folded, carry_schema).join(groups.select(*keys, "start"), keys)
+    edits = edits.join(carry, [*keys, "start"], "left")
     done_schema = T.StructType([*(rows.schema[c] for c in by), T.StructField("sample", T.LongType()), T.StructField("cleaned", T.DoubleType()), T.StructField("until", T.LongType())])
 
     def cleaned(r: pa.Table, e: pa.Table) -> pa.Table:
         """Cleaned samples, and (with until) the ramps' first values."""
-        sample, value, todo, fit = _group(r, e)
+        sample, value, todo, fit = group_of(r, e)
         cur = value[:, None].copy()
         if todo[0]["at"]:
             at, change = np.frombuffer(todo[0]["at"], dtype=np.int64), np.frombuffer(todo[0]["by"])
