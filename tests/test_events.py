@@ -1,5 +1,7 @@
 """Event operators by hand, on signals of every shape and in blocks of every size."""
 
+import collections
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -149,3 +151,16 @@ def test_runs_of_peaks_share_a_group(spark):
     got = E.dedup_peaks(spark.createDataFrame(rows, "session string, channel int, sample long, t_ms double, amplitude double"), 2, 4)
     assert "FlatMapGroupsInPandas [session" in (p := got._jdf.queryExecution().optimizedPlan().toString()) and str(E.RUNS) in p
     assert sorted(r.sample for r in got.collect()) == [1, 4, 9, 12, 16]
+
+
+def test_raster_deals_a_hot_bucket(spark, monkeypatch):
+    """300 events and 400 peaks within one bucket, many at the same time: all pairs, and no task makes most of them."""
+    monkeypatch.setattr(J, "PAIRS", 5_000, raising=False)
+    monkeypatch.setattr(J, "MEET", 50, raising=False)
+    at, t = [float(i % 7) for i in range(300)], [float(i % 11) for i in range(400)]
+    ev = spark.createDataFrame([("s", i, v) for i, v in enumerate(at)] + [("s", 900, 5e6), (None, 901, 0.0), ("s", 902, None)], "session string, event_id long, at double")
+    pk = spark.createDataFrame([("s", i, i % 3, v) for i, v in enumerate(t)] + [("u", 900, 0, 1.0), (None, 901, 0, 0.0), ("s", 902, 0, None)], "session string, id long, channel int, t_ms double")
+    d = J.raster(pk, ev, 3.0, 1000.0)
+    got = d.withColumn("task", F.spark_partition_id()).collect()
+    assert sorted(tuple(r)[:4] for r in got) == sorted(("s", i, k % 3, v - a) for i, a in enumerate(at) for k, v in enumerate(t) if -3 <= v - a < 1000)
+    assert max(collections.Counter(r.task for r in got).values()) < len(got) / 4
