@@ -408,6 +408,27 @@ def test_similarity_in_blocks_of_bounded_size(spark):
     assert max(abs(got[a, b] - want[i, j]) for i, a in enumerate(names) for j, b in enumerate(names) if a < b) < 1e-12
 
 
+def test_similarity_by_value_is_whole_and_small(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(40, 6))
+    rows = [(f"t{t:02}", c, float(v)) for t, row in enumerate(x) for c, v in enumerate(row)] + [("t40", c, v) for c, v in ((0, 1.0), (9, 2.0), (11, 4.0))]
+    d = spark.createDataFrame(rows, "trial string, channel int, value double")
+    for blocks, most in ((1, 7), (1, 100), (12, 4)):
+        got = M.rsa_matrix(d, blocks=blocks, most=most, digits=3)
+        rows = {(r.i, r.j): r.r for r in got.collect()}
+        assert got.count() == len(rows) == 41 * 40 // 2 and all(i < j for i, j in rows)
+        want = np.corrcoef(x)
+        assert all(rows[f"t{a:02}", f"t{b:02}"] == round(want[a, b], 3) for a in range(40) for b in range(a + 1, 40))
+        assert all(rows[f"t{a:02}", "t40"] is None for a in range(40))
+    # Trials are dealt once, not once for each pair of blocks, and rows that follow each other have the same r.
+    assert "Generate" not in got._jdf.queryExecution().executedPlan().toString()
+    x = rng.normal(size=(3000, 64))
+    d = spark.createDataFrame([(t, row.tolist()) for t, row in enumerate(x)], "trial long, v array<double>").select("trial", F.posexplode("v").alias("channel", "value"))
+    M.rsa_matrix(d, blocks=1, digits=6).write.parquet(f"{tmp_path}/r")
+    assert spark.read.parquet(f"{tmp_path}/r").count() == 3000 * 2999 // 2
+    assert sum(f.stat().st_size for f in (tmp_path / "r").glob("*.parquet")) < 6 * 3000 * 2999 // 2
+
+
 def nearest(x, k):
     """Brute force; a missing coordinate doesn't count, and a pair without any is last."""
     out = {}
