@@ -164,3 +164,18 @@ def test_raster_deals_a_hot_bucket(spark, monkeypatch):
     got = d.withColumn("task", F.spark_partition_id()).collect()
     assert sorted(tuple(r)[:4] for r in got) == sorted(("s", i, k % 3, v - a) for i, a in enumerate(at) for k, v in enumerate(t) if -3 <= v - a < 1000)
     assert max(collections.Counter(r.task for r in got).values()) < len(got) / 4
+
+
+def test_raster_sends_a_hot_bucket_once_and_goes_through_its_events(spark, monkeypatch):
+    """Sent again, it would come in as many tasks as its bytes ask for; through the peaks, each row would have another event."""
+    monkeypatch.setattr(J, "PAIRS", 5_000)
+    monkeypatch.setattr(J, "MEET", 50)
+    ev = spark.range(300).select(F.lit("s").alias("session"), F.col("id").alias("event_id"), (F.col("id") % 7).cast("double").alias("at"))
+    pk = spark.range(400).select(F.lit("s").alias("session"), "id", F.lit(0).alias("channel"), (F.col("id") % 11).cast("double").alias("t_ms"))
+    d = J.raster(pk, ev, 3.0, 1000.0)
+    plan = d._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == plan.count("REPARTITION_BY_NUM") == 2
+    got = d.withColumn("task", F.spark_partition_id()).collect()
+    assert len(got) == sum(k % 11 - i % 7 >= -3 for i in range(300) for k in range(400)) and len({r.task for r in got}) > 8
+    # An event begins once for each part of the peaks at most.
+    assert sum(a.event_id != b.event_id for a, b in zip(got, got[1:])) < 300 * 8
